@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.llm.exact_topk import exact_topk
+from ledgerloom.llm.learned_ann import ann_search
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.url_filter import filter_urls
+from ledgerloom.llm.vectors import finite
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann_search(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(finite(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return exact_topk(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
+OP2_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i]))::BIGINT AS score
+    FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,5 +73,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
     (whole * size + greatest(0, least(size, round(target - whole * source_size)::BIGINT - start)))::BIGINT AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
