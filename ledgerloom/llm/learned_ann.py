@@ -2,7 +2,9 @@
 
 A neighbour graph over a bounded sample is cut into parts of equal size; a small classifier learns from that
 which part a vector belongs to, assigns every row of the table, and routes each query to its most probable
-parts, whose rows are reranked with exact inner products in double precision.
+parts, whose rows are reranked with exact inner products in double precision. How many parts a query needs is
+measured on rows of the sample that the classifier hasn't seen: the fewest that find TARGET of their nearest.
+Clustered vectors need few parts; vectors spread evenly in all directions need most of them, whatever the parts.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from ledgerloom.llm.vectors import answers, blocks, finite, first_of_equal, rena
 #: Rows of the sample on which the index is fitted (of those with the smallest seeded hash), neighbours of its
 #: graph, rows of a part aimed at, largest number of parts, rows packed together.
 SAMPLE_ROWS, NEIGHBOURS, PART_ROWS, MAX_PARTS, BLOCK_ROWS = 8192, 16, 1024, 256, 2048
-#: Routing: parts of a query until their summed probability reaches MASS, at least MIN_SHARE of all parts.
-MASS, MIN_SHARE, MIN_PROBES = 0.995, 0.12, 3
+#: Share of the nearest rows that routing must find on unseen rows of the sample, and the share held back for that.
+TARGET, HELD = 0.96, 0.2
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -117,9 +119,25 @@ class Index:
     parts: int
     scale: float
     router: Router
+    probes: int
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self.router.probabilities(x / self.scale)
+
+
+def probes_needed(index: Index, x: np.ndarray, held: np.ndarray, near: int) -> int:
+    """Fewest most probable parts that hold TARGET of the ``near`` nearest rows of the held-back rows."""
+    s = x[held] @ x.T
+    s[np.arange(len(held)), held] = -np.inf
+    top = np.argpartition(-s, near - 1, axis=1)[:, :near]
+    p = index.probabilities(x)
+    place = np.argsort(np.argsort(-p[held], axis=1, kind="stable"), axis=1)
+    found = np.take_along_axis(place, p.argmax(axis=1)[top], axis=1)
+    shares = [(found < n).mean() for n in range(1, index.parts + 1)]
+    return 1 + next(n for n, share in enumerate(shares) if share >= TARGET)
 
 
-def fit_index(df: DataFrame, rows: int, seed: int = 7) -> Index | None:
+def fit_index(df: DataFrame, rows: int, k: int, seed: int = 7) -> Index | None:
     """Fitted on at most SAMPLE_ROWS distinct rows (vec_id, vector) of the most frequent length."""
     sample = df.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     if not len(sample):
@@ -131,11 +149,14 @@ def fit_index(df: DataFrame, rows: int, seed: int = 7) -> Index | None:
     parts = 1
     while parts * 2 <= min(MAX_PARTS, max(1, rows // PART_ROWS), max(1, len(x) // 16)):
         parts *= 2
-    scale = float(np.sqrt((x**2).sum(axis=1).mean())) or 1.0
-    if parts == 1:
-        return Index(dim, 1, scale, fit_router(x[:1] / scale, np.zeros(1, np.int64), 1, rng, epochs=1))
-    part = balanced_parts(neighbour_graph(x, NEIGHBOURS), parts, rng)
-    return Index(dim, parts, scale, fit_router(x / scale * np.sqrt(dim) / 4, part, parts, rng))
+    x = x[rng.permutation(len(x))]
+    scale = float(np.sqrt((x**2).mean())) * 4 / dim**0.5 or 1.0
+    part = balanced_parts(neighbour_graph(x, NEIGHBOURS), parts, rng) if parts > 1 else np.zeros(len(x), np.int64)
+    held = np.arange(int(HELD * len(x)))
+    index = Index(dim, parts, scale, fit_router(x[len(held) :] / scale, part[len(held) :], parts, rng, epochs=30 if parts > 1 else 0), parts)
+    if parts > 1:
+        index.probes = probes_needed(index, x, held, max(1, k * len(x) // rows))
+    return index
 
 
 def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
@@ -149,13 +170,11 @@ def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
             fits = np.nonzero(dims == index.dim)[0]
             odd = np.nonzero(dims != index.dim)[0]
             x = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, index.dim)
-            p = index.router.probabilities(x / index.scale * np.sqrt(index.dim) / 4)
+            p = index.probabilities(x)
             if probes:
                 order = np.argsort(-p, axis=1, kind="stable")
-                before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
-                least = max(MIN_PROBES, int(np.ceil(MIN_SHARE * index.parts)))
-                i, j = np.nonzero((before < MASS) | (np.arange(index.parts) < least))
-                row, part = np.concatenate([fits[i], odd]), np.concatenate([order[i, j], np.full(len(odd), -1)])
+                row = np.concatenate([np.repeat(fits, index.probes), odd])
+                part = np.concatenate([order[:, : index.probes].reshape(-1), np.full(len(odd), -1)])
             else:
                 row, part = np.concatenate([fits, odd]), np.concatenate([p.argmax(axis=1), np.full(len(odd), -1)])
             row = pa.array(row)
@@ -167,8 +186,8 @@ def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
 
 def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found (largest inner product) for each query among docs,
-    the query's own id left out; all candidates where a query's parts hold fewer is not enough (few rows: one
-    part). Both sides: vec_id long, vector array<float or double>.
+    the query's own id left out. Few rows make one part, which holds all candidates. Both sides: vec_id long,
+    vector array<float or double>.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
     an id. Equal vectors are searched once; of those beyond the k + 1 smallest ids none can be an answer. Parts
@@ -177,7 +196,7 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     docs, queries = docs.filter(usable).distinct(), queries.filter(usable).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     docs = first_of_equal(docs, k + 1)
     rows = docs.count()
-    index = fit_index(docs, rows)
+    index = fit_index(docs, rows, k)
     if index is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     reps = queries.groupBy("vector").agg(F.min("vec_id").alias("rep"))
