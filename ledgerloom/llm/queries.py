@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm.exact_topk import exact_topk
+from ledgerloom.llm.html_content import extract_content
+from ledgerloom.llm.language_id import fit, held_out, identify
 from ledgerloom.llm.learned_ann import ann_search
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.records import token_records
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.url_filter import filter_urls
 from ledgerloom.llm.vectors import finite
@@ -16,6 +19,13 @@ from ledgerloom.llm.vectors import finite
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def vocabulary(name: str) -> str:
+    """Where this machine and its executors have the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return ann_search(rows, rows.filter("vec_id % 20 = 0"), 20)
@@ -37,6 +47,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_content(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -73,5 +97,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
     (whole * size + greatest(0, least(size, round(target - whole * source_size)::BIGINT - start)))::BIGINT AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op6_token_records": op6_token_records, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
