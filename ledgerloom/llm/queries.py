@@ -13,6 +13,7 @@ from ledgerloom.llm.learned_ann import ann_search
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.records import token_records
 from ledgerloom.llm.shared import table
+from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.url_filter import filter_urls
 from ledgerloom.llm.vectors import finite
 
@@ -61,6 +62,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return token_records(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -97,5 +103,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
     (whole * size + greatest(0, least(size, round(target - whole * source_size)::BIGINT - start)))::BIGINT AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op6_token_records": op6_token_records, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op6_token_records": op6_token_records, "op7_suffix_dedup": op7_suffix_dedup, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
