@@ -61,16 +61,17 @@ def range_hash(seed: int) -> RangeHash:
     return _hashes.setdefault(seed, RangeHash(seed))
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length, byte planes of each together, so that what varies little compresses well."""
+def pack(columns: list[np.ndarray], kind: int = 0) -> bytes:
+    """Columns of equal length, byte planes of each together, so that what varies little compresses well. The
+    first byte tells the kind of rows."""
     n = len(columns[0])
-    return b"".join([n.to_bytes(8, "little"), *(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T).tobytes() if n else b"" for c in columns)])
+    return b"".join([bytes([kind]), n.to_bytes(8, "little"), *(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T).tobytes() if n else b"" for c in columns)])
 
 
 def unpack(blobs: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in dtypes]
     for blob in blobs:
-        n, at = int.from_bytes(blob[:8], "little"), 8
+        n, at = int.from_bytes(blob[1:9], "little"), 9
         for k, d in enumerate(dtypes):
             size = n * np.dtype(d).itemsize
             parts[k].append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, size, at).reshape(-1, n).T).reshape(-1).view(d) if n else np.zeros(0, d))
@@ -78,7 +79,7 @@ def unpack(blobs: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, dtypes, strict=True)]
 
 
-def deal(bucket: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+def deal(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
     """One packed row for each bucket that has rows; within it, rows stay in their order."""
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets), side="right")
@@ -86,7 +87,7 @@ def deal(bucket: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterato
     for b, hi in enumerate(ends.tolist()):
         if hi > lo:
             ids.append(b)
-            blobs.append(pack([c[order[lo:hi]] for c in columns]))
+            blobs.append(pack([c[order[lo:hi]] for c in columns], kind))
             lo = hi
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
