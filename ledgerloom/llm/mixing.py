@@ -72,3 +72,13 @@ def mix_sources(df: DataFrame, weights: list[int], share: float, max_epochs: flo
         "doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), copies.cast("long").alias("copies"),
         F.when(full, 0).otherwise(F.col("more")).cast("long").alias("part"), (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(df: DataFrame, weights: list[int], share: float, max_epochs: float, seed: str = "mix") -> DataFrame:
+    """The rows of df as often as the mix takes them, with their own columns only. A partial repetition counts as
+    a whole one if it is half of the document or more. Rows of one doc_id are taken alike."""
+    plan = mix_sources(df, weights, share, max_epochs, seed)
+    times = (F.col("copies") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
+    plan = plan.groupBy(F.col("doc_id").alias("_d")).agg(F.max(times).alias("_times")).filter("_times > 0")
+    rows = df.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)

@@ -13,6 +13,7 @@ from ledgerloom.llm.language_id import fit, held_out, identify
 from ledgerloom.llm.learned_ann import ann_search
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.records import token_records
+from ledgerloom.llm.sentencepiece_codec import piece_encode
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.url_filter import filter_urls
@@ -59,6 +60,11 @@ def op4_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_content(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_encode(docs, model or vocabulary("piece_bpe_32k.model"), round_trip=True).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -108,5 +114,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
     (whole * size + greatest(0, least(size, round(target - whole * source_size)::BIGINT - start)))::BIGINT AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op6_token_records": op6_token_records, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op5_sentencepiece": op5_sentencepiece, "op6_token_records": op6_token_records, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
