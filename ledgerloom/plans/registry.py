@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ledgerloom.plans import queries_core, queries_design, queries_estimates, queries_joins, queries_text
+from ledgerloom.plans.register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_core", "queries_design", "queries_estimates", "queries_joins", "queries_text"]
