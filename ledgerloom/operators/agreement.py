@@ -85,10 +85,10 @@ def gwet_ac1(ratings: DataFrame, unit: list[str], value: str) -> DataFrame:
 def weighted_kappa(df: DataFrame, left: str, right: str, power: int = 2) -> DataFrame:
     """Kappa with linear (1) or squared (2) disagreement weights."""
     cells = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(F.col(left).alias("i"), F.col(right).alias("j")).agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n").alias("N"))
+    total = cells.agg(F.sum("n").alias("all_n"))
     row, col = cells.groupBy("i").agg(F.sum("n").alias("ri")), cells.groupBy("j").agg(F.sum("n").alias("cj"))
     grid = row.crossJoin(col).crossJoin(total).join(cells, ["i", "j"], "left").withColumn("w", F.pow(F.abs(F.col("i") - F.col("j")), power))  # pairs of categories
-    return grid.agg((1 - F.try_divide(F.sum(F.col("w") * F.coalesce("n", F.lit(0))), F.sum(F.col("w") * F.col("ri") * F.col("cj") / F.col("N")))).alias("kappa"))
+    return grid.agg((1 - F.try_divide(F.sum(F.col("w") * F.coalesce("n", F.lit(0))), F.sum(F.col("w") * F.col("ri") * F.col("cj") / F.col("all_n")))).alias("kappa"))
 
 
 def brier(truth: Column, p: Column, weight: Column | None = None) -> Column:

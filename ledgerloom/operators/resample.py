@@ -54,11 +54,11 @@ def jackknife(stats: DataFrame, cluster: str, population: int | None = None, z:
     """Delete-one-cluster standard error of a ratio (sum of s over sum of n): each left-out estimate is the total
     less the cluster's own. With ``population`` clusters in all, the finite population correction applies."""
     per = stats.groupBy(cluster).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    total = per.agg(F.sum("s").alias("S"), F.sum("n").alias("N"), F.count("*").alias("k"))
-    out = per.crossJoin(F.broadcast(total)).withColumn("left_out", (F.col("S") - F.col("s")) / (F.col("N") - F.col("n")))  # one row
-    est = out.agg(F.first("S").alias("S"), F.first("N").alias("N"), F.first("k").alias("clusters"), F.var_pop("left_out").alias("v"))
+    total = per.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.count("*").alias("k"))
+    out = per.crossJoin(F.broadcast(total)).withColumn("left_out", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")))  # one row
+    est = out.agg(F.first("all_s").alias("all_s"), F.first("all_n").alias("all_n"), F.first("k").alias("clusters"), F.var_pop("left_out").alias("v"))
     fpc = 1 - F.col("clusters") / F.lit(float(population)) if population else F.lit(1.0)
-    est = est.select("clusters", (F.col("S") / F.col("N")).alias("estimate"), F.sqrt((F.col("clusters") - 1) * F.col("v") * F.greatest(fpc, F.lit(0.0))).alias("se"))
+    est = est.select("clusters", (F.col("all_s") / F.col("all_n")).alias("estimate"), F.sqrt((F.col("clusters") - 1) * F.col("v") * F.greatest(fpc, F.lit(0.0))).alias("se"))
     return est.withColumns({"low": F.col("estimate") - z * F.col("se"), "high": F.col("estimate") + z * F.col("se")})
 
 
