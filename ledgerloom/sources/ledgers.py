@@ -15,7 +15,9 @@ def read_ledger(spark: SparkSession, path: str | list[str], schema: StructType |
         return spark.read.schema(schema).json(path, mode="FAILFAST")
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = declared.add("_corrupt_record", "string") if "_corrupt_record" not in declared.names else declared
-    return spark.read.schema(kept).json(path, mode="PERMISSIVE").filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    row = F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(row.alias("r")).filter(F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
 
 
 def read_ledger_without(spark: SparkSession, path: str, schema: str, text: str = '"error"') -> DataFrame:
