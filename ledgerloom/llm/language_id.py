@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.llm.shared import bounded_batches, lean
+
 #: Fitting: rows of each language (of smallest seeded hash) and characters of each row (from a seeded place) that
 #: are sent to the driver; share of these rows kept for calibration.
 ROWS_PER_LANG, CHARS_PER_ROW, CALIBRATION = 700, 1200, 0.25
@@ -192,6 +194,7 @@ def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
     rejected (``und``, or a score below the threshold), in place of its own columns of these names.
 
     Whole texts, however long; no shuffle; equal texts get equal answers; nothing but the text is looked at."""
+    bounded_batches(df.sparkSession)
     others = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of one number for each language
 
@@ -205,4 +208,4 @@ def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < m.threshold))], names=[*others, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
-    return df.select(*others).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return df.select(*others).mapInArrow(lean(run), f"{fields}, lang_pred string, score double, rejected boolean")

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.vectors import answers, blocks, finite, first_of_equal, renamed, unpack
+from ledgerloom.llm.shared import lean
 
 #: Rows of the sample on which the index is fitted (of those with the smallest seeded hash), neighbours of its
 #: graph, rows of a part aimed at, largest number of parts, rows packed together.
@@ -181,7 +182,7 @@ def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), lists.take(row), pa.array(part.astype(np.int64))], names=["vec_id", "vector", "part"])
 
     kind = dict(df.dtypes)["vector"]
-    return df.select("vec_id", "vector").mapInArrow(run, f"vec_id long, vector {kind}, part long")
+    return df.select("vec_id", "vector").mapInArrow(lean(run), f"vec_id long, vector {kind}, part long")
 
 
 def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -216,5 +217,5 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 i, j = np.nonzero(s >= np.partition(s, s.shape[1] - m, axis=1)[:, -m][:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["rep", "vec_id", "score"])
 
-    hits = pairs.select("q_ids", "q_mat", "q_dim", "c_ids", "c_mat", "c_dim").mapInArrow(run, "rep long, vec_id long, score double")
+    hits = pairs.select("q_ids", "q_mat", "q_dim", "c_ids", "c_mat", "c_dim").mapInArrow(lean(run), "rep long, vec_id long, score double")
     return answers(hits, asked, k, "double")

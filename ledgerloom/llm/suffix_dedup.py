@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.packed import BUCKET_SCHEMA, PIECE, bucketed, buffers, deal, held_until_full, mixed, multikey_order, range_hash, unpack
-from ledgerloom.llm.shared import saved
+from ledgerloom.llm.shared import bounded_batches, lean, saved
 
 #: Bytes of an anchor's gram; suffixes of a bucket aimed at; one document in SAMPLE gives splitters, at most
 #: SAMPLE_ROWS suffixes from each partition.
@@ -73,8 +73,8 @@ def suffixes(b: pa.RecordBatch, length: int, gram: int) -> Iterator[list[np.ndar
     docs, hashes = (pc.fill_null(b.column(c), np.iinfo(np.int64).min if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
     for buf, starts, rows in buffers(b):
         # A very long text is cut into overlapping pieces: every window lies in one of them.
-        for at in range(0, max(1, len(buf) - length + 1), PIECE * 8):
-            part = buf[at : at + PIECE * 8 + length - 1]
+        for at in range(0, max(1, len(buf) - length + 1), PIECE * 4):
+            part = buf[at : at + PIECE * 4 + length - 1]
             inner = np.unique(np.concatenate([[0, len(part)], starts[(starts > at) & (starts < at + len(part))] - at]))
             lo, hi, t1, t2 = anchors(part, inner, length, gram)
             doc = np.searchsorted(starts, lo + at, side="right") - 1
@@ -92,7 +92,7 @@ def splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[tup
             pick = np.unique(np.linspace(0, len(c[0]) - 1, SAMPLE_ROWS).astype(np.int64)) if len(c[0]) else []
             yield pa.RecordBatch.from_arrays([pa.array(x[pick].view(np.int64)) for x in (*c[:3], c[4])], names=["a", "b", "c", "d"])
 
-    got = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "a long, b long, c long, d long").toArrow()
+    got = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(lean(run), "a long, b long, c long, d long").toArrow()
     a, b = (got[x].to_numpy().view(np.uint64) for x in "ab")
     sample = sorted(zip(a.tolist(), b.tolist(), got["c"].to_pylist(), got["d"].to_pylist(), strict=True))
     if len(sample) < 4 * buckets:  # few rows: grams are hashes, and so spread evenly
@@ -120,6 +120,7 @@ def repeated_spans(df: DataFrame, length: int = 100) -> DataFrame:
 
     Order is (doc_id, start), null doc_ids first. Rows of one doc_id and text are one document."""
     spark = df.sparkSession
+    bounded_batches(spark)
     gram = max(1, min(GRAM, length // 2))
     docs = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -151,7 +152,7 @@ def repeated_spans(df: DataFrame, length: int = 100) -> DataFrame:
         yield spans_found(1, doc[again], text[again], lo[again], hi[again])
 
     kinds = f"kind int, {SPANS}"
-    found = saved(bucketed(docs.mapInArrow(send, BUCKET_SCHEMA), buckets).mapInArrow(sort, kinds), "suffix-runs")
+    found = saved(bucketed(docs.mapInArrow(lean(send), BUCKET_SCHEMA), buckets).mapInArrow(lean(sort), kinds), "suffix-runs")
 
     # The runs in doubt, with their documents' texts.
     doubt = found.filter("kind = 1").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
@@ -199,7 +200,7 @@ def repeated_spans(df: DataFrame, length: int = 100) -> DataFrame:
         ends = np.append(at[1:], len(doc)) - 1 if len(at) else at
         yield spans_found(0, doc[at], text[at], lo[at], lo[ends] + length)
 
-    settled = saved(bucketed(unsure.mapInArrow(send_windows, BUCKET_SCHEMA), buckets).mapInArrow(settle, kinds), "suffix-windows")
+    settled = saved(bucketed(unsure.mapInArrow(lean(send_windows), BUCKET_SCHEMA), buckets).mapInArrow(lean(settle), kinds), "suffix-windows")
     return found.filter("kind = 0").unionByName(settled).select("doc_id", "text_hash", "lo", "hi")
 
 
@@ -249,5 +250,5 @@ def remove_repeats(df: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[*others, "kept", "n_bytes", "n_removed", "n_spans", "whole"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
-    return joined.mapInArrow(run, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, whole string")
+    return joined.mapInArrow(lean(run), f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, whole string")
 

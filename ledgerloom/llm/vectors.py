@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.llm.shared import lean
+
 BLOCK_SCHEMA = "part long, dim int, n int, ids binary, mat binary"
 
 
@@ -55,7 +57,7 @@ def blocks(df: DataFrame, rows: int, dtype: str, part: bool = False) -> DataFram
         for key, (i, m) in held.items():
             yield block(key, i, m)
 
-    return df.select("vec_id", "vector", *["part"] * part).mapInArrow(run, BLOCK_SCHEMA)
+    return df.select("vec_id", "vector", *["part"] * part).mapInArrow(lean(run), BLOCK_SCHEMA)
 
 
 def unpack(ids: bytes, mat: bytes, dim: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
