@@ -7,9 +7,11 @@ one is never expanded. A document whose prefix holds costly tokens gets a longer
 required in common, until one of the tokens in common must be cheap: pairs come from cheap tokens only, and
 nothing is lost. Before verification a pair must also have enough tokens of both plain prefixes in common.
 
-Costly tokens only link each document to the first of its size in their list, so that large groups of near
-copies become one component early and cost nothing more. Documents that stay without enough cheap tokens, even in
-their whole sets, are compared within their lists, with all documents of other components.
+The first costly tokens of a document pair it with the first of its size in their list and with one neighbour in
+random order, so that large groups of near copies become one component early and cost nothing more. Documents
+that stay without enough cheap tokens, even in their whole sets, are compared within their lists, with documents
+of other components; but for those that too many tokens of their own, or tokens lost against a document that both
+have been compared with, already rule out.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.packed import BUCKET_SCHEMA, bucketed, buffers, deal, held_until_full, mixed, multikey_order, range_hash, unpack
-from ledgerloom.llm.shared import saved
+from ledgerloom.llm.shared import bounded_batches, lean, saved
 
 #: A token is costly if its documents would give more pairs than COST and than COST_PER_DOC for each of them.
-COST, COST_PER_DOC = 28, 2
+COST, COST_PER_DOC = 10, 2
 #: Tokens kept beyond the plain prefix: this share of the set, and this many.
 MORE_SHARE, MORE = 0.08, 8
 BUCKET_ROWS = 500_000
-#: token, node, component - node, size of the set, whether the token is in the plain prefix, and whether the row
-#: stands for others that its task has seen to.
-ROW = ["<u8", "<i8", "<i8", "<u4", "<u1", "<u1"]
+#: Costly tokens of a document that pair it in the first and in the second round.
+FIRST = (4, 6)
+#: token, node, component - node, size of the set, place (1: in the plain prefix, 3: also among the first), whether
+#: the row stands for others that its task has seen to, pivot - node, tokens of the pivot that the set lacks, and
+#: tokens that no other document has.
+ROW = ["<u8", "<i8", "<i8", "<u4", "<u1", "<u1", "<i8", "<u4", "<u4"]
 PAIR = ["<i8", "<i8", "<i8", "<i8", "<i8"]
 #: A task sees to the list of a costly token itself if it is as long as this, so no bucket gets all of it.
 LONG = 256
@@ -104,15 +109,16 @@ def sketches(df: DataFrame, words: int, t: int) -> DataFrame:
                 heads = [tokens[a : a + min(k, plain_prefix(k, t) + more_tokens(k))].tobytes() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(heads, pa.binary())], names=["doc_id", "n", "k1", "k2", "head"])
 
-    return saved(df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, head binary"), "sketches")
+    return saved(df.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long, head binary"), "sketches")
 
 
 def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
     """Pairs of rows sorted by token and size that tokens give, as columns a, b, na, nb, shared; a = b tells of a
-    node: nb costly tokens, ``shared`` of them in its plain prefix. With ``long``: only for costly lists of
-    that many rows, and which rows needn't be dealt any more."""
-    token, node, component, n, plain, seen = rows
-    n, klass = n.astype(np.int64), size_class(n, t)
+    node: na tokens that others have too, nb costly ones, ``shared`` of these in its plain prefix. With ``long``:
+    only for costly lists of that many rows, and which rows needn't be dealt any more."""
+    token, node, component, n, place, seen, pivot, lost, own = rows
+    n, klass, plain = n.astype(np.int64), size_class(n, t), place & 1
+    lost, own = lost.astype(np.int64), own.astype(np.int64)
     starts = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0] if len(token) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(token))
     some = np.nonzero(ends - starts > max(1, long - 1))[0]
@@ -131,14 +137,20 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
                 i, j = np.nonzero(component[at : at + 512, None] != component[None, at:hi])
                 i, j = i + at, j + at
                 ok = (i < j) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                apart = own[i] + own[j] + np.where(pivot[i] == pivot[j], np.abs(lost[i] - lost[j]), 0)
+                ok = apart <= n[i] + n[j] + 2 * (-t * (n[i] + n[j]) // (100 + t))
                 pairs.append(np.stack([i[ok], j[ok]]))
         else:
             mine = np.arange(lo, hi)
             costly.append(mine[seen[lo:hi] == 0])
             first = lo + np.nonzero(np.concatenate([[True], klass[lo + 1 : hi] != klass[lo : hi - 1]]))[0]
+            mine = mine[place[mine] > 1]
             centre = first[np.searchsorted(first, mine, side="right") - 1]
-            ok = component[mine] != component[centre]
-            stars.append(np.stack([centre[ok], mine[ok]]))
+            mixed_up = mine[np.argsort(mixed(node[mine].view(np.uint64) ^ token[lo] ^ np.uint64(m)))]
+            a, b = np.concatenate([centre, mixed_up[:-1]]), np.concatenate([mine, mixed_up[1:]])
+            ok = component[a] != component[b]
+            stars.append(np.stack([a[ok], b[ok]]))
             gone[lo:hi] = True
             gone[first] = False
     i, j = np.concatenate(pairs + stars, axis=1) if pairs or stars else np.zeros((2, 0), np.int64)
@@ -153,7 +165,7 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
     hot = np.concatenate(costly) if costly else np.zeros(0, np.int64)
     nodes, at = np.unique(node[hot], return_inverse=True)
     count, in_plain = (np.bincount(at, weights=w, minlength=len(nodes)).astype(np.int64) for w in (np.ones(len(hot)), plain[hot]))
-    columns = ((node[i], nodes), (node[j], nodes), (n[i], np.zeros(len(nodes), np.int64)), (n[j], count), (shared, in_plain))
+    columns = ((node[i], nodes), (node[j], nodes), (n[i], count if long else count * 0), (n[j], count), (shared, in_plain))
     return [np.concatenate(x).astype(np.int64) for x in columns], gone
 
 
@@ -162,14 +174,17 @@ def size_class(n: np.ndarray, t: int) -> np.ndarray:
     return np.floor(np.log(n) / -np.log(t / 100)).astype(np.int64)
 
 
-def token_round(heads: DataFrame, tokens: int, t: int, final: bool = False) -> tuple[DataFrame, DataFrame]:
+def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """One round over (node, component, n, head), with about ``tokens`` tokens in all heads: candidate pairs
-    (a, b) and, per node, how many of the tokens of its head are costly. In the final round no token is, and
-    only plain prefixes are dealt."""
+    (a, b) and, per node, how many of the tokens of its head are costly. The second round (turn 1) has whole sets
+    as heads and counts the tokens that others have too. In the third (turn 2) no token is costly, only plain
+    prefixes are dealt, and heads come with pivot, lost and own."""
+    final = turn == 2
     buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_ROWS + 1)
 
     def prefixes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         nodes, components, sizes = (b.column(c).to_numpy() for c in ("node", "component", "n"))
+        more = [b.column(c).to_numpy() if final else np.zeros(len(nodes), np.int64) for c in ("pivot", "lost", "own")]
         heads = b.column("head").to_pylist()
         for lo in range(0, len(heads), 1024):
             parts = [np.frombuffer(h, "<u8") for h in heads[lo : lo + 1024]]
@@ -179,7 +194,9 @@ def token_round(heads: DataFrame, tokens: int, t: int, final: bool = False) -> t
             m = np.array([len(x) for x in parts])
             place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             row = np.repeat(np.arange(lo, lo + len(parts)), m)
-            yield [np.concatenate(parts), nodes[row], components[row], sizes[row].astype(np.uint32), (place < np.repeat(plain, m)).astype(np.uint8), np.zeros(len(row), np.uint8)]
+            at = (place < np.repeat(plain, m)).astype(np.uint8) * (1 + 2 * (place < FIRST[min(turn, 1)])).astype(np.uint8)
+            pivot = more[0][row] if final else nodes[row]
+            yield [np.concatenate(parts), nodes[row], components[row], sizes[row].astype(np.uint32), at, np.zeros(len(row), np.uint8), pivot, more[1][row].astype(np.uint32), more[2][row].astype(np.uint32)]
 
     def in_order(rows: list[np.ndarray]) -> list[np.ndarray]:
         order = multikey_order([rows[0], size_class(rows[3], t), rows[1]])
@@ -195,7 +212,7 @@ def token_round(heads: DataFrame, tokens: int, t: int, final: bool = False) -> t
                 cut = np.unique(rows[0][gone])
                 rows[5][np.isin(rows[0], cut)] = 1
                 rows = [x[~gone] for x in rows]
-            rows[2] = rows[2] - rows[1]
+            rows[2], rows[6] = rows[2] - rows[1], rows[6] - rows[1]
             where = (mixed(rows[0]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             yield from deal(where.astype(np.int64), rows, buckets)
 
@@ -205,14 +222,19 @@ def token_round(heads: DataFrame, tokens: int, t: int, final: bool = False) -> t
             for x in b.column("rows").to_pylist():
                 blobs[x[0]].append(x)
         rows = unpack(blobs[0], ROW)
-        rows[2] = rows[2] + rows[1]
+        _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
+        rows = [x[count[inverse] > 1] for x in rows]
+        rows[2], rows[6] = rows[2] + rows[1], rows[6] + rows[1]
         found, _ = list_pairs(in_order(rows), t, final)
+        if turn == 1 and len(rows[0]):
+            nodes, count = np.unique(rows[1][rows[5] == 0], return_counts=True)
+            found = [np.concatenate(x) for x in zip(found, (nodes, nodes, count, count * 0, count * 0), strict=True)]
         for columns in (found, unpack(blobs[1], PAIR)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "na", "nb", "shared"])
 
-    # Rows with a = b tell of a node: nb costly tokens in its head, ``shared`` of them in its plain prefix.
-    found = saved(bucketed(heads.mapInArrow(send, BUCKET_SCHEMA), buckets).mapInArrow(lists, "a long, b long, na long, nb long, shared long"), "token-lists")
-    costly = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("nb").alias("costly"), F.sum("shared").alias("costly_plain"))
+    # Rows with a = b tell of a node.
+    found = saved(bucketed(heads.mapInArrow(lean(send), BUCKET_SCHEMA), buckets).mapInArrow(lean(lists), "a long, b long, na long, nb long, shared long"), "token-lists")
+    costly = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("nb").alias("costly"), F.sum("shared").alias("costly_plain"), F.sum("na").alias("common"))
     pairs = found.filter("a != b").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
     for side in "ab":
         pairs = pairs.join(costly.select(F.col("node").alias(side), F.col("costly_plain").alias(f"h{side}")), side, "left")
@@ -225,8 +247,9 @@ def token_round(heads: DataFrame, tokens: int, t: int, final: bool = False) -> t
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, t: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts (node, text). The smaller node's text meets those of all
-    its partners; Spark can split a node with many."""
+    """The pairs (a, b) by their whole texts (node, text): sizes na and nb of the sets and of what they share, and
+    whether they link; saved. The smaller node's text meets those of all its partners; Spark can split a node with
+    many."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -239,24 +262,36 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: int) -> DataFram
                     found += np.split(tokens, ends[:-1])
                 sets.append(found)
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
-            sizes = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64)
-            ok = pa.array((both > 0) & (100 * both >= t * (sizes - both)))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+            na, nb = (np.array([len(x) for x in side], np.int64) for side in sets)
+            linked = (both > 0) & (100 * both >= t * (na + nb - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(na), pa.array(nb), pa.array(both), pa.array(linked)], names=["a", "b", "na", "nb", "both", "linked"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return saved(found.mapInArrow(lean(run), "a long, b long, na long, nb long, both long, linked boolean"), "verified")
+
+
+def pivots(seen: DataFrame) -> DataFrame:
+    """For each node, of those it was compared with and shares half of whose set or more, the one that most nodes
+    were compared with, and how many of that one's tokens it lacks."""
+    both = seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("na").alias("size"), "both").unionByName(seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("nb").alias("size"), "both"))
+    known = both.groupBy("pivot").agg(F.count("*").alias("uses"))
+    best = both.filter("2 * both >= size").join(known, "pivot").groupBy("node").agg(F.max(F.struct("uses", "pivot", F.expr("size - both").alias("lost"))).alias("p"))
+    return best.select("node", F.col("p.pivot").alias("pivot"), F.col("p.lost").alias("lost"))
 
 
 def set_heads(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, component, n, head) with whole sets as heads, for the texts of ``nodes`` (node, component)."""
+    """``nodes`` (node, component and more, all long) with n and head, the whole sets as heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, ends, tokens in shingle_sets(b, words):
                 parts = [x.tobytes() for x in np.split(tokens, ends[:-1])]
                 rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column("node").take(rows), b.column("component").take(rows), pa.array(np.diff(ends, prepend=0)), pa.array(parts, pa.binary())], names=["node", "component", "n", "head"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in others), pa.array(np.diff(ends, prepend=0)), pa.array(parts, pa.binary())], names=[*others, "n", "head"])
 
-    return texts.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n long, head binary")
+    others = nodes.columns
+    kinds = ", ".join(f"{c} long" for c in others)
+    return texts.join(nodes, "node").select(*others, "text").mapInArrow(lean(run), f"{kinds}, n long, head binary")
 
 
 def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,13 +303,14 @@ def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> Data
     links. Rows of one doc_id are one node: what links to one of them links to all. Rows without doc_id take no
     part and have no component; rows that repeat stay."""
     t = percent
+    bounded_batches(df.sparkSession)
     docs = df.select("doc_id", "text")
     sketch = sketches(docs, words, t)
     ceil_t = lambda n: F.ceil(n * t / F.lit(100))
     named = sketch.filter("n > 0 and doc_id is not null")
     heads = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "head")).alias("s"))
     heads = heads.select(F.col("s.doc_id").alias("node"), F.col("s.doc_id").alias("component"), F.col("s.n").alias("n"), F.col("s.head").alias("head"))
-    pairs, costly = token_round(heads, int((named.agg(F.sum(F.length("head"))).first()[0] or 0) // 8), t)
+    pairs, costly = token_round(heads, int((named.agg(F.sum(F.length("head"))).first()[0] or 0) // 8), t, 0)
     pairs = saved(pairs, "pairs")
     # A document is stuck if its head can hold no cheap token more than its smallest partner's head must.
     smallest = ceil_t(F.col("n"))
@@ -283,22 +319,29 @@ def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> Data
     stuck = saved(costly.join(sizes, "node").filter(F.col("costly") > in_head).select("node").distinct(), "stuck")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(stuck).distinct()
     texts = saved(docs.withColumnRenamed("doc_id", "node").join(wanted.hint("shuffle_hash"), "node", "left_semi"), "texts")
-    links = saved(verified(pairs, texts, words, t), "links")
+    seen = verified(pairs, texts, words, t)
+    links = seen.filter("linked").select("a", "b")
     # Rows of one doc_id and several sets: all of these link.
     reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     twice = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).filter("x != y").select("doc_id")
     links = links.unionByName(named.join(twice, "doc_id").join(reps, ["k1", "k2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a != b"))
     components = saved(connected_components(links), "components")
-    for final in (False, True):
+    own = None
+    for turn in (1, 2):
         if stuck.isEmpty():
             break
         known = stuck.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        if turn == 2:
+            known = known.join(own, "node").join(pivots(seen), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "lost": F.coalesce("lost", F.lit(0))})
         tokens = int(stuck.join(sizes, "node").agg(F.sum("n")).first()[0])
-        pairs, costly = token_round(set_heads(texts, known, words), tokens, t, final)
-        links = links.unionByName(saved(verified(saved(pairs, "pairs"), texts, words, t), "links"))
+        pairs, costly = token_round(set_heads(texts, known, words), tokens, t, turn)
+        now = verified(saved(pairs, "pairs"), texts, words, t)
+        seen, links = seen.unionByName(now), links.unionByName(now.filter("linked").select("a", "b"))
         components = saved(connected_components(links), "components")
-        if not final:
-            stuck = saved(costly.join(sizes, "node").filter(F.col("costly") > ceil_t(smallest) - 1).select("node").distinct(), "stuck")
+        if turn == 1:
+            # What no other has is missing from any partner: more of it than a link allows, and there is none.
+            own = saved(costly.join(sizes, "node").filter(F.col("costly") > ceil_t(smallest) - 1).select("node", (F.col("n") - F.col("common")).alias("own"), (F.col("n") - smallest).alias("most")).filter("own <= most").drop("most"), "own")
+            stuck = own.select("node")
     sets = reps.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     rows = sketch.join(sets, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
