@@ -31,7 +31,7 @@ from ledgerloom.llm.shared import bounded_batches, lean, saved
 COST, COST_PER_DOC = 10, 2
 #: Tokens kept beyond the plain prefix: this share of the set, and this many.
 MORE_SHARE, MORE = 0.08, 8
-BUCKET_ROWS = 500_000
+BUCKET_ROWS, LATER_ROWS = 500_000, 100_000
 #: Costly tokens of a document that pair it in the first and in the second round.
 FIRST = (4, 6)
 #: token, node, component - node, size of the set, place (1: in the plain prefix, 3: also among the first), whether
@@ -180,7 +180,8 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
     as heads and counts the tokens that others have too. In the third (turn 2) no token is costly, only plain
     prefixes are dealt, and heads come with pivot, lost and own."""
     final = turn == 2
-    buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_ROWS + 1)
+    # Later rounds hold few documents, and a pair told once for each bucket is told less often in few buckets.
+    buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_ROWS + 1) if turn == 0 else tokens // LATER_ROWS + 1
 
     def prefixes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         nodes, components, sizes = (b.column(c).to_numpy() for c in ("node", "component", "n"))
