@@ -1,8 +1,8 @@
 """Token-ID output as length-delimited binary records, with an offset index beside each file.
 
 A record is: length of the data (u64), masked checksum of those 8 bytes (u32), data, masked checksum of the data
-(u32); all little-endian. Its data is one byte (1 where the document has an id), the id (i64) and the token ids
-(u32 each). Checksums are zlib's CRC-32, rotated right by 15 bits plus a constant, so that a checksum stored in
+(u32); all little-endian. Its data is the bytes of a token id (2 or 4; plus 16 where the document has no id), the
+id (i64) and the token ids. Checksums are zlib's CRC-32, rotated right by 15 bits plus a constant, so that a checksum stored in
 data isn't mistaken for one of its own. The index holds (offset of the record u64, tokens u64) for each record,
 so single records can be read in any order. Files are written under the shared folder by the tasks themselves,
 under a name of the attempt, and renamed when complete: a task that runs again replaces its own file only.
@@ -10,9 +10,12 @@ under a name of the attempt, and renamed when complete: a task that runs again r
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
-import unicodedata
 import zlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,16 +24,20 @@ import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from ledgerloom.llm.shared import scratch
+from ledgerloom.llm.shared import bounded_batches, lean, scratch
 
 MASK = 0xA282EAD8
 HEAD, TAIL, INDEX = "<QI", "<I", "<QQ"
-#: Distinct words whose ids a worker keeps; later ones are encoded each time.
-WORDS_KEPT = 1 << 19
+#: Distinct words whose ids a worker keeps; later ones are encoded each time. Words encoded in one go.
+WORDS_KEPT, WORDS_AT_ONCE = 200_000, 200
+#: The split pattern that word_encoder knows: letters, single digits, other signs, and English endings.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts for which splitting by words ahead of the tokenizer gives the same ids: no character that its
-#: normaliser would compose or whose lower case depends on its neighbours.
-PLAIN = regex.compile(r"[\x00-įı-˿]*")
+#: normaliser would compose or whose lower case depends on its neighbours or is longer.
+PLAIN_END = 0x300
+PLAIN = re.compile(r"[\x00-\u012f\u0131-\u02ff]*")
 
 
 def masked(data: bytes) -> int:
@@ -57,54 +64,81 @@ def read_record(stream, offset: int | None = None) -> bytes | None:
     return data
 
 
-def word_encoder(path: str, end_id: int) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts to token ids (u32 little-endian) by the tokenizers file at ``path``, ``end_id`` after each.
-
-    The file's own split pattern cuts a text into words that are encoded one by one, so each distinct word goes
-    through the tokenizers library once and repeats are looked up. A text for which that might differ goes
-    through the library whole, as do all texts where the file has another pattern or normaliser."""
-    import json
-
-    from tokenizers import Tokenizer
-
-    tok, end = Tokenizer.from_file(path), struct.pack("<I", end_id)
-    spec = json.loads(tok.to_str())
-    split, norm = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}]), [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    by_words = split[0].get("type") == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and len(split) == 2 and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and norm == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
-    words = regex.compile(split[0]["pattern"]["Regex"]) if by_words else None
-    special = regex.compile("|".join(map(regex.escape, (t["content"] for t in spec["added_tokens"]))) or r"(?!)")
-    kept: dict[str, bytes] = {}
-    pack = lambda e: np.asarray(e.ids, "<u4").tobytes()
+def plain_pattern(pattern: str) -> re.Pattern:
+    """The pattern for plain texts: its properties, which stand in brackets, written as characters."""
+    chars = [chr(c) for c in range(PLAIN_END)]
+    for prop in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(prop, re.escape("".join(c for c in chars if regex.match(prop, c))))
+    return re.compile(pattern)
+
+
+#: The words a worker has encoded so far, for each tokenizer file; kept between tasks.
+_kept: dict[tuple[str, str], dict[str, bytes]] = {}
+
+
+def word_encoder(path: str, end_id: int) -> tuple[Callable[[list[str | None]], list[bytes]], int]:
+    """Texts to token ids by the tokenizers file at ``path``, ``end_id`` after each, and the bytes of an id.
+
+    Where the file splits by PATTERN and ends words by a suffix, each distinct word goes through the library's
+    model once and repeats are looked up. A text for which that might differ goes through the library whole, as
+    do all texts where the file splits or normalises in another way."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    tok = Tokenizer.from_file(path)
+    spec, vocab = json.loads(tok.to_str()), tok.get_vocab()
+    width = 2 if max(end_id, *vocab.values()) < 1 << 16 else 4
+    dtype = f"<u{width}"
+    suffix = spec["model"].get("end_of_word_suffix")
+    split, norm = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}]), (spec["normalizer"] or {}).get("normalizers", [])
+    by_words = bool(suffix) and [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+    by_words = by_words and len(split) == 2 and split[0].get("type") == "Split" and split[0]["pattern"] == {"Regex": PATTERN} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    by_words = by_words and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+    words, special = plain_pattern(PATTERN), re.compile("|".join(map(re.escape, (t["content"] for t in spec["added_tokens"]))) or r"(?!)")
+    bare = Tokenizer(tok.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+    kept, end = _kept.setdefault((path, dtype), {}), np.array([end_id], dtype).tobytes()
+
+    def encode_words(new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        parts = [new[i : i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
+        for part, e in zip(parts, bare.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, np.int64)
+            cuts = np.nonzero(ends[ids])[0] + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                data, at = ids.astype(dtype).tobytes(), [0, *(cuts * width).tolist()]
+                out.update((w, data[i:j]) for w, i, j in zip(part, at[:-1], at[1:], strict=True))
+            else:  # a word that has no token with the suffix
+                out.update((w, np.asarray(x.ids, dtype).tobytes()) for w, x in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True))
+        return out
 
     def encode(texts: list[str | None]) -> list[bytes]:
         out: list[bytes | list[str]] = []
         for text in texts:
             text = text or ""
-            if by_words and PLAIN.fullmatch(text) and not special.search(text):
-                out.append(words.findall(text.lower()))
+            plain = by_words and PLAIN.fullmatch(text) and not special.search(text)
+            out.append(words.findall(text.lower()) if plain else np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes())
+        here = kept
+        if new := list({w for ws in out if isinstance(ws, list) for w in ws if w not in kept}):
+            if len(kept) + len(new) <= WORDS_KEPT:
+                kept.update(encode_words(new))
             else:
-                out.append(pack(tok.encode(unicodedata.normalize("NFC", text) if by_words else text, add_special_tokens=False)))
-        new = list({w for ws in out if isinstance(ws, list) for w in ws if w not in kept})
-        here = dict(zip(new, map(pack, tok.encode_batch(new, add_special_tokens=False)), strict=True)) if new else {}
-        if len(kept) + len(here) <= WORDS_KEPT:
-            kept.update(here)
-            here = kept
-        else:
-            here = kept | here
+                here = ChainMap(kept, encode_words(new))
         return [b"".join(map(here.__getitem__, x)) + end if isinstance(x, list) else x + end for x in out]
 
-    return encode
+    return encode, width
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_records(df: DataFrame, encoder: Callable[[], Callable[[list[str | None]], list[bytes]]], files: int, out: str | None = None) -> tuple[str, list]:
+def write_records(df: DataFrame, encoder: Callable[[], tuple[Callable[[list[str | None]], list[bytes]], int]], files: int, out: str | None = None) -> tuple[str, list]:
     """Writes df (doc_id, text) in ascending doc_id order (null first, then by text) as ``files`` record files
     with indexes and returns their folder and a row (file, records, tokens) for each, in order. The driver sees
     one row a file, never one a document. ``out``: a URI that all executors can write to."""
     spark = df.sparkSession
+    bounded_batches(spark)
     out = out or scratch(spark, "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,22 +146,22 @@ def write_records(df: DataFrame, encoder: Callable[[], Callable[[list[str | None
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         name, mine = f"part-{task.partitionId():06d}", f"_{task.partitionId()}-{task.taskAttemptId()}"
-        encode, records, tokens, at = encoder(), 0, 0, 0
+        (encode, width), records, tokens, at = encoder(), 0, 0, 0
         with fs.open_output_stream(f"{folder}/{mine}.rec") as data, fs.open_output_stream(f"{folder}/{mine}.idx") as index:
             for b in batches:
                 for lo in range(0, b.num_rows, 256):
                     part = b.slice(lo, 256)
                     for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                        record = frame(struct.pack("<bq", doc is not None, doc or 0) + ids)
-                        index.write(struct.pack(INDEX, at, len(ids) // 4))
+                        record = frame(struct.pack("<bq", width + 16 * (doc is None), doc or 0) + ids)
+                        index.write(struct.pack(INDEX, at, len(ids) // width))
                         data.write(record)
-                        records, tokens, at = records + 1, tokens + len(ids) // 4, at + len(record)
+                        records, tokens, at = records + 1, tokens + len(ids) // width, at + len(record)
         for end in (".idx", ".rec"):
             fs.move(f"{folder}/{mine}{end}", f"{folder}/{name}{end}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "tokens": [tokens]})
 
     dealt = df.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return out, sorted(dealt.mapInArrow(run, "file string, records long, tokens long").collect(), key=lambda r: r.file)
+    return out, sorted(dealt.mapInArrow(lean(run), "file string, records long, tokens long").collect(), key=lambda r: r.file)
 
 
 def read_documents(spark: SparkSession, folder: str, written: list) -> DataFrame:
@@ -151,19 +185,19 @@ def read_documents(spark: SparkSession, folder: str, written: list) -> DataFrame
                         docs, starts, counts, sums = [], [], [], []
                         for n in entries[lo : lo + 4096, 1].tolist():
                             record = read_record(data)
-                            there, doc = struct.unpack_from("<bq", record)
-                            ids = record[9:]
-                            if len(ids) != 4 * n:
+                            kind, doc = struct.unpack_from("<bq", record)
+                            ids = np.frombuffer(record, f"<u{kind & 15}", offset=9)
+                            if len(ids) != n:
                                 raise ValueError(f"{r['file']}: a record isn't the one of its index entry")
-                            docs.append(doc if there else None)
+                            docs.append(None if kind & 16 else doc)
                             starts.append(start)
                             counts.append(n)
-                            sums.append(zlib.crc32(ids))
+                            sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                             start += n
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spark.createDataFrame(rows, "file string, records long, start long").repartition(max(1, len(rows)))
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_records(df: DataFrame, tokenizer: str, end_id: int, files: int | None = None) -> DataFrame:
