@@ -10,23 +10,28 @@ whether all its chunks agreed, and where one doesn't, sentencepiece's ids are th
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from ledgerloom.llm.shared import bounded_batches, lean
+
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct chunks whose ids a worker keeps; chunks encoded in one go.
 CHUNKS_KEPT, CHUNKS_AT_ONCE = 300_000, 200
+THREADS = 2
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -128,8 +133,6 @@ class Codec:
             self.model = m = PieceModel.parse(f.read())
         self.bare = rebuild(m)
         self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.whole = rebuild(m)
-        self.whole.normalizer, self.whole.decoder = normaliser(m), decoder(m)
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)]
         # Chunks begin at the marker, and stand apart at line ends, if no piece reaches over either.
@@ -142,6 +145,14 @@ class Codec:
         self.line = self.own.encode("\n")
         self.kept: dict[str, bytes] = {"\n": self.pack(self.line[1:])} if self.by_chunks else {}
         self.wrong: set[str] = set()
+        self.lost: set[str] = set()
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """With normaliser and decoder, for texts that aren't cut and for decoding."""
+        t = rebuild(self.model)
+        t.normalizer, t.decoder = normaliser(self.model), decoder(self.model)
+        return t
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
@@ -151,7 +162,7 @@ class Codec:
         out: dict[str, bytes] = {}
         lines = ["\n" + c.replace(MARK, " ") for c in new]
         wants = self.own.encode(lines, num_threads=1)
-        self.wrong.update(c for c, line, back in zip(new, lines, self.own.decode(wants, num_threads=1), strict=True) if back != line)
+        self.lost.update(c for c, line, back in zip(new, lines, self.whole.decode_batch(wants, skip_special_tokens=False), strict=True) if back != line)
         skip, at = len(self.line), 0
         parts = [new[i : i + CHUNKS_AT_ONCE] for i in range(0, len(new), CHUNKS_AT_ONCE)]
         for part, e in zip(parts, self.bare.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
@@ -164,12 +175,12 @@ class Codec:
             out.update((c, flat[i:j]) for c, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of whole texts, and whether both libraries agreed on all of each."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids of whole texts, whether both libraries agreed on all of each, and whether the ids decode to it."""
         if not self.by_chunks:
             got = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
             want = self.own.encode(texts, num_threads=1)
-            return [self.pack(w) for w in want], [g == w for g, w in zip(got, want, strict=True)]
+            return [self.pack(w) for w in want], [g == w for g, w in zip(got, want, strict=True)], [a == b for a, b in zip(self.decode(want), texts, strict=True)]
         cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         here = self.kept
         if new := list({c for cs in cut for c in cs if c not in self.kept}):
@@ -177,7 +188,8 @@ class Codec:
                 self.kept.update(self.encode_chunks(new))
             else:
                 here = ChainMap(self.kept, self.encode_chunks(new))
-        return [b"".join(map(here.__getitem__, cs)) for cs in cut], [not self.wrong or self.wrong.isdisjoint(cs) for cs in cut]
+        ids = [b"".join(map(here.__getitem__, cs)) for cs in cut]
+        return ids, *([not bad or bad.isdisjoint(cs) for cs in cut] for bad in (self.wrong, self.lost))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -187,7 +199,9 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One for each model file in a worker, kept between tasks."""
+    """One for each model file in a worker, kept between tasks. The library's threads are THREADS unless the
+    environment says otherwise: workers share an executor's cores."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -198,6 +212,7 @@ def piece_encode(df: DataFrame, model: str, round_trip: bool = False) -> DataFra
     columns of these names; with ``round_trip`` also whether the ids decode to the text again.
 
     Whole texts; a null or empty one has no ids; no shuffle; rows stay as they are."""
+    bounded_batches(df.sparkSession)
     made = ["ids", "n_tokens", "parity", *["round_trip"] * round_trip]
     others = [c for c in df.columns if c not in made]
 
@@ -207,17 +222,17 @@ def piece_encode(df: DataFrame, model: str, round_trip: bool = False) -> DataFra
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
                 texts = [x or "" for x in b.column("text").to_pylist()]
-                ids, parity = c.encode(texts)
+                ids, parity, same = c.encode(texts)
                 n = np.array([len(x) // c.width for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), c.dtype).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
                 columns = [lists, pa.array(n), pa.array(parity, pa.bool_())]
                 if round_trip:
-                    columns.append(pa.array([x == y for x, y in zip(c.decode(lists.to_pylist()), texts, strict=True)], pa.bool_()))
+                    columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([b.column(x) for x in others] + columns, names=[*others, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
-    return df.select(*others).mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long, parity boolean{', round_trip boolean' * round_trip}")
+    return df.select(*others).mapInArrow(lean(run), f"{kinds}, ids array<int>, n_tokens long, parity boolean{', round_trip boolean' * round_trip}")
 
 
 def piece_decode(df: DataFrame, model: str) -> DataFrame:
@@ -233,4 +248,4 @@ def piece_decode(df: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(x) for x in others] + [pa.array(texts, pa.string())], names=[*others, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
-    return df.select(*others).mapInArrow(run, f"{kinds}, text string")
+    return df.select(*others).mapInArrow(lean(run), f"{kinds}, text string")
