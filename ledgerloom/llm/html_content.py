@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.labelled_pages import PAGES
+from ledgerloom.llm.shared import bounded_batches, lean
 
 #: One comment, raw element, declaration, tag, or run of text.
 PIECE = re.compile(
@@ -68,10 +69,11 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
         yield name, "", not apart
 
 
-def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, float, dict[str, float], float]:
-    """Weights of a word that may be content, of a word in an element left out, of each tag, and of tags never
-    seen: log odds of standing inside the content, smoothed by one; tags at most -0.1, so they score negative."""
-    words, tags = {True: [1, 1], False: [1, 1]}, {}
+def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, dict[str, float], float]:
+    """Weights of a word that may be content, of each tag, and of tags never seen: log odds of standing inside the
+    content, smoothed by one; tags at most -0.1, so they score negative. Words in an element left out score
+    nothing: content goes on after it."""
+    words, tags = [1, 1], {}
     for page in pages:
         text = "".join(x for _, x in page)
         ends, at = [], 0
@@ -85,13 +87,13 @@ def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, float, di
             inside = next(i for end, i in ends if at < end)
             if tag:
                 tags.setdefault(tag.lstrip("/"), [1, 1])[inside] += 1
-            else:
-                words[kept][inside] += len(run.split())
+            elif kept:
+                words[inside] += len(run.split())
     odds = lambda n: log(n[1] / n[0])
-    return odds(words[True]), min(-0.1, odds(words[False])), {t: min(-0.1, odds(n)) for t, n in tags.items()}, -0.5
+    return odds(words), {t: min(-0.1, odds(n)) for t, n in tags.items()}, -0.5
 
 
-WORD, WORD_APART, TAG, TAG_UNSEEN = learn_weights(PAGES)
+WORD, TAG, TAG_UNSEEN = learn_weights(PAGES)
 
 
 def main_text(page: str | None) -> str:
@@ -101,7 +103,7 @@ def main_text(page: str | None) -> str:
     found = list(pieces(page))
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
     for i, (tag, text, kept) in enumerate(found):
-        total += TAG.get(tag.lstrip("/"), TAG_UNSEEN) if tag else (WORD if kept else WORD_APART) * len(text.split())
+        total += TAG.get(tag.lstrip("/"), TAG_UNSEEN) if tag else WORD * kept * len(text.split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -124,6 +126,7 @@ def extract_content(df: DataFrame, html_column: str = "html") -> DataFrame:
     """df with the columns text (empty where a page has none) and n_chars (its code points), in place of its own
     columns of these names and of the html. A null page is an empty one; nothing is dropped or capped; rows that
     repeat are judged alike. No shuffle."""
+    bounded_batches(df.sparkSession)
     others = [c for c in df.columns if c not in (html_column, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +135,4 @@ def extract_content(df: DataFrame, html_column: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in others] + [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*others, "text", "n_chars"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
-    return df.select(*others, html_column).mapInArrow(run, f"{fields}{', ' if fields else ''}text string, n_chars long")
+    return df.select(*others, html_column).mapInArrow(lean(run), f"{fields}{', ' if fields else ''}text string, n_chars long")
