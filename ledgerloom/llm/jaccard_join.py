@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.packed import BUCKET_SCHEMA, bucketed, buffers, deal, held_until_full, mixed, multikey_order, range_hash, unpack
-from ledgerloom.llm.shared import bounded_batches, lean, saved
+from ledgerloom.llm.shared import bounded_batches, lean, only, saved
 
 #: A token is costly if its documents would give more pairs than COST and than COST_PER_DOC for each of them.
 COST, COST_PER_DOC = 10, 2
@@ -295,15 +295,8 @@ def set_heads(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return texts.join(nodes, "node").select(*others, "text").mapInArrow(lean(run), f"{kinds}, n long, head binary")
 
 
-def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of df (doc_id, text): documents link when the Jaccard
-    similarity of their sets of ``words``-word shingles is ``percent`` percent or more.
-
-    Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words is one shingle, one
-    without words (or null) is empty and links with nothing. The component is the smallest doc_id reachable by
-    links. Rows of one doc_id are one node: what links to one of them links to all. Rows without doc_id take no
-    part and have no component; rows that repeat stay."""
-    t = percent
+def _components(df: DataFrame, words: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The saved sketches, each set's smallest doc_id, and the saved components of those."""
     bounded_batches(df.sparkSession)
     docs = df.select("doc_id", "text")
     sketch = sketches(docs, words, t)
@@ -343,6 +336,20 @@ def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> Data
             # What no other has is missing from any partner: more of it than a link allows, and there is none.
             own = saved(costly.join(sizes, "node").filter(F.col("costly") > ceil_t(smallest) - 1).select("node", (F.col("n") - F.col("common")).alias("own"), (F.col("n") - smallest).alias("most")).filter("own <= most").drop("most"), "own")
             stuck = own.select("node")
+    return sketch, reps, components
+
+
+def similar_components(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of df (doc_id, text): documents link when the Jaccard
+    similarity of their sets of ``words``-word shingles is ``percent`` percent or more.
+
+    Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words is one shingle, one
+    without words (or null) is empty and links with nothing. The component is the smallest doc_id reachable by
+    links. Rows of one doc_id are one node: what links to one of them links to all. Rows without doc_id take no
+    part and have no component; rows that repeat stay."""
+    t = percent
+    with only(df.sparkSession, "sketches", "components"):
+        sketch, reps, components = _components(df, words, t)
     sets = reps.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     rows = sketch.join(sets, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))

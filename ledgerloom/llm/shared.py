@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,31 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Lists that take the paths of tables while they are saved.
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def only(spark: SparkSession, *tags: str) -> Iterator[None]:
+    """Deletes the tables saved inside, but for those with one of the tags: what leaves the block must read no
+    others."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield
+    finally:
+        _watching.remove(made)
+        for path in made:
+            if not any(f"/{tag}-" in path for tag in tags):
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """df written as a table of the shared folder and read back: its lineage ends here and a lost executor
     costs no recomputation of what came before."""
     path = scratch(df.sparkSession, tag)
+    for made in _watching:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
