@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows that a task holds before it sends them out; bytes of text hashed at once.
-FLUSH_ROWS, PIECE = 1 << 18, 1 << 18
+FLUSH_ROWS, PIECE = 1 << 20, 1 << 18
 BUCKET_SCHEMA = "bucket int, rows binary"
 
 
