@@ -34,9 +34,9 @@ MORE_SHARE, MORE = 0.08, 8
 BUCKET_ROWS, LATER_ROWS = 500_000, 100_000
 #: Costly tokens of a document that pair it in the first and in the second round.
 FIRST = (4, 6)
-#: token, node, component - node, size of the set, place (1: in the plain prefix, 3: also among the first), whether
-#: the row stands for others that its task has seen to, pivot - node, tokens of the pivot that the set lacks, and
-#: tokens that no other document has.
+#: token, node, component - node, size of the set, place (1: in the plain prefix, 3: also among the first, 4 more: no
+#: token in ``own`` is the pivot's), whether the row stands for others that its task has seen to, pivot - node, tokens
+#: of the pivot that the set lacks, and tokens that no other stuck document has.
 ROW = ["<u8", "<i8", "<i8", "<u4", "<u1", "<u1", "<i8", "<u4", "<u4"]
 PAIR = ["<i8", "<i8", "<i8", "<i8", "<i8"]
 #: A task sees to the list of a costly token itself if it is as long as this, so no bucket gets all of it.
@@ -138,7 +138,9 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
                 i, j = i + at, j + at
                 ok = (i < j) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
-                apart = own[i] + own[j] + np.where(pivot[i] == pivot[j], np.abs(lost[i] - lost[j]), 0)
+                apart, beside = own[i] + own[j], np.where(pivot[i] == pivot[j], np.abs(lost[i] - lost[j]), 0)
+                # A pivot that wasn't stuck can hold tokens counted in own: these are not to count twice.
+                apart = np.where(place[i] & place[j] & 4, apart + beside, np.maximum(apart, beside))
                 ok = apart <= n[i] + n[j] + 2 * (-t * (n[i] + n[j]) // (100 + t))
                 pairs.append(np.stack([i[ok], j[ok]]))
         else:
@@ -178,14 +180,14 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
     """One round over (node, component, n, head), with about ``tokens`` tokens in all heads: candidate pairs
     (a, b) and, per node, how many of the tokens of its head are costly. The second round (turn 1) has whole sets
     as heads and counts the tokens that others have too. In the third (turn 2) no token is costly, only plain
-    prefixes are dealt, and heads come with pivot, lost and own."""
+    prefixes are dealt, and heads come with pivot, lost, own and sure (1: no token in own is the pivot's)."""
     final = turn == 2
     # Later rounds hold few documents, and a pair told once for each bucket is told less often in few buckets.
     buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_ROWS + 1) if turn == 0 else tokens // LATER_ROWS + 1
 
     def prefixes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         nodes, components, sizes = (b.column(c).to_numpy() for c in ("node", "component", "n"))
-        more = [b.column(c).to_numpy() if final else np.zeros(len(nodes), np.int64) for c in ("pivot", "lost", "own")]
+        more = [b.column(c).to_numpy() if final else np.zeros(len(nodes), np.int64) for c in ("pivot", "lost", "own", "sure")]
         heads = b.column("head").to_pylist()
         for lo in range(0, len(heads), 1024):
             parts = [np.frombuffer(h, "<u8") for h in heads[lo : lo + 1024]]
@@ -196,6 +198,7 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
             place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             row = np.repeat(np.arange(lo, lo + len(parts)), m)
             at = (place < np.repeat(plain, m)).astype(np.uint8) * (1 + 2 * (place < FIRST[min(turn, 1)])).astype(np.uint8)
+            at += 4 * more[3][row].astype(np.uint8)
             pivot = more[0][row] if final else nodes[row]
             yield [np.concatenate(parts), nodes[row], components[row], sizes[row].astype(np.uint32), at, np.zeros(len(row), np.uint8), pivot, more[1][row].astype(np.uint32), more[2][row].astype(np.uint32)]
 
@@ -271,13 +274,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: int) -> DataFram
     return saved(found.mapInArrow(lean(run), "a long, b long, na long, nb long, both long, linked boolean"), "verified")
 
 
-def pivots(seen: DataFrame) -> DataFrame:
+def pivots(seen: DataFrame, stuck: DataFrame) -> DataFrame:
     """For each node, of those it was compared with and shares half of whose set or more, the one that most nodes
-    were compared with, and how many of that one's tokens it lacks."""
+    were compared with, how many of that one's tokens it lacks, and (sure) 1 if that one is among ``stuck``, else 0."""
     both = seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("na").alias("size"), "both").unionByName(seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("nb").alias("size"), "both"))
     known = both.groupBy("pivot").agg(F.count("*").alias("uses"))
     best = both.filter("2 * both >= size").join(known, "pivot").groupBy("node").agg(F.max(F.struct("uses", "pivot", F.expr("size - both").alias("lost"))).alias("p"))
-    return best.select("node", F.col("p.pivot").alias("pivot"), F.col("p.lost").alias("lost"))
+    best = best.select("node", F.col("p.pivot").alias("pivot"), F.col("p.lost").alias("lost"))
+    return best.join(stuck.select(F.col("node").alias("pivot"), F.lit(1).cast("long").alias("sure")), "pivot", "left").select("node", "pivot", "lost", F.coalesce("sure", F.lit(0).cast("long")).alias("sure"))
 
 
 def set_heads(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -320,13 +324,13 @@ def _components(df: DataFrame, words: int, t: int) -> tuple[DataFrame, DataFrame
     twice = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).filter("x != y").select("doc_id")
     links = links.unionByName(named.join(twice, "doc_id").join(reps, ["k1", "k2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a != b"))
     components = saved(connected_components(links), "components")
-    own = None
+    own, first = None, stuck
     for turn in (1, 2):
         if stuck.isEmpty():
             break
         known = stuck.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         if turn == 2:
-            known = known.join(own, "node").join(pivots(seen), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "lost": F.coalesce("lost", F.lit(0))})
+            known = known.join(own, "node").join(pivots(seen, first), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "lost": F.coalesce("lost", F.lit(0)), "sure": F.coalesce("sure", F.lit(0))})
         tokens = int(stuck.join(sizes, "node").agg(F.sum("n")).first()[0])
         pairs, costly = token_round(set_heads(texts, known, words), tokens, t, turn)
         now = verified(saved(pairs, "pairs"), texts, words, t)

@@ -70,6 +70,18 @@ def test_jaccard_against_brute_force(spark, edits):
     assert {i: r.component_id for i, r in got.items()} == brute_components(sets, 85)
 
 
+def test_jaccard_pivot_that_holds_own_tokens(spark):
+    # 92 of 100 shared, a link at 85 percent; the 8 that i has alone are also the pivot's.
+    rows = [np.array(x, kind) for x, kind in zip(([7, 7], [1, 2], [1, 2], [100, 100], [1, 1], [0, 0], [0, 0], [4, 12], [8, 8]), J8.ROW, strict=True)]
+    found, _ = J8.list_pairs(rows, 85, True)
+    assert [int(x[0]) for x in found[:2]] == [1, 2]
+    rows[4] |= 4
+    assert not len(J8.list_pairs(rows, 85, True)[0][0])  # the pivot holds no own token: 24 apart, and 16 allowed
+    seen = spark.createDataFrame([(0, 1, 108, 100, 96, False), (0, 2, 108, 100, 88, False), (3, 4, 50, 50, 40, False)], "a long, b long, na long, nb long, both long, linked boolean")
+    got = {r.node: (r.pivot, r.lost, r.sure) for r in J8.pivots(seen, spark.createDataFrame([(1,), (2,), (3,)], "node long")).collect()}
+    assert got[1] == (0, 12, 0) and got[2] == (0, 20, 0) and got[4] == (3, 10, 1) and got[3] == (4, 10, 0)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B C D E"), (2, "q r s t u v")]
     got = J8.similar_components(frame(spark, rows)).collect()
