@@ -4,8 +4,9 @@ The model file, a protobuf, is parsed here; from it the normaliser, the metaspac
 scores (unigram) or merges (BPE, in the order of the scores) and the byte fallback are rebuilt as a tokenizer.
 Texts are encoded in batches, in several threads where the machine gives the process more than one. Between
 pieces that can't be joined a text is cut into chunks; repeated chunks are looked up. Each chunk that a worker
-sees for the first time is also encoded by the sentencepiece library itself, and decoded again: a document tells
-whether all its chunks agreed, and where one doesn't, sentencepiece's ids are the ones that count.
+sees for the first time is also encoded by the sentencepiece library itself: a document tells whether all its
+chunks agreed, and where one doesn't, sentencepiece's ids are the ones that count. Decoding takes a document's own
+ids; whether these give its text again is told by comparison with the text as it came.
 """
 
 from __future__ import annotations
@@ -145,7 +146,6 @@ class Codec:
         self.line = self.own.encode("\n")
         self.kept: dict[str, bytes] = {"\n": self.pack(self.line[1:])} if self.by_chunks else {}
         self.wrong: set[str] = set()
-        self.lost: set[str] = set()
 
     @cached_property
     def whole(self) -> Tokenizer:
@@ -158,11 +158,9 @@ class Codec:
         return np.asarray(ids, self.dtype).tobytes()
 
     def encode_chunks(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, held against sentencepiece's and decoded again."""
+        """Ids of chunks, held against sentencepiece's."""
         out: dict[str, bytes] = {}
-        lines = ["\n" + c.replace(MARK, " ") for c in new]
-        wants = self.own.encode(lines, num_threads=1)
-        self.lost.update(c for c, line, back in zip(new, lines, self.whole.decode_batch(wants, skip_special_tokens=False), strict=True) if back != line)
+        wants = self.own.encode(["\n" + c.replace(MARK, " ") for c in new], num_threads=1)
         skip, at = len(self.line), 0
         parts = [new[i : i + CHUNKS_AT_ONCE] for i in range(0, len(new), CHUNKS_AT_ONCE)]
         for part, e in zip(parts, self.bare.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
@@ -175,12 +173,12 @@ class Codec:
             out.update((c, flat[i:j]) for c, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
-        """Ids of whole texts, whether both libraries agreed on all of each, and whether the ids decode to it."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of whole texts, and whether both libraries agreed on all of each."""
         if not self.by_chunks:
             got = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
             want = self.own.encode(texts, num_threads=1)
-            return [self.pack(w) for w in want], [g == w for g, w in zip(got, want, strict=True)], [a == b for a, b in zip(self.decode(want), texts, strict=True)]
+            return [self.pack(w) for w in want], [g == w for g, w in zip(got, want, strict=True)]
         cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         here = self.kept
         if new := list({c for cs in cut for c in cs if c not in self.kept}):
@@ -188,8 +186,7 @@ class Codec:
                 self.kept.update(self.encode_chunks(new))
             else:
                 here = ChainMap(self.kept, self.encode_chunks(new))
-        ids = [b"".join(map(here.__getitem__, cs)) for cs in cut]
-        return ids, *([not bad or bad.isdisjoint(cs) for cs in cut] for bad in (self.wrong, self.lost))
+        return [b"".join(map(here.__getitem__, cs)) for cs in cut], [not self.wrong or self.wrong.isdisjoint(cs) for cs in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -222,13 +219,14 @@ def piece_encode(df: DataFrame, model: str, round_trip: bool = False) -> DataFra
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
                 texts = [x or "" for x in b.column("text").to_pylist()]
-                ids, parity, same = c.encode(texts)
+                ids, parity = c.encode(texts)
                 n = np.array([len(x) // c.width for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), c.dtype).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
                 columns = [lists, pa.array(n), pa.array(parity, pa.bool_())]
                 if round_trip:
-                    columns.append(pa.array(same, pa.bool_()))
+                    back = c.decode([np.frombuffer(x, c.dtype).tolist() for x in ids])
+                    columns.append(pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([b.column(x) for x in others] + columns, names=[*others, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)

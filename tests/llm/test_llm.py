@@ -303,6 +303,18 @@ def test_sentencepiece_parity_and_decoding(spark):
     assert S5.piece_encode(frame(spark, []), path).collect() == []
 
 
+def test_sentencepiece_round_trip_of_the_marker(spark):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    texts = ["a plain text", "a▁b", "▁", "x\n▁▁y z"]
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r for r in S5.piece_encode(frame(spark, list(enumerate(texts))), path, round_trip=True).collect()}
+    back = {r.doc_id: r.text for r in S5.piece_decode(S5.piece_encode(frame(spark, list(enumerate(texts))), path), path).collect()}
+    assert [got[i].ids for i in range(4)] == [own.encode(t) for t in texts]
+    assert [got[i].round_trip for i in range(4)] == [back[i] == t for i, t in enumerate(texts)] == [True, False, False, False]
+
+
 def test_unigram_rebuild_without_chunks():
     m = S5.PieceModel([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁", -2.0, 1), ("a", -2.5, 1), ("▁ab", -1.2, 1)], kind=S5.UNIGRAM, trim=True)
     t = S5.rebuild(m)
