@@ -2,13 +2,15 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights learned from
 labelled pages; one linear scan finds the contiguous region with the largest sum, which holds the main text.
-What lies inside the region but in a menu, form, notice and the like is left out, the rest becomes lines.
+What lies inside the region but in a menu, form, notice and the like is left out, the rest becomes lines. A form
+or an element marked by its name that holds most of the page's words is layout, and its words are scored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log
 
@@ -25,7 +27,7 @@ PIECE = re.compile(
     re.I | re.S,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Elements whose text is never content.
+#: Elements whose text is never content; of these a form may be the layout of the page.
 APART = {"nav", "header", "footer", "aside", "form", "head", "title", "select", "button", "dialog", "menu", "object", "label"}
 #: Names in class, id or role that mark such an element.
 MARKED = re.compile(
@@ -33,40 +35,96 @@ MARKED = re.compile(
     r"|footer|header|masthead|comments?|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|tags)(?=$|[\s_-])",
     re.I,
 )
+#: Names of remarks and offers beside the content, which are not layout while the page has words elsewhere.
+BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|comments?|replies|disqus|related|recommend\w*|newsletter|subscribe)(?=$|[\s_-])", re.I)
+SIDEBAR = re.compile(r"(?:^|[\s_-])(?:sidebars?|widget)(?=$|[\s_-])", re.I)
+#: Names that tell what an element has, or of its subject, not what it is.
+HAS = re.compile(r"(?<!\S)(?:has|with|no|without|category|tag)[_-]\S*", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags inside a line of text; all others begin a new block.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: The article itself: whatever was left open before it ends here.
+#: The article itself: whatever was left open before it ends here, but for closed elements beside the content.
 BODY = {"article", "main"}
 
 
+def kind_of(name: str, attributes: str) -> str:
+    """Why an element is left out: ``apart``, ``beside``, ``sidebar`` or ``marked``; '' if it isn't."""
+    if name in APART and name != "form":
+        return "apart"
+    if name in ("html", "body"):
+        return ""
+    names = [HAS.sub(" ", x.strip("\"'")) for x in NAMES.findall(attributes)] if attributes else []
+    for kind, marks in (("beside", BESIDE), ("sidebar", SIDEBAR), ("marked", MARKED)):
+        if any(marks.search(x) for x in names):
+            return kind
+    return "marked" if name == "form" else ""
+
+
+def left_out(found: list[tuple[str, str, str | None]]) -> list[bool]:
+    """Whether each piece (tag or '', text, kind) lies in an element that is never content."""
+    n, opened, ends, bodies = len(found), {}, {}, []
+    for i, (tag, _, kind) in enumerate(found):
+        if tag in BODY:
+            bodies.append(i)
+        if kind is None:
+            continue
+        if tag[:1] == "/":
+            if opened.get(tag[1:]):
+                ends[opened[tag[1:]].pop()] = i
+        elif tag:
+            opened.setdefault(tag, []).append(i)
+
+    def end(i: int) -> int:
+        """Where the element that begins at i ends: at an article in it, unless it is closed and beside the content."""
+        tag, _, kind = found[i]
+        last = ends.get(i, n)
+        if i in ends and (kind in ("beside", "sidebar") or tag in ("aside", "nav", "footer", "menu", "dialog")):
+            return last
+        k = bisect_right(bodies, i)
+        return min(last, bodies[k]) if k < len(bodies) else last
+
+    def outside(kinds: tuple[str, ...]) -> list[int]:
+        """Running number of words in no element of these kinds, by piece."""
+        total, until, out = 0, 0, [0]
+        for i, (tag, text, kind) in enumerate(found):
+            if not tag and i >= until:
+                total += len(text.split())
+            elif kind in kinds and i >= until:
+                until = end(i)
+            out.append(total)
+        return out
+
+    words = outside(("apart", "beside"))
+    others = words[-1] > 0
+    if not others:
+        words = outside(("apart",))
+    out, until = [], 0
+    for i, (_, _, kind) in enumerate(found):
+        if kind and i >= until:
+            last = end(i)
+            inside = words[ends.get(i, n)] - words[i]
+            if kind == "apart" or kind == "beside" and others or 2 * inside <= words[-1]:
+                until = last
+        out.append(i < until)
+    return out
+
+
 def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
     """(tag or '', text, kept) in page order: closing tags begin with ``/``; ``kept`` is False for what is in
     an element that is never content. Comments, scripts and styles are dropped."""
-    apart: list[tuple[str, int]] = []  # the element left out, and how many of its name are open inside
+    found: list[tuple[str, str, str | None]] = []  # kind None: a tag that opens nothing
     for m in PIECE.finditer(page):
-        name = m[3]
-        if name is None:
+        if m[3] is None:
             if m[1] is None and not m[0].startswith(("<!", "<?")):
-                yield "", m[0], not apart
+                found.append(("", m[0], ""))
             continue
-        name = name.lower()
+        name = m[3].lower()
         if m[2]:
-            if apart and apart[-1][0] == name:
-                apart[-1] = (name, apart[-1][1] - 1)
-                if not apart[-1][1]:
-                    apart.pop()
-            yield "/" + name, "", not apart
-            continue
-        if name in BODY:
-            apart.clear()
-        if name not in VOID and not m[4].endswith("/"):
-            if apart:
-                if apart[-1][0] == name:
-                    apart[-1] = (name, apart[-1][1] + 1)
-            elif name in APART or (name not in BODY and name not in ("html", "body") and m[4] and any(MARKED.search(x.strip("\"'")) for x in NAMES.findall(m[4]))):
-                apart.append((name, 1))
-        yield name, "", not apart
+            found.append(("/" + name, "", ""))
+        else:
+            found.append((name, "", None if name in VOID or m[4].endswith("/") else kind_of(name, m[4])))
+    for (tag, text, _), out in zip(found, left_out(found), strict=True):
+        yield tag, text, not out
 
 
 def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, dict[str, float], float]:

@@ -26,4 +26,14 @@ PAGES: list[list[tuple[bool, str]]] = [
         (True, "<div><p>The library keeps some four thousand maps, the oldest of them drawn by hand.</p><p>Readers may see them on Mondays. <em>Please write</em> a week before you come.</p><pre>Room 4, second floor</pre></div>"),
         (False, '<ol><li><a href="/r1">Related one</a></li><li><a href="/r2">Related two</a></li></ol><div><a href="/up">Top</a></div></body>'),
     ],
+    [
+        (False, '<body><form id="aspnetForm"><div class="layout has-sidebar"><div class="sidebar-left"><a href="/1">Forecast</a><a href="/2">Archive</a></div>'),
+        (True, '<div class="story"><h2>Snow in the hills</h2><p>Snow fell above six hundred metres during the night, and two passes stay closed until Friday.</p><p>Ploughs were sent out <b>before dawn</b>, but the wind soon filled the roads again.</p></div>'),
+        (False, '<div id="comments"><article class="comment-body"><p>Still snowing here.</p></article></div></div><input type="hidden"></form><div class="footer"><a href="/p">Privacy</a></div></body>'),
+    ],
+    [
+        (False, '<body><nav><a href="/">Start</a></nav>'),
+        (True, "<article><h1>The old mill</h1><p>The mill stood empty for thirty years until a baker from the next village bought it.</p><p>Its wheel turns again, and on Sundays it may be seen at work.</p></article>"),
+        (False, '<aside><article><h3><a href="/t1">A teaser</a></h3><p>Read on.</p></article><article><h3><a href="/t2">Another teaser</a></h3></article></aside></body>'),
+    ],
 ]

@@ -218,6 +218,25 @@ def test_html_content(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(by[6]) == 499999
 
 
+def test_html_layout_and_articles_beside():
+    story = "<h1>A long story</h1><p>It has words enough to be the text of this page, and then some more.</p>"
+    want = "A long story\nIt has words enough to be the text of this page, and then some more."
+    remarks = '<div id="comments"><article class="comment-body"><p>anna: great, and a good many words more than one would have thought, said at length in every way</p></article></div>'
+    teasers = "<aside><article><h3>Teaser</h3><p>Other things that one may want to read as well, all told.</p></article></aside>"
+    for page in (
+        f'<body><div class="layout has-sidebar"><div class="story">{story}</div></div></body>',
+        f'<body><div class="sidebar-right-layout header-fixed sidebar"><div>{story}</div></div><div>Copyright</div></body>',
+        f'<body><form id="aspnetForm"><div>{story}</div></form></body>',
+        f"<body><article>{story}</article>{remarks}{teasers}</body>",
+        f"<body>{teasers}<div>{story}</div>{remarks}</body>",
+        f'<body><div class="with-comments"><div>{story}</div>{remarks}</div></body>',
+        f'<body><div class="article-with-tags">{story}</div></body>',
+        f'<body><article class="post category-social">{story}</article><article class="related"><p>Also of note</p></article></body>',
+        f"<body><nav><ul><li>Never closed<article>{story}</article></body>",
+    ):
+        assert H4.main_text(page) == want, page
+
+
 def test_url_filter(spark):
     urls = {
         1: "https://Example.ORG/es/a?x", 2: "http://m.example.org/en/123#t", 3: "http://example.org/fr/", 4: "http://a.b.com/de/1", 5: "http://x.com/fr/", 6: "http://x.net/fr/", 7: None, 8: "no scheme", 9: "http://org",
