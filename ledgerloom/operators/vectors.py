@@ -22,24 +22,27 @@ def all_finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def packed(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Blocks of that many vectors of length 1: their ids and components as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), rows):
+                p = pdf.iloc[at : at + rows]
+                m = np.stack(p["v"].to_numpy()).astype(np.float64)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({f"{name}_ids": [p["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
+
+    return df.select("vec_id", "v").mapInPandas(run, f"{name}_ids binary, {name}_m binary")
+
+
 def cosine_neighbours(docs: DataFrame, queries: DataFrame, k: int, rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, cosine, label of the k nearest of each query among docs (vec_id, v, label), itself
     left out. Queries go in blocks past blocks of docs; each block keeps its k best before the shuffle."""
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for at in range(0, len(pdf), rows):
-                    p = pdf.iloc[at : at + rows]
-                    m = np.stack(p["v"].to_numpy()).astype(np.float64)
-                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                    yield pd.DataFrame({f"{name}_ids": [p["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
-
-        return df.select("vec_id", "v").mapInPandas(run, f"{name}_ids binary, {name}_m binary")
-
     slots = 8
-    d = packed(docs, "d").withColumn("slot", F.pmod(F.xxhash64("d_ids"), F.lit(slots)))
-    q = packed(queries, "q").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    d = packed(docs, "d", rows).withColumn("slot", F.pmod(F.xxhash64("d_ids"), F.lit(slots)))
+    q = packed(queries, "q", rows).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -57,6 +60,36 @@ def cosine_neighbours(docs: DataFrame, queries: DataFrame, k: int, rows: int = 4
     return best.join(docs.select("vec_id", "label"), "vec_id").select("query_id", "rank", "vec_id", "cosine", "label")
 
 
+def near_links(docs: DataFrame, least: float, rows: int = 2048) -> DataFrame:
+    """vec_id and links of each of docs (vec_id, v): how many others have a cosine of ``least`` (above 0) or more
+    with it, all of them counted. Vectors that are null, not finite or zero link with nothing; vec_id is a key.
+
+    Every block meets every block, in a grid of tasks; a task tells one number for each vector of a block."""
+    groups = 8
+    some = F.coalesce(all_finite(F.col("v")) & (norm(F.col("v")) > 0), F.lit(False))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    sides = [packed(docs.filter(some), x, rows).withColumns({own: F.pmod(F.xxhash64(f"{x}_ids"), F.lit(groups)), other: every}) for x, own, other in (("q", "i", "j"), ("d", "j", "i"))]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, links = b"", np.zeros(0, np.int64)
+        told = lambda: pd.DataFrame({"vec_id": np.frombuffer(ids, np.int64), "links": links})
+        for pdf in frames:
+            for r in pdf.itertuples():
+                qi, di = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.d_ids, np.int64)
+                if r.q_ids != ids:
+                    yield told()
+                    ids, links = r.q_ids, np.zeros(len(qi), np.int64)
+                near = np.frombuffer(r.q_m).reshape(len(qi), -1) @ np.frombuffer(r.d_m).reshape(len(di), -1).T >= least
+                _, same, there = np.intersect1d(qi, di, return_indices=True)
+                near[same, there] = False
+                links += np.count_nonzero(near, axis=1)
+        yield told()
+
+    found = sides[0].join(sides[1], ["i", "j"]).select("q_ids", "q_m", "d_ids", "d_m").mapInPandas(count, "vec_id long, links long")
+    none = docs.filter(~some).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("links"))
+    return found.unionByName(none).groupBy("vec_id").agg(F.sum("links").alias("links"))
+
+
 def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of neighbours with the query's label, beside the sum of squared label shares (what chance gives)."""
     own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))

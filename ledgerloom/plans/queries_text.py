@@ -165,6 +165,12 @@ def v6(spark, d):
     return neighbours(spark, d, 50).filter("cosine >= 0.45").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query("v6_near_duplicate_links", "SELECT q.vec_id, sum((q.vec_id <> d.vec_id AND list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) >= 0.45)::INT)::BIGINT AS links FROM embeddings q CROSS JOIN embeddings d GROUP BY 1")
+def v6_links(spark, d):
+    """Of every vector, without a rank that cuts: v6_near_duplicates tells of the 50 nearest of some, as its SQL does."""
+    return V.near_links(vectors(spark, d), 0.45)
+
+
 @query("v2_linear_layout")
 def v2(spark, d):
     """Two leading axes: a linear layout in place of a nonlinear one."""

@@ -221,3 +221,15 @@ def test_event_windows_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.total) for r in spark.sql("select * from w").collect()) == [(1, 1.0), (1, 2.0)]
+
+
+def test_near_links_has_no_rank_limit(spark):
+    from ledgerloom.operators import vectors as V
+
+    rng = np.random.default_rng(7)
+    m = np.concatenate([np.tile(rng.standard_normal(8), (120, 1)) + 1e-3 * rng.standard_normal((120, 8)), np.tile([[0.0] * 7 + [1.0]], (3, 1)), rng.standard_normal((40, 8))])
+    rows = [(i + 1, x.tolist()) for i, x in enumerate(m)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [0.0] * 8)]
+    got = {r.vec_id: r.links for r in V.near_links(spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3), 0.995, rows=32).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {i + 1: int(n) - 1 for i, n in enumerate((u @ u.T >= 0.995).sum(axis=1))} | {900: 0, 901: 0, 902: 0, 903: 0}
+    assert got == want and got[1] >= 119 and got[121] >= 2
