@@ -31,13 +31,14 @@ from ledgerloom.llm.shared import bounded_batches, lean, only, saved
 COST, COST_PER_DOC = 10, 2
 #: Tokens kept beyond the plain prefix: this share of the set, and this many.
 MORE_SHARE, MORE = 0.08, 8
-BUCKET_ROWS, LATER_ROWS = 500_000, 100_000
+BUCKET_ROWS, LATER_ROWS = 1_000_000, 100_000
 #: Costly tokens of a document that pair it in the first and in the second round.
 FIRST = (4, 6)
-#: token, node, component - node, size of the set, place (1: in the plain prefix, 3: also among the first, 4 more: no
-#: token in ``own`` is the pivot's), whether the row stands for others that its task has seen to, pivot - node, tokens
-#: of the pivot that the set lacks, and tokens that no other stuck document has.
-ROW = ["<u8", "<i8", "<i8", "<u4", "<u1", "<u1", "<i8", "<u4", "<u4"]
+#: token, node, size of the set, place (1: in the plain prefix, 3: also among the first) and whether the row stands
+#: for others that its task has seen to; later rounds add component - node, the last one also pivot - node, tokens in
+#: common with the pivot, tokens that others may have but the pivot hasn't, and tokens that no other stuck document has.
+ROW = ["<u8", "<i8", "<u4", "<u1", "<u1", "<i8", "<i8", "<u4", "<u4", "<u4"]
+COLUMNS = (5, 6, 10)
 PAIR = ["<i8", "<i8", "<i8", "<i8", "<i8"]
 #: A task sees to the list of a costly token itself if it is as long as this, so no bucket gets all of it.
 LONG = 256
@@ -116,9 +117,10 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
     """Pairs of rows sorted by token and size that tokens give, as columns a, b, na, nb, shared; a = b tells of a
     node: na tokens that others have too, nb costly ones, ``shared`` of these in its plain prefix. With ``long``:
     only for costly lists of that many rows, and which rows needn't be dealt any more."""
-    token, node, component, n, place, seen, pivot, lost, own = rows
+    token, node, n, place, seen = rows[:5]
+    component = rows[5] if len(rows) > 5 else node
     n, klass, plain = n.astype(np.int64), size_class(n, t), place & 1
-    lost, own = lost.astype(np.int64), own.astype(np.int64)
+    pivot, both, beside, own = (x.astype(np.int64) for x in (rows[6:] if final else [node, n, n, 0 * n]))
     starts = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0] if len(token) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(token))
     some = np.nonzero(ends - starts > max(1, long - 1))[0]
@@ -138,10 +140,12 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
                 i, j = i + at, j + at
                 ok = (i < j) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
-                apart, beside = own[i] + own[j], np.where(pivot[i] == pivot[j], np.abs(lost[i] - lost[j]), 0)
-                # A pivot that wasn't stuck can hold tokens counted in own: these are not to count twice.
-                apart = np.where(place[i] & place[j] & 4, apart + beside, np.maximum(apart, beside))
-                ok = apart <= n[i] + n[j] + 2 * (-t * (n[i] + n[j]) // (100 + t))
+                # What two sets can have in common: no token of their own, and by way of a pivot of both what either
+                # has in common with it, and of the rest what the pivot hasn't.
+                most = np.minimum(n[i] - own[i], n[j] - own[j])
+                by_pivot = np.minimum(both[i], both[j]) + np.minimum(beside[i], beside[j])
+                most = np.where(pivot[i] == pivot[j], np.minimum(most, by_pivot), most)
+                ok = most >= -(-t * (n[i] + n[j]) // (100 + t))
                 pairs.append(np.stack([i[ok], j[ok]]))
         else:
             mine = np.arange(lo, hi)
@@ -180,14 +184,16 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
     """One round over (node, component, n, head), with about ``tokens`` tokens in all heads: candidate pairs
     (a, b) and, per node, how many of the tokens of its head are costly. The second round (turn 1) has whole sets
     as heads and counts the tokens that others have too. In the third (turn 2) no token is costly, only plain
-    prefixes are dealt, and heads come with pivot, lost, own and sure (1: no token in own is the pivot's)."""
+    prefixes are dealt, and heads come with pivot, both, beside and own."""
     final = turn == 2
-    # Later rounds hold few documents, and a pair told once for each bucket is told less often in few buckets.
-    buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_ROWS + 1) if turn == 0 else tokens // LATER_ROWS + 1
+    # Buckets are sized by rows alone: a pair is told once for each bucket, less often in few of them.
+    buckets = tokens // (LATER_ROWS if turn else BUCKET_ROWS) + 1
+
+    kinds = ROW[: COLUMNS[turn]]
 
     def prefixes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        nodes, components, sizes = (b.column(c).to_numpy() for c in ("node", "component", "n"))
-        more = [b.column(c).to_numpy() if final else np.zeros(len(nodes), np.int64) for c in ("pivot", "lost", "own", "sure")]
+        nodes, sizes = (b.column(c).to_numpy() for c in ("node", "n"))
+        more = [b.column(c).to_numpy() for c in ("component", "pivot", "both", "beside", "own")[: len(kinds) - 5]]
         heads = b.column("head").to_pylist()
         for lo in range(0, len(heads), 1024):
             parts = [np.frombuffer(h, "<u8") for h in heads[lo : lo + 1024]]
@@ -198,12 +204,11 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
             place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             row = np.repeat(np.arange(lo, lo + len(parts)), m)
             at = (place < np.repeat(plain, m)).astype(np.uint8) * (1 + 2 * (place < FIRST[min(turn, 1)])).astype(np.uint8)
-            at += 4 * more[3][row].astype(np.uint8)
-            pivot = more[0][row] if final else nodes[row]
-            yield [np.concatenate(parts), nodes[row], components[row], sizes[row].astype(np.uint32), at, np.zeros(len(row), np.uint8), pivot, more[1][row].astype(np.uint32), more[2][row].astype(np.uint32)]
+            rest = [x[row].astype(kind) for x, kind in zip(more, kinds[5:], strict=True)]
+            yield [np.concatenate(parts), nodes[row], sizes[row].astype(np.uint32), at, np.zeros(len(row), np.uint8), *rest]
 
     def in_order(rows: list[np.ndarray]) -> list[np.ndarray]:
-        order = multikey_order([rows[0], size_class(rows[3], t), rows[1]])
+        order = multikey_order([rows[0], size_class(rows[2], t), rows[1]])
         return [x[order] for x in rows]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +219,9 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
                 yield from deal((mixed(done[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), done, buckets, kind=1)
                 # What is left of a long list stands for it.
                 cut = np.unique(rows[0][gone])
-                rows[5][np.isin(rows[0], cut)] = 1
+                rows[4][np.isin(rows[0], cut)] = 1
                 rows = [x[~gone] for x in rows]
-            rows[2], rows[6] = rows[2] - rows[1], rows[6] - rows[1]
+            rows[5:7] = [x - rows[1] for x in rows[5:7]]
             where = (mixed(rows[0]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             yield from deal(where.astype(np.int64), rows, buckets)
 
@@ -225,21 +230,34 @@ def token_round(heads: DataFrame, tokens: int, t: int, turn: int) -> tuple[DataF
         for b in batches:
             for x in b.column("rows").to_pylist():
                 blobs[x[0]].append(x)
-        rows = unpack(blobs[0], ROW)
+        rows = unpack(blobs[0], kinds)
         _, inverse, count = np.unique(rows[0], return_inverse=True, return_counts=True)
         rows = [x[count[inverse] > 1] for x in rows]
-        rows[2], rows[6] = rows[2] + rows[1], rows[6] + rows[1]
+        rows[5:7] = [x + rows[1] for x in rows[5:7]]
         found, _ = list_pairs(in_order(rows), t, final)
         if turn == 1 and len(rows[0]):
-            nodes, count = np.unique(rows[1][rows[5] == 0], return_counts=True)
+            nodes, count = np.unique(rows[1][rows[4] == 0], return_counts=True)
             found = [np.concatenate(x) for x in zip(found, (nodes, nodes, count, count * 0, count * 0), strict=True)]
         for columns in (found, unpack(blobs[1], PAIR)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "na", "nb", "shared"])
+            where = mixed(columns[0].view(np.uint64) ^ mixed(columns[1].view(np.uint64))) % np.uint64(buckets)
+            yield from deal(where.astype(np.int64), columns, buckets)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each pair and node, of all that buckets tell of it."""
+        c = unpack([x for b in batches for x in b.column("rows").to_pylist()], PAIR)
+        if len(c[0]):
+            order = np.lexsort((c[1], c[0]))
+            a, b, na, nb, shared = (x[order] for x in c)
+            at = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0]
+            na, nb = (np.where(a[at] == b[at], np.add.reduceat(x, at), x[at]) for x in (na, nb))
+            c = [a[at], b[at], na, nb, np.add.reduceat(shared, at)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["a", "b", "na", "nb", "shared"])
 
     # Rows with a = b tell of a node.
-    found = saved(bucketed(heads.mapInArrow(lean(send), BUCKET_SCHEMA), buckets).mapInArrow(lean(lists), "a long, b long, na long, nb long, shared long"), "token-lists")
-    costly = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("nb").alias("costly"), F.sum("shared").alias("costly_plain"), F.sum("na").alias("common"))
-    pairs = found.filter("a != b").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    told = bucketed(bucketed(heads.mapInArrow(lean(send), BUCKET_SCHEMA), buckets).mapInArrow(lean(lists), BUCKET_SCHEMA), buckets)
+    found = saved(told.mapInArrow(lean(combine), "a long, b long, na long, nb long, shared long"), "token-lists")
+    costly = found.filter("a = b").select(F.col("a").alias("node"), F.col("nb").alias("costly"), F.col("shared").alias("costly_plain"), F.col("na").alias("common"))
+    pairs = found.filter("a != b")
     for side in "ab":
         pairs = pairs.join(costly.select(F.col("node").alias(side), F.col("costly_plain").alias(f"h{side}")), side, "left")
     # Of the plain prefix that ends first, all tokens not in common are missing from the other set.
@@ -275,13 +293,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: int) -> DataFram
 
 
 def pivots(seen: DataFrame, stuck: DataFrame) -> DataFrame:
-    """For each node, of those it was compared with and shares half of whose set or more, the one that most nodes
-    were compared with, how many of that one's tokens it lacks, and (sure) 1 if that one is among ``stuck``, else 0."""
+    """For each node, of the ``stuck`` nodes that it was compared with and shares half of whose set or more, the one
+    that most nodes were compared with, and how many tokens both have."""
     both = seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("na").alias("size"), "both").unionByName(seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("nb").alias("size"), "both"))
-    known = both.groupBy("pivot").agg(F.count("*").alias("uses"))
-    best = both.filter("2 * both >= size").join(known, "pivot").groupBy("node").agg(F.max(F.struct("uses", "pivot", F.expr("size - both").alias("lost"))).alias("p"))
-    best = best.select("node", F.col("p.pivot").alias("pivot"), F.col("p.lost").alias("lost"))
-    return best.join(stuck.select(F.col("node").alias("pivot"), F.lit(1).cast("long").alias("sure")), "pivot", "left").select("node", "pivot", "lost", F.coalesce("sure", F.lit(0).cast("long")).alias("sure"))
+    known = both.join(stuck.select(F.col("node").alias("pivot")), "pivot", "left_semi").groupBy("pivot").agg(F.count("*").alias("uses"))
+    best = both.filter("2 * both >= size").join(known, "pivot").groupBy("node").agg(F.max(F.struct("uses", "pivot", "both")).alias("p"))
+    return best.select("node", F.col("p.pivot").alias("pivot"), F.col("p.both").alias("both"))
 
 
 def set_heads(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -330,7 +347,9 @@ def _components(df: DataFrame, words: int, t: int) -> tuple[DataFrame, DataFrame
             break
         known = stuck.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         if turn == 2:
-            known = known.join(own, "node").join(pivots(seen, first), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "lost": F.coalesce("lost", F.lit(0)), "sure": F.coalesce("sure", F.lit(0))})
+            # A pivot is stuck itself, so no token that is a node's own is its pivot's.
+            known = known.join(own, "node").join(pivots(seen, first), "node", "left")
+            known = known.select("node", "component", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("both", "size").alias("both"), F.when(F.col("pivot").isNull(), 0).otherwise(F.col("size") - F.col("both") - F.col("own")).cast("long").alias("beside"), "own")
         tokens = int(stuck.join(sizes, "node").agg(F.sum("n")).first()[0])
         pairs, costly = token_round(set_heads(texts, known, words), tokens, t, turn)
         now = verified(saved(pairs, "pairs"), texts, words, t)
@@ -338,7 +357,7 @@ def _components(df: DataFrame, words: int, t: int) -> tuple[DataFrame, DataFrame
         components = saved(connected_components(links), "components")
         if turn == 1:
             # What no other has is missing from any partner: more of it than a link allows, and there is none.
-            own = saved(costly.join(sizes, "node").filter(F.col("costly") > ceil_t(smallest) - 1).select("node", (F.col("n") - F.col("common")).alias("own"), (F.col("n") - smallest).alias("most")).filter("own <= most").drop("most"), "own")
+            own = saved(costly.join(sizes, "node").filter(F.col("costly") > ceil_t(smallest) - 1).select("node", (F.col("n") - F.col("common")).alias("own"), (F.col("n") - smallest).alias("most"), F.col("n").alias("size")).filter("own <= most").drop("most"), "own")
             stuck = own.select("node")
     return sketch, reps, components
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows that a task holds before it sends them out; bytes of text hashed at once.
-FLUSH_ROWS, PIECE = 1 << 20, 1 << 18
+#: Bytes of columns that a task holds before it sends them out; bytes of text hashed at once.
+FLUSH_BYTES, PIECE = 16 << 20, 1 << 18
 BUCKET_SCHEMA = "bucket int, rows binary"
 
 
@@ -93,12 +93,12 @@ def deal(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int
 
 
 def held_until_full(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """Columns put together until FLUSH_ROWS rows are there."""
+    """Columns put together until they take FLUSH_BYTES."""
     held, n = [], 0
     for columns in parts:
         held.append(columns)
-        n += len(columns[0])
-        if n >= FLUSH_ROWS:
+        n += sum(x.nbytes for x in columns)
+        if n >= FLUSH_BYTES:
             yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held, n = [], 0
     if n:

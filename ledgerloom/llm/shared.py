@@ -82,11 +82,26 @@ def only(spark: SparkSession, *tags: str) -> Iterator[None]:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back when it ends, not when the driver collects its garbage; a plan
+    that runs again makes them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """df written as a table of the shared folder and read back: its lineage ends here and a lost executor
     costs no recomputation of what came before."""
-    path = scratch(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = scratch(spark, tag)
     for made in _watching:
         made.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

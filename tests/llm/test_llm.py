@@ -70,16 +70,22 @@ def test_jaccard_against_brute_force(spark, edits):
     assert {i: r.component_id for i, r in got.items()} == brute_components(sets, 85)
 
 
-def test_jaccard_pivot_that_holds_own_tokens(spark):
-    # 92 of 100 shared, a link at 85 percent; the 8 that i has alone are also the pivot's.
-    rows = [np.array(x, kind) for x, kind in zip(([7, 7], [1, 2], [1, 2], [100, 100], [1, 1], [0, 0], [0, 0], [4, 12], [8, 8]), J8.ROW, strict=True)]
-    found, _ = J8.list_pairs(rows, 85, True)
-    assert [int(x[0]) for x in found[:2]] == [1, 2]
-    rows[4] |= 4
-    assert not len(J8.list_pairs(rows, 85, True)[0][0])  # the pivot holds no own token: 24 apart, and 16 allowed
+def test_jaccard_bounds_of_the_last_round(spark):
+    def pairs(both, beside, own, pivots=(9, 9)):
+        columns = ([7, 7], [1, 2], [100, 100], [1, 1], [0, 0], [1, 2], pivots, both, beside, own)
+        rows = [np.array(x, kind) for x, kind in zip(columns, J8.ROW, strict=True)]
+        return [tuple(map(int, x)) for x in zip(*J8.list_pairs(rows, 85, True)[0][:2], strict=True)]
+
+    # Sets of 100 link if they have 92 in common.
+    assert pairs((92, 92), (0, 0), (8, 8)) == [(1, 2)] and pairs((92, 100), (0, 0), (8, 0)) == [(1, 2)]
+    assert pairs((91, 100), (0, 0), (9, 0)) == []
+    # By the pivot that both were compared with: 90 of it in either, and no more than 2 beside it.
+    assert pairs((90, 98), (10, 2), (0, 0)) == [(1, 2)] and pairs((90, 98), (10, 1), (0, 1)) == []
+    assert pairs((90, 98), (10, 1), (0, 1), pivots=(8, 9)) == [(1, 2)]
+    # Only stuck nodes are pivots, so that no token that a node has alone is its pivot's.
     seen = spark.createDataFrame([(0, 1, 108, 100, 96, False), (0, 2, 108, 100, 88, False), (3, 4, 50, 50, 40, False)], "a long, b long, na long, nb long, both long, linked boolean")
-    got = {r.node: (r.pivot, r.lost, r.sure) for r in J8.pivots(seen, spark.createDataFrame([(1,), (2,), (3,)], "node long")).collect()}
-    assert got[1] == (0, 12, 0) and got[2] == (0, 20, 0) and got[4] == (3, 10, 1) and got[3] == (4, 10, 0)
+    got = {r.node: (r.pivot, r.both) for r in J8.pivots(seen, spark.createDataFrame([(1,), (2,), (3,)], "node long")).collect()}
+    assert got == {0: (2, 88), 4: (3, 40)}
 
 
 def test_jaccard_odd_rows(spark):
