@@ -42,6 +42,8 @@ COLUMNS = (5, 6, 10)
 PAIR = ["<i8", "<i8", "<i8", "<i8", "<i8"]
 #: A task sees to the list of a costly token itself if it is as long as this, so no bucket gets all of it.
 LONG = 256
+#: Pairs of rows looked at in one go.
+AT_ONCE = 1 << 17
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -135,8 +137,9 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
         if final or cost <= max(COST, COST_PER_DOC * m) and not seen[lo:hi].any():
             if not cost or long:
                 continue
-            for at in range(lo, hi, 512):
-                i, j = np.nonzero(component[at : at + 512, None] != component[None, at:hi])
+            step = max(1, AT_ONCE // m)
+            for at in range(lo, hi, step):
+                i, j = np.nonzero(component[at : at + step, None] != component[None, at:hi])
                 i, j = i + at, j + at
                 ok = (i < j) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]

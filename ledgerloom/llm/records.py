@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ledgerloom.llm.shared import bounded_batches, lean, scratch
+from ledgerloom.llm.shared import bounded_batches, lean, only, saved, scratch, shuffles_dropped
 
 MASK = 0xA282EAD8
 HEAD, TAIL, INDEX = "<QI", "<I", "<QQ"
@@ -34,8 +34,10 @@ HEAD, TAIL, INDEX = "<QI", "<I", "<QQ"
 WORDS_KEPT, WORDS_AT_ONCE = 200_000, 200
 #: The split pattern that word_encoder knows: letters, single digits, other signs, and English endings.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts for which splitting by words ahead of the tokenizer gives the same ids: no character that its
-#: normaliser would compose or whose lower case depends on its neighbours or is longer.
+#: Bytes of token ids aimed at in a file.
+FILE_BYTES = 32 << 20
+#: Texts for which splitting by words ahead of the tokenizer gives the same ids, if their lower case is such a text
+#: too: no character that its normaliser would compose or whose lower case depends on its neighbours or is longer.
 PLAIN_END = 0x300
 PLAIN = re.compile(r"[\x00-\u012f\u0131-\u02ff]*")
 
@@ -116,8 +118,9 @@ def word_encoder(path: str, end_id: int) -> tuple[Callable[[list[str | None]], l
         out: list[bytes | list[str]] = []
         for text in texts:
             text = text or ""
-            plain = by_words and PLAIN.fullmatch(text) and not special.search(text)
-            out.append(words.findall(text.lower()) if plain else np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes())
+            low = text.lower()
+            plain = by_words and PLAIN.fullmatch(text) and PLAIN.fullmatch(low) and not special.search(text)
+            out.append(words.findall(low) if plain else np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes())
         here = kept
         if new := list({w for ws in out if isinstance(ws, list) for w in ws if w not in kept}):
             if len(kept) + len(new) <= WORDS_KEPT:
@@ -133,35 +136,49 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_records(df: DataFrame, encoder: Callable[[], tuple[Callable[[list[str | None]], list[bytes]], int]], files: int, out: str | None = None) -> tuple[str, list]:
-    """Writes df (doc_id, text) in ascending doc_id order (null first, then by text) as ``files`` record files
-    with indexes and returns their folder and a row (file, records, tokens) for each, in order. The driver sees
-    one row a file, never one a document. ``out``: a URI that all executors can write to."""
+def write_records(df: DataFrame, encoder: Callable[[], tuple[Callable[[list[str | None]], list[bytes]], int]], files: int | None = None, out: str | None = None) -> tuple[str, list]:
+    """Writes df (doc_id, text) in ascending doc_id order (null first, then by text) as record files
+    with indexes and returns their folder and a row (file, records, tokens) for each, in order. Texts are encoded
+    where they are read; only ids are shuffled (and the texts of documents that share a doc_id, for their order), to ``files`` files, or as many as give FILE_BYTES each. The driver
+    sees one row a file, never one a document. ``out``: a URI that all executors can write to."""
     spark = df.sparkSession
     bounded_batches(spark)
     out = out or scratch(spark, "records")
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, width = encoder()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary()), part.column("tie")], names=["doc_id", "width", "ids", "tie"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, folder = filesystem(out)
         fs.create_dir(folder, recursive=True)
         name, mine = f"part-{task.partitionId():06d}", f"_{task.partitionId()}-{task.taskAttemptId()}"
-        (encode, width), records, tokens, at = encoder(), 0, 0, 0
-        with fs.open_output_stream(f"{folder}/{mine}.rec") as data, fs.open_output_stream(f"{folder}/{mine}.idx") as index:
+        records, tokens, at = 0, 0, 0
+        with fs.open_output_stream(f"{folder}/{mine}.rec", buffer_size=1 << 20) as data, fs.open_output_stream(f"{folder}/{mine}.idx", buffer_size=1 << 16) as index:
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                        record = frame(struct.pack("<bq", width + 16 * (doc is None), doc or 0) + ids)
-                        index.write(struct.pack(INDEX, at, len(ids) // width))
-                        data.write(record)
-                        records, tokens, at = records + 1, tokens + len(ids) // width, at + len(record)
+                for doc, width, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "width", "ids")), strict=True):
+                    record = frame(struct.pack("<bq", width + 16 * (doc is None), doc or 0) + ids)
+                    index.write(struct.pack(INDEX, at, len(ids) // width))
+                    data.write(record)
+                    records, tokens, at = records + 1, tokens + len(ids) // width, at + len(record)
         for end in (".idx", ".rec"):
             fs.move(f"{folder}/{mine}{end}", f"{folder}/{name}{end}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "tokens": [tokens]})
 
-    dealt = df.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return out, sorted(dealt.mapInArrow(lean(run), "file string, records long, tokens long").collect(), key=lambda r: r.file)
+    docs, tie = df.select("doc_id", "text"), F.lit(None).cast("string")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twin"))
+    if not again.isEmpty():
+        docs, tie = docs.join(again, F.col("doc_id").eqNullSafe(F.col("twin")), "left"), F.when(F.col("twin").isNotNull() | F.col("doc_id").isNull(), F.col("text"))
+    coded = saved(docs.select("doc_id", "text", tie.alias("tie")).mapInArrow(lean(code), "doc_id long, width int, ids binary, tie string"), "token-ids")
+    files = files or int((coded.agg(F.sum(F.length("ids"))).first()[0] or 0) // FILE_BYTES) + 1
+    dealt = coded.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    with shuffles_dropped(spark):
+        return out, sorted(dealt.mapInArrow(lean(run), "file string, records long, tokens long").collect(), key=lambda r: r.file)
 
 
 def read_documents(spark: SparkSession, folder: str, written: list) -> DataFrame:
@@ -206,6 +223,6 @@ def token_records(df: DataFrame, tokenizer: str, end_id: int, files: int | None
 
     A null text is empty: only the end id. A null doc_id comes first. Rows that repeat, and rows of one doc_id,
     are records of their own, by text. Other columns are left out."""
-    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folder, written = write_records(df, lambda: word_encoder(tokenizer, end_id), files)
+    with only(df.sparkSession):
+        folder, written = write_records(df, lambda: word_encoder(tokenizer, end_id), files)
     return read_documents(df.sparkSession, folder, written)

@@ -3,10 +3,10 @@
 The model file, a protobuf, is parsed here; from it the normaliser, the metaspace marker, the pieces with their
 scores (unigram) or merges (BPE, in the order of the scores) and the byte fallback are rebuilt as a tokenizer.
 Texts are encoded in batches, in several threads where the machine gives the process more than one. Between
-pieces that can't be joined a text is cut into chunks; repeated chunks are looked up. Each chunk that a worker
-sees for the first time is also encoded by the sentencepiece library itself: a document tells whether all its
-chunks agreed, and where one doesn't, sentencepiece's ids are the ones that count. Decoding takes a document's own
-ids; whether these give its text again is told by comparison with the text as it came.
+pieces that can't be joined a text is cut into chunks; repeated chunks are looked up. All ids are the rebuilt
+tokenizer's. Each chunk that a task sees for the first time is also encoded by the sentencepiece library itself, and
+a document tells whether all its chunks agreed (parity). Decoding takes a document's own ids; whether these give its
+text again is told by comparison with the text as it came.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -22,7 +21,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from ledgerloom.llm.shared import bounded_batches, lean
 
@@ -30,8 +29,8 @@ MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct chunks whose ids a worker keeps; chunks encoded in one go.
-CHUNKS_KEPT, CHUNKS_AT_ONCE = 300_000, 200
+#: Distinct chunks whose ids a task keeps before it forgets them all; chunks encoded in one go.
+CHUNKS_KEPT, CHUNKS_AT_ONCE = 100_000, 200
 THREADS = 2
 
 
@@ -133,7 +132,6 @@ class Codec:
         with open(path, "rb") as f:  # a vocabulary of every machine, not data
             self.model = m = PieceModel.parse(f.read())
         self.bare = rebuild(m)
-        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)]
         # Chunks begin at the marker, and stand apart at line ends, if no piece reaches over either.
@@ -144,8 +142,8 @@ class Codec:
         self.width = 2 if len(m.pieces) < 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.line = self.own.encode("\n")
-        self.kept: dict[str, bytes] = {"\n": self.pack(self.line[1:])} if self.by_chunks else {}
-        self.wrong: set[str] = set()
+        self.newline = self.whole.encode("\n", add_special_tokens=False).ids[-1]
+        self.forget()
 
     @cached_property
     def whole(self) -> Tokenizer:
@@ -154,39 +152,45 @@ class Codec:
         t.normalizer, t.decoder = normaliser(self.model), decoder(self.model)
         return t
 
+    def forget(self) -> None:
+        """Drops the chunks kept so far."""
+        self.kept: dict[str, bytes] = {"\n": self.pack([self.newline])} if self.by_chunks else {}
+        self.wrong: set[str] = set()
+
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
     def encode_chunks(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, held against sentencepiece's."""
+        """Ids of chunks by the rebuilt tokenizer; those that sentencepiece encodes otherwise are noted."""
         out: dict[str, bytes] = {}
         wants = self.own.encode(["\n" + c.replace(MARK, " ") for c in new], num_threads=1)
         skip, at = len(self.line), 0
         parts = [new[i : i + CHUNKS_AT_ONCE] for i in range(0, len(new), CHUNKS_AT_ONCE)]
         for part, e in zip(parts, self.bare.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            mine = [w[skip:] for w in wants[at : at + len(part)]]
+            ids = np.asarray(e.ids, self.dtype)
+            # No piece reaches over a line end, so its ids stand between those of the chunks.
+            cuts = [0, *np.nonzero(ids == self.newline)[0].tolist(), len(ids)]
+            flat, w = ids.tobytes(), self.width
+            out.update((c, flat[(i + (i > 0)) * w : j * w]) for c, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
+            mine = [x[skip:] for x in wants[at : at + len(part)]]
             at += len(part)
-            if e.ids != [i for w in mine for i in w]:
-                self.wrong.update(c for c, w in zip(part, mine, strict=True) if self.bare.encode(c, add_special_tokens=False).ids != w)
-            flat = np.fromiter((i for w in mine for i in w), self.dtype).tobytes()
-            ends = np.cumsum([0, *map(len, mine)]) * self.width
-            out.update((c, flat[i:j]) for c, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            if e.ids != [i for k, x in enumerate(mine) for i in ([self.newline] * (k > 0) + x)]:
+                self.wrong.update(c for c, x in zip(part, mine, strict=True) if out[c] != self.pack(x))
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of whole texts, and whether both libraries agreed on all of each."""
+        """Ids of whole texts, and whether sentencepiece agrees on all of each."""
         if not self.by_chunks:
             got = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
             want = self.own.encode(texts, num_threads=1)
-            return [self.pack(w) for w in want], [g == w for g, w in zip(got, want, strict=True)]
+            return [self.pack(g) for g in got], [g == w for g, w in zip(got, want, strict=True)]
         cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        here = self.kept
-        if new := list({c for cs in cut for c in cs if c not in self.kept}):
-            if len(self.kept) + len(new) <= CHUNKS_KEPT:
-                self.kept.update(self.encode_chunks(new))
-            else:
-                here = ChainMap(self.kept, self.encode_chunks(new))
-        return [b"".join(map(here.__getitem__, cs)) for cs in cut], [not self.wrong or self.wrong.isdisjoint(cs) for cs in cut]
+        if len(self.kept) > CHUNKS_KEPT:
+            self.forget()
+        new = list({c for cs in cut for c in cs if c not in self.kept})
+        for lo in range(0, len(new), CHUNKS_KEPT):
+            self.kept.update(self.encode_chunks(new[lo : lo + CHUNKS_KEPT]))
+        return [b"".join(map(self.kept.__getitem__, cs)) for cs in cut], [not self.wrong or self.wrong.isdisjoint(cs) for cs in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -205,16 +209,22 @@ def codec(path: str) -> Codec:
 
 
 def piece_encode(df: DataFrame, model: str, round_trip: bool = False) -> DataFrame:
-    """df with ids (int array), n_tokens and parity (both libraries agree on every chunk), in place of its own
-    columns of these names; with ``round_trip`` also whether the ids decode to the text again.
+    """df with ids (int array, the rebuilt tokenizer's), n_tokens and parity (sentencepiece agrees on every chunk), in
+    place of its own columns of these names; with ``round_trip`` also whether the ids decode to the text again.
 
-    Whole texts; a null or empty one has no ids; no shuffle; rows stay as they are."""
+    Whole texts; a null or empty one has no ids; no shuffle; rows stay as they are, repeated ones too."""
     bounded_batches(df.sparkSession)
     made = ["ids", "n_tokens", "parity", *["round_trip"] * round_trip]
     others = [c for c in df.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
+        try:
+            yield from encoded(c, batches)
+        finally:
+            c.forget()  # workers stay for other stages
+
+    def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm.packed import BUCKET_SCHEMA, PIECE, bucketed, buffers, deal, held_until_full, mixed, multikey_order, range_hash, unpack
 from ledgerloom.llm.shared import bounded_batches, lean, saved
 
-#: Bytes of an anchor's gram; suffixes of a bucket aimed at; one document in SAMPLE gives splitters, at most
-#: SAMPLE_ROWS suffixes from each partition.
-GRAM, BUCKET_ROWS, SAMPLE, SAMPLE_ROWS = 50, 1_000_000, 32, 1024
+#: Bytes of an anchor's gram; suffixes of a bucket aimed at; suffixes that give splitters, from all the table (about),
+#: of so many times as many in the documents looked at.
+GRAM, BUCKET_ROWS, SAMPLE, LOOKED_AT = 50, 1_000_000, 1 << 16, 8
 SUFFIX = ["<u8", "<u8", "<i8", "<i8", "<i8", "<u2"]
 SPANS = "doc_id long, text_hash long, lo long, hi long"
 
@@ -81,23 +81,24 @@ def suffixes(b: pa.RecordBatch, length: int, gram: int) -> Iterator[list[np.ndar
             yield [t1, t2, docs[rows[doc]], hashes[rows[doc]], lo + at - starts[doc], (hi - lo).astype(np.uint16)]
 
 
-def splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[tuple]:
+def splitters(docs: DataFrame, length: int, gram: int, buckets: int, suffixes_in_all: int) -> list[tuple]:
     """Leading tokens that cut the sampled suffixes into equal parts; a frequent gram can be cut several times,
-    by run, document and place."""
+    by run, document and place. About SAMPLE suffixes go to the driver, however large the table: of documents drawn
+    by hash, suffixes drawn by hash; all suffixes of a small table."""
+    share = min(1.0, SAMPLE / max(1, suffixes_in_all))
+    of_docs = min(1.0, LOOKED_AT * share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [c for b in batches for c in suffixes(b, length, gram)]
-        if held:
-            c = [np.concatenate(x) for x in zip(*held, strict=True)]
-            pick = np.unique(np.linspace(0, len(c[0]) - 1, SAMPLE_ROWS).astype(np.int64)) if len(c[0]) else []
-            yield pa.RecordBatch.from_arrays([pa.array(x[pick].view(np.int64)) for x in (*c[:3], c[4])], names=["a", "b", "c", "d"])
+        for b in batches:
+            for c in suffixes(b, length, gram):
+                pick = mixed(c[1] ^ mixed(c[2].view(np.uint64) + c[4].view(np.uint64) * np.uint64(31))) <= np.uint64(share / of_docs * (2**64 - 2**11))
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick].view(np.int64)) for x in (*c[:3], c[4])], names=["a", "b", "c", "d"])
 
-    got = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(lean(run), "a long, b long, c long, d long").toArrow()
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < int(np.ceil(of_docs * (1 << 20))))
+    got = drawn.mapInArrow(lean(run), "a long, b long, c long, d long").toArrow()
     a, b = (got[x].to_numpy().view(np.uint64) for x in "ab")
     sample = sorted(zip(a.tolist(), b.tolist(), got["c"].to_pylist(), got["d"].to_pylist(), strict=True))
-    if len(sample) < 4 * buckets:  # few rows: grams are hashes, and so spread evenly
-        return [(i * 2**64 // buckets, 0, 0, 0) for i in range(1, buckets)]
-    return [sample[i * len(sample) // buckets] for i in range(1, buckets)]
+    return [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
 
 
 def bucket_of(split: list[tuple], c: list[np.ndarray]) -> np.ndarray:
@@ -124,8 +125,9 @@ def repeated_spans(df: DataFrame, length: int = 100) -> DataFrame:
     gram = max(1, min(GRAM, length // 2))
     docs = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // (length - gram + 2) // BUCKET_ROWS + 1)
-    split = splitters(docs, length, gram, buckets)
+    suffixes_in_all = 2 * size // (length - gram + 2)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes_in_all // BUCKET_ROWS + 1)
+    split = splitters(docs, length, gram, buckets, suffixes_in_all)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in held_until_full(x for b in batches for x in suffixes(b, length, gram)):

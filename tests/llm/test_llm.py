@@ -314,6 +314,29 @@ def test_records_round_trip(spark, tmp_path):
     assert R6.token_records(frame(spark, []), path, 2).collect() == []
 
 
+def test_records_encode_as_the_library_does():
+    """Every character below U+0530 in several contexts; word_encoder splits texts itself where it may."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    encode, width = R6.word_encoder(path, 2)
+    texts = [f.format(chr(c)) for c in range(0x530) for f in ("{0}", "{0}bc", "a{0} 1{0}2", "It{0}s {0}{0} end")]
+    got = encode(texts)
+    assert [np.frombuffer(x, f"<u{width}").tolist() for x in got] == [e.ids + [2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_sentencepiece_ids_are_the_rebuilt_tokenizers(monkeypatch):
+    path = vocabulary("piece_bpe_32k.model")
+    texts = ["Hello world, again and again.\nA new line", "naïve café 日本語"]
+    right, parity = S5.Codec(path).encode(texts)
+    assert all(parity)
+    merges = S5.merges
+    monkeypatch.setattr(S5, "merges", lambda m: merges(m)[:500])
+    wrong, parity = S5.Codec(path).encode(texts)
+    assert wrong != right and not any(parity)
+
+
 def test_sentencepiece_parity_and_decoding(spark):
     import sentencepiece
 
