@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def home_status(focus: Column, jurisdiction: Column, general: str, homeless: str) -> Column:
@@ -104,3 +104,24 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def beta_yield(events: Column, n: Column, more: int) -> list[Column]:
+    """Jeffreys posterior of a rate (mean, sd), and the events to expect of ``more`` further trials with their standard
+    deviation (beta-binomial)."""
+    a, b = events + 0.5, n - events + 0.5
+    spread = a * b / (F.pow(a + b, 2) * (a + b + 1))
+    return [(a / (a + b)).alias("mean"), F.sqrt(spread).alias("sd"), (more * a / (a + b)).alias("expected"), F.sqrt(more * spread * (a + b + more)).alias("predictive_sd")]
+
+
+def with_prefix(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keep})
+
+
+def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: c.removeprefix(prefix) for c in df.columns})
+
+
+def latent_label_draw(*_: Column) -> Column:
+    """Draws of latent labels from a prevalence are switched off on purpose: they aren't identified by these data."""
+    raise NotImplementedError("latent label draws are disabled")

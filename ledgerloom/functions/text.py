@@ -57,9 +57,9 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def repeated_ngram_ratio(text: Column, n: int = 3) -> Column:
-    """Share of the n-grams that stood before."""
-    g = ngrams(words(text), n)
-    return F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0)
+    """Share of the n-grams that stood before. Words and n-grams are bound to names, so each is made once."""
+    share = lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0)
+    return F.transform(F.transform(F.array(words(text)), lambda w: ngrams(w, n)), share)[0]
 
 
 @pandas_udf(BooleanType())

@@ -14,10 +14,22 @@ def seeded_rank(seed: str, unit: str, by: list[str]) -> Column:
 
 
 def srswor(df: DataFrame, by: list[str], unit: str, size: Column, seed: str) -> DataFrame:
-    """df with N (units of the stratum), n = min(size, N), pi = n / N and whether the unit is drawn."""
-    out = df.withColumn("stratum_n", F.count("*").over(Window.partitionBy(*by)))
-    out = out.withColumn("draw_n", F.least(size.cast("long"), F.col("stratum_n"))).withColumn("pi", F.col("draw_n") / F.col("stratum_n"))
-    return out.withColumn("drawn", seeded_rank(seed, unit, by) <= F.col("draw_n"))
+    """df with stratum_n (units of the stratum), draw_n = min(size, stratum_n), pi and whether the unit is drawn: the
+    draw_n of smallest seeded hash. ``size`` may use the strata's columns.
+
+    Only units whose hash is small enough to be drawn are ranked, a few more than the draw; where too few are that
+    small, which hashes make all but impossible, the whole stratum is ranked. So no task gets a stratum."""
+    u = uniform(seed, F.col(unit).cast("string"))
+    strata = df.groupBy(*by).agg(F.count("*").alias("stratum_n")).withColumn("draw_n", F.least(size.cast("long"), F.col("stratum_n")))
+    strata = strata.withColumn("pi", F.col("draw_n") / F.col("stratum_n")).withColumn("_near", (F.col("draw_n") + 12 * F.sqrt("draw_n") + 60) / F.col("stratum_n"))
+    out = df.withColumn("_u", u)
+    enough = out.join(strata, by).groupBy(*by, "draw_n").agg(F.count_if(F.col("_u") < F.col("_near")).alias("_have"))
+    strata = strata.drop("_near").join(enough.select(*by, (F.col("_have") >= F.col("draw_n")).alias("_enough")), by).withColumn("_near", F.when(F.col("_enough"), (F.col("draw_n") + 12 * F.sqrt("draw_n") + 60) / F.col("stratum_n")).otherwise(2.0))
+    out = out.join(strata, by)
+    near, far = out.filter("_u < _near"), out.filter("_u >= _near")
+    near = near.withColumn("drawn", seeded_rank(seed, unit, by) <= F.col("draw_n"))
+    columns = [*df.columns, "stratum_n", "draw_n", "pi", "drawn"]
+    return near.select(*columns).unionByName(far.withColumn("drawn", F.lit(False)).select(*columns))
 
 
 def bernoulli(df: DataFrame, unit: str, q: Column, seed: str) -> DataFrame:
@@ -116,11 +128,43 @@ def capped_ipf(seed: list[list[float]], rows: list[float], columns: list[float],
 
 
 def smallest_size(size: int, p: float, half_width: float, least_events: float, step: int = 10, z: float = 1.959963984540054) -> int | None:
-    """Smallest n (in steps) whose interval for p is narrow enough and whose expected events suffice."""
-    for n in range(step, size + 1, step):
-        if z * sqrt(p * (1 - p) / n * (1 - n / size)) <= half_width and n * p >= least_events:
-            return n
-    return None
+    """Smallest n (in steps) whose interval for p is narrow enough and whose expected events suffice: both only grow
+    easier with n, so n is found by halving."""
+    fits = lambda n: z * sqrt(p * (1 - p) / n * (1 - n / size)) <= half_width and n * p >= least_events
+    low, high = 0, size // step  # in steps; the answer, if any, is in (low, high]
+    if high < 1 or not fits(high * step):
+        return None
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid * step) else (mid, high)
+    return high * step
+
+
+def balanced_split(groups: DataFrame, group: str, value: str, parts: int, tries: int, seed: str, by: str | None = None) -> DataFrame:
+    """(group, part) of the best of ``tries`` random assignments: the one whose parts' totals of ``value`` (within
+    each ``by``, if given) differ least from equal shares; the first of ties. groups: one row a group (and by)."""
+    keys = [by] if by else []
+    drawn = groups.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    drawn = drawn.withColumn("part", F.floor(uniform(seed, F.col("try").cast("string"), F.col(group).cast("string")) * parts).cast("int"))
+    totals = drawn.groupBy("try", "part", *keys).agg(F.sum(value).alias("v"))
+    share = groups.groupBy(*keys).agg((F.sum(value) / parts).alias("want"))
+    totals = totals.join(share, by) if by else totals.crossJoin(F.broadcast(share))  # one row
+    # A part that has no group of its own misses its whole share.
+    worst = totals.groupBy("try", *keys).agg((F.sum(F.abs(F.col("v") - F.col("want"))) + (parts - F.count("*")) * F.first("want")).alias("off"))
+    best = worst.groupBy("try").agg(F.round(F.sum("off"), 6).alias("off")).agg(F.min(F.struct("off", "try")).alias("b")).select("b.*")
+    return drawn.join(F.broadcast(best), "try").select(group, "part", "off", "try").distinct()
+
+
+def greedy_diverse(rows: list[tuple], cells: int) -> list[tuple]:
+    """Of rows (cell, cluster, ...) in order of preference, the first of each cell whose cluster isn't used yet, cell
+    after cell. Rows: those of each cell that can matter, ``cells`` of distinct clusters at most."""
+    used, out = set(), []
+    for cell in sorted({r[0] for r in rows})[:cells]:
+        pick = next((r for r in rows if r[0] == cell and r[1] not in used), None)
+        if pick:
+            used.add(pick[1])
+            out.append(pick)
+    return out
 
 
 def shard(field: Column, shards: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
+from ledgerloom.sources.scratch import written
 
 
 def label_seed(base: int, label: str) -> int:
@@ -17,16 +18,23 @@ def label_seed(base: int, label: str) -> int:
 
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
-    """Clusters numbered from 0 in their order. One row a cluster: small beside the rows it stands for."""
-    return clusters.select(cluster).distinct().withColumn("slot", F.row_number().over(Window.orderBy(cluster)) - 1)
+    """Clusters numbered from 0 in their order: within ranges, from the number of clusters in all ranges before.
+    The ranges are written once, so that both readings see the same ones."""
+    ids = written(clusters.select(cluster).distinct().repartitionByRange(cluster).withColumn("_range", F.spark_partition_id()), "clusters")
+    # One row a range.
+    before = ids.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(cluster))
+    return ids.withColumn("slot", place).join(F.broadcast(before), "_range").select(cluster, (F.col("slot") - 1 + F.col("_before")).alias("slot"))
 
 
 def draws(clusters: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
     """(rep, cluster, mult): as many draws with replacement as there are clusters, in each replicate."""
     index = numbered(clusters, cluster)
     size = index.agg(F.count("*").alias("n"))
-    slots = index.select("slot").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).crossJoin(F.broadcast(size))  # one row
-    drawn = slots.withColumn("pick", F.floor(uniform(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) * F.col("n")).cast("int"))
+    # Clusters are few bytes, their draws many: they are dealt out before each becomes ``reps`` rows.
+    dealt = index.select("slot").repartition(int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot")
+    slots = dealt.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).crossJoin(F.broadcast(size))  # one row
+    drawn = slots.withColumn("pick", F.floor(uniform(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) * F.col("n")).cast("long"))
     return drawn.join(index.withColumnRenamed("slot", "pick"), "pick").groupBy("rep", cluster).agg(F.count("*").alias("mult"))
 
 
@@ -77,5 +85,25 @@ def stability(estimates: DataFrame, by: list[str]) -> DataFrame:
     return estimates.groupBy(*by).agg(F.count("*").alias("draws"), F.percentile("estimate", F.lit(0.05)).alias("p05"), F.median("estimate").alias("median"), F.percentile("estimate", F.lit(0.95)).alias("p95"))
 
 
+def multiplier_band(scores: DataFrame, cluster: str, by: str, reps: int, seed: str, level: float = 0.95) -> DataFrame:
+    """Simultaneous band for group means by the two-phase multiplier bootstrap. scores: cluster, by, s (sum), n (rows)
+    and w (sum of squared deviations within the cluster, the second phase).
+
+    Each replicate gives every cluster a sign; a group's statistic is the signed sum of its clusters' residuals over
+    its standard error, and the band's factor is the quantile of the largest over the groups (max-t). Variance is
+    split into its parts between and within clusters; only the first moves with the signs."""
+    mean = scores.groupBy(by).agg(F.sum("s").alias("total"), F.sum("n").alias("rows"), F.sum("w").alias("within"))
+    mean = mean.withColumn("estimate", F.col("total") / F.col("rows"))
+    resid = scores.join(mean, by).select(cluster, by, "rows", (F.col("s") - F.col("n") * F.col("estimate")).alias("r"))
+    between = resid.groupBy(by).agg((F.sqrt(F.sum(F.col("r") * F.col("r"))) / F.first("rows")).alias("se"))
+    signs = resid.select(cluster).distinct().repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), cluster).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    signs = signs.withColumn("m", F.when(uniform(seed, F.col("rep").cast("string"), F.col(cluster).cast("string")) < 0.5, -1).otherwise(1))
+    t = resid.join(signs, cluster).groupBy("rep", by).agg((F.sum(F.col("m") * F.col("r")) / F.first("rows")).alias("move")).join(between, by)
+    most = t.groupBy("rep").agg(F.max(F.abs(F.try_divide("move", "se"))).alias("t")).agg(F.percentile("t", F.lit(level)).alias("factor"))
+    out = mean.join(between, by).crossJoin(F.broadcast(most))  # one row
+    out = out.withColumn("se_within", F.sqrt("within") / F.col("rows"))
+    return out.select(by, "estimate", "se", "se_within", "factor", (F.col("estimate") - F.col("factor") * F.col("se")).alias("low"), (F.col("estimate") + F.col("factor") * F.col("se")).alias("high"))
+
+
 def paired_difference(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a - b)

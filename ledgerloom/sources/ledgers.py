@@ -43,6 +43,53 @@ def read_prompts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"prompts array<struct<{schema}>>").json(path, multiLine=True).select(F.explode("prompts").alias("p")).select("p.*")
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header, plain or gzip, under a declared schema; a line that doesn't fit fails the read."""
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+
+
+def write_csv(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    df.write.csv(path, header=True, compression=compression)
+
+
+def read_registry(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
+    """Union by name of (format, path, schema) entries, with the format each row came in: jsonl, csv or parquet."""
+    out = None
+    for kind, path, schema in entries:
+        df = {"jsonl": lambda: read_ledger(spark, path, schema), "csv": lambda: read_csv(spark, path, schema), "parquet": lambda: spark.read.schema(schema).parquet(path)}[kind]()  # noqa: B023
+        df = df.withColumn("source_format", F.lit(kind))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ContractError("the registry is empty")
+    return out
+
+
+def read_config_list(spark: SparkSession, path: str, field: str, kind: str = "string") -> DataFrame:
+    """One row for each entry of a list in a JSON configuration document (a deny list, a roster)."""
+    return spark.read.schema(f"`{field}` array<{kind}>").json(path, multiLine=True).select(F.explode(field).alias(field))
+
+
+def replace_snapshot(df: DataFrame, path: str) -> None:
+    """Writes beside the snapshot, then puts the new one in its place by renames; readers see the old one or the new."""
+    spark = df.sparkSession
+    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(where(path)):
+        fs.delete(where(f"{path}.old"), True)
+        fs.rename(where(path), where(f"{path}.old"))
+    if not fs.rename(where(f"{path}.new"), where(path)):
+        raise ContractError(f"{path} couldn't be replaced")
+    fs.delete(where(f"{path}.old"), True)
+
+
+def write_metadata(spark: SparkSession, path: str, **fields: object) -> None:
+    """One JSON document of a table's metadata."""
+    import json
+
+    spark.createDataFrame([(json.dumps(fields, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_checked(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     return contract.enforce(spark.read.parquet(path))
 

@@ -233,3 +233,62 @@ def test_near_links_has_no_rank_limit(spark):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {i + 1: int(n) - 1 for i, n in enumerate((u @ u.T >= 0.995).sum(axis=1))} | {900: 0, 901: 0, 902: 0, 903: 0}
     assert got == want and got[1] >= 119 and got[121] >= 2
+
+
+def test_greedy_diverse_is_the_plain_greedy_choice(spark):
+    from ledgerloom.operators.designs import greedy_diverse
+    from ledgerloom.plans.register import QUERIES
+
+    assert greedy_diverse([("a", 1, 10), ("a", 2, 9), ("b", 1, 8), ("b", 3, 7), ("c", 1, 6)], 3) == [("a", 1, 10), ("b", 3, 7)]
+    d = "/root/testdata/sf0.001"
+    orders = sorted((f"{r.o_orderpriority}/{r.o_orderstatus}", -r.o_totalprice, r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{d}/orders.parquet").collect())
+    used, want = set(), set()
+    for cell in sorted({r[0] for r in orders}):
+        for _, _, key, customer in (r for r in orders if r[0] == cell):
+            if customer not in used:
+                used.add(customer)
+                want.add((cell, customer, key))
+                break
+    assert {(r.cell, r.o_custkey, r.o_orderkey) for r in QUERIES["d19_greedy_diverse"](spark, d).collect()} == want
+
+
+def test_latent_labels_stay_disabled():
+    from ledgerloom.functions.expressions import latent_label_draw
+
+    with pytest.raises(NotImplementedError):
+        latent_label_draw()
+
+
+def test_logistic_coefficients_are_a_stationary_point(spark):
+    """Against Newton's method in numpy on the same scaled and one-hot features."""
+    import numpy as np
+
+    from ledgerloom.operators.features import cross_fitted, logistic_coefficients
+
+    rng = np.random.default_rng(1)
+    rows = [(float(rng.integers(0, 2)), float(rng.normal()) if rng.random() > 0.1 else None, "ab"[int(rng.integers(0, 2))], float(rng.random() + 0.5), int(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "y double, x double, g string, w double, fold int")
+    got = {r.feature: r.coefficient for r in logistic_coefficients(df, ["x"], ["g"], "y", "w", 0.01).collect()}
+    y, w = (np.array([r[i] for r in rows]) for i in (0, 3))
+    x = np.array([np.nan if r[1] is None else r[1] for r in rows])
+    x = np.where(np.isnan(x), np.nanmean(x), x)
+    x = (x - x.mean()) / x.std(ddof=1)
+    a = np.stack([x, [r[2] == "a" for r in rows], [r[2] == "b" for r in rows], np.ones(300)], axis=1).astype(float)
+    b, ridge = np.zeros(4), np.diag([0.01, 0.01, 0.01, 0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ b))
+        g = a.T @ (w * (y - p)) / w.sum() - ridge @ b
+        h = (a * (w * p * (1 - p))[:, None]).T @ a / w.sum() + ridge
+        b += np.linalg.solve(h, g)
+    assert np.allclose([got["x"], got["g=a"], got["g=b"], got["intercept"]], b, atol=2e-3)
+    out = cross_fitted(df, ["x"], ["g"], "y", "w", "fold", 3, 0.01)
+    assert out.count() == 300 and out.filter("p <= 0 or p >= 1").isEmpty()
+
+
+def test_draw_of_a_stratum_whose_hashes_are_large(spark):
+    """Few units: all are near enough to be ranked; sizes above the stratum take all of it."""
+    from ledgerloom.operators.designs import srswor
+
+    df = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(400)], "id long, s string")
+    got = srswor(df, ["s"], "id", F.lit(10), "seed").groupBy("s").agg(F.count("*").alias("n"), F.count_if("drawn").alias("k"), F.min("pi").alias("pi")).collect()
+    assert sorted((r.s, r.n, r.k, round(r.pi, 6)) for r in got) == [("a", 5, 5, 1.0), ("b", 395, 10, round(10 / 395, 6))]
