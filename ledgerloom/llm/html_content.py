@@ -1,9 +1,11 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive and tags negative, with weights learned from
-labelled pages; one linear scan finds the contiguous region with the largest sum, which holds the main text.
+A page is a sequence of words and tags. Words score positive, words in links and tags negative, with weights learned
+from labelled pages; one linear scan finds the contiguous region with the largest sum, which holds the main text.
 What lies inside the region but in a menu, form, notice and the like is left out, the rest becomes lines. A form
-or an element marked by its name that holds most of the page's words is layout, and its words are scored.
+or an element marked by its name that holds most of the page's words, or its heading, is layout, and its words are
+scored. Malformed markup: end tags that HTML lets authors leave out are supplied; an element that is never closed
+otherwise reaches to the next block if its name marks it; a tag that never ends, ends where the next begins.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.labelled_pages import PAGES
 from ledgerloom.llm.shared import bounded_batches, lean
 
-#: One comment, raw element, declaration, tag, or run of text.
+#: One comment, raw element, declaration, tag, or run of text. No alternative looks back, so a page takes time in
+#: proportion to its length.
 PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z)|[^<]+|<",
     re.I | re.S,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -43,6 +46,11 @@ HAS = re.compile(r"(?<!\S)(?:has|with|no|without|category|tag)[_-]\S*", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags inside a line of text; all others begin a new block.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements that a tag of the same group ends, where their own end tag is left out; a new block also ends a paragraph.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+OPTIONAL_END = {"p", *SIBLINGS}
+#: What only the page's own text has: an element that holds one isn't beside the content.
+HEADING = {"h1", "main"}
 #: The article itself: whatever was left open before it ends here, but for closed elements beside the content.
 BODY = {"article", "main"}
 
@@ -60,28 +68,70 @@ def kind_of(name: str, attributes: str) -> str:
     return "marked" if name == "form" else ""
 
 
+def element_ends(found: list[tuple[str, str, str | None]]) -> tuple[list[int], list[bool]]:
+    """For each opening tag the piece at which its element ends, and whether that is certain: by its own end tag, or
+    where HTML supplies one."""
+    n = len(found)
+    ends, certain = [n] * n, [False] * n
+    stack: list[int] = []
+    held: dict[str, int] = {}
+
+    def pop_to(k: int, at: int, own: bool) -> None:
+        """Ends what lies above place k of the stack, and k itself."""
+        while len(stack) > k:
+            i = stack.pop()
+            tag = found[i][0]
+            held[tag] -= 1
+            ends[i], certain[i] = at, tag in OPTIONAL_END or own and len(stack) == k
+
+    for at, (tag, _, kind) in enumerate(found):
+        if not tag:
+            continue
+        if tag[0] == "/":
+            if held.get(tag[1:]):
+                k = len(stack) - 1
+                while found[stack[k]][0] != tag[1:]:
+                    k -= 1
+                pop_to(k, at, True)
+            continue
+        closes = {"p", *SIBLINGS.get(tag, ())} if tag not in INLINE else set()
+        if any(held.get(x) for x in closes):
+            k, most = len(stack) - 1, -1
+            while k >= 0 and ((top := found[stack[k]][0]) in INLINE or top in OPTIONAL_END):
+                if top in closes:
+                    most = k
+                k -= 1
+            if most >= 0:
+                pop_to(most, at, False)
+        if kind is not None:
+            stack.append(at)
+            held[tag] = held.get(tag, 0) + 1
+    pop_to(0, n, False)
+    return ends, certain
+
+
 def left_out(found: list[tuple[str, str, str | None]]) -> list[bool]:
     """Whether each piece (tag or '', text, kind) lies in an element that is never content."""
-    n, opened, ends, bodies = len(found), {}, {}, []
-    for i, (tag, _, kind) in enumerate(found):
-        if tag in BODY:
-            bodies.append(i)
-        if kind is None:
-            continue
-        if tag[:1] == "/":
-            if opened.get(tag[1:]):
-                ends[opened[tag[1:]].pop()] = i
-        elif tag:
-            opened.setdefault(tag, []).append(i)
+    n = len(found)
+    ends, certain = element_ends(found)
+    bodies = [i for i, (tag, _, _) in enumerate(found) if tag in BODY]
+    headings = [i for i, (tag, _, _) in enumerate(found) if tag in HEADING]
+    blocks = [i for i, (tag, _, _) in enumerate(found) if tag and tag[0] != "/" and tag not in INLINE]
+
+    def first_in(places: list[int], i: int, last: int) -> int:
+        """The first of the places after i, or ``last``."""
+        k = bisect_right(places, i)
+        return min(last, places[k]) if k < len(places) else last
 
     def end(i: int) -> int:
-        """Where the element that begins at i ends: at an article in it, unless it is closed and beside the content."""
+        """Where the element that begins at i ends: at an article in it, unless it is closed and beside the content;
+        a marked one that isn't closed at the next block."""
         tag, _, kind = found[i]
-        last = ends.get(i, n)
-        if i in ends and (kind in ("beside", "sidebar") or tag in ("aside", "nav", "footer", "menu", "dialog")):
-            return last
-        k = bisect_right(bodies, i)
-        return min(last, bodies[k]) if k < len(bodies) else last
+        if certain[i] and (kind in ("beside", "sidebar") or tag in ("aside", "nav", "footer", "menu", "dialog")):
+            return ends[i]
+        if not certain[i] and kind != "apart":
+            return first_in(blocks, i, ends[i])
+        return first_in(bodies, i, ends[i])
 
     def outside(kinds: tuple[str, ...]) -> list[int]:
         """Running number of words in no element of these kinds, by piece."""
@@ -98,12 +148,14 @@ def left_out(found: list[tuple[str, str, str | None]]) -> list[bool]:
     others = words[-1] > 0
     if not others:
         words = outside(("apart",))
+    every = outside(("apart",))
     out, until = [], 0
     for i, (_, _, kind) in enumerate(found):
         if kind and i >= until:
             last = end(i)
-            inside = words[ends.get(i, n)] - words[i]
-            if kind == "apart" or kind == "beside" and others or 2 * inside <= words[-1]:
+            inside = words[min(last, ends[i])] - words[i]
+            heading = first_in(headings, i, n) < last and 2 * (every[last] - every[i]) > every[-1]
+            if kind == "apart" or kind == "beside" and others and not heading or 2 * inside <= words[-1] and not heading:
                 until = last
         out.append(i < until)
     return out
@@ -127,11 +179,19 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
         yield tag, text, not out
 
 
-def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, dict[str, float], float]:
-    """Weights of a word that may be content, of each tag, and of tags never seen: log odds of standing inside the
-    content, smoothed by one; tags at most -0.1, so they score negative. Words in an element left out score
-    nothing: content goes on after it."""
-    words, tags = [1, 1], {}
+def in_links(found: list[tuple[str, str, bool]]) -> Iterator[bool]:
+    """Whether each piece lies in a link."""
+    inside = False
+    for tag, _, _ in found:
+        inside = tag == "a" or inside and tag != "/a"
+        yield inside
+
+
+def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, float, dict[str, float], float]:
+    """Weights of a word that may be content, of one in a link, of each tag, and of tags never seen: log odds of
+    standing inside the content, smoothed by one; tags and words in links at most -0.1, so they score negative.
+    Words in an element left out score nothing: content goes on after it."""
+    words, links, tags = [1, 1], [1, 1], {}
     for page in pages:
         text = "".join(x for _, x in page)
         ends, at = [], 0
@@ -139,35 +199,42 @@ def learn_weights(pages: list[list[tuple[bool, str]]]) -> tuple[float, dict[str,
             at += len(x)
             ends.append((at, inside))
         at = 0
-        for tag, run, kept in pieces(text):
+        found = list(pieces(text))
+        for (tag, run, kept), link in zip(found, in_links(found), strict=True):
             # The piece's place is that of its text or of its tag, found in order.
             at = text.index(run if not tag else f"<{tag}", at)
             inside = next(i for end, i in ends if at < end)
             if tag:
                 tags.setdefault(tag.lstrip("/"), [1, 1])[inside] += 1
-            elif kept:
-                words[inside] += len(run.split())
+            elif kept or link:
+                (links if link else words)[inside] += len(run.split())
     odds = lambda n: log(n[1] / n[0])
-    return odds(words), {t: min(-0.1, odds(n)) for t, n in tags.items()}, -0.5
+    return odds(words), min(-0.1, odds(links)), {t: min(-0.1, odds(n)) for t, n in tags.items()}, -0.5
 
 
-WORD, TAG, TAG_UNSEEN = learn_weights(PAGES)
+WORD, LINK_WORD, TAG, TAG_UNSEEN = learn_weights(PAGES)
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its blocks in page order, one a line, white space inside a block as one space."""
-    if not page:
-        return ""
-    found = list(pieces(page))
+def best_region(found: list[tuple[str, str, bool]]) -> tuple[int, int]:
+    """The contiguous run of pieces of largest summed weight."""
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (tag, text, kept) in enumerate(found):
-        total += TAG.get(tag.lstrip("/"), TAG_UNSEEN) if tag else WORD * kept * len(text.split())
+    for i, ((tag, text, kept), link) in enumerate(zip(found, in_links(found), strict=True)):
+        total += TAG.get(tag.lstrip("/"), TAG_UNSEEN) if tag else (LINK_WORD if link else WORD) * kept * len(text.split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
+    return span
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: its blocks in page order, one a line, white space inside a block as one space."""
+    if not page:
+        return ""
+    found = list(pieces(page))
+    lo, hi = best_region(found)
     lines, line = [], []
-    for tag, text, kept in found[span[0] : span[1]]:
+    for tag, text, kept in found[lo:hi]:
         if not tag:
             if kept:
                 line.append(text)

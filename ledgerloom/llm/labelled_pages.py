@@ -36,4 +36,9 @@ PAGES: list[list[tuple[bool, str]]] = [
         (True, "<article><h1>The old mill</h1><p>The mill stood empty for thirty years until a baker from the next village bought it.</p><p>Its wheel turns again, and on Sundays it may be seen at work.</p></article>"),
         (False, '<aside><article><h3><a href="/t1">A teaser</a></h3><p>Read on.</p></article><article><h3><a href="/t2">Another teaser</a></h3></article></aside></body>'),
     ],
+    [
+        (False, '<body><div><span>The Valley Post</span></div><div>Tuesday, late edition</div><div><span>Four minutes</span></div><div><a href="/1">Valley</a> <a href="/2">Coast</a></div>'),
+        (True, "<div><h1>A ferry returns</h1><p>After eleven years the ferry crosses the bay again, four times a day and once at night.</p><p>Its first passengers were two farmers and a school class.</p></div>"),
+        (False, "<div>Copyright of the publisher</div><div>Printed in the valley</div><div><span>All rights reserved</span></div></body>"),
+    ],
 ]

@@ -85,12 +85,15 @@ class LanguageModel:
 
         table = np.vstack([self.table, np.zeros((1, self.table.shape[1]), np.float32)])  # the last row for places without an n-gram
 
-        def score(parts: list[tuple[int, np.ndarray]]) -> None:
-            p = np.concatenate([x for _, x in parts] + [np.zeros(max(GRAMS) - 1, np.uint32)])
-            sizes = np.array([len(x) for _, x in parts])
-            rows, first = np.array([i for i, _ in parts]), np.cumsum(sizes) - sizes
+        def score(parts: list[tuple[int, np.ndarray, int]]) -> None:
+            p = np.concatenate([x for _, x, _ in parts] + [np.zeros(max(GRAMS) - 1, np.uint32)])
+            sizes = np.array([len(x) for _, x, _ in parts])
+            rows, first = np.array([i for i, _, _ in parts]), np.cumsum(sizes) - sizes
+            # What a piece has beyond its own places begins n-grams of the next one.
+            again = np.concatenate([np.arange(len(x)) >= own for _, x, own in parts])
             for n in GRAMS:
                 h = gram_buckets(p, n)[: sizes.sum()]
+                h[again] = -1
                 np.add.at(grams, rows, np.add.reduceat(h >= 0, first, dtype=np.int64))
                 np.add.at(sums, rows, np.add.reduceat(np.take(table, h, axis=0, mode="wrap"), first, axis=0))
 
@@ -99,9 +102,9 @@ class LanguageModel:
             p = code_points(text)
             letters[i] = p.any()
             p = np.concatenate([[np.uint32(0)], p, [np.uint32(0)]])
-            # A cut inside a very long text keeps its n-grams but for those across the cut, one in a million.
+            # Pieces of a very long text overlap, so that n-grams across a cut are whole in the first.
             for at in range(0, len(p), PIECE):
-                held.append((i, p[at : at + PIECE]))
+                held.append((i, p[at : at + PIECE + max(GRAMS) - 1], min(PIECE, len(p) - at)))
                 size += len(held[-1][1])
                 if size >= PIECE:
                     score(held)
@@ -178,14 +181,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, seed: int = 3) -> LanguageModel:
-    """Fits on (doc_id, text, lang) rows with a text and a lang, ROWS_PER_LANG of each language. Ranks come from
-    narrow rows and Spark limits each language before the shuffle; a row sends CHARS_PER_ROW characters."""
+    """Fits on (doc_id, text, lang) rows with a text and a lang, ROWS_PER_LANG of each language. Rows are picked by id
+    alone, limited by Spark before the shuffle; of those picked, a bounded number, CHARS_PER_ROW characters are sent."""
     rows = docs.filter("lang is not null and text is not null and length(trim(text)) > 0")
     place = F.xxhash64("doc_id", F.lit(seed))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     start = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.length("text") - CHARS_PER_ROW)) + 1).cast("int")
     sent = rows.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(CHARS_PER_ROW)).alias("text"))
-    got = sent.withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).orderBy("lang", "k").select("text", "lang").toArrow()
+    picked = rows.select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
+    # Picked are ROWS_PER_LANG ids of each language at most; an id that repeats is limited once more.
+    picked = sent.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+    got = picked.withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).orderBy("lang", "k").select("text", "lang").toArrow()
     return train(got["text"].to_pylist(), got["lang"].to_pylist(), seed) if got.num_rows else LanguageModel([UNKNOWN], np.zeros((BUCKETS, 2), np.float32), np.zeros(2), 1.0, 0.0)
 
 

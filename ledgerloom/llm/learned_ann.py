@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.vectors import answers, blocks, finite, first_of_equal, renamed, unpack
-from ledgerloom.llm.shared import lean
+from ledgerloom.llm.shared import lean, saved
 
 #: Rows of the sample on which the index is fitted (of those with the smallest seeded hash), neighbours of its
-#: graph, rows of a part aimed at, largest number of parts, rows packed together.
-SAMPLE_ROWS, NEIGHBOURS, PART_ROWS, MAX_PARTS, BLOCK_ROWS = 8192, 16, 1024, 256, 2048
+#: graph, rows of a part aimed at (of the table, and of the sample), rows packed together.
+SAMPLE_ROWS, NEIGHBOURS, PART_ROWS, PART_SAMPLE, BLOCK_ROWS = 8192, 16, 128, 32, 2048
 #: Share of the nearest rows that routing must find on unseen rows of the sample, and the share held back for that.
 TARGET, HELD = 0.96, 0.2
 
@@ -148,7 +148,7 @@ def fit_index(df: DataFrame, rows: int, k: int, seed: int = 7) -> Index | None:
     x = np.unique(np.array([v for v in sample.to_pylist() if len(v) == dim], np.float64), axis=0)
     rng = np.random.default_rng(seed)
     parts = 1
-    while parts * 2 <= min(MAX_PARTS, max(1, rows // PART_ROWS), max(1, len(x) // 16)):
+    while parts * 2 <= min(rows // PART_ROWS, len(x) // PART_SAMPLE):
         parts *= 2
     x = x[rng.permutation(len(x))]
     scale = float(np.sqrt((x**2).mean())) * 4 / dim**0.5 or 1.0
@@ -185,25 +185,40 @@ def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
     return df.select("vec_id", "vector").mapInArrow(lean(run), f"vec_id long, vector {kind}, part long")
 
 
+def fewest(sizes: list[int], rows: int) -> int:
+    """How many parts hold ``rows`` rows for certain, whichever they are; all parts if none do."""
+    total = 0
+    for n, size in enumerate(sorted(sizes), 1):
+        total += size
+        if total >= rows:
+            return n
+    return len(sizes)
+
+
 def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found (largest inner product) for each query among docs,
-    the query's own id left out. Few rows make one part, which holds all candidates. Both sides: vec_id long,
-    vector array<float or double>.
+    the query's own id left out. Both sides: vec_id long, vector array<float or double>.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
-    an id. Equal vectors are searched once; of those beyond the k + 1 smallest ids none can be an answer. Parts
-    are packed into blocks of BLOCK_ROWS, so a part that most rows fall into is many blocks, not one task."""
+    an id. Equal vectors are searched once; of those beyond the k + 1 smallest ids none can be an answer. One id with
+    several vectors is several candidates of that id, of which the best counts; as a query its smallest vector counts.
+    So many parts are searched that k others are found where there are as many of the query's length. A part is dealt
+    out in blocks of BLOCK_ROWS by its measured size, so one that most rows fall into is many tasks' work. Scores are
+    summed pair by pair, so they don't depend on the block."""
     usable = F.col("vec_id").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0)
     docs, queries = docs.filter(usable).distinct(), queries.filter(usable).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    docs = first_of_equal(docs, k + 1)
+    docs = saved(first_of_equal(docs, k + 1), "vectors")
     rows = docs.count()
     index = fit_index(docs, rows, k)
     if index is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     reps = queries.groupBy("vector").agg(F.min("vec_id").alias("rep"))
     asked = queries.join(reps, "vector").select(F.col("vec_id").alias("query_id"), "rep")
-    salts = max(1, rows // (BLOCK_ROWS * index.parts))
-    salted = routed(docs, index, False).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
+    placed = saved(routed(docs, index, False), "parts")
+    sizes = dict(placed.groupBy("part").agg(F.count("*")).collect())  # a row for each of at most SAMPLE_ROWS / PART_SAMPLE parts
+    index.probes = min(index.parts, max(index.probes, fewest([sizes.get(p, 0) for p in range(index.parts)], k + 1)))
+    salts = docs.sparkSession.createDataFrame([(p, n // BLOCK_ROWS + 1) for p, n in sizes.items()], "part long, salts long")
+    salted = placed.join(F.broadcast(salts), "part").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts")).select("vec_id", "vector", "part", "salt")
     packed = blocks(salted.repartition("part", "salt").sortWithinPartitions("part"), BLOCK_ROWS, "<f8", part=True)
     asks = blocks(routed(reps.withColumnRenamed("rep", "vec_id"), index, True).repartition("part").sortWithinPartitions("part"), 1024, "<f8", part=True)
     pairs = renamed(packed, "c").join(renamed(asks, "q"), F.col("c_part") == F.col("q_part")).filter("c_dim = q_dim")
@@ -215,7 +230,9 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 s = q @ mat.T
                 m = min(k + 1, s.shape[1])
                 i, j = np.nonzero(s >= np.partition(s, s.shape[1] - m, axis=1)[:, -m][:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["rep", "vec_id", "score"])
+                for at in range(0, len(i), 1 << 16):
+                    a, c = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[c]), pa.array(np.einsum("ij,ij->i", q[a], mat[c]))], names=["rep", "vec_id", "score"])
 
     hits = pairs.select("q_ids", "q_mat", "q_dim", "c_ids", "c_mat", "c_dim").mapInArrow(lean(run), "rep long, vec_id long, score double")
     return answers(hits, asked, k, "double")

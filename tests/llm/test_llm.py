@@ -243,6 +243,84 @@ def test_html_layout_and_articles_beside():
         assert H4.main_text(page) == want, page
 
 
+BODY = "".join(f"<p>Sentence {i} of the real article goes on for some words here.</p>" for i in range(6))
+LINKS = "<div>" + "".join(f'<a href="/{i}">Some other page number {i}</a> ' for i in range(12)) + "</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><ul><li class="menu-item">x</ul>{BODY}',
+    f'<body><div class="ad">Buy now<div class="story">{BODY}</div></body>',
+    f'<body><nav><a href=/>Home</a></nav><div class="related-story-page"><main>{BODY}</main></div><footer>c</footer></body>',
+    f"<body>{LINKS}<div>{BODY}</div>{LINKS}</body>",
+    f'<body><p class="notice">Old browser{BODY}',
+    f'<body><article>{BODY}</article><div id="comments"><article class="comment-body"><p>{"long words " * 300}</p></article></div>',
+])
+def test_html_malformed_markup_and_unmarked_links(page):
+    assert H4.main_text(page) == "\n".join(f"Sentence {i} of the real article goes on for some words here." for i in range(6))
+
+
+def test_html_the_scan_decides(monkeypatch):
+    page = f"<body>{LINKS}<div>{BODY}</div>{LINKS}</body>"
+    assert "number" not in H4.main_text(page)
+    monkeypatch.setattr(H4, "best_region", lambda found: (0, len(found)))
+    assert "number" in H4.main_text(page)
+
+
+def test_html_time_grows_with_the_page(monkeypatch):
+    import time
+
+    for piece in ("<a ", "<", '<script "', "<b>", "<p class=notice>", "<div>", "<!--"):
+        t = time.process_time()
+        H4.main_text(piece * 50_000)
+        assert time.process_time() - t < 5
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, f"<p>{'a b c ' * 9}</p>", 5, "old"), (2, None, 6, "x")], "page_id long, html string, n_chars int, text string")
+    got = sorted(H4.extract_content(df).collect())
+    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, ("a b c " * 9).strip(), 53), (2, "", 0)]
+
+
+def test_language_id_counts_across_cuts(monkeypatch):
+    rng = random.Random(2)
+    texts = [text(rng, 400) for _ in range(6)]
+    model = L3.train(texts, ["a", "b"] * 3, epochs=1)
+    whole, _ = model.logits(texts)
+    monkeypatch.setattr(L3, "PIECE", 64)
+    cut, _ = model.logits(texts)
+    assert np.allclose(whole, cut)
+
+
+def test_ann_uses_parts_and_answers_in_full(spark):
+    """Parts on a small table, answers for all queries, ties by id, repeated rows once, clashing columns left."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((8, 12)) * 3
+    x = [(int(i), [float(v) for v in centres[i % 8] + rng.standard_normal(12)]) for i in range(600)]
+    x += [(600, x[0][1]), (601, x[0][1]), x[5]]
+    df = spark.createDataFrame(x, "vec_id long, vector array<double>").withColumn("part", F.lit(1)).withColumn("salt", F.lit(2))
+    index = A1.fit_index(df.select("vec_id", "vector"), 600, 20)
+    assert index.parts >= 4
+    got = A1.ann_search(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    mats = {i: np.array(v) for i, v in x}
+    assert set(found) == {i for i in mats if i % 20 == 0} and all(len(v) == 20 for v in found.values())
+    right = 0
+    for q, rows in found.items():
+        want = sorted(((-float(np.einsum("i,i->", mats[q], v)), i) for i, v in mats.items() if i != q))[:20]
+        right += len({i for _, i in want} & {i for _, i, _ in rows})
+        assert all(abs(s - float(mats[q] @ mats[i])) < 1e-9 for _, i, s in rows) and [r for r, _, _ in sorted(rows)] == list(range(1, 21))
+    assert right >= 0.9 * 20 * len(found)
+
+
+def test_exact_topk_of_large_components(spark):
+    rows = [(i, [10**10 + i, -i, 3]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").withColumn("n", F.lit(1)).withColumn("slot", F.lit(1))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in T2.exact_topk(df.select("vec_id", F.transform("vector", lambda x: F.when(x > 10**9, x - 9 * 10**9).otherwise(x)).alias("vector"), "n", "slot"), df.limit(0).select("vec_id", "vector").unionByName(spark.createDataFrame([(1, [3 * 10**9, 0, 0])], "vec_id long, vector array<long>")), 3).collect()}
+    assert [got[1, r] for r in (1, 2, 3)] == [(i, 3 * 10**9 * (10**9 + i)) for i in (39, 38, 37)]
+
+
 def test_url_filter(spark):
     urls = {
         1: "https://Example.ORG/es/a?x", 2: "http://m.example.org/en/123#t", 3: "http://example.org/fr/", 4: "http://a.b.com/de/1", 5: "http://x.com/fr/", 6: "http://x.net/fr/", 7: None, 8: "no scheme", 9: "http://org",
