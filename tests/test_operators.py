@@ -237,7 +237,7 @@ def test_near_links_has_no_rank_limit(spark):
 
 def test_greedy_diverse_is_the_plain_greedy_choice(spark):
     from ledgerloom.operators.designs import greedy_diverse
-    from ledgerloom.plans.register import QUERIES
+    from ledgerloom.plans.registry import QUERIES
 
     assert greedy_diverse([("a", 1, 10), ("a", 2, 9), ("b", 1, 8), ("b", 3, 7), ("c", 1, 6)], 3) == [("a", 1, 10), ("b", 3, 7)]
     d = "/root/testdata/sf0.001"
