@@ -139,7 +139,7 @@ def list_pairs(rows: list[np.ndarray], t: int, final: bool, long: int = 0) -> tu
                 continue
             step = max(1, AT_ONCE // m)
             for at in range(lo, hi, step):
-                i, j = np.nonzero(component[at : at + step, None] != component[None, at:hi])
+                i, j = np.nonzero(component[at : min(at + step, hi), None] != component[None, at:hi])
                 i, j = i + at, j + at
                 ok = (i < j) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
