@@ -174,7 +174,7 @@ def write_records(df: DataFrame, encoder: Callable[[], tuple[Callable[[list[str
     again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twin"))
     if not again.isEmpty():
         docs, tie = docs.join(again, F.col("doc_id").eqNullSafe(F.col("twin")), "left"), F.when(F.col("twin").isNotNull() | F.col("doc_id").isNull(), F.col("text"))
-    coded = saved(docs.select("doc_id", "text", tie.alias("tie")).mapInArrow(lean(code), "doc_id long, width int, ids binary, tie string"), "token-ids")
+    coded = saved(docs.select("doc_id", "text", tie.alias("tie")).mapInArrow(lean(code), "doc_id long, width int, ids binary, tie string"), "token-ids", compression="zstd")
     files = files or int((coded.agg(F.sum(F.length("ids"))).first()[0] or 0) // FILE_BYTES) + 1
     dealt = coded.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     with shuffles_dropped(spark):

@@ -95,7 +95,7 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df written as a table of the shared folder and read back: its lineage ends here and a lost executor
     costs no recomputation of what came before."""
     spark = df.sparkSession
@@ -103,5 +103,5 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     for made in _watching:
         made.append(path)
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
