@@ -22,6 +22,8 @@ from ledgerloom.llm.shared import bounded_batches, lean
 #: Fitting: rows of each language (of smallest seeded hash) and characters of each row (from a seeded place) that
 #: are sent to the driver; share of these rows kept for calibration.
 ROWS_PER_LANG, CHARS_PER_ROW, CALIBRATION = 700, 1200, 0.25
+#: Rows of a language that are ranked, as a multiple of those sent.
+NEAR = 4
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
 #: Rejected are texts less probable than all but this share of the calibration rows, and never above MOST.
 REJECT_SHARE, MOST = 0.001, 0.25
@@ -182,13 +184,16 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, seed: int = 3) -> LanguageModel:
     """Fits on (doc_id, text, lang) rows with a text and a lang, ROWS_PER_LANG of each language. Rows are picked by id
-    alone, limited by Spark before the shuffle; of those picked, a bounded number, CHARS_PER_ROW characters are sent."""
+    alone: only those whose hash lies in the lowest share, about NEAR * ROWS_PER_LANG of a language however many rows
+    and tasks there are, are ranked. Of those picked, a bounded number, CHARS_PER_ROW characters are sent."""
     rows = docs.filter("lang is not null and text is not null and length(trim(text)) > 0")
     place = F.xxhash64("doc_id", F.lit(seed))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     start = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.length("text") - CHARS_PER_ROW)) + 1).cast("int")
     sent = rows.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(CHARS_PER_ROW)).alias("text"))
-    picked = rows.select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # a row a language, as the model has a column
+    near = place / F.lit(2.0**64) + 0.5 <= F.lit(float(NEAR * ROWS_PER_LANG)) / F.col("rows")
+    picked = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(near).withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
     # Picked are ROWS_PER_LANG ids of each language at most; an id that repeats is limited once more.
     picked = sent.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
     got = picked.withColumn("k", rank).filter(F.col("k") <= ROWS_PER_LANG).orderBy("lang", "k").select("text", "lang").toArrow()
