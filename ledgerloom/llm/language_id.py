@@ -25,8 +25,9 @@ ROWS_PER_LANG, CHARS_PER_ROW, CALIBRATION = 700, 1200, 0.25
 #: Rows of a language that are ranked, as a multiple of those sent.
 NEAR = 4
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
-#: Rejected are texts less probable than all but this share of the calibration rows, and never above MOST.
-REJECT_SHARE, MOST = 0.001, 0.25
+#: Rejected are texts less probable than all but this share of the calibration rows and of short stretches of them,
+#: but none that is more probable than so many times chance; a fit of too few rows to calibrate rejects below chance.
+REJECT_SHARE, TIMES_CHANCE = 0.005, 2.0
 UNKNOWN = "und"
 #: Code points scored at once.
 PIECE = 1 << 20
@@ -167,13 +168,13 @@ def train(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, ra
             # The mean's gradient reaches a bucket by its share; scaled as if each gram had weight one.
             emb[u] -= lr * np.minimum(1.0, share * len(u)) * ge
             done += 1
-    model = LanguageModel(names, (emb @ w).astype(np.float32), b, 1.0, 0.0)
+    model = LanguageModel(names, (emb @ w).astype(np.float32), b, 1.0, 1 / (len(names) + 1))
     if cut:
         z, _ = model.logits([texts[i] for i in held] + [stretch(texts[i]) for i in held])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(2 * cut), np.tile(y[held], 2)] + 1e-12).mean()
         model.temperature = min((float(t) for t in np.geomspace(0.2, 20, 61)), key=loss)
         score = softmax(z / model.temperature)[:, : len(names)].max(axis=1)
-        model.threshold = float(min(MOST, np.quantile(score, REJECT_SHARE)))
+        model.threshold = float(min(TIMES_CHANCE / (len(names) + 1), np.quantile(score, REJECT_SHARE)))
     return model
 
 

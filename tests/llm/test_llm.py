@@ -204,7 +204,12 @@ def test_language_id(spark):
     held = [got[i] for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1000, 1001, 1002))
-    assert got[1003].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values()) and got[1004].score < 0.5
+    assert got[1003].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values()) and got[1004].rejected
+    unlearned = frame(spark, [(1, "Это русский текст о погоде и политике " * 3, None)], docs.schema)
+    assert L3.identify(unlearned, model).first().rejected
+    assert np.mean([got[i].rejected for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]) < 0.02
+    few = L3.fit(docs.limit(12))
+    assert few.threshold == 1 / (len(few.langs) + 1)
     assert L3.identify(docs, L3.fit(docs.limit(0))).first().lang_pred == "und"
 
 
