@@ -30,7 +30,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct chunks whose ids a task keeps before it forgets them all; chunks encoded in one go.
-CHUNKS_KEPT, CHUNKS_AT_ONCE = 100_000, 200
+CHUNKS_KEPT, CHUNKS_AT_ONCE = 100_000, 50
 THREADS = 2
 
 
@@ -118,8 +118,12 @@ def normaliser(m: PieceModel) -> normalizers.Normalizer:
     return normalizers.Sequence(steps)
 
 
-def decoder(m: PieceModel) -> decoders.Decoder:
+def decoder(m: PieceModel, late: bool = False) -> decoders.Decoder:
+    """``late``: markers become spaces once in the whole text, not in every piece; the same but for ids that spell
+    the marker in single bytes."""
     steps = [decoders.Replace(MARK, " ")] + [decoders.ByteFallback()] * m.byte_fallback + [decoders.Fuse()]
+    if late:
+        steps = steps[1:] + steps[:1]
     return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * m.dummy_prefix)
 
 
@@ -143,8 +147,17 @@ class Codec:
         self.dtype = f"<u{self.width}"
         self.line = self.own.encode("\n")
         self.newline = self.whole.encode("\n", add_special_tokens=False).ids[-1]
+        marker = f"<0x{MARK.encode()[0]:02X}>"
+        self.spells = {i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE and p == marker}
         self.forget()
 
+    @cached_property
+    def late(self) -> Tokenizer:
+        """For decoding ids that can't spell the marker in bytes."""
+        t = rebuild(self.model)
+        t.decoder = decoder(self.model, late=True)
+        return t
+
     @cached_property
     def whole(self) -> Tokenizer:
         """With normaliser and decoder, for texts that aren't cut and for decoding."""
@@ -163,19 +176,20 @@ class Codec:
     def encode_chunks(self, new: list[str]) -> dict[str, bytes]:
         """Ids of chunks by the rebuilt tokenizer; those that sentencepiece encodes otherwise are noted."""
         out: dict[str, bytes] = {}
-        wants = self.own.encode(["\n" + c.replace(MARK, " ") for c in new], num_threads=1)
-        skip, at = len(self.line), 0
         parts = [new[i : i + CHUNKS_AT_ONCE] for i in range(0, len(new), CHUNKS_AT_ONCE)]
-        for part, e in zip(parts, self.bare.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, self.dtype)
+        lines = ["\n".join(p) for p in parts]
+        wants = self.own.encode(["\n" + x.replace(MARK, " ") for x in lines], num_threads=1)
+        skip, w = len(self.line), self.width
+        for part, e, want in zip(parts, self.bare.encode_batch_fast(lines, add_special_tokens=False), wants, strict=True):
+            mine = e.ids
+            ids = np.asarray(mine, self.dtype)
             # No piece reaches over a line end, so its ids stand between those of the chunks.
-            cuts = [0, *np.nonzero(ids == self.newline)[0].tolist(), len(ids)]
-            flat, w = ids.tobytes(), self.width
-            out.update((c, flat[(i + (i > 0)) * w : j * w]) for c, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
-            mine = [x[skip:] for x in wants[at : at + len(part)]]
-            at += len(part)
-            if e.ids != [i for k, x in enumerate(mine) for i in ([self.newline] * (k > 0) + x)]:
-                self.wrong.update(c for c, x in zip(part, mine, strict=True) if out[c] != self.pack(x))
+            ends = (np.nonzero(ids == self.newline)[0] * w).tolist()
+            flat = ids.tobytes()
+            out.update(zip(part, [flat[i:j] for i, j in zip([0, *(x + w for x in ends)], [*ends, len(flat)], strict=True)], strict=True))
+            if mine != want[skip:]:
+                each = self.own.encode(["\n" + c.replace(MARK, " ") for c in part], num_threads=1)
+                self.wrong.update(c for c, x in zip(part, each, strict=True) if out[c] != self.pack(x[skip:]))
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
@@ -187,13 +201,13 @@ class Codec:
         cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.kept) > CHUNKS_KEPT:
             self.forget()
-        new = list({c for cs in cut for c in cs if c not in self.kept})
+        new = list(set().union(*cut).difference(self.kept))
         for lo in range(0, len(new), CHUNKS_KEPT):
             self.kept.update(self.encode_chunks(new[lo : lo + CHUNKS_KEPT]))
         return [b"".join(map(self.kept.__getitem__, cs)) for cs in cut], [not self.wrong or self.wrong.isdisjoint(cs) for cs in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return [(self.late if self.spells.isdisjoint(x) else self.whole).decode(x, skip_special_tokens=False) for x in ids]
 
 
 _codecs: dict[str, Codec] = {}

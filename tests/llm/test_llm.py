@@ -446,6 +446,16 @@ def test_sentencepiece_round_trip_of_the_marker(spark):
     assert [got[i].round_trip for i in range(4)] == [back[i] == t for i, t in enumerate(texts)] == [True, False, False, False]
 
 
+def test_decoding_of_markers_spelt_in_bytes():
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    spelt = [own.piece_to_id(f"<0x{b:02X}>") for b in "▁".encode()]
+    ids = [own.encode("one two"), own.encode("a") + spelt + own.encode("b"), spelt, [], own.encode("x\n  é ☃")]
+    assert S5.codec(path).decode(ids) == [own.decode(x) for x in ids]
+
+
 def test_unigram_rebuild_without_chunks():
     m = S5.PieceModel([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁", -2.0, 1), ("a", -2.5, 1), ("▁ab", -1.2, 1)], kind=S5.UNIGRAM, trim=True)
     t = S5.rebuild(m)
