@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.llm.alignment import align_tokenizers
+from ledgerloom.llm.exact_dedup import exact_duplicates
 from ledgerloom.llm.exact_topk import exact_topk
 from ledgerloom.llm.html_content import extract_content
+from ledgerloom.llm.importance import importance_draw
 from ledgerloom.llm.jaccard_join import similar_components
 from ledgerloom.llm.language_id import fit, held_out, identify
 from ledgerloom.llm.learned_ann import ann_search
@@ -114,5 +117,25 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
     (whole * size + greatest(0, least(size, round(target - whole * source_size)::BIGINT - start)))::BIGINT AS taken FROM j
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op5_sentencepiece": op5_sentencepiece, "op6_token_records": op6_token_records, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL}
+
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, min_words=20, seed="2024")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), a or vocabulary("byte_bpe_50k.json"), b or vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_learned_ann": op1_learned_ann, "op2_exact_topk": op2_exact_topk, "op3_language_id": op3_language_id, "op4_html_content": op4_html_content, "op5_sentencepiece": op5_sentencepiece, "op6_token_records": op6_token_records, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op11_exact_dedup": op11_exact_dedup, "op12_importance_resampling": op12_importance_resampling, "op13_tokenizer_alignment": op13_tokenizer_alignment}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_exact_dedup": OP11_SQL}
