@@ -28,6 +28,8 @@ from ledgerloom.llm.shared import bounded_batches, lean, saved
 BLOCK_ROWS, CHUNKS_KEPT = 1000, 250_000
 #: A chunk ends where white space of these kinds follows anything that isn't white space.
 CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
+#: Chunks of this form are encoded so many at once.
+WORD, TOGETHER = re.compile(r" \S+"), 50
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -66,7 +68,8 @@ class Aligner:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.b.get_piece_size())]
         self.n_a, self.n_b = n, len(self.bytes_b)
         self.len_a, self.len_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.say_a, self.say_b = [str(i) for i in range(self.n_a)], [str(i) for i in range(self.n_b)]
+        # Ids as text with what may follow them: A's , and |, B's , and ; and a chunk's end.
+        self.say = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;\n")) for end in ends for i in range(n)]
         # Of pieces with the same bytes, one that isn't a single byte's.
         same: dict[bytes, int] = {}
         for i in sorted(range(self.n_b), key=lambda i: (self.b.is_byte(i), i)):
@@ -76,7 +79,9 @@ class Aligner:
         with open(path_a) as f:
             first = json.load(f)
         plain = first.get("normalizer") is None and {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= (first.get("pre_tokenizer") or {}).items()
-        self.by_chunks = plain and self.piece.by_chunks
+        lines = self.a.encode("\n", add_special_tokens=False).ids
+        self.by_chunks = plain and self.piece.by_chunks and len(lines) == 1
+        self.line_a = lines[0] if self.by_chunks else -1
         self.skip = len(self.piece.line)
         self.forget()
 
@@ -92,46 +97,76 @@ class Aligner:
             return []
         return CHUNK.findall(" " + text) if self.by_chunks else [" " + text]
 
-    def encode_b(self, chunks: list[str]) -> list[list[int]]:
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
         if not self.by_chunks:
-            return self.b.encode([c[1:] for c in chunks], num_threads=1)
+            return self.b.encode([c[1:] for c in texts], num_threads=1)
         # A line end is a piece of its own, so what follows is encoded as it is, without the space put before a text.
-        return [x[self.skip :] for x in self.b.encode(["\n" + c for c in chunks], num_threads=1)]
+        return [x[self.skip :] for x in self.b.encode(["\n" + c for c in texts], num_threads=1)]
+
+    def encode(self, chunks: list[str], together: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either side, the ids of all chunks in a row and how many each has. Chunks that are one space and a word
+        may go together, with a line end between them that is a token of its own on both sides."""
+        lines = ["\n".join(chunks[i : i + together]) for i in range(0, len(chunks), together)]
+        out = []
+        for lists, line_end in (([e.ids for e in self.a.encode_batch_fast(lines, add_special_tokens=False)], self.line_a), (self.encode_b(lines), self.piece.newline)):
+            if together == 1:
+                out.append((np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))))
+                continue
+            ids = np.fromiter(chain.from_iterable(chain(x, (line_end,)) for x in lists), np.int64)
+            ends = np.nonzero(ids == line_end)[0]
+            out.append((ids[ids != line_end], np.diff(ends, prepend=-1) - 1))
+        return out
+
+    def spelt(self, sides: list[tuple[np.ndarray, np.ndarray]], chunks: list[str]) -> np.ndarray:
+        """Whether the bytes of both sides' tokens are each chunk's."""
+        want = [c.encode() for c in chunks]
+        ends, whole, good = joined(np.fromiter(map(len, want), np.int64, len(want))), b"".join(want), np.ones(len(want), bool)
+        for (ids, counts), table, lengths in zip(sides, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True):
+            at, got = joined(lengths[ids])[joined(counts)], b"".join(map(table.__getitem__, ids.tolist()))
+            if got != whole or (at != ends).any():
+                at = at.tolist()
+                good &= np.array([got[i:j] == w for i, j, w in zip(at, at[1:], want, strict=False)], bool)
+        return good
 
     def learn(self, new: list[str]) -> None:
         """Encodes and aligns chunks; those whose tokens don't spell them are noted as bad."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        ids_b = self.encode_b(new)
-        spelt = [x.encode() for x in new]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(ids_a, ids_b, spelt, strict=True)]
-        if not all(good):
-            ids_a, ids_b = ([x if g else [] for x, g in zip(side, good, strict=True)] for side in (ids_a, ids_b))
-        count_a, count_b = (np.fromiter(map(len, side), np.int64, len(new)) for side in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((ids_a, count_a), (ids_b, count_b)))
+        simple = [c for c in new if WORD.fullmatch(c)] if self.by_chunks else []
+        for chunks, together in ((simple, TOGETHER), (sorted(set(new).difference(simple)), 1)):
+            if chunks:
+                self.learn_alike(chunks, together)
+
+    def learn_alike(self, new: list[str], together: int) -> None:
+        (a, count_a), (b, count_b) = sides = self.encode(new, together)
+        good = self.spelt(sides, new)
+        if not good.all():
+            a, b, count_a, count_b = a[np.repeat(good, count_a)], b[np.repeat(good, count_b)], count_a * good, count_b * good
         # All chunks' bytes in a row: a chunk's end is an end on both sides.
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         shared = np.intersect1d(end_a, end_b, assume_unique=True)
         cut_a, cut_b = np.searchsorted(end_a, shared) + 1, np.searchsorted(end_b, shared) + 1
-        chunk_of_group = np.repeat(np.arange(len(new)), count_a)[cut_a - 1] if len(a) else np.zeros(0, np.int64)
+        chunk_of_a = np.repeat(np.arange(len(new)), count_a)
+        chunk_of_group = chunk_of_a[cut_a - 1]
         n_groups = np.bincount(chunk_of_group, minlength=len(new))
         # Tokens of B that overlap each token of A.
         low = np.searchsorted(end_b, end_a - self.len_a[a], "right")
         many = np.searchsorted(end_b, end_a, "left") + 1 - low
         code = np.repeat(a, many) * self.n_b + b[spread(low, many)]
-        chunk = np.repeat(np.repeat(np.arange(len(new)), count_a), many)
+        chunk = np.repeat(chunk_of_a, many)
         n_links = np.bincount(chunk, minlength=len(new))
         whole = self.n_a * self.n_b
         pair, times = np.unique(chunk * whole + code, return_counts=True)
-        say_a, say_b = [self.say_a[i] for i in a.tolist()], [self.say_b[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            groups.append(f"{say_a[i]}|{say_b[j]}" if x - i == 1 and y - j == 1 else f"{','.join(say_a[i:x])}|{','.join(say_b[j:y])}")
-            i, j = x, y
-        at = joined(n_groups).tolist()
+        # Groups as text: A's tokens of a group, then B's, each with what follows it.
+        say = np.empty(len(a) + len(b), np.int64)
+        follow_a, follow_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
+        follow_a[cut_a - 1], follow_b[cut_b - 1] = 1, 3
+        follow_b[cut_b[np.cumsum(n_groups)[n_groups > 0] - 1] - 1] = 4
+        say[np.arange(len(a)) + np.concatenate([[0], cut_b])[np.searchsorted(shared, end_a)]] = np.where(follow_a, self.n_a, 0) + a
+        say[np.arange(len(b)) + cut_a[np.searchsorted(shared, end_b)]] = 2 * self.n_a + (follow_b - 2) * self.n_b + b
+        said = iter("".join(map(self.say.__getitem__, say.tolist())).split("\n"))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.said += [";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        self.said += [next(said) if n else "" for n in n_groups.tolist()]
         self.sizes = np.concatenate([self.sizes, np.stack([count_a, count_b, n_groups, n_links], 1)])
-        self.good = np.concatenate([self.good, np.array(good, bool)])
+        self.good = np.concatenate([self.good, good])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(pair // whole, minlength=len(new)))])
         self.codes, self.times = np.concatenate([self.codes, pair % whole]), np.concatenate([self.times, times])
 
