@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.sources.scratch import written
 
@@ -17,6 +17,36 @@ def tfidf(docs: DataFrame, key: str, words: str) -> DataFrame:
     return tf.join(idf, "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+def word_grams(words: Column) -> Column:
+    """All words and pairs of neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.transform(F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+    return F.concat(words, pairs)
+
+
+def char_grams(words: Column, shortest: int = 3, longest: int = 5) -> Column:
+    """All runs of ``shortest`` to ``longest`` characters inside each word, with a space put before and after it: for
+    texts in scripts without word breaks, or in several."""
+    def runs(padded: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.concat(*[F.flatten(F.transform(F.filter(padded, lambda w: F.length(w) >= n), lambda w: runs(w, n))) for n in range(shortest, longest + 1)])  # noqa: B023
+
+
+def term_weights(docs: DataFrame, key: str, terms: str, min_df: int = 5, max_df: float = 0.6) -> DataFrame:
+    """(key, term, weight) of docs (key, terms array): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document of
+    length 1. Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left out, as are
+    documents without any other."""
+    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg((1 + F.ln(F.count("*"))).alias("tf"))
+    n = docs.agg(F.count("*").alias("n"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    idf = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = written(tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight")), "term-weights")
+    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return raw.join(length, key).select(key, "term", (F.col("weight") / F.col("length")).alias("weight"))
+
+
 def procrustes(df: DataFrame) -> DataFrame:
     """n, rmse and scale of the best rotation or reflection, scaling and shift of (x2, y2) on (x1, y1): from sums of
     products alone. The sum of the singular values of a 2x2 matrix M is sqrt(|M|^2 + 2 |det M|)."""
