@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import expressions as X
 from ledgerloom.operators import agreement as M, contrasts as C, resample as B, standardize as S
+from ledgerloom.operators.batched_fits import bootstrap_contrasts
 from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.register import query
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.tables import table
 
 NESTED = """, cell AS (SELECT model, cluster, count(*) AS r FROM frame GROUP BY ALL), per AS (SELECT model, count(*) AS i FROM cell GROUP BY 1),
@@ -111,12 +113,11 @@ def e11(spark, d):
 
 @query("e15_standardized_intervals")
 def e15(spark, d):
-    """The contrast with its cluster-bootstrap interval: one small fit for each replicate and jurisdiction."""
-    grouped = home_cells(spark, d, ["jurisdiction"])
-    drawn = B.draws(table(spark, d, "orders").select(F.col("o_custkey").alias("cluster")), "cluster", 100, "home")
-    reps = S.bootstrap_g(grouped, drawn, ["jurisdiction"], COVARIATES, "cluster").withColumnRenamed("contrast", "estimate")
+    """The contrast with its interval from 2,000 cluster-bootstrap replicates, fitted in stacks."""
+    grouped = written(home_cells(spark, d, ["jurisdiction"]), "home-cells")
+    reps = bootstrap_contrasts(grouped, "jurisdiction", COVARIATES, "cluster", 2000, 20)
     point = S.g_computation(S.without_cluster(grouped, ["jurisdiction"], COVARIATES), ["jurisdiction"], COVARIATES)
-    return point.join(B.percentile_interval(reps, ["jurisdiction"], 100), "jurisdiction")
+    return point.join(B.percentile_interval(reps, ["jurisdiction"], 2000), "jurisdiction")
 
 
 @query("e16_support_cells", with_frame("SELECT model, cluster, count(*) FILTER (home_status = 'home') AS n_treated, count(*) FILTER (home_status = 'away') AS n_control, count(*) FILTER (home_status = 'home') > 0 AND count(*) FILTER (home_status = 'away') > 0 AS supported FROM (SELECT jurisdiction AS model, l_partkey AS cluster, home_status FROM frame) GROUP BY ALL"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ledgerloom.operators import features as T, matrices as M
+from ledgerloom.functions.expressions import uniform
+from ledgerloom.operators import cross_fit as X, features as T, matrices as M, two_phase as P
+from ledgerloom.plans.queries_design import _SAMPLE, audited
 from ledgerloom.plans.register import query
+from ledgerloom.sources.scratch import written
 from ledgerloom.sources.tables import table
 
 _WORDS_SQL = "regexp_extract_all(lower(text), '[a-z]+')"
-_CHARS_SQL = "SELECT doc_id, substr(w, p::INT, n::INT) AS term FROM (SELECT doc_id, ' ' || unnest(w) || ' ' AS w FROM w), range(3, 6) t(n), range(1, 200) u(p) WHERE p <= length(w) - n + 1"
+_CHARS_SQL = "SELECT doc_id, substr(w, p::INT, n::INT) AS term FROM (SELECT doc_id, w, n, unnest(range(1, length(w) - n + 2)) AS p FROM (SELECT doc_id, ' ' || unnest(w) || ' ' AS w FROM w), range(3, 6) t(n))"
 
 
 def words(spark, d):
@@ -48,3 +51,70 @@ def v10_svd(spark, d):
     scores, sizes = M.truncated_svd(weights, "doc_id", "term", 8)
     length = F.sqrt(sum(F.col(c) * F.col(c) for c in M.thin(8)))
     return scores.select("doc_id", *[F.round(F.try_divide(F.col(c), length), 5).alias(f"z{i}") for i, c in enumerate(M.thin(8))], *[F.lit(round(float(s), 5)).alias(f"size{i}") for i, s in enumerate(sizes[:2])])
+
+
+# Pseudo-outcomes of an audited sample.
+
+SPLITS, FOLDS = 10, 5
+_FOLD = "floor({} * 5)::INT".format("(('0x' || substr(sha256('fold|' || r || '|' || o_custkey), 1, 12))::UBIGINT / 281474976710656.0::DOUBLE)")
+
+
+@query("h12_repeated_logistic")
+def h12_logistic(spark, d):
+    """Ten times five logistic fits on the audited orders, averaged: estimates by priority."""
+    return repeated(spark, d).groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.count_if("drawn").alias("audited"), F.round(F.avg("m"), 6).alias("naive"), F.round(F.avg("pseudo"), 6).alias("estimate"),
+        F.round(F.stddev_samp("pseudo") / F.sqrt(F.count("*")), 6).alias("se"), F.round(F.avg("m_sd"), 6).alias("prediction_sd"),
+    )
+
+
+def repeated(spark, d):
+    df = audited(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.dayofyear("o_orderdate").alias("day")), "o_orderkey")
+    return X.repeated_cross_fit(df, "o_custkey", ["day"], ["o_orderstatus", "o_orderpriority"], "y", "pi", "drawn", FOLDS, SPLITS)
+
+
+@query("h12_fit_diagnostics")
+def h12_diagnostics(spark, d):
+    out = X.cross_fit_diagnostics(repeated(spark, d), "y", "pi", "drawn")
+    return out.withColumns({c: F.round(c, 6) for c in ("weighted_brier", "weighted_log_loss")})
+
+
+@query("b11_two_phase", _SAMPLE.rsplit(", a AS", 1)[0].replace("o_orderkey, o_orderpriority", "o_custkey, o_orderkey, o_orderpriority", 1) + f""",
+e AS (SELECT s.*, r, {_FOLD} AS fold FROM s, range(10) t(r)),
+g AS (SELECT r, o_orderstatus, fold, sum(y) AS s, count(*) AS n FROM e WHERE k <= small GROUP BY ALL),
+o AS (SELECT r, o_orderstatus, fold, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS m FROM g WINDOW w AS (PARTITION BY r, o_orderstatus)),
+q AS (SELECT e.*, m, CASE WHEN k <= small THEN m + (y - m) / (small / big) ELSE m END AS z FROM e JOIN o USING (r, o_orderstatus, fold)),
+sp AS (SELECT o_orderstatus, stddev_samp(estimate) AS split_sd FROM (SELECT r, o_orderstatus, avg(z) AS estimate FROM q GROUP BY ALL) GROUP BY 1),
+p AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, any_value(k <= small) AS drawn, any_value(small / big) AS f, any_value(small) AS size, any_value(y) AS y, avg(m) AS m, any_value(k) - 1 AS k FROM q GROUP BY ALL),
+c AS (SELECT *, CASE WHEN drawn THEN (y - m) / f ELSE 0 END AS corr, CASE WHEN drawn THEN row_number() OVER (PARTITION BY o_orderpriority, drawn ORDER BY o_orderkey) - 1 END AS slot FROM p),
+b AS (SELECT o_custkey AS cluster, o_orderstatus, sum(m + corr) AS a, sum(m + CASE WHEN drawn THEN 1 - sqrt(1 - f) ELSE 1 END * corr) AS s, count(*) AS n FROM c GROUP BY ALL),
+mu AS (SELECT rep, o_orderpriority, floor((('0x' || substr(sha256('b11b|2|' || rep || '|' || o_orderpriority || '|' || slot), 1, 12))::UBIGINT / 281474976710656.0::DOUBLE) * size)::INT AS slot, count(*) AS times FROM c, range(1, 501) t(rep) WHERE drawn AND slot < size - 1 GROUP BY ALL),
+x AS (SELECT rep, o_custkey AS cluster, o_orderstatus, sum(sqrt(1 - f) * size / (size - 1) * times * corr) AS e FROM mu JOIN c USING (o_orderpriority, slot) WHERE drawn GROUP BY ALL),
+idx AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS slot FROM (SELECT DISTINCT cluster FROM b)),
+dr AS (SELECT rep, cluster, count(*) AS mult FROM (SELECT rep, floor((('0x' || substr(sha256('b11b|1|' || rep || '|' || slot), 1, 12))::UBIGINT / 281474976710656.0::DOUBLE) * (SELECT count(*) FROM idx))::INT AS pick FROM idx, range(1, 501) t(rep)) d JOIN idx ON pick = idx.slot GROUP BY ALL),
+es AS (SELECT rep, o_orderstatus, sum(mult * s) AS s, sum(mult * n) AS n FROM b JOIN dr USING (cluster) GROUP BY ALL),
+ex AS (SELECT rep, o_orderstatus, sum(mult * e) AS e FROM x JOIN dr USING (rep, cluster) GROUP BY ALL),
+re AS (SELECT rep, o_orderstatus, (s + coalesce(e, 0)) / n AS r FROM es LEFT JOIN ex USING (rep, o_orderstatus)),
+ok AS (SELECT * FROM re WHERE rep IN (SELECT rep FROM re GROUP BY 1 HAVING count(r) = (SELECT count(DISTINCT o_orderstatus) FROM b))),
+pt AS (SELECT o_orderstatus, sum(a) / sum(n) AS estimate, sum(n)::BIGINT AS n FROM b GROUP BY 1), wi AS (SELECT o_orderstatus, stddev_samp(r) AS within_se FROM ok GROUP BY 1),
+fa AS (SELECT quantile_cont(z, 0.95) AS factor, 500 - count(*) AS failed FROM (SELECT rep, max(coalesce(abs(r - estimate) / within_se, 0)) AS z FROM ok JOIN pt USING (o_orderstatus) JOIN wi USING (o_orderstatus) GROUP BY 1)),
+al AS (SELECT *, sqrt(within_se * within_se + 1.1::DOUBLE * split_sd * split_sd) AS se FROM pt JOIN wi USING (o_orderstatus) JOIN sp USING (o_orderstatus), fa)
+SELECT o_orderstatus, n, round(estimate, 9) AS estimate, round(within_se, 9) AS within_se, round(split_sd, 9) AS split_sd, round(se, 9) AS se, round(estimate - 1.959963984540054::DOUBLE * se, 9) AS low, round(estimate + 1.959963984540054::DOUBLE * se, 9) AS high,
+    round(estimate - factor * se, 9) AS simultaneous_low, round(estimate + factor * se, 9) AS simultaneous_high, round(factor, 9) AS factor, failed FROM al""")
+def b11_two_phase(spark, d):
+    """Means of an audited outcome by status: clusters and audited controls resampled together, 500 times, with the
+    spread over ten fold assignments of cross-fitted cell means."""
+    split = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
+    rows = written(audited(spark, d), "audited")
+    each = rows.withColumn("split", split).withColumn("fold", F.floor(uniform("fold", F.col("split").cast("string"), F.col("o_custkey").cast("string")) * FOLDS).cast("int"))
+    cells = each.filter("drawn").groupBy("split", "o_orderstatus", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    w = Window.partitionBy("split", "o_orderstatus")
+    others = cells.select("split", "o_orderstatus", "fold", ((F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))).alias("m"))
+    each = each.join(F.broadcast(others), ["split", "o_orderstatus", "fold"])  # splits times folds times statuses
+    z = F.col("m") + F.when(F.col("drawn"), (F.col("y") - F.col("m")) / F.col("pi")).otherwise(0.0)
+    points = each.groupBy("split", "o_orderstatus").agg(F.avg(z).alias("estimate"))
+    m = each.groupBy("o_orderkey").agg(F.avg("m").alias("m"))
+    full = rows.join(m, "o_orderkey").withColumns({
+        "correction": F.when(F.col("drawn"), (F.col("y") - F.col("m")) / F.col("pi")).otherwise(0.0), "stratum": F.when(F.col("drawn"), F.col("o_orderpriority")), "fraction": F.when(F.col("drawn"), F.col("pi")),
+    })
+    return P.two_phase_band(full, "o_custkey", "o_orderstatus", "o_orderkey", points, 500, "b11b")

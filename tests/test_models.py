@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features as T, matrices as M
+from ledgerloom.operators import batched_fits as G, cross_fit as X, features as T, matrices as M, standardize as S, two_phase as P
+from ledgerloom.operators.contracts import ContractError
 
 
 @pytest.mark.parametrize("kind", ["decaying", "low rank"])
@@ -49,3 +50,96 @@ def test_char_grams_and_weights(spark):
     idf = {"bcd": math.log(5 / 3) + 1, "a": math.log(5 / 2) + 1, "a bcd": math.log(5 / 2) + 1}
     norm = math.sqrt(sum(v * v for v in idf.values()))
     assert {(r.k, r.term): round(r.weight, 9) for r in w} == {**{(1, t): round(v / norm, 9) for t, v in idf.items()}, (2, "bcd"): 1.0, (4, "漢字"): 1.0}
+
+
+def plain_logistic(x, y, w, penalty):
+    beta, ridge = np.zeros(x.shape[1]), penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
+    return beta
+
+
+def test_repeated_cross_fit_against_single_fits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i // 3, float(rng.normal()) if i % 11 else None, "abc"[rng.integers(3)] if i % 13 else None, bool(rng.random() < 0.5), 0.5 if i % 2 else 0.25) for i in range(240)]
+    rows = [(*r, int(rng.random() < 1 / (1 + math.exp(-(r[2] or 0))))) for r in rows]
+    df = spark.createDataFrame(rows, "id long, issue long, v double, k string, drawn boolean, pi double, y int").repartition(5)
+    got = {r.id: r for r in X.repeated_cross_fit(df, "issue", ["v"], ["k"], "y", "pi", "drawn", folds=4, repeats=3, penalty=0.7).collect()}
+    v = np.array([np.nan if r[2] is None else r[2] for r in rows])
+    mean, sd = np.nanmean(v), np.nanstd(v)
+    x = np.stack([np.ones(240), (np.where(np.isnan(v), mean, v) - mean) / sd, *[np.array([r[3] == c for r in rows], float) for c in "bc"]], 1)
+    drawn, pi, y = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), np.array([r[6] for r in rows], float)
+    for s in range(3):
+        fold = np.array([got[i].fold_by_split[s] for i in range(240)])
+        assert all(len(set(fold[3 * i : 3 * i + 3])) == 1 for i in range(80)) and set(fold) == {0, 1, 2, 3}
+        for k in range(4):
+            use = drawn & (fold != k)
+            beta = plain_logistic(x[use], y[use], 1 / pi[use], 0.7)
+            want = 1 / (1 + np.exp(-x[fold == k] @ beta))
+            assert np.allclose([got[i].m_by_split[s] for i in np.nonzero(fold == k)[0]], want, atol=1e-7)
+    for i in range(240):
+        m = np.mean(got[i].m_by_split)
+        assert got[i].m == pytest.approx(m) and got[i].m_sd == pytest.approx(np.std(got[i].m_by_split, ddof=1))
+        assert got[i].pseudo == pytest.approx(m + (y[i] - m) / pi[i] * drawn[i])
+        assert got[i].pseudo_by_split[1] == pytest.approx(got[i].m_by_split[1] + (y[i] - got[i].m_by_split[1]) / pi[i] * drawn[i])
+    each = X.cross_fit_diagnostics(spark.createDataFrame([r.asDict() for r in got.values()], "id long, y int, pi double, drawn boolean, fold_by_split array<int>, m_by_split array<double>"), "y", "pi", "drawn").collect()
+    assert sum(r.n_population for r in each) == 720 and sum(r.n_reference for r in each) == 3 * drawn.sum() and all(0 < r.weighted_brier < 1 for r in each)
+    with pytest.raises(ContractError, match="one class"):
+        X.repeated_cross_fit(df.withColumn("y", F.lit(1)), "issue", ["v"], ["k"], "y", "pi", "drawn", repeats=1)
+
+
+def test_pseudo_outcomes_are_unbiased():
+    from itertools import combinations
+
+    y, m = np.array([0, 0, 1, 1.0]), 0.8
+    means = [np.mean([m + (y[i] - m) / 0.5 * (i in s) for i in range(4)]) for s in combinations(range(4), 2)]
+    assert np.mean(means) == pytest.approx(y.mean())
+
+
+def test_two_phase_band_in_closed_form(spark):
+    # One cluster for each group and equal controls: whatever is drawn, a stratum's multipliers add up to its size.
+    rows = [(c, "ab"[c % 2], 10 * c + i, 0.5, 0.3 if i < 4 else 0.0, f"s{c}" if i < 4 else None, 0.25 if i < 4 else None) for c in range(2) for i in range(6)]
+    df = spark.createDataFrame(rows, "cluster long, by string, unit long, m double, correction double, stratum string, fraction double")
+    splits = spark.createDataFrame([(s, g, 0.1 * s) for s in range(3) for g in "ab"], "split int, by string, estimate double")
+    got = {r.by: r for r in P.two_phase_band(df, "cluster", "by", "unit", splits, 40, "t").collect()}
+    for r in got.values():
+        assert r.estimate == pytest.approx((6 * 0.5 + 4 * 0.3) / 6) and r.within_se == pytest.approx(0, abs=1e-12) and r.split_sd == pytest.approx(0.1)
+        assert r.se == pytest.approx(math.sqrt(1.1) * 0.1) and r.high - r.low == pytest.approx(2 * 1.959963984540054 * r.se) and r.n == 6
+        assert 0 < r.failed < 40  # both clusters must be drawn
+    with pytest.raises(ContractError, match="s9"):
+        P.two_phase_band(df.withColumn("stratum", F.when(F.col("unit") == 0, "s9")), "cluster", "by", "unit", splits, 4, "t")
+
+
+def test_numbers_within_groups_and_multipliers(spark):
+    df = spark.createDataFrame([(f"g{i % 3}", i) for i in range(50)], "g string, u long").repartition(6)
+    got = P.numbered_within(df, "g", "u")
+    assert sorted((r.g, r.u, r.slot, r.group_size) for r in got.collect()) == sorted((f"g{i % 3}", i, i // 3, len(range(i % 3, 50, 3))) for i in range(50))
+    times = P.control_multipliers(got.drop("u"), "g", 7, "s").groupBy("rep", "g").agg(F.sum("times").alias("n")).collect()
+    assert len(times) == 21 and {(r.g, r.n) for r in times} == {("g0", 16), ("g1", 16), ("g2", 15)}
+
+
+def test_draws_down_the_tree():
+    size, reps = 3 * G.BLOCK + 17, 400
+    drawn = np.concatenate([G.block_draws(b, size, reps, 5) for b in range(4)], 1)
+    assert drawn.shape == (reps, size) and (drawn.sum(1) == size).all()
+    assert abs(drawn.mean() - 1) < 1e-12 and abs(drawn.var() - (1 - 1 / size)) < 0.02 and np.abs(drawn.mean(0) - 1).max() < 0.3
+    assert (G.block_draws(0, 5, 30, 5).sum(1) == 5).all() and (G.block_draws(2, size, reps, 5) == drawn[:, 2 * G.BLOCK : 3 * G.BLOCK]).all()
+
+
+def test_stacked_fits_equal_single_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [("xy"[c % 2], a, t, c, float(n := rng.integers(1, 9)), float(rng.integers(0, n + 1))) for c in range(30) for a in (0, 1) for t in ("p", "q", "r") if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "g string, arm int, tier string, cluster long, n double, events double").repartition(4)
+    got = {(r.g, r.rep): r.estimate for r in G.bootstrap_contrasts(df, "g", ["tier"], "cluster", 20, 9, width=8, together=7).collect()}
+    drawn = np.concatenate([G.block_draws(b, 30, 20, 9, 8) for b in range(4)], 1)
+    assert len(got) == 40
+    import pandas as pd
+
+    full = pd.DataFrame(rows, columns=["g", "arm", "tier", "cluster", "n", "events"])
+    for (g, rep), estimate in got.items():
+        pdf = full[full.g == g].copy()
+        w = drawn[rep - 1][pdf.cluster]
+        pdf["n"], pdf["events"] = pdf.n * w, pdf.events * w
+        pdf = pdf[pdf.n > 0].groupby(["arm", "tier"], as_index=False)[["n", "events"]].sum()
+        assert estimate == pytest.approx(S.standardized(pdf, ["tier"], "n")["contrast"], abs=1e-7)
