@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.operators.quantiles import exact_quantiles
+
 
 def rates(df: DataFrame, by: list[str], outcome: str) -> DataFrame:
     """n, known, events and rate of an outcome that can be missing: a rate over no known row is null, not 0."""
@@ -84,15 +86,11 @@ def band(by: list[str], order: list[Column | str], bands: int = 5) -> Column:
 
 def length_bands(df: DataFrame, value: str, cuts: int = 4) -> DataFrame:
     """df with the quantile band of a column: equal values share a band, as cut points (not counts) decide."""
-    points = df.agg(F.percentile(value, F.array(*[F.lit(i / cuts) for i in range(1, cuts)])).alias("_cuts"))
+    names = [f"c{i}" for i in range(1, cuts)]
+    points = exact_quantiles(df, [], value, {c: i / cuts for i, c in enumerate(names, 1)}).select(F.array(*names).alias("_cuts"))
     return df.crossJoin(F.broadcast(points)).withColumn("band", F.size(F.filter("_cuts", lambda c: F.col(value) > c))).drop("_cuts")  # one row
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The smallest value with at least the share p of all at or below it."""
-    return F.expr(f"percentile_disc({p}) within group (order by {column})")
-
-
 def effective_size(weight: str) -> Column:
     return F.pow(F.sum(weight), 2) / F.sum(F.col(weight) * F.col(weight))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import floor, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
@@ -127,6 +129,39 @@ def capped_ipf(seed: list[list[float]], rows: list[float], columns: list[float],
     return out
 
 
+def rake(cells: DataFrame, family: str, row: str, column: str, supply: str, row_target: str, column_cap: str, rounds: int = 500) -> DataFrame:
+    """Cells (family, row, column, supply, row_target, column_cap) with fitted, the row's target spread over its cells in
+    proportion to their supply, under the supplies and the columns' caps, and n, whole numbers of it.
+
+    Each round scales the rows to their targets, no cell above its supply, then columns above their cap down to it, until
+    nothing moves by more than 1e-12 of the largest target. Whole numbers are the floors; what a row lacks goes to its
+    largest fractions (ties to the column's name) that leave room in supply and cap, row by row. A family's table of
+    categories comes to one task, families are dealt out."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = sorted(pdf[row].unique()), sorted(pdf[column].unique())
+        at = (pdf[row].map({v: i for i, v in enumerate(rows)}).to_numpy(), pdf[column].map({v: i for i, v in enumerate(columns)}).to_numpy())
+        have, want, cap = np.zeros((len(rows), len(columns))), np.zeros(len(rows)), np.zeros(len(columns))
+        have[at], want[at[0]], cap[at[1]] = pdf[supply], pdf[row_target], pdf[column_cap]
+        x = have.copy()
+        for _ in range(rounds):
+            before = x
+            total = x.sum(1)
+            x = np.minimum(x * np.where(total > 0, want / np.where(total > 0, total, 1), 0)[:, None], have)
+            total = x.sum(0)
+            x = x * np.where(total > cap, cap / np.where(total > 0, total, 1), 1)
+            if np.abs(x - before).max() <= 1e-12 * max(1.0, want.max()):
+                break
+        n = np.floor(x + 1e-9)
+        for i in range(len(rows)):
+            for j in sorted(range(len(columns)), key=lambda j: (round(n[i, j] - x[i, j], 9), j)):
+                n[i, j] += max(0, min(round(want[i]) - n[i].sum(), have[i, j] - n[i, j], cap[j] - n[:, j].sum()))
+        return pdf[[family, row, column]].assign(fitted=x[at], n=n[at].astype("int64"))
+
+    kinds = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in (family, row, column))
+    return cells.groupBy(family).applyInPandas(fit, f"{kinds}, fitted double, n long")
+
+
 def smallest_size(size: int, p: float, half_width: float, least_events: float, step: int = 10, z: float = 1.959963984540054) -> int | None:
     """Smallest n (in steps) whose interval for p is narrow enough and whose expected events suffice: both only grow
     easier with n, so n is found by halving."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import expressions as X
 from ledgerloom.operators import descriptive as D
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.register import query
 from ledgerloom.sources.tables import table
@@ -221,8 +222,7 @@ def a13(spark, d):
 
 @query("a14_quantiles", "SELECT l_returnflag AS lang, round(median(l_extendedprice), 9) AS median, round(quantile_cont(l_extendedprice, 0.05), 9) AS p05, round(quantile_cont(l_extendedprice, 0.95), 9) AS p95 FROM lineitem GROUP BY 1")
 def a14(spark, d):
-    p = lambda q: F.percentile("l_extendedprice", F.lit(q))
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("lang")).agg(F.median("l_extendedprice").alias("median"), p(0.05).alias("p05"), p(0.95).alias("p95"))
+    return exact_quantiles(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "lang"), ["lang"], "l_extendedprice", {"median": 0.5, "p05": 0.05, "p95": 0.95})
 
 
 @query("a15_coverage", with_frame("SELECT model, count(*) AS expected, count(y0) AS observed, count(*) - count(y0) AS missing, coalesce(max(y0) = 1, false) AS any_event FROM frame GROUP BY 1"))
@@ -286,7 +286,9 @@ def a26(spark, d):
 
 @query("a27_cost_rollup", "SELECT o_orderpriority, count(*) AS requests, round(sum(o_totalprice), 6) AS cost, quantile_disc(o_totalprice, 0.95) AS p95, round(quantile_disc(o_totalprice, 0.95) * count(*), 6) AS projected FROM orders GROUP BY 1")
 def a27(spark, d):
-    df = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("requests"), F.round(F.sum("o_totalprice"), 6).alias("cost"), D.nearest_rank("o_totalprice", 0.95).alias("p95"))
+    orders = table(spark, d, "orders")
+    df = orders.groupBy("o_orderpriority").agg(F.count("*").alias("requests"), F.round(F.sum("o_totalprice"), 6).alias("cost"))
+    df = df.join(exact_quantiles(orders, ["o_orderpriority"], "o_totalprice", {"p95": 0.95}, nearest=True), "o_orderpriority", "left")
     return df.withColumn("projected", F.round(F.col("p95") * F.col("requests"), 6))
 
 

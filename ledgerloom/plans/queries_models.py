@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ledgerloom.functions.beta import beta_binomial_ppf, beta_ppf
 from ledgerloom.functions.expressions import uniform
-from ledgerloom.operators import cross_fit as X, features as T, matrices as M, two_phase as P
+from ledgerloom.operators import cross_fit as X, designs as D, features as T, matrices as M, regions as R, two_phase as P
+from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.queries_design import _SAMPLE, audited
 from ledgerloom.plans.register import query
 from ledgerloom.sources.scratch import written
@@ -118,3 +120,71 @@ def b11_two_phase(spark, d):
         "correction": F.when(F.col("drawn"), (F.col("y") - F.col("m")) / F.col("pi")).otherwise(0.0), "stratum": F.when(F.col("drawn"), F.col("o_orderpriority")), "fraction": F.when(F.col("drawn"), F.col("pi")),
     })
     return P.two_phase_band(full, "o_custkey", "o_orderstatus", "o_orderkey", points, 500, "b11b")
+
+
+# Posteriors, raking and regions.
+
+
+@query("b14_beta_quantiles")
+def b14_quantiles(spark, d):
+    """Jeffreys posterior of each model's audited rate, by its effective number of rows, with its middle nine tenths."""
+    return posterior(spark, d).select("model", "n", "events", *[F.round(beta_ppf(F.lit(p), "a", "b"), 9).alias(name) for name, p in (("q05", 0.05), ("median", 0.5), ("q95", 0.95))], (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
+
+
+def posterior(spark, d):
+    w = 1 / (1 + F.pmod("l_partkey", F.lit(3)))
+    g = analysis_frame(spark, d).filter("y0 IS NOT NULL").groupBy("model").agg(F.count("*").alias("n"), F.sum("y").alias("events"), (F.sum(w * F.col("y")) / F.sum(w)).alias("rate"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("size"))
+    return g.select("model", "n", "events", (0.5 + F.col("rate") * F.col("size")).alias("a"), (0.5 + (1 - F.col("rate")) * F.col("size")).alias("b"))
+
+
+@query("b14_predictive_yields", with_frame(""", p AS (SELECT model, 1.0::DOUBLE / (1 + l_partkey % 3) AS w, y FROM frame WHERE y0 IS NOT NULL),
+g AS (SELECT model, sum(w * y) / sum(w) AS rate, pow(sum(w), 2) / sum(w * w) AS size FROM p GROUP BY 1), ab AS (SELECT model, 0.5 + rate * size AS a, 0.5 + (1 - rate) * size AS b FROM g),
+m AS (SELECT model, k, exp(lgamma(201) - lgamma(k + 1) - lgamma(201 - k) + lgamma(k + a) + lgamma(200 - k + b) - lgamma(200 + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b)) AS chance FROM ab, range(201) t(k)),
+c AS (SELECT model, k, sum(chance) OVER (PARTITION BY model ORDER BY k) AS upto FROM m)
+SELECT model, min(k) FILTER (upto >= 0.05)::BIGINT AS q05, min(k) FILTER (upto >= 0.5)::BIGINT AS median, min(k) FILTER (upto >= 0.95)::BIGINT AS q95 FROM c GROUP BY 1"""))
+def b14_yields(spark, d):
+    """Events to expect in 200 more rows of each model: beta-binomial quantiles."""
+    return posterior(spark, d).select("model", *[beta_binomial_ppf(F.lit(p), F.lit(200), "a", "b").alias(name) for name, p in (("q05", 0.05), ("median", 0.5), ("q95", 0.95))])
+
+
+def rake_sql(rounds: int) -> str:
+    """The fit, a round after the other."""
+    sql = "WITH c AS (SELECT o_orderstatus AS family, o_orderpriority AS r, c_mktsegment AS k, count(*) AS supply FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), s AS (SELECT family, sum(supply) AS total FROM c GROUP BY 1), x0 AS (SELECT *, supply::DOUBLE AS x, floor(total * 0.1) AS want, floor(total * 0.11) AS cap FROM c JOIN s USING (family))"
+    for i in range(rounds):
+        sql += f", y{i} AS MATERIALIZED (SELECT * REPLACE (least(x * want / sum(x) OVER (PARTITION BY family, r), supply) AS x) FROM x{i}), x{i + 1} AS MATERIALIZED (SELECT * REPLACE (x * least(1, cap / sum(x) OVER (PARTITION BY family, k)) AS x) FROM y{i})"
+    return sql + f" SELECT family, r AS priority, k AS segment, round(x, 5) AS fitted FROM x{rounds}"
+
+
+def raked(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cells = o.groupBy(F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("supply"))
+    total = F.sum("supply").over(Window.partitionBy("family"))  # cells, not rows
+    cells = cells.withColumns({"want": F.floor(total * F.lit(0.1)), "cap": F.floor(total * F.lit(0.11))})
+    return D.rake(cells, "family", "priority", "segment", "supply", "want", "cap")
+
+
+@query("d4_raked_cells", rake_sql(60))
+def d4_cells(spark, d):
+    """A tenth of the orders of each status from each priority, in proportion to supply, no segment above its cap."""
+    return raked(spark, d).select("family", "priority", "segment", F.round("fitted", 5).alias("fitted"))
+
+
+@query("d4_margins_met", "WITH s AS (SELECT o_orderstatus AS family, count(*) AS total FROM orders GROUP BY 1), r AS (SELECT DISTINCT o_orderstatus AS family, o_orderpriority AS priority FROM orders) SELECT family, priority, floor(total * 0.1)::BIGINT AS n, true AS caps_met FROM r JOIN s USING (family)")
+def d4_margins(spark, d):
+    """Whole numbers of the fit: each row's total, and whether no segment is above its cap."""
+    n = written(raked(spark, d), "allocation")
+    total = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("family")).agg(F.count("*").alias("total"))
+    caps = n.groupBy("family", "segment").agg(F.sum("n").alias("n")).join(total, "family").groupBy("family").agg(F.every(F.col("n") <= F.floor(F.col("total") * F.lit(0.11))).alias("caps_met"))
+    return n.groupBy("family", "priority").agg(F.sum("n").alias("n")).join(caps, "family")
+
+
+@query("v8_separated_regions", """WITH RECURSIVE e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), g AS (SELECT floor(x / 0.1) AS i, floor(y / 0.1) AS j, count(*) AS n FROM e GROUP BY ALL),
+p AS (SELECT vec_id, x, y, (SELECT sum(n) FROM g WHERE abs(i - floor(x / 0.1)) <= 1 AND abs(j - floor(y / 0.1)) <= 1)::DOUBLE AS s FROM e),
+t(step, sx, sy, seed, score, px, py) AS (SELECT * FROM (SELECT 1, x, y, vec_id, s, [x], [y] FROM p ORDER BY s DESC, vec_id LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT step + 1, p.x, p.y, p.vec_id, p.s, list_append(px, p.x), list_append(py, p.y) FROM t, p WHERE step < 12 AND list_bool_and([pow(p.x - px[i], 2) + pow(p.y - py[i], 2) >= 0.1::DOUBLE * 0.1::DOUBLE FOR i IN range(1, len(px) + 1)]) ORDER BY p.s DESC, p.vec_id LIMIT 1)),
+m AS (SELECT step, seed, score, vec_id, x, y FROM t, p WHERE pow(x - sx, 2) + pow(y - sy, 2) < 0.1::DOUBLE * 0.1::DOUBLE), c AS (SELECT step, avg(x) AS mx, avg(y) AS my FROM m GROUP BY 1)
+SELECT step::INT AS region_rank, seed, round(score, 9) AS score, count(*) AS size, arg_min(vec_id, (round(pow(x - mx, 2) + pow(y - my, 2), 12), vec_id)) AS medoid FROM m JOIN c USING (step) GROUP BY ALL""")
+def v8_regions(spark, d):
+    """Twelve dense places of the plane, none nearer than a tenth to another, with the medoid of each."""
+    points = table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return R.regions(R.density(points, "x", "y", 0.1), "vec_id", "x", "y", "near", 0.1, 12)

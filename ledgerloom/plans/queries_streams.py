@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.plans.register import query
+from ledgerloom.sources.ledgers import bad_lines
 from ledgerloom.sources.scratch import scratch_path
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ledger as R
@@ -78,3 +79,15 @@ def r2_slowest(spark, d):
 
 def running(spark, d) -> str:
     return grown(spark, d, "status", lambda rows: R.progress(rows.select(F.col("event_type").alias("model"), (F.col("value") >= 1).alias("good"), (F.col("at") / F.lit(1e6)).alias("at")), 1_000_000))
+
+
+@query("s5_first_bad_lines", "WITH o AS (SELECT o_custkey % 8 AS f, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS line FROM orders) SELECT 'part-' || f || '.jsonl' AS file, min(line) AS line, arg_min(o_orderkey, line)::BIGINT AS o_orderkey FROM o WHERE o_orderkey % 101 = 0 GROUP BY f")
+def s5_lines(spark, d):
+    """Orders as JSON lines of which some are cut short: the first bad line of each file, by number."""
+    path = scratch_path(spark, "strict")
+    text = F.to_json(F.struct("o_orderkey", "o_orderstatus"))
+    broken = F.when(F.col("o_orderkey") % 101 == 0, F.substring(text, 1, F.length(text) - 2)).otherwise(text)
+    lines = table(spark, d, "orders").select(F.concat(F.lit("part-"), F.col("o_custkey") % FILES, F.lit(".jsonl")).alias("file"), "o_orderkey", broken.alias("line"))
+    grow_files(lines, path, "file", ["o_orderkey"], "line")
+    found = bad_lines(spark, path, "o_orderkey long, o_orderstatus string")
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line", F.regexp_extract("text", r'"o_orderkey":(\d+)', 1).cast("long").alias("o_orderkey"))

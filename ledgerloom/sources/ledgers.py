@@ -3,7 +3,7 @@ replace or upsert."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.operators.contracts import Contract, ContractError
@@ -20,6 +20,26 @@ def read_ledger(spark: SparkSession, path: str | list[str], schema: StructType |
     return lines.select(row.alias("r")).filter(F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
 
 
+def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(file, line, text) of each file's first line that isn't JSON of the schema, lines counted from 1. Files are read
+    in splits by many tasks: each split counts its lines and finds its first bad one, and what stands before a split
+    is the sum of the counts of those before it. Blank lines count but aren't bad."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = (F.trim("value") != "") & (row["_corrupt_record"].isNotNull() | row.isNull())
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(F.when(bad, F.struct("at", "value"))).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a split
+    found = splits.withColumn("line", before + F.col("bad.at") - F.col("first") + 1).filter("bad is not null")
+    return found.groupBy("file").agg(F.min(F.struct("line", F.col("bad.value").alias("text"))).alias("b")).select("file", "b.line", "b.text")
+
+
+def read_strict(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """JSON lines of which all must parse; otherwise an error that names the file, the line and its text."""
+    if first := bad_lines(spark, path, schema).orderBy("file", "line").first():
+        raise ContractError(f"{first.file}:{first.line}: not a row of {schema}: {first.text[:200]}")
+    return read_ledger(spark, path, schema)
+
+
 def read_ledger_without(spark: SparkSession, path: str, schema: str, text: str = '"error"') -> DataFrame:
     """JSON lines but for those that hold ``text`` anywhere, judged before parsing."""
     return spark.read.text(path).filter(~F.col("value").contains(text)).select(F.from_json("value", schema).alias("r")).select("r.*")

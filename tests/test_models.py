@@ -143,3 +143,88 @@ def test_stacked_fits_equal_single_ones(spark):
         pdf["n"], pdf["events"] = pdf.n * w, pdf.events * w
         pdf = pdf[pdf.n > 0].groupby(["arm", "tier"], as_index=False)[["n", "events"]].sum()
         assert estimate == pytest.approx(S.standardized(pdf, ["tier"], "n")["contrast"], abs=1e-7)
+
+
+def test_beta_quantiles():
+    from ledgerloom.functions import beta as Q
+
+    p = np.array([0.001, 0.05, 0.3, 0.5, 0.9, 0.999])
+    assert np.allclose(Q.beta_quantile(p, 1, 1), p, atol=1e-12)
+    for k in (0.2, 3.0, 40.0):
+        assert np.allclose(Q.beta_quantile(p, k, 1), p ** (1 / k), atol=1e-10) and np.allclose(Q.beta_quantile(p, 1, k), 1 - (1 - p) ** (1 / k), atol=1e-10)
+    assert np.allclose(Q.beta_quantile(p, 0.5, 0.5), np.sin(np.pi * p / 2) ** 2, atol=1e-10)
+    x = Q.beta_quantile(p, 2, 2)
+    assert np.allclose(3 * x**2 - 2 * x**3, p, atol=1e-12)
+    # Up to x, of n draws at least k fall: the binomial tail.
+    tail = sum(math.comb(30, i) * 0.2**i * 0.8 ** (30 - i) for i in range(5, 31))
+    assert Q.incomplete_beta(np.array([0.2]), 5, 26)[0] == pytest.approx(tail, abs=1e-13)
+    a, b = np.array([0.5, 2.5, 300.5, 4000.0]), np.array([90.5, 7000.5, 0.5, 4100.0])
+    for q in (0.05, 0.5, 0.95):
+        assert np.allclose(Q.incomplete_beta(Q.beta_quantile(q, a, b), a, b), q, atol=1e-9)
+    assert Q.beta_quantile([0, 1, 0.5, 2], [1, 1, -1, 1], 1)[:2].tolist() == [0, 1] and np.isnan(Q.beta_quantile([0, 1, 0.5, 2], [1, 1, -1, 1], 1)[2:]).all()
+    assert [Q.beta_binomial_quantile(q, 9, 1.0, 1.0) for q in (0.05, 0.15, 0.45, 0.95, 1.0)] == [0, 1, 4, 9, 9]  # uniform
+
+
+def plain_greedy(points, radius):
+    chosen = []
+    for k, x, y, s in sorted(points, key=lambda p: (-p[3], p[0])):
+        if all((x - a) ** 2 + (y - b) ** 2 >= radius * radius for _, a, b, _ in chosen):
+            chosen.append((k, x, y, s))
+    return chosen
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.4])
+def test_separated_points_against_the_plain_loop(spark, radius):
+    from ledgerloom.operators import regions as R
+
+    rng = np.random.default_rng(4)
+    points = [(i, float(rng.normal() * 0.3), float(rng.random()), float(rng.integers(0, 6))) for i in range(300)]
+    points += [(1000 + i, 0.5, 0.5, 9.0) for i in range(200)] + [(2000, -3.0, 4.0, 0.0)]  # a third in one place
+    df = spark.createDataFrame([*points, (3000, None, 1.0, 1.0), (3001, 1.0, 1.0, None)], "k long, x double, y double, s double").repartition(5)
+    want = plain_greedy(points, radius)
+    got = R.separated(df, "k", "x", "y", "s", radius).collect()
+    assert sorted((r.k, r.x, r.y, r.score) for r in got) == sorted(want)
+    top = {r.region_rank: r for r in R.regions(df, "k", "x", "y", "s", radius, 3).collect()}
+    for i, (k, x, y, _) in enumerate(want[:3], 1):
+        near = [p for p in points if (p[1] - x) ** 2 + (p[2] - y) ** 2 < radius * radius] + ([(3001, 1.0, 1.0, 0)] if (1 - x) ** 2 + (1 - y) ** 2 < radius * radius else [])
+        mx, my = np.mean([p[1] for p in near]), np.mean([p[2] for p in near])
+        assert (top[i].seed, top[i].size, top[i].medoid) == (k, len(near), min(near, key=lambda p: (round((p[1] - mx) ** 2 + (p[2] - my) ** 2, 12), p[0]))[0])
+    assert R.separated(df.limit(0), "k", "x", "y", "s", radius).collect() == []
+
+
+def test_rake_meets_margins_under_caps(spark):
+    from ledgerloom.operators import designs as D
+
+    supply = {"a": {"p": 90, "q": 3, "r": 7}, "b": {"p": 200, "q": 50, "r": 50}, "c": {"p": 5, "q": 60, "r": 0}}
+    rows = [(f, r, c, n, 30.0, 36.0) for f in ("x", "y") for r, cs in supply.items() for c, n in cs.items()]
+    got = D.rake(spark.createDataFrame(rows, "f string, r string, c string, n long, want double, cap double"), "f", "r", "c", "n", "want", "cap").collect()
+    assert len(got) == 18
+    for f in ("x", "y"):
+        own = [g for g in got if g.f == f]
+        assert all(sum(g["n"] for g in own if g.r == r) == 30 for r in supply)
+        assert all(sum(g["n"] for g in own if g.c == c) <= 36 and sum(g.fitted for g in own if g.c == c) <= 36 + 1e-9 for c in "pqr")
+        assert all(0 <= g["n"] <= supply[g.r][g.c] for g in own)
+    even = D.rake(spark.createDataFrame([("f", r, c, 100, 10.0, 1e9) for r in "ab" for c in "xyz"], "f string, r string, c string, n long, want double, cap double"), "f", "r", "c", "n", "want", "cap").collect()
+    assert sorted((g.r, g.c, g["n"], round(g.fitted, 6)) for g in even) == [(r, c, 4 if c == "x" else 3, 3.333333) for r in "ab" for c in "xyz"]
+
+
+def test_exact_quantiles_in_rounds(spark, monkeypatch):
+    from ledgerloom.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "BINS", 50)
+    rng = np.random.default_rng(6)
+    values = {"skewed": np.exp(rng.normal(size=301) * 3), "ties": rng.integers(0, 3, 200).astype(float), "one": np.array([5.0]), "wide": np.array([-1.7e308, 0.0, 1.0, 1.7e308]), "close": np.nextafter(1.0, 2.0) * np.array([1.0, 1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("ties", None), ("none", None), ("ties", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    wanted = {"low": 0.05, "mid": 0.5, "high": 0.999}
+    got = {r.g: r for r in Q.exact_quantiles(df, ["g"], "v", wanted).collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        if g != "wide":
+            assert np.allclose([got[g][n] for n in wanted], np.quantile(vs, list(wanted.values())), rtol=1e-12)
+    assert got["wide"].mid == 0.5
+    disc = {r.g: r for r in Q.exact_quantiles(df, ["g"], "v", wanted, nearest=True).collect()}
+    for g, vs in values.items():
+        assert [disc[g][n] for n in wanted] == [sorted(vs)[max(0, math.ceil(p * len(vs)) - 1)] for p in wanted.values()]
+    assert Q.exact_quantiles(df.filter("g = 'ties'"), [], "v", {"m": 0.5}).collect()[0].m == np.median(values["ties"])
+    assert Q.exact_quantiles(df.filter("g = 'none'"), ["g"], "v", wanted).collect() == []

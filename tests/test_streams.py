@@ -93,3 +93,27 @@ def test_progress_by_model(spark, tmp_path):
     got = {r.model: (r.ok, r.errors, r.remaining, r.average_per_hour, r.recent_per_hour, r.eta_hours) for r in status.collect()}
     assert got == {"a": (4, 1, 6, 1.0, 1.0, 6.0), "b": (1, 1, 9, None, None, None)}
     assert R.slowest(status).first()["eta_hours"] == 6.0
+
+
+def test_strict_reads_name_the_first_bad_line(spark, tmp_path):
+    from ledgerloom.operators.contracts import ContractError
+    from ledgerloom.sources import ledgers as L
+
+    folder = tmp_path / "strict"
+    folder.mkdir()
+    good = [json.dumps({"k": i, "v": "x" * (i % 7)}) for i in range(200)]
+    (folder / "a.jsonl").write_text("\n".join([*good[:150], "", '{"k": 1, "v', *good[150:], "no json"]) + "\n")
+    (folder / "b.jsonl").write_text("\n".join(good))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "300" if "max" in c else "1")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        got = [(r.file.rsplit("/", 1)[-1], r.line, r.text) for r in L.bad_lines(spark, str(folder), "k long, v string").collect()]
+        assert got == [("a.jsonl", 152, '{"k": 1, "v')]
+        with pytest.raises(ContractError, match="a.jsonl:152"):
+            L.read_strict(spark, str(folder), "k long, v string")
+        assert L.read_strict(spark, str(folder / "b.jsonl"), "k long, v string").count() == 200
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
