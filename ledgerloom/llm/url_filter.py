@@ -49,8 +49,10 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     # The lengths of rule paths, so few prefixes are built; a rule set has few distinct lengths.
     lengths = sorted({len(p) for _, _, p in rules})
     pairs = named.select("host", "path").filter("host != '' or path != ''").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Likewise the numbers of labels of rule hosts: a host of very many labels has few suffixes to ask for.
+    counts = sorted({h.count(".") + 1 for _, h, _ in rules})
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index("host", ".", -n)) for n in counts]))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     exprs = pairs.withColumn("host_suffix", F.explode(F.array_distinct(suffixes))).withColumn("path_prefix", F.explode(prefixes))
     exprs = exprs.withColumn("full", F.sha2(F.concat("host_suffix", F.lit("\n"), "path_prefix"), 256))

@@ -212,3 +212,12 @@ def test_chunks_forgotten_make_no_difference(monkeypatch):
 
 def test_op13_on_a_given_table(spark):
     assert sorted(map(tuple, QUERIES["op13_tokenizer_alignment"](spark, SF).collect())) == brute_alignment(given())
+
+
+def test_url_with_very_many_labels(spark):
+    from ledgerloom.llm import url_filter as U9
+    from ledgerloom.llm.queries import URL_RULES
+
+    urls = ["http://" + "a." * 20_000 + "example.org/es/x", "http://" + "b." * 20_000 + "com/de/", "http://org/", "http://com.", "http://x.example.org/en/12", None]
+    got = U9.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {0: ("example.org/es/", "block"), 1: ("com/de/", "block"), 2: ("org/", "allow"), 3: (None, "allow"), 4: ("example.org/en/1", "block"), 5: (None, "allow")}
