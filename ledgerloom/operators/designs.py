@@ -179,15 +179,17 @@ def balanced_split(groups: DataFrame, group: str, value: str, parts: int, tries:
     """(group, part) of the best of ``tries`` random assignments: the one whose parts' totals of ``value`` (within
     each ``by``, if given) differ least from equal shares; the first of ties. groups: one row a group (and by)."""
     keys = [by] if by else []
-    drawn = groups.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    drawn = drawn.withColumn("part", F.floor(uniform(seed, F.col("try").cast("string"), F.col(group).cast("string")) * parts).cast("int"))
+    part = F.floor(uniform(seed, F.col("try").cast("string"), F.col(group).cast("string")) * parts).cast("int")
+    # Groups are few, their tries many: they are dealt out before each becomes ``tries`` rows.
+    dealt = groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, *keys)
+    drawn = dealt.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("part", part)
     totals = drawn.groupBy("try", "part", *keys).agg(F.sum(value).alias("v"))
     share = groups.groupBy(*keys).agg((F.sum(value) / parts).alias("want"))
     totals = totals.join(share, by) if by else totals.crossJoin(F.broadcast(share))  # one row
     # A part that has no group of its own misses its whole share.
     worst = totals.groupBy("try", *keys).agg((F.sum(F.abs(F.col("v") - F.col("want"))) + (parts - F.count("*")) * F.first("want")).alias("off"))
     best = worst.groupBy("try").agg(F.round(F.sum("off"), 6).alias("off")).agg(F.min(F.struct("off", "try")).alias("b")).select("b.*")
-    return drawn.join(F.broadcast(best), "try").select(group, "part", "off", "try").distinct()
+    return groups.select(group).distinct().crossJoin(F.broadcast(best)).select(group, part.alias("part"), "off", "try")  # one row
 
 
 def greedy_diverse(rows: list[tuple], cells: int) -> list[tuple]:

@@ -213,12 +213,12 @@ def b3(spark, d):
     return B.jackknife(stats, "cluster")
 
 
-@query("b7_multinomial_counts", with_frame(draws_sql("b7", 500) + ", st AS (SELECT cluster, tier, count(*) FILTER (y = 1 AND y2 = 1) AS tp, count(*) FILTER (y = 0 AND y2 = 1) AS fp, count(*) FILTER (y = 1 AND y2 = 0) AS fn FROM frame GROUP BY ALL) SELECT rep::INT AS rep, tier, round(2 * sum(mult * tp) / nullif(sum(mult * (2 * tp + fp + fn)), 0), 9) AS f1 FROM st JOIN dr USING (cluster) GROUP BY ALL"))
+@query("b7_multinomial_counts", with_frame(draws_sql("b7", 2000) + ", st AS (SELECT cluster, tier, count(*) FILTER (y = 1 AND y2 = 1) AS tp, count(*) FILTER (y = 0 AND y2 = 1) AS fp, count(*) FILTER (y = 1 AND y2 = 0) AS fn FROM frame GROUP BY ALL) SELECT rep::INT AS rep, tier, round(2 * sum(mult * tp) / nullif(sum(mult * (2 * tp + fp + fn)), 0), 9) AS f1 FROM st JOIN dr USING (cluster) GROUP BY ALL"))
 def b7(spark, d):
     n = lambda a, b: F.count_if((F.col("y") == a) & (F.col("y2") == b))
     st = analysis_frame(spark, d).groupBy("cluster", "tier").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
     m = F.col("mult")
-    return st.join(order_draws(spark, d, "b7", 500), "cluster").groupBy("rep", "tier").agg(F.try_divide(F.sum(m * F.col("tp")) * 2, F.sum(m * (2 * F.col("tp") + F.col("fp") + F.col("fn")))).alias("f1"))
+    return st.join(order_draws(spark, d, "b7", 2000), "cluster").groupBy("rep", "tier").agg(F.try_divide(F.sum(m * F.col("tp")) * 2, F.sum(m * (2 * F.col("tp") + F.col("fp") + F.col("fn")))).alias("f1"))
 
 
 @query("b9_subsample_stability", with_frame(f", ids AS (SELECT DISTINCT o_custkey AS cluster FROM orders), pl AS (SELECT cluster, rep, row_number() OVER (PARTITION BY rep ORDER BY {_U.format('''concat('b9|', rep, '|', cluster)''')}, cluster) AS place, count(*) OVER (PARTITION BY rep) AS size FROM ids, range(1, 101) r(rep)), sub AS (SELECT f AS fraction, rep, cluster FROM pl, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS f) WHERE place <= ceil(f * size)), st AS (SELECT cluster, sum(y) AS s, count(*) AS n FROM frame GROUP BY 1), e AS (SELECT fraction, rep, sum(s)::DOUBLE / sum(n) AS estimate FROM sub JOIN st USING (cluster) GROUP BY ALL) SELECT fraction, count(*) AS draws, round(quantile_cont(estimate, 0.05), 9) AS p05, round(median(estimate), 9) AS median, round(quantile_cont(estimate, 0.95), 9) AS p95 FROM e GROUP BY 1"))

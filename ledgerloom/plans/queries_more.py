@@ -119,7 +119,7 @@ def k6(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     L.replace_snapshot(df.filter("o_orderstatus = 'F'"), path)
     L.replace_snapshot(df, path)
-    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return L.read_snapshot(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 # Derived columns, sorting and sets.
@@ -241,7 +241,7 @@ def b6(spark, d):
     return B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b6", REPS), "cluster", []), [], REPS)
 
 
-@query("b8_f1_difference", with_frame(draws_sql("b8", REPS) + """, st AS (SELECT cluster, sum(2 * y * y2) AS a, sum(y + y2) AS b, sum(2 * y * y0) AS c, sum(y + y0) AS e FROM frame WHERE y0 IS NOT NULL GROUP BY 1),
+@query("b8_f1_difference", with_frame(draws_sql("b8", 2000) + """, st AS (SELECT cluster, sum(2 * y * y2) AS a, sum(y + y2) AS b, sum(2 * y * y0) AS c, sum(y + y0) AS e FROM frame WHERE y0 IS NOT NULL GROUP BY 1),
 f AS (SELECT rep, sum(mult * a)::DOUBLE / sum(mult * b) - sum(mult * c)::DOUBLE / sum(mult * e) AS d FROM st JOIN dr USING (cluster) GROUP BY 1)
 SELECT count(d) AS ok, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high, round(avg((d > 0)::INT), 9) AS above FROM f"""))
 def b8(spark, d):
@@ -249,7 +249,7 @@ def b8(spark, d):
     y, y2, y0, m = F.col("y"), F.col("y2"), F.col("y0"), F.col("mult")
     st = analysis_frame(spark, d).filter("y0 IS NOT NULL").groupBy("cluster").agg(F.sum(2 * y * y2).alias("a"), F.sum(y + y2).alias("b"), F.sum(2 * y * y0).alias("c"), F.sum(y + y0).alias("e"))
     f1 = lambda s, n: F.try_divide(F.sum(m * F.col(s)), F.sum(m * F.col(n)))
-    per = st.join(order_draws(spark, d, "b8", REPS), "cluster").groupBy("rep").agg((f1("a", "b") - f1("c", "e")).alias("d"))
+    per = st.join(order_draws(spark, d, "b8", 2000), "cluster").groupBy("rep").agg((f1("a", "b") - f1("c", "e")).alias("d"))
     return per.agg(F.count("d").alias("ok"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("int")).alias("above"))
 
 
@@ -333,10 +333,10 @@ def d16(spark, d):
     return D.balanced_split(written(groups, "groups"), "grp", "v", 2, 10000, "d16")
 
 
-@query("d17_class_balanced_split", _split_sql("SELECT c_nationkey::INT AS grp, c_mktsegment AS class, count(*) AS v FROM customer GROUP BY ALL", 2, 5000, "d17", "class"))
+@query("d17_class_balanced_split", _split_sql("SELECT c_nationkey::INT AS grp, c_mktsegment AS class, count(*) AS v FROM customer GROUP BY ALL", 2, 100_000, "d17", "class"))
 def d17(spark, d):
     groups = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("int").alias("grp"), F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("v"))
-    return D.balanced_split(written(groups, "groups"), "grp", "v", 2, 5000, "d17", by="class")
+    return D.balanced_split(written(groups, "groups"), "grp", "v", 2, 100_000, "d17", by="class")
 
 
 @query("d18_balanced_folds", _split_sql("SELECT c_nationkey::INT AS grp, count(*) AS v FROM customer GROUP BY 1", 5, 20000, "d18"))
@@ -483,7 +483,7 @@ def g6(spark, d):
     want, got = (payload_hash(x, ["o_orderstatus"], fields) for x in (df, spark.read.parquet(f"{path}/staged")))
     if want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty():
         L.replace_snapshot(spark.read.parquet(f"{path}/staged"), f"{path}/current")
-    return payload_hash(spark.read.parquet(f"{path}/current"), ["o_orderstatus"], fields)
+    return payload_hash(L.read_snapshot(spark, f"{path}/current"), ["o_orderstatus"], fields)
 
 
 @query("g7_replication_check", "SELECT o_orderstatus AS name, CASE WHEN o_orderstatus = 'P' THEN 'unregistered' ELSE 'PASS' END AS verdict FROM orders GROUP BY 1 UNION ALL SELECT 'X', 'missing'")

@@ -3,6 +3,8 @@ replace or upsert."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -90,17 +92,42 @@ def read_config_list(spark: SparkSession, path: str, field: str, kind: str = "st
 
 
 def replace_snapshot(df: DataFrame, path: str) -> None:
-    """Writes beside the snapshot, then puts the new one in its place by renames; readers see the old one or the new."""
+    """Writes a version beside the others, then points to it: the pointer is a small file that one rename replaces, so
+    readers see the old version or the new, whenever the writer dies. The version before stays for those who read
+    it; older ones go."""
     spark = df.sparkSession
-    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(where(path)):
-        fs.delete(where(f"{path}.old"), True)
-        fs.rename(where(path), where(f"{path}.old"))
-    if not fs.rename(where(f"{path}.new"), where(path)):
-        raise ContractError(f"{path} couldn't be replaced")
-    fs.delete(where(f"{path}.old"), True)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(conf)
+    before = snapshot_version(spark, path)
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    new = where(f"{path}/.pointer-{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, where(f"{path}/pointer.txt"), how)
+    for found in fs.listStatus(where(path)):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            fs.delete(found.getPath(), True)
+
+
+def snapshot_version(spark: SparkSession, path: str) -> str | None:
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer.txt")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.text(str(pointer.toString())).first()[0]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names now; what was read stays this version."""
+    if (version := snapshot_version(spark, path)) is None:
+        raise ContractError(f"{path} holds no snapshot")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def write_metadata(spark: SparkSession, path: str, **fields: object) -> None:

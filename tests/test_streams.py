@@ -117,3 +117,22 @@ def test_strict_reads_name_the_first_bad_line(spark, tmp_path):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_snapshots_swap_by_a_pointer(spark, tmp_path):
+    import os
+
+    from ledgerloom.operators.contracts import ContractError
+    from ledgerloom.sources import ledgers as L
+
+    path = str(tmp_path / "snap")
+    with pytest.raises(ContractError):
+        L.read_snapshot(spark, path)
+    L.replace_snapshot(spark.range(3), path)
+    old = L.read_snapshot(spark, path)
+    L.replace_snapshot(spark.range(5), path)
+    # Who reads the version before goes on reading it; a version that was being written when its writer died is no one's.
+    spark.range(9).write.parquet(f"{path}/version-dead")
+    assert (old.count(), L.read_snapshot(spark, path).count()) == (3, 5)
+    L.replace_snapshot(spark.range(7), path)
+    assert L.read_snapshot(spark, path).count() == 7 and sum(n.startswith("version-") for n in os.listdir(path)) == 2
