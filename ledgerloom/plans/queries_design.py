@@ -128,7 +128,8 @@ def d24(spark, d):
     return s.groupBy("budget").agg(F.sqrt(F.sum(share * share * F.col("v") / (F.col("budget") * share) * (1 - F.col("budget") / F.col("t")))).alias("se"))
 
 
-@query("d26_smallest_size")
+@query("d26_smallest_size", """WITH s AS (SELECT o_orderpriority, count(*) AS size, avg((o_totalprice > 250000)::INT) AS p FROM orders GROUP BY 1)
+SELECT o_orderpriority, size, list_min(list_filter(range(10, size + 1, 10), lambda n: 1.959963984540054::DOUBLE * sqrt(p * (1 - p) / n * (1 - n / size)) <= 0.06::DOUBLE AND n * p >= 5))::INT AS smallest FROM s""")
 def d26(spark, d):
     """Smallest feasible audit of each priority: a narrow interval and enough expected events."""
     s = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("size"), F.avg((F.col("o_totalprice") > 250000).cast("int")).alias("p")).orderBy("o_orderpriority").collect()
@@ -149,11 +150,17 @@ def h1(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("n_hat", "total", "ess")})
 
 
-@query("h2_union_variance")
+@query("h2_union_variance", f"""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, (o_totalprice > 200000)::INT::DOUBLE AS y, count(*) OVER (PARTITION BY o_orderpriority)::DOUBLE AS b1, count(*) OVER ()::DOUBLE AS b0,
+    row_number() OVER (ORDER BY sha256('g|' || o_orderkey), o_orderkey) AS r0, {_RANK.format(by='o_orderpriority', seed='c', unit='o_orderkey')} AS r1 FROM orders),
+q AS (SELECT *, 1 - (1 - n0 / b0) * (1 - n1 / b1) AS pi FROM (SELECT *, least(200, b0) AS n0, least(60, b1) AS n1 FROM o WHERE r0 <= 200 OR r1 <= 60)),
+x AS (SELECT a.y / a.pi * b.y / b.pi AS zz, a.pi * b.pi AS pp, a.pi + b.pi - 1 + (a.b0 - a.n0) * (a.b0 - a.n0 - 1) / (a.b0 * (a.b0 - 1))
+    * CASE WHEN a.p = b.p THEN (a.b1 - a.n1) * (a.b1 - a.n1 - 1) / (a.b1 * (a.b1 - 1)) ELSE (1 - a.n1 / a.b1) * (1 - b.n1 / b.b1) END AS pij FROM q a JOIN q b ON a.k <> b.k)
+SELECT (SELECT round(sum(y / pi), 6) FROM q) AS total, round(greatest(0, (SELECT sum(CASE WHEN pij > 0 THEN 1 - pp / pij ELSE 0 END * zz) FROM x) + (SELECT sum(y * y / (pi * pi) * (1 - pi)) FROM q)), 3) AS variance""")
 def h2(spark, d):
     """Total and its variance under the union of a global and a stratified draw, from exact pair probabilities."""
     df = union_sample_columns(spark, d)
-    return H.pairwise_terms(df, "o_orderkey", [([], "big0", "small0"), (["o_orderpriority"], "big1", "small1")], "y")
+    out = H.pairwise_terms(df, "o_orderkey", [([], "big0", "small0"), (["o_orderpriority"], "big1", "small1")], "y")
+    return out.select(F.round("total", 6).alias("total"), F.round("variance", 3).alias("variance"))
 
 
 def union_sample_columns(spark, d):

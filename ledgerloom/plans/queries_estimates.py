@@ -145,7 +145,13 @@ def e19(spark, d):
     return df.join(F.broadcast(n), "jurisdiction").groupBy("jurisdiction").agg(F.sum(a * F.col("y")).alias("estimate"), F.sum(a * a).alias("squares"))  # one row a jurisdiction
 
 
-@query("e20_ridge_moments")
+@query("e20_ridge_moments", """WITH r AS (SELECT l_returnflag, (l_discount >= 0.09)::INT::DOUBLE AS y, l_quantity::DOUBLE AS a, l_tax::DOUBLE AS b, l_extendedprice::DOUBLE AS c FROM lineitem),
+m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM r), z AS (SELECT y - my AS y, a - ma AS a, b - mb AS b, c - mc AS c FROM r, m),
+s AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) + 1 AS bb, sum(b * c) AS bc, sum(c * c) + 1 AS cc, sum(a * y) AS ay, sum(b * y) AS byy, sum(c * y) AS cy FROM z),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+k AS (SELECT (ay * (bb * cc - bc * bc) - ab * (byy * cc - bc * cy) + ac * (byy * bc - bb * cy)) / det AS ka, (aa * (byy * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - byy * ac)) / det AS kb,
+    (aa * (bb * cy - byy * bc) - ab * (ab * cy - byy * ac) + ay * (ab * bc - bb * ac)) / det AS kc FROM d)
+SELECT l_returnflag, round(any_value(my) + any_value(ka) * (avg(a) - any_value(ma)) + any_value(kb) * (avg(b) - any_value(mb)) + any_value(kc) * (avg(c) - any_value(mc)), 9) AS predicted, round(avg(y), 9) AS observed FROM r, m, k GROUP BY 1""")
 def e20(spark, d):
     df = table(spark, d, "lineitem").withColumn("y", (F.col("l_discount") >= 0.09).cast("double"))
     names = ["l_quantity", "l_tax", "l_extendedprice"]
@@ -319,7 +325,11 @@ def ordinal_ratings(spark, d):
     return lines
 
 
-@query("m12_krippendorff_ordinal")
+@query("m12_krippendorff_ordinal", """WITH r AS (SELECT l_orderkey AS unit, ceil(l_quantity / 10)::BIGINT AS value FROM lineitem), n AS (SELECT unit, value AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY unit) AS m FROM r GROUP BY unit, value),
+o AS (SELECT a.v AS c, b.v AS k, sum(a.n * (b.n - (a.v = b.v)::INT) / (a.m - 1)) AS o FROM n a JOIN n b ON a.unit = b.unit WHERE a.m > 1 GROUP BY a.v, b.v),
+g AS (SELECT c, sum(o) AS nc FROM o GROUP BY 1), s AS (SELECT c, nc, sum(nc) OVER (ORDER BY c) - nc / 2 AS place, sum(nc) OVER () AS N FROM g),
+d AS (SELECT a.c, b.c AS k, a.nc * b.nc AS nn, pow(a.place - b.place, 2) AS d2, a.N FROM s a, s b)
+SELECT round(any_value(N), 9) AS values, round(1 - sum(coalesce(o, 0) * d2) / (sum(nn * d2) / (any_value(N) - 1)), 9) AS alpha FROM d LEFT JOIN o USING (c, k)""")
 def m12o(spark, d):
     return M.krippendorff(ordinal_ratings(spark, d), ["unit"], "value", "ordinal")
 

@@ -228,3 +228,68 @@ def test_exact_quantiles_in_rounds(spark, monkeypatch):
         assert [disc[g][n] for n in wanted] == [sorted(vs)[max(0, math.ceil(p * len(vs)) - 1)] for p in wanted.values()]
     assert Q.exact_quantiles(df.filter("g = 'ties'"), [], "v", {"m": 0.5}).collect()[0].m == np.median(values["ties"])
     assert Q.exact_quantiles(df.filter("g = 'none'"), ["g"], "v", wanted).collect() == []
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def given_vectors():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/embeddings.parquet").sort_by("vec_id")
+    return t.column("vec_id").to_pylist(), np.array(t.column("embedding").to_pylist(), float)
+
+
+def nearest(ids, m, k):
+    """The k nearest by cosine of every hundredth vector, as pairs."""
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    out = set()
+    for i, q in enumerate(ids):
+        if q % 100 == 0:
+            c = unit @ unit[i]
+            out |= {(q, ids[j]) for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-c[j], ids[j]))[:k]}
+    return out
+
+
+def axes(m, k):
+    values, vectors = np.linalg.eigh(np.cov(m.T, bias=True))
+    vectors = vectors[:, np.argsort(-values)[:k]]
+    return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
+
+
+def test_v2_and_v4_on_the_given_vectors(spark):
+    from ledgerloom.plans.registry import QUERIES
+
+    ids, m = given_vectors()
+    flat = m @ axes(m, 2)
+    got = {r.vec_id: (r.pc1, r.pc2) for r in QUERIES["v2_linear_layout"](spark, SF).collect()}
+    assert np.allclose([got[i] for i in ids], flat, atol=2e-6)
+    stay = nearest(ids, m, 15) & nearest(ids, m @ axes(m, 10), 15)
+    r = QUERIES["v4_preservation"](spark, SF).first()
+    queries = sum(i % 100 == 0 for i in ids)
+    assert r.queries == queries and abs(r.preservation - len(stay) / queries / 15) < 1e-9
+
+
+def test_v12_on_the_given_rows(spark):
+    """Each fold's predictions against a plain fit of the same penalised likelihood on the other folds."""
+    from ledgerloom.plans import queries_more as Q
+    from ledgerloom.plans.registry import QUERIES
+
+    pdf = Q._features(spark, SF).toPandas()
+    top = np.quantile(pdf.w, 0.99, method="inverted_cdf")
+    w = np.minimum(pdf.w, top).to_numpy()
+    got = {r.fold: r for r in QUERIES["v12_cross_fit"](spark, SF).collect()}
+    for k in range(3):
+        train = (pdf.fold != k).to_numpy()
+        numbers = []
+        for c in ("y0", "l_quantity", "l_tax"):
+            v = pdf[c].to_numpy(float)
+            v = np.where(np.isnan(v), np.nanmean(v[train]), v)
+            numbers.append((v - v[train].mean()) / v[train].std(ddof=1))
+        # Every level has a column: the penalty tells them apart.
+        names = [(pdf[c] == level).to_numpy(float) for c in ("lang", "route") for level in sorted(pdf[c][train].unique())]
+        x = np.stack([np.ones(len(pdf)), *numbers, *names], 1)
+        beta = plain_logistic(x[train], pdf.y[train].to_numpy(float), w[train] / w[train].sum(), 0.01)
+        p = 1 / (1 + np.exp(-x[~train] @ beta))
+        assert got[k].n == (~train).sum()
+        assert abs(got[k]["mean"] - p.mean()) < 2e-3 and abs(got[k].brier - np.mean((p - pdf.y[~train]) ** 2)) < 2e-3
