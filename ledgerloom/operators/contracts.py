@@ -92,3 +92,39 @@ def forbid_columns(df: DataFrame, names: set[str]) -> DataFrame:
     if found := sorted(c for c in df.columns if c.lower() in names):
         raise ContractError(f"columns that must not leave: {found}")
     return df
+
+
+def forbidden_fields(df: DataFrame, words: list[str]) -> list[tuple[str, str]]:
+    """(path, word) of every column and nested field (of structs, arrays and maps) whose name holds a forbidden word, in
+    any case."""
+    from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+    def walk(kind: DataType, path: str):
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                at = f"{path}.{f.name}".lstrip(".")
+                yield from ((at, w) for w in words if w.lower() in f.name.lower())
+                yield from walk(f.dataType, at)
+        elif isinstance(kind, ArrayType):
+            yield from walk(kind.elementType, f"{path}[]")
+        elif isinstance(kind, MapType):
+            yield from walk(kind.valueType, f"{path}{{}}")
+
+    return sorted(walk(df.schema, ""))
+
+
+def forbidden_keys(df: DataFrame, payload: str, words: list[str]) -> DataFrame:
+    """(word, key, n): rows whose JSON payload has a key, at any depth, that holds a forbidden word, in any case."""
+    keys = F.array_distinct(F.regexp_extract_all(F.col(payload), F.lit(r'"((?:[^"\\\\]|\\\\.)*)"\s*:'), F.lit(1)))
+    found = df.select(F.explode(keys).alias("key")).withColumn("word", F.explode(F.array(*[F.lit(w.lower()) for w in words])))
+    return found.filter(F.contains(F.lower("key"), F.col("word"))).groupBy("word", "key").agg(F.count("*").alias("n"))
+
+
+def refuse_forbidden(df: DataFrame, words: list[str], payloads: list[str] = ()) -> DataFrame:
+    """df, if neither its fields nor the keys of its JSON payloads hold a forbidden word."""
+    if bad := forbidden_fields(df, words):
+        raise ContractError(f"forbidden fields: {', '.join(p for p, _ in bad)}")
+    for payload in payloads:
+        if row := forbidden_keys(df, payload, words).orderBy("word", "key").first():
+            raise ContractError(f"forbidden key {row.key} in {payload} of {row.n} rows")
+    return df

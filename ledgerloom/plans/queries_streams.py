@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators.contracts import forbidden_keys
 from ledgerloom.plans.register import query
-from ledgerloom.sources.ledgers import bad_lines
+from ledgerloom.sources.ledgers import bad_lines, read_yaml_lists
 from ledgerloom.sources.scratch import scratch_path
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ledger as R
@@ -91,3 +92,28 @@ def s5_lines(spark, d):
     grow_files(lines, path, "file", ["o_orderkey"], "line")
     found = bad_lines(spark, path, "o_orderkey long, o_orderstatus string")
     return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line", F.regexp_extract("text", r'"o_orderkey":(\d+)', 1).cast("long").alias("o_orderkey"))
+
+
+_KEYS_SQL = r"""WITH p AS (SELECT CASE event_id % 3 WHEN 0 THEN '{"props": ' || props || ', "user": {"account_id": ' || user_id || '}}' WHEN 1 THEN '{"props": ' || props || ', "trace": [{"Reasoning": "a \"api_key\": b"}]}' ELSE props END AS payload FROM events),
+k AS (SELECT unnest(list_distinct(regexp_extract_all(payload, '"((?:[^"\\]|\\.)*)"\s*:', 1))) AS key FROM p)
+SELECT w AS word, key, count(*) AS n FROM k, (SELECT unnest(['account', 'api_key', 'reasoning']) AS w) WHERE contains(lower(key), w) GROUP BY ALL"""
+
+
+@query("p17_forbidden_keys", _KEYS_SQL)
+def p17_keys(spark, d):
+    """Events whose JSON payload carries a forbidden key at any depth; a text that only mentions one doesn't count."""
+    text = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    kind, props = F.col("event_id") % 3, F.col("props")
+    payload = F.when(kind == 0, text('{"props": ', props, ', "user": {"account_id": ', F.col("user_id").cast("string"), "}}")).when(kind == 1, text('{"props": ', props, ', "trace": [{"Reasoning": "a \\"api_key\\": b"}]}')).otherwise(props)
+    return forbidden_keys(table(spark, d, "events").select(payload.alias("payload")), "payload", ["account", "api_key", "reasoning"])
+
+
+@query("s12_yaml_lists", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) GROUP BY 1")
+def s12_yaml(spark, d):
+    """Customers but for those of the nations that a YAML file lists."""
+    path = scratch_path(spark, "yaml")
+    line = F.concat(F.lit("  - id: "), F.col("n_nationkey").cast("string"), F.lit("  # left out\n    name: '"), F.col("n_name"), F.lit("'"))
+    text = table(spark, d, "nation").filter("n_regionkey = 2").agg(F.concat(F.lit("version: 1\nexcluded:\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")))  # nations of a region: few
+    text.coalesce(1).write.text(path)
+    out = read_yaml_lists(spark, path).filter("list = 'excluded' and key = 'id'").select(F.col("value").cast("int").alias("c_nationkey"))
+    return table(spark, d, "customer").join(out, "c_nationkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))

@@ -3,8 +3,11 @@ replace or upsert."""
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -91,6 +94,72 @@ def read_config_list(spark: SparkSession, path: str, field: str, kind: str = "st
     return spark.read.schema(f"`{field}` array<{kind}>").json(path, multiLine=True).select(F.explode(field).alias(field))
 
 
+#: A plain value of a YAML line: in single quotes, in double quotes, or bare, and a comment.
+_SCALAR = re.compile(r"""\s*(?:'((?:[^']|'')*)'|"([^"]*)"|([^#\s'"{\[&*](?:[^#]|(?<=\S)#)*?))?\s*(?:(?<!\S)#.*)?""")
+_FIELD = re.compile(r"(- +)?([\w.-]+):(?: +(.*))?")
+_FOLDED = (">", "|", ">-", "|-")
+
+
+def yaml_entries(text: str) -> list[tuple[str, int, str | None, str | None]]:
+    """(list, entry, key, value) of the top-level lists and maps of one document; see read_yaml_lists."""
+
+    def plain(x: str) -> str | None:
+        if not (m := _SCALAR.fullmatch(x)):
+            raise ContractError(f"not a plain value: {x}")
+        return m[1].replace("''", "'") if m[1] is not None else m[2] if m[2] is not None else m[3]
+
+    rows, name, entry, first, folded = [], None, 0, None, None
+    for number, line in enumerate(text.split("\n"), 1):
+        body, indent = line.strip(), len(line) - len(line.lstrip())
+        if folded is not None and (indent > folded or not body):
+            if body:
+                rows[-1] = (*rows[-1][:3], f"{rows[-1][3]} {body}".strip())
+            continue
+        folded = None
+        if not body or body[0] == "#" or body == "---":
+            continue
+        field = _FIELD.fullmatch(body)
+        if indent == 0 and field and not field[1]:
+            name, entry, first = field[2], 0, None
+            if (m := re.fullmatch(r"\[(.*)\] *(?:#.*)?", field[3] or "")) and m[1].strip():
+                rows += [(name, i, None, plain(x)) for i, x in enumerate(m[1].split(","), 1)]
+            continue
+        if name is None:
+            raise ContractError(f"line {number} isn't understood: {line}")
+        first = indent if first is None else first
+        if not field and not body.startswith("- "):
+            raise ContractError(f"line {number} isn't understood: {line}")
+        starts = body.startswith("- ") or indent == first
+        entry += starts
+        if not field:
+            rows.append((name, entry, None, plain(body[2:])))
+        elif field[3] in _FOLDED:
+            rows.append((name, entry, field[2], ""))
+            folded = indent
+        elif (value := plain(field[3] or "")) is None and starts and not field[1]:
+            rows.append((name, entry, None, field[2]))  # a map's key, with what it holds below
+        else:
+            rows.append((name, entry, field[2], value))
+    return rows
+
+
+def read_yaml_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(list, entry, key, value) of the top-level lists and maps of configuration files in YAML's block form, entries
+    counted from 1. An entry that is a plain value, or a map's key with more below it, has it as value under a null
+    key; ``key: value`` lines of an entry give a row each. Comments and quotes go, text folded after > or | is joined
+    by spaces, a list in brackets on one line is read too, single settings are passed over. A line of any other form
+    fails: a deny list that is read in part would be worse.
+
+    Such files are small: one row holds one file."""
+
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [r for text in pdf["value"] for r in yaml_entries(text)]
+            yield pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("list", "entry", "key", "value"))})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(parsed, "list string, entry int, key string, value string")
+
+
 def replace_snapshot(df: DataFrame, path: str) -> None:
     """Writes a version beside the others, then points to it: the pointer is a small file that one rename replaces, so
     readers see the old version or the new, whenever the writer dies. The version before stays for those who read

@@ -136,3 +136,56 @@ def test_snapshots_swap_by_a_pointer(spark, tmp_path):
     assert (old.count(), L.read_snapshot(spark, path).count()) == (3, 5)
     L.replace_snapshot(spark.range(7), path)
     assert L.read_snapshot(spark, path).count() == 7 and sum(n.startswith("version-") for n in os.listdir(path)) == 2
+
+
+def test_yaml_lists_and_deny_maps(spark, tmp_path):
+    from ledgerloom.operators.contracts import ContractError
+    from ledgerloom.sources import ledgers as L
+
+    text = """---
+# what is left out
+version: 2
+excluded_qids:
+  Q12:   # first
+    issue: 'it''s # one'
+    reason: >
+      two lines
+      of text: really
+
+  Q345:
+    issue: "two"
+models:
+- a-1
+- "b # not a comment"   # a comment
+- c#d
+empty: []
+short: [x, 'y', 3]   # in one line
+pairs:
+  - id: 7
+    name: seven
+  - id: 8
+"""
+    (tmp_path / "c.yaml").write_text(text)
+    got = [tuple(r) for r in L.read_yaml_lists(spark, str(tmp_path / "c.yaml")).collect()]
+    assert got == [
+        ("excluded_qids", 1, None, "Q12"), ("excluded_qids", 1, "issue", "it's # one"), ("excluded_qids", 1, "reason", "two lines of text: really"),
+        ("excluded_qids", 2, None, "Q345"), ("excluded_qids", 2, "issue", "two"), ("models", 1, None, "a-1"), ("models", 2, None, "b # not a comment"), ("models", 3, None, "c#d"),
+        ("short", 1, None, "x"), ("short", 2, None, "y"), ("short", 3, None, "3"), ("pairs", 1, "id", "7"), ("pairs", 1, "name", "seven"), ("pairs", 2, "id", "8"),
+    ]
+    for bad in ("a:\n  Q1: {x: 1}\n  what is this", "  - early\n", "a:\n  - 'open\n"):
+        with pytest.raises(ContractError):
+            L.yaml_entries(bad)
+
+
+def test_forbidden_fields_and_keys(spark):
+    from ledgerloom.operators import contracts as K
+
+    df = spark.createDataFrame([(1, '{"a": {"API_Key": 1}, "b": [{"x\\"y": 2}]}'), (2, '{"t": "\\"api_key\\": 3"}'), (3, None)], "id int, payload string")
+    assert [(r.word, r.key, r.n) for r in K.forbidden_keys(df, "payload", ["api_key", "reasoning"]).collect()] == [("api_key", "API_Key", 1)]
+    nested = spark.createDataFrame([], "a struct<Account: int, l: array<struct<reasoning_text: string>>>, m map<string, struct<apikey: int>>, fine int")
+    assert K.forbidden_fields(nested, ["account", "reasoning", "apikey"]) == [("a.Account", "account"), ("a.l[].reasoning_text", "reasoning"), ("m{}.apikey", "apikey")]
+    with pytest.raises(K.ContractError, match="a.Account"):
+        K.refuse_forbidden(nested, ["account"])
+    with pytest.raises(K.ContractError, match="API_Key"):
+        K.refuse_forbidden(df, ["api_key"], ["payload"])
+    assert K.refuse_forbidden(df, ["secret"], ["payload"]) is df
