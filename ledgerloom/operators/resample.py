@@ -1,16 +1,25 @@
 """Cluster resampling from per-cluster sufficient statistics: rows are never copied.
 
 Draws come from a hash of seed, replicate and slot, so every engine and run draws the same. A cluster drawn k
-times counts as k clusters: its statistics enter k times.
+times counts as k clusters: its statistics enter k times. ``replicate_sums`` moves each draw once, as two numbers, to
+the task that holds its cluster; what leaves that task are sums by replicate and group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, sqrt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
 from ledgerloom.sources.scratch import written
 
+#: Clusters of a block, and the most sums (replicates times groups) that a task holds; more are joined row by row.
+BLOCK, HELD = 256, 1 << 22
+
 
 def label_seed(base: int, label: str) -> int:
     """The base plus the code points of the label."""
@@ -38,16 +47,88 @@ def draws(clusters: DataFrame, cluster: str, reps: int, seed: str) -> DataFrame:
     return drawn.join(index.withColumnRenamed("slot", "pick"), "pick").groupBy("rep", cluster).agg(F.count("*").alias("mult"))
 
 
+def drawn_sums(stats: DataFrame, drawn: DataFrame, cluster: str, by: list[str], measures: list[str]) -> DataFrame:
+    """(rep, by, mult, measures) by a join of draws (rep, cluster, mult) with stats: for any number of groups."""
+    return stats.join(drawn, cluster).groupBy("rep", *by).agg(F.sum("mult").alias("mult"), *[F.sum(F.col("mult") * F.col(m)).alias(m) for m in measures])
+
+
+def replicate_sums(stats: DataFrame, clusters: DataFrame, cluster: str, by: list[str], measures: list[str], reps: int, seed: str, width: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(rep, by, mult, measures): in each replicate as many clusters as ``clusters`` holds are drawn with replacement,
+    the draws of ``draws``; the sums of stats (cluster, by, measures) times how often the cluster was drawn, and of
+    those multiplicities. Null measures add nothing; a group none of whose clusters was drawn has no row.
+
+    Clusters stand in blocks. A draw travels once, to the task of its block, which multiplies multiplicities with its
+    clusters' measures, a matrix product a block. The driver gets the groups of ``by``, categories; where they are so
+    many that a task can't hold all sums, draws and stats are joined instead."""
+    spark = stats.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = written(numbered(clusters, cluster), "cluster-slots")
+    size = index.count()
+    rows = written(stats.select(cluster, *by, *measures).join(index, cluster).drop(cluster), "placed-stats")
+    groups = rows.select(*by).distinct().limit(held // reps + 1).collect() if by else rows.select("slot").limit(1).collect()
+    if not groups or len(groups) * reps * (1 + len(measures)) > held:
+        return drawn_sums(rows, draws(clusters, cluster, reps, seed).join(index, cluster).select("rep", "slot", "mult"), "slot", by, measures)
+    k, m = len(groups), len(measures)
+    names = spark.createDataFrame([(i, *g[: len(by)]) for i, g in enumerate(groups)], "_g int" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
+    block, place = (lambda c: F.floor(c / width).cast("int")), (lambda c: F.pmod(c, F.lit(width)))
+    # One row a number: where it stands in the block's matrix (clusters, groups times numbers), and the number.
+    numbers = F.array(F.lit(1.0), *[F.coalesce(F.col(f"r.{c}").cast("double"), F.lit(0.0)) for c in measures])
+    placed = rows.alias("r").join(F.broadcast(names.alias("g")), same).select(F.col("r.slot"), "_g", F.posexplode(numbers).alias("i", "v"))
+    placed = placed.select(block(F.col("slot")).alias("block"), ((place(F.col("slot")) * k + F.col("_g")) * (1 + m) + F.col("i")).cast("long").alias("key"), "v")
+    slots = spark.range(0, size, 1, parts).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    picked = slots.withColumn("pick", F.floor(uniform(seed, F.col("rep").cast("string"), F.col("id").cast("string")) * F.lit(size)).cast("long"))
+    picked = picked.select(block(F.col("pick")).alias("block"), ((F.col("rep") - 1) * width + place(F.col("pick"))).cast("long").alias("key"), F.lit(None).cast("double").alias("v"))
+    together = picked.unionByName(placed).repartition(parts, "block").sortWithinPartitions("block")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now = np.zeros((reps, k * (1 + m))), None
+        times, values = np.zeros(reps * width), np.zeros(width * k * (1 + m))
+        for b in batches:
+            blocks, keys, v = b.column("block").to_numpy(), b.column("key").to_numpy(), b.column("v").to_numpy(zero_copy_only=False)
+            is_draw = b.column("v").is_null().to_numpy(zero_copy_only=False)
+            starts = np.nonzero(np.diff(blocks, prepend=-1))[0]
+            for low, high in zip(starts, [*starts[1:], len(blocks)], strict=True):
+                if blocks[low] != now:
+                    total += times.reshape(reps, width) @ values.reshape(width, -1)
+                    now = blocks[low]
+                    times[:], values[:] = 0, 0
+                drawn = is_draw[low:high]
+                np.add.at(times, keys[low:high][drawn], 1.0)
+                np.add.at(values, keys[low:high][~drawn], v[low:high][~drawn])
+        total += times.reshape(reps, width) @ values.reshape(width, -1)
+        total = total.reshape(reps * k, 1 + m)
+        at = np.nonzero(total[:, 0])[0]
+        for low in range(0, len(at), 10_000):
+            part = at[low : low + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part // k + 1, pa.int32()), pa.array(part % k, pa.int32()), *[pa.array(total[part, i]) for i in range(1 + m)]], names=["rep", "_g", "_m", *[f"_v{i}" for i in range(m)]])
+
+    sums = together.mapInArrow(add, "rep int, _g int, _m double" + "".join(f", _v{i} double" for i in range(m)))
+    sums = sums.groupBy("rep", "_g").agg(F.sum("_m").cast("long").alias("mult"), *[F.sum(f"_v{i}").alias(c) for i, c in enumerate(measures)])
+    return sums.join(F.broadcast(names), "_g").select("rep", *by, "mult", *measures)
+
+
+def ratio(sums: DataFrame, by: list[str], s: str = "s", n: str = "n") -> DataFrame:
+    """Per replicate and group, one sum over another."""
+    return sums.select("rep", *by, F.try_divide(F.col(s).cast("double"), F.col(n).cast("double")).alias("estimate"))
+
+
+def nested_mean(sums: DataFrame, mean: str = "mean") -> DataFrame:
+    """Replicates of the nested mean from sums by model: each drawn instance of a cluster weighs the same within its
+    model, then models weigh the same."""
+    return sums.groupBy("rep").agg(F.avg(F.col(mean) / F.col("mult")).alias("estimate"))
+
+
 def bootstrap_ratio(stats: DataFrame, drawn: DataFrame, cluster: str, by: list[str]) -> DataFrame:
-    """Per replicate and group: sum of mult * s over sum of mult * n, for stats (cluster, by..., s, n)."""
-    return stats.join(drawn, cluster).groupBy("rep", *by).agg(F.try_divide(F.sum(F.col("mult") * F.col("s")), F.sum(F.col("mult") * F.col("n"))).alias("estimate"))
+    """Per replicate and group of given draws: sum of mult * s over sum of mult * n, for stats (cluster, by..., s, n)."""
+    return ratio(drawn_sums(stats, drawn, cluster, by, ["s", "n"]), by)
 
 
 def nested_bootstrap(stats: DataFrame, drawn: DataFrame, cluster: str, model: str) -> DataFrame:
-    """Replicates of the nested mean, for stats (model, cluster, mean): within a model, each drawn instance of a
-    cluster weighs the same; then models weigh the same."""
-    per = stats.join(drawn, cluster).groupBy("rep", model).agg((F.sum(F.col("mult") * F.col("mean")) / F.sum("mult")).alias("m"))
-    return per.groupBy("rep").agg(F.avg("m").alias("estimate"))
+    """The nested mean of given draws, for stats (model, cluster, mean)."""
+    return nested_mean(drawn_sums(stats, drawn, cluster, [model], ["mean"]))
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], planned: int, level: float = 0.95, void_if_unreliable: bool = False) -> DataFrame:
@@ -72,12 +153,26 @@ def jackknife(stats: DataFrame, cluster: str, population: int | None = None, z:
 
 def subsamples(clusters: DataFrame, cluster: str, fractions: list[float], reps: int, seed: str) -> DataFrame:
     """(fraction, rep, cluster) without replacement; in a replicate all fractions cut one permutation, so smaller
-    ones nest in larger."""
-    ids = clusters.select(cluster).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    w = Window.partitionBy("rep")
-    place = F.row_number().over(w.orderBy(uniform(seed, F.col("rep").cast("string"), F.col(cluster).cast("string")), cluster))
-    ids = ids.withColumns({"place": place, "size": F.count("*").over(w)})
-    return ids.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions]))).filter(F.col("place") <= F.ceil(F.col("fraction") * F.col("size"))).select("fraction", "rep", cluster)
+    ones nest in larger.
+
+    The k-th smallest of n hashes lies near k / n. Clusters well below are in, and only those near the cut, in number
+    like the root of n, are ranked; where a cut isn't near, which hashes make all but impossible, all are."""
+    ids = written(clusters.select(cluster).distinct(), "cluster-ids")
+    n = ids.count()
+    dealt = ids.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), cluster)
+    each = dealt.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", uniform(seed, F.col("rep").cast("string"), F.col(cluster).cast("string")))
+    margin, cuts = 12 * sqrt(n) + 60, {f: min(n, ceil(f * n)) for f in fractions}
+    cut = [F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("_k"), F.lit(2.0 if k == n else (k - margin) / max(n, 1)).alias("_low"), F.lit(2.0 if k == n else (k + margin) / max(n, 1)).alias("_high")) for f, k in cuts.items()]
+    each = each.withColumn("_c", F.explode(F.array(*cut))).select("rep", cluster, "_u", "_c.*")
+    seen = each.groupBy("fraction", "rep").agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), (F.count_if(F.col("_u") < F.col("_high")) >= F.first("_k")).alias("_far"), F.first("_k").alias("_want"))
+    near = F.col("_far") & (F.col("_below") <= F.col("_want"))
+    seen = seen.select("fraction", "rep", near.alias("_near"), F.when(near, F.col("_below")).otherwise(0).alias("_below"))
+    each = each.join(F.broadcast(seen), ["fraction", "rep"])  # fractions times replicates
+    low, high = F.when(F.col("_near"), F.col("_low")).otherwise(-1.0), F.when(F.col("_near"), F.col("_high")).otherwise(2.0)
+    sure, close = each.filter(F.col("_u") < low), each.filter((F.col("_u") >= low) & (F.col("_u") < high))
+    place = F.row_number().over(Window.partitionBy("fraction", "rep").orderBy("_u", cluster)) + F.col("_below")
+    close = close.withColumn("_place", place).filter(F.col("_place") <= F.col("_k"))
+    return sure.select("fraction", "rep", cluster).unionByName(close.select("fraction", "rep", cluster))
 
 
 def stability(estimates: DataFrame, by: list[str]) -> DataFrame:

@@ -191,26 +191,26 @@ draw AS (SELECT rep, floor({u} * (SELECT count(*) FROM idx))::INT AS pick FROM i
 dr AS (SELECT rep, cluster, count(*) AS mult FROM draw JOIN idx ON pick = idx.slot GROUP BY ALL)"""
 
 
-def order_draws(spark, d, seed, reps):
-    return B.draws(table(spark, d, "orders").select(F.col("o_custkey").alias("cluster")), "cluster", reps, seed)
+def order_sums(spark, d, stats, by, measures, reps, seed):
+    return B.replicate_sums(stats, table(spark, d, "orders").select(F.col("o_custkey").alias("cluster")), "cluster", by, measures, reps, seed)
 
 
 @query("b1_cluster_bootstrap", with_frame(draws_sql("b1", 2000) + ", st AS (SELECT cluster, jurisdiction, sum(y) AS s, count(*) AS n FROM frame GROUP BY ALL), e AS (SELECT rep, jurisdiction, sum(mult * s) / sum(mult * n) AS estimate FROM st JOIN dr USING (cluster) GROUP BY ALL) SELECT jurisdiction, count(estimate) AS ok, round(quantile_cont(estimate, 0.025), 9) AS low, round(quantile_cont(estimate, 0.975), 9) AS high, 2000 - count(estimate) AS failed, 2000 - count(estimate) <= 40 AS reliable FROM e GROUP BY 1"))
 def b1(spark, d):
     stats = analysis_frame(spark, d).groupBy("cluster", "jurisdiction").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    return B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b1", 2000), "cluster", ["jurisdiction"]), ["jurisdiction"], 2000)
+    return B.percentile_interval(B.ratio(order_sums(spark, d, stats, ["jurisdiction"], ["s", "n"], 2000, "b1"), ["jurisdiction"]), ["jurisdiction"], 2000)
 
 
 @query("b1_nested_bootstrap", with_frame(draws_sql("b1n", 2000) + ", st AS (SELECT cluster, model, avg(y) AS mean FROM frame GROUP BY ALL), e AS (SELECT rep, model, sum(mult * mean) / sum(mult) AS m FROM st JOIN dr USING (cluster) GROUP BY ALL) SELECT rep::INT AS rep, round(avg(m), 9) AS estimate FROM e GROUP BY 1"))
 def b1n(spark, d):
     stats = analysis_frame(spark, d).groupBy("cluster", "model").agg(F.avg("y").alias("mean"))
-    return B.nested_bootstrap(stats, order_draws(spark, d, "b1n", 2000), "cluster", "model")
+    return B.nested_mean(order_sums(spark, d, stats, ["model"], ["mean"], 2000, "b1n"))
 
 
 @query("b2_paired_bootstrap", with_frame(pairs_sql("A") + draws_sql("b2", 2000) + ", e AS (SELECT rep, sum(mult * d) / sum(mult) AS estimate FROM pp JOIN dr USING (cluster) WHERE status = 'paired' GROUP BY 1) SELECT count(estimate) AS ok, round(quantile_cont(estimate, 0.025), 9) AS low, round(quantile_cont(estimate, 0.975), 9) AS high, 2000 - count(estimate) AS failed, true AS reliable FROM e"))
 def b2(spark, d):
     stats = language_pairs(spark, d, "A").filter("status = 'paired'").select("cluster", F.col("d").alias("s"), F.lit(1).alias("n"))
-    return B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b2", 2000), "cluster", []), [], 2000, void_if_unreliable=True)
+    return B.percentile_interval(B.ratio(order_sums(spark, d, stats, [], ["s", "n"], 2000, "b2"), []), [], 2000, void_if_unreliable=True)
 
 
 @query("b3_jackknife", with_frame(", c AS (SELECT cluster, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM frame GROUP BY 1), t AS (SELECT sum(s) AS s0, sum(n) AS n0, count(*) AS k FROM c), v AS (SELECT var_pop((s0 - s) / (n0 - n)) AS v FROM c, t), f AS (SELECT k AS clusters, s0 / n0 AS e, sqrt((k - 1) * v) AS se FROM t, v) SELECT clusters, round(e, 9) AS estimate, round(se, 9) AS se, round(e - 1.959963984540054 * se, 9) AS low, round(e + 1.959963984540054 * se, 9) AS high FROM f"))
@@ -223,8 +223,8 @@ def b3(spark, d):
 def b7(spark, d):
     n = lambda a, b: F.count_if((F.col("y") == a) & (F.col("y2") == b))
     st = analysis_frame(spark, d).groupBy("cluster", "tier").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
-    m = F.col("mult")
-    return st.join(order_draws(spark, d, "b7", 2000), "cluster").groupBy("rep", "tier").agg(F.try_divide(F.sum(m * F.col("tp")) * 2, F.sum(m * (2 * F.col("tp") + F.col("fp") + F.col("fn")))).alias("f1"))
+    sums = order_sums(spark, d, st, ["tier"], ["tp", "fp", "fn"], 2000, "b7")
+    return sums.select("rep", "tier", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
 @query("b9_subsample_stability", with_frame(f", ids AS (SELECT DISTINCT o_custkey AS cluster FROM orders), pl AS (SELECT cluster, rep, row_number() OVER (PARTITION BY rep ORDER BY {_U.format('''concat('b9|', rep, '|', cluster)''')}, cluster) AS place, count(*) OVER (PARTITION BY rep) AS size FROM ids, range(1, 101) r(rep)), sub AS (SELECT f AS fraction, rep, cluster FROM pl, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS f) WHERE place <= ceil(f * size)), st AS (SELECT cluster, sum(y) AS s, count(*) AS n FROM frame GROUP BY 1), e AS (SELECT fraction, rep, sum(s)::DOUBLE / sum(n) AS estimate FROM sub JOIN st USING (cluster) GROUP BY ALL) SELECT fraction, count(*) AS draws, round(quantile_cont(estimate, 0.05), 9) AS p05, round(median(estimate), 9) AS median, round(quantile_cont(estimate, 0.95), 9) AS p95 FROM e GROUP BY 1"))

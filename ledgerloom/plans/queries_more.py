@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerloom.functions import expressions as X
 from ledgerloom.operators import designs as D, features as T, resample as B
 from ledgerloom.plans.frame import analysis_frame, with_frame
-from ledgerloom.plans.queries_estimates import draws_sql, order_draws
+from ledgerloom.plans.queries_estimates import draws_sql, order_sums
 from ledgerloom.plans.register import query
 from ledgerloom.sources import ledgers as L
 from ledgerloom.sources.scratch import scratch_path, written
@@ -221,7 +221,7 @@ j AS (SELECT s0 / n0 AS p, sqrt((k - 1) * var_pop((s0 - s) / (n0 - n))) AS se FR
 SELECT round(p, 9) AS estimate, round(se, 9) AS se, round(boot_low, 9) AS boot_low, round(boot_high, 9) AS boot_high, round(1 / (1 + exp(-(x - 1.959963984540054 * sx))), 9) AS logit_low, round(1 / (1 + exp(-(x + 1.959963984540054 * sx))), 9) AS logit_high FROM l, q"""))
 def b4(spark, d):
     stats = written(analysis_frame(spark, d).groupBy("cluster").agg(F.sum("y").cast("double").alias("s"), F.count("*").cast("double").alias("n")), "cluster-stats")
-    boot = B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b4", REPS), "cluster", []), [], REPS).select(F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))
+    boot = B.percentile_interval(B.ratio(order_sums(spark, d, stats, [], ["s", "n"], REPS, "b4"), []), [], REPS).select(F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))
     jack = B.jackknife(stats, "cluster").select("estimate", "se")
     x, p = F.ln(F.col("estimate") / (1 - F.col("estimate"))), F.col("estimate") * (1 - F.col("estimate"))
     bound = lambda z: 1 / (1 + F.exp(-(x + z * F.col("se") / p)))
@@ -231,14 +231,14 @@ def b4(spark, d):
 @query("b5_rater_paired_bootstrap", with_frame(draws_sql("b5", REPS) + ", st AS (SELECT cluster, sum(y - y0) AS s, count(*) AS n FROM frame WHERE y0 IS NOT NULL GROUP BY 1), e AS (SELECT rep, sum(mult * s)::DOUBLE / sum(mult * n) AS estimate FROM st JOIN dr USING (cluster) GROUP BY 1) SELECT count(estimate) AS ok, round(quantile_cont(estimate, 0.025), 9) AS low, round(quantile_cont(estimate, 0.975), 9) AS high, 500 - count(estimate) AS failed, 500 - count(estimate) <= 10 AS reliable FROM e"))
 def b5(spark, d):
     stats = analysis_frame(spark, d).filter("y0 IS NOT NULL").groupBy("cluster").agg(F.sum(F.col("y") - F.col("y0")).alias("s"), F.count("*").alias("n"))
-    return B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b5", REPS), "cluster", []), [], REPS)
+    return B.percentile_interval(B.ratio(order_sums(spark, d, stats, [], ["s", "n"], REPS, "b5"), []), [], REPS)
 
 
 @query("b6_reliability_bootstrap", with_frame(draws_sql("b6", REPS) + ", st AS (SELECT cluster, sum(2 * y * y0) AS s, sum(y + y0) AS n FROM frame WHERE y0 IS NOT NULL GROUP BY 1), e AS (SELECT rep, sum(mult * s)::DOUBLE / sum(mult * n) AS estimate FROM st JOIN dr USING (cluster) GROUP BY 1) SELECT count(estimate) AS ok, round(quantile_cont(estimate, 0.025), 9) AS low, round(quantile_cont(estimate, 0.975), 9) AS high, 500 - count(estimate) AS failed, 500 - count(estimate) <= 10 AS reliable FROM e"))
 def b6(spark, d):
     """Positive specific agreement 2a / (2a + b + c) of two raters."""
     stats = analysis_frame(spark, d).filter("y0 IS NOT NULL").groupBy("cluster").agg(F.sum(2 * F.col("y") * F.col("y0")).alias("s"), F.sum(F.col("y") + F.col("y0")).alias("n"))
-    return B.percentile_interval(B.bootstrap_ratio(stats, order_draws(spark, d, "b6", REPS), "cluster", []), [], REPS)
+    return B.percentile_interval(B.ratio(order_sums(spark, d, stats, [], ["s", "n"], REPS, "b6"), []), [], REPS)
 
 
 @query("b8_f1_difference", with_frame(draws_sql("b8", 2000) + """, st AS (SELECT cluster, sum(2 * y * y2) AS a, sum(y + y2) AS b, sum(2 * y * y0) AS c, sum(y + y0) AS e FROM frame WHERE y0 IS NOT NULL GROUP BY 1),
@@ -246,10 +246,10 @@ f AS (SELECT rep, sum(mult * a)::DOUBLE / sum(mult * b) - sum(mult * c)::DOUBLE
 SELECT count(d) AS ok, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high, round(avg((d > 0)::INT), 9) AS above FROM f"""))
 def b8(spark, d):
     """F1 of one prediction less that of another, both against y, inside each replicate."""
-    y, y2, y0, m = F.col("y"), F.col("y2"), F.col("y0"), F.col("mult")
+    y, y2, y0 = F.col("y"), F.col("y2"), F.col("y0")
     st = analysis_frame(spark, d).filter("y0 IS NOT NULL").groupBy("cluster").agg(F.sum(2 * y * y2).alias("a"), F.sum(y + y2).alias("b"), F.sum(2 * y * y0).alias("c"), F.sum(y + y0).alias("e"))
-    f1 = lambda s, n: F.try_divide(F.sum(m * F.col(s)), F.sum(m * F.col(n)))
-    per = st.join(order_draws(spark, d, "b8", 2000), "cluster").groupBy("rep").agg((f1("a", "b") - f1("c", "e")).alias("d"))
+    sums = order_sums(spark, d, st, [], ["a", "b", "c", "e"], 2000, "b8")
+    per = sums.select((F.try_divide("a", "b") - F.try_divide("c", "e")).alias("d"))
     return per.agg(F.count("d").alias("ok"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("int")).alias("above"))
 
 

@@ -292,3 +292,27 @@ def test_draw_of_a_stratum_whose_hashes_are_large(spark):
     df = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(400)], "id long, s string")
     got = srswor(df, ["s"], "id", F.lit(10), "seed").groupBy("s").agg(F.count("*").alias("n"), F.count_if("drawn").alias("k"), F.min("pi").alias("pi")).collect()
     assert sorted((r.s, r.n, r.k, round(r.pi, 6)) for r in got) == [("a", 5, 5, 1.0), ("b", 395, 10, round(10 / 395, 6))]
+
+
+def test_replicate_sums_equal_the_join(spark):
+    """Block by block and draw by draw give the same sums, also with null groups and measures and many groups."""
+    clusters = spark.range(23).withColumnRenamed("id", "c")
+    stats = clusters.filter("c < 20").selectExpr("c", "if(c % 4 = 0, null, concat('g', c % 3)) as g", "if(c % 5 = 0, null, c * 0.25D) as s", "c as n")
+    want = B.drawn_sums(stats, B.draws(clusters, "c", 9, "s"), "c", ["g"], ["s", "n"])
+    plain = lambda df: sorted((r.rep, r.g or "", r["mult"], round(r.s or 0, 9), r.n) for r in df.collect())
+    for held in (1 << 20, 9):
+        assert plain(B.replicate_sums(stats, clusters, "c", ["g"], ["s", "n"], 9, "s", width=4, held=held)) == plain(want)
+    whole = B.replicate_sums(stats.filter("s is not null"), clusters, "c", [], ["s"], 9, "s", width=4)
+    assert sorted(r.rep for r in whole.collect()) == list(range(1, 10))
+    assert B.replicate_sums(stats.limit(0), clusters, "c", ["g"], ["s"], 9, "s").count() == 0
+    assert B.replicate_sums(stats, clusters.limit(0), "c", ["g"], ["s"], 9, "s").count() == 0
+
+
+def test_subsamples_equal_the_sorted_permutation(spark):
+    """Ranking only near the cuts gives what ranking every cluster does; smaller fractions nest in larger."""
+    clusters = spark.range(3000).withColumnRenamed("id", "c")
+    got = B.subsamples(clusters, "c", [0.01, 0.5, 1.0], 3, "q").toPandas()
+    every = clusters.withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("u", X.uniform("q", F.col("rep").cast("string"), F.col("c").cast("string"))).toPandas().sort_values(["u", "c"])
+    for (f, rep), own in got.groupby(["fraction", "rep"]):
+        assert set(own["c"]) == set(every[every["rep"] == rep]["c"].head(round(f * 3000)))
+    assert B.subsamples(clusters.limit(0), "c", [0.5], 3, "q").count() == 0
