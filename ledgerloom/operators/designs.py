@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heapreplace
 from math import floor, sqrt
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
+from ledgerloom.sources.scratch import written
 
 
 def seeded_rank(seed: str, unit: str, by: list[str]) -> Column:
@@ -19,19 +21,24 @@ def srswor(df: DataFrame, by: list[str], unit: str, size: Column, seed: str) ->
     """df with stratum_n (units of the stratum), draw_n = min(size, stratum_n), pi and whether the unit is drawn: the
     draw_n of smallest seeded hash. ``size`` may use the strata's columns.
 
-    Only units whose hash is small enough to be drawn are ranked, a few more than the draw; where too few are that
-    small, which hashes make all but impossible, the whole stratum is ranked. So no task gets a stratum."""
+    Strata that are drawn whole aren't ranked. Elsewhere units whose hash is well below the cut are drawn, and only those
+    near it, in number like the root of the draw, are ranked; where the cut isn't near, which hashes make all but
+    impossible, the whole stratum is. So no task gets a stratum."""
     u = uniform(seed, F.col(unit).cast("string"))
     strata = df.groupBy(*by).agg(F.count("*").alias("stratum_n")).withColumn("draw_n", F.least(size.cast("long"), F.col("stratum_n")))
-    strata = strata.withColumn("pi", F.col("draw_n") / F.col("stratum_n")).withColumn("_near", (F.col("draw_n") + 12 * F.sqrt("draw_n") + 60) / F.col("stratum_n"))
-    out = df.withColumn("_u", u)
-    enough = out.join(strata, by).groupBy(*by, "draw_n").agg(F.count_if(F.col("_u") < F.col("_near")).alias("_have"))
-    strata = strata.drop("_near").join(enough.select(*by, (F.col("_have") >= F.col("draw_n")).alias("_enough")), by).withColumn("_near", F.when(F.col("_enough"), (F.col("draw_n") + 12 * F.sqrt("draw_n") + 60) / F.col("stratum_n")).otherwise(2.0))
-    out = out.join(strata, by)
-    near, far = out.filter("_u < _near"), out.filter("_u >= _near")
-    near = near.withColumn("drawn", seeded_rank(seed, unit, by) <= F.col("draw_n"))
+    strata = strata.withColumn("pi", F.col("draw_n") / F.col("stratum_n"))
+    margin, whole = 12 * F.sqrt("draw_n") + 60, F.col("draw_n") >= F.col("stratum_n")
+    low, high = (F.when(whole, 2.0).otherwise((F.col("draw_n") + m) / F.col("stratum_n")) for m in (-margin, margin))
+    strata = strata.withColumns({"_low": low, "_high": high})
+    seen = df.withColumn("_u", u).join(strata, by).groupBy(*by).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
+    near = (F.col("_below") <= F.col("draw_n")) & (F.col("_upto") >= F.col("draw_n"))
+    cut = strata.join(seen, by).withColumns({"_low": F.when(near, F.col("_low")).otherwise(-1.0), "_high": F.when(near, F.col("_high")).otherwise(2.0), "_below": F.when(near, F.col("_below")).otherwise(0)})
+    out = df.withColumn("_u", u).join(cut, by)
+    sure = out.filter("_u < _low").withColumn("drawn", F.lit(True))
+    close = out.filter("_u >= _low and _u < _high").withColumn("drawn", seeded_rank(seed, unit, by) + F.col("_below") <= F.col("draw_n"))
+    far = out.filter("_u >= _low and _u >= _high").withColumn("drawn", F.lit(False))
     columns = [*df.columns, "stratum_n", "draw_n", "pi", "drawn"]
-    return near.select(*columns).unionByName(far.withColumn("drawn", F.lit(False)).select(*columns))
+    return sure.select(*columns).unionByName(close.select(*columns)).unionByName(far.select(*columns))
 
 
 def bernoulli(df: DataFrame, unit: str, q: Column, seed: str) -> DataFrame:
@@ -53,29 +60,59 @@ def neyman(sizes: list[int], spreads: list[float], total: int, least: int = 1) -
     n = [min(least, s) for s in sizes]
     if sum(n) > total or total > sum(sizes):
         raise ValueError("the total can't be met within the strata's bounds")
-    while sum(n) < total:
-        gains = [((size * s) ** 2 * (1 / k - 1 / (k + 1)) if k else float("inf"), -i) if k < size else (-1.0, -i) for i, (size, s, k) in enumerate(zip(sizes, spreads, n, strict=True))]
-        n[-max(gains)[1]] += 1
+    gain = lambda i: (-((sizes[i] * spreads[i]) ** 2 * (1 / n[i] - 1 / (n[i] + 1)) if n[i] else float("inf")), i)
+    best = [gain(i) for i in range(len(n)) if n[i] < sizes[i]]
+    heapify(best)
+    for _ in range(total - sum(n)):
+        i = best[0][1]
+        n[i] += 1
+        heapreplace(best, gain(i)) if n[i] < sizes[i] else heappop(best)
     return n
 
 
+def water_level(bounds: DataFrame, total: float) -> float | None:
+    """The level at which the sum of level * rate, held within [low, high], is total; bounds: rate, low, high of each
+    unit. Null if all highs together don't reach it, 0 if the lows do.
+
+    The sum is linear between the levels at which a unit leaves its low or meets its high. These are sorted by ranges;
+    sums of ranges, then running sums inside the range that matters, find the piece that holds the total."""
+    some = bounds.filter("rate > 0 and high > low")
+    turns = some.select(F.explode(F.array(
+        F.struct((F.col("low") / F.col("rate")).alias("at"), F.col("rate").alias("slope"), (-F.col("low")).alias("base")),
+        F.struct((F.col("high") / F.col("rate")).alias("at"), (-F.col("rate")).alias("slope"), F.col("high").alias("base")),
+    )).alias("t")).select("t.*")
+    turns = written(turns.repartitionByRange("at").withColumn("_range", F.spark_partition_id()), "turns")
+    floor_sum, reach = bounds.agg(F.sum("low"), F.sum(F.when((F.col("rate") > 0) & (F.col("high") > F.col("low")), F.col("high")).otherwise(F.col("low")))).first()
+    if floor_sum is None or total > reach:
+        return None
+    if total <= floor_sum:
+        return 0.0
+    # One row a range: the sum at its first turn is what all ranges before give there.
+    ranges = turns.groupBy("_range").agg(F.min("at").alias("first"), F.sum("slope").alias("slope"), F.sum("base").alias("base"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("slope", "base")})
+    start = ranges.filter(F.col("first") * F.col("slope") + F.col("base") + floor_sum <= total).orderBy(F.desc("_range")).first()
+    run = Window.orderBy("at", F.desc("slope"))
+    inside = turns.filter(F.col("_range") == start["_range"]).withColumns({c: F.sum(c).over(run.rowsBetween(Window.unboundedPreceding, 0)) + start[c] for c in ("slope", "base")})
+    last = inside.filter(F.col("at") * F.col("slope") + F.col("base") + floor_sum <= total).orderBy(F.desc("at"), "slope").first()
+    return (total - floor_sum - last.base) / last.slope if last.slope > 0 else last["at"]
+
+
 def bounded_neyman(strata: DataFrame, stratum: str, size: str, spread: str, total: int, floor_n: int = 1) -> DataFrame:
-    """Allocation proportional to size * spread within [floor, size]: the level between them is found by
-    bisection over one aggregate a step; whole units go to the largest remainders."""
-    low, high = 0.0, float(total) * 1e6
-    at = lambda k: F.least(F.greatest(F.lit(k) * F.col(size) * F.col(spread), F.least(F.lit(float(floor_n)), F.col(size))), F.col(size))
-    rows = strata.select(stratum, size, spread).cache()
-    for _ in range(80):
-        mid = (low + high) / 2
-        if rows.agg(F.sum(at(mid))).first()[0] < total:
-            low = mid
-        else:
-            high = mid
-    x = rows.withColumn("_x", at(high))
-    x = x.withColumns({"_base": F.floor("_x"), "_rest": F.col("_x") - F.floor("_x")})
+    """Allocation proportional to size * spread within [floor, size], as far as the total allows: at one level for all
+    strata, which ``water_level`` finds; whole units go to the largest remainders (ties to the stratum)."""
+    rows = written(strata.select(stratum, size, spread), "strata")
+    rate, high = F.coalesce(F.col(size) * F.col(spread), F.lit(0.0)).cast("double"), F.col(size).cast("double")
+    bounds = rows.select(rate.alias("rate"), F.least(F.lit(float(floor_n)), high).alias("low"), high.alias("high"))
+    level = water_level(bounds, total)
+    low = F.least(F.lit(float(floor_n)), high)
+    x = F.when(rate > 0, high).otherwise(low) if level is None else F.least(F.greatest(F.lit(level) * rate, low), high)
+    # Rounded, so that a sum's last places don't make a whole number the one below.
+    x = rows.withColumn("_x", F.round(x, 9)).withColumns({"_base": F.floor("_x"), "_rest": F.round(F.col("_x") - F.floor("_x"), 9)})
     left = F.lit(total) - F.sum("_base").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("_rest"), stratum))
-    return x.select(stratum, size, spread, (F.col("_base") + (rank <= left).cast("int")).cast("long").alias("allocated"))
+    more = ((rank <= left) & (F.col("_rest") > 0)).cast("int")
+    return x.select(stratum, size, spread, (F.col("_base") + more).cast("long").alias("allocated"))
 
 
 def balanced_quota(supply: dict[str, dict[str, int]], demand: dict[str, int], quota: dict[str, int]) -> dict[tuple[str, str], int]:

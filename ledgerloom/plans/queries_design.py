@@ -21,7 +21,7 @@ def d1(spark, d):
 
 @query("d2_stratified_sample", f"SELECT c_mktsegment, c_custkey FROM (SELECT *, {_RANK.format(by='c_mktsegment', seed='d2', unit='c_custkey')} AS k FROM customer) WHERE k <= 20")
 def d2(spark, d):
-    return table(spark, d, "customer").withColumn("k", D.seeded_rank("d2", "c_custkey", ["c_mktsegment"])).filter("k <= 20").select("c_mktsegment", "c_custkey")
+    return D.srswor(table(spark, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey", F.lit(20), "d2").filter("drawn").select("c_mktsegment", "c_custkey")
 
 
 @query("d3_balanced_quota")
@@ -37,8 +37,9 @@ def d3(spark, d):
     total = sum(r[2] for r in counts)
     picks = D.balanced_quota(supply, {n: total // 60 for n in supply}, {s: total // 14 for s in segments})
     quota = spark.createDataFrame([(int(n), s, k) for (n, s), k in picks.items()], "c_nationkey int, c_mktsegment string, quota int")
-    ranked = customers.withColumn("k", D.seeded_rank("d3", "c_custkey", ["c_nationkey", "c_mktsegment"])).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
-    return ranked.join(quota, ["c_nationkey", "c_mktsegment"]).filter("k <= quota").select("c_nationkey", "c_mktsegment", "c_custkey")
+    cells = ["c_nationkey", "c_mktsegment"]
+    wanted = customers.select(F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_mktsegment", "c_custkey").join(F.broadcast(quota), cells)  # one row a cell
+    return D.srswor(wanted, [*cells, "quota"], "c_custkey", F.col("quota"), "d3").filter("drawn").select(*cells, "c_custkey")
 
 
 @query("d6_denylist", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -59,18 +60,19 @@ u AS (SELECT *, 1 - (1 - least(200, N0) / N0) * (1 - least(60, N1) / N1) AS pi F
 
 @query("d8_union_probability", _UNION + " SELECT o_orderkey, round(pi, 9) AS pi, round(1 / pi, 9) AS weight FROM u")
 def d8(spark, d):
-    from pyspark.sql import Window
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.lit(1).alias("every"))
+    whole = D.srswor(df.select("o_orderkey", "every"), ["every"], "o_orderkey", F.lit(200), "g").select("o_orderkey", F.col("pi").alias("pi0"), F.col("drawn").alias("in0"))
+    cells = D.srswor(df.select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderkey", F.lit(60), "c").join(whole, "o_orderkey").filter("in0 or drawn")
+    pi = X.union_probability(F.col("pi0"), F.col("pi"))
+    return cells.select("o_orderkey", pi.alias("pi"), (1 / pi).alias("weight"))
 
-    df = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    total = df.agg(F.count("*").alias("all_n"))
-    first = df.orderBy(F.sha2(F.concat_ws("|", F.lit("g"), F.col("o_orderkey").cast("string")), 256), "o_orderkey").limit(200).select("o_orderkey", F.lit(True).alias("g"))
-    df = df.join(first, "o_orderkey", "left").withColumn("cell_n", F.count("*").over(Window.partitionBy("o_orderpriority"))).withColumn("k1", D.seeded_rank("c", "o_orderkey", ["o_orderpriority"]))
-    df = df.filter(F.col("g") | (F.col("k1") <= 60)).crossJoin(F.broadcast(total))  # one row
-    pi = X.union_probability(F.least(F.lit(200), F.col("all_n")) / F.col("all_n"), F.least(F.lit(60), F.col("cell_n")) / F.col("cell_n"))
-    return df.select("o_orderkey", pi.alias("pi"), (1 / pi).alias("weight"))
+
+_NEYMAN = """WITH s AS (SELECT o_orderpriority, count(*) AS size, stddev_samp(o_totalprice) AS spread FROM orders GROUP BY 1), b AS (SELECT sum(least(2, size)) AS base, least(300, sum(size)) AS total FROM s),
+g AS (SELECT o_orderpriority, unnest(range(2, least(size, 300))) AS k, size, spread FROM s), r AS (SELECT o_orderpriority, row_number() OVER (ORDER BY pow(size * spread, 2) * (1 / k - 1 / (k + 1)) DESC, o_orderpriority) AS place FROM g)
+SELECT o_orderpriority, any_value(size) AS size, (least(2, any_value(size)) + count(*) FILTER (place <= (SELECT total - base FROM b)))::BIGINT AS allocated FROM s LEFT JOIN r USING (o_orderpriority) GROUP BY 1"""
 
 
-@query("d11_integer_neyman")
+@query("d11_integer_neyman", _NEYMAN)
 def d11(spark, d):
     """Allocation over order priorities (a handful of strata) by size and spread of the price."""
     s = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("size"), F.stddev_samp("o_totalprice").alias("spread")).orderBy("o_orderpriority").collect()
@@ -78,7 +80,16 @@ def d11(spark, d):
     return spark.createDataFrame([(r.o_orderpriority, r.size, k) for r, k in zip(s, n, strict=True)], "o_orderpriority string, size long, allocated long")
 
 
-@query("d12_bounded_neyman")
+_LEVEL = """WITH s AS (SELECT l_suppkey, count(*)::DOUBLE AS size, coalesce(count(*) * stddev_samp(l_extendedprice), 0) AS rate, least(2.0::DOUBLE, count(*)) AS low FROM lineitem GROUP BY 1),
+t AS (SELECT low / rate AS turn, rate AS slope, -low AS base FROM s WHERE rate > 0 AND size > low UNION ALL SELECT size / rate, -rate, size FROM s WHERE rate > 0 AND size > low),
+c AS (SELECT turn, sum(slope) OVER w AS slope, (SELECT sum(low) FROM s) + sum(base) OVER w AS base FROM t WINDOW w AS (ORDER BY turn, slope DESC ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT coalesce((SELECT (600 - base) / slope FROM c WHERE turn * slope + base <= 600 AND slope > 0 ORDER BY turn DESC, slope LIMIT 1), 0) AS level),
+x AS (SELECT l_suppkey, size, round(least(greatest(level * rate, low), size), 9) AS x FROM s, v),
+r AS (SELECT *, round(x - floor(x), 9) AS rest, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, l_suppkey) AS k, 600 - sum(floor(x)) OVER () AS l FROM x)
+SELECT l_suppkey, size, (floor(x) + (k <= l AND rest > 0)::INT)::BIGINT AS allocated FROM r"""
+
+
+@query("d12_bounded_neyman", _LEVEL)
 def d12(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("double").alias("size"), F.stddev_samp("l_extendedprice").alias("spread"))
     return D.bounded_neyman(s, "l_suppkey", "size", "spread", 600, 2).select("l_suppkey", "size", "allocated")
@@ -105,9 +116,8 @@ def d21(spark, d):
 @query("d22_cluster_subsample", "WITH c AS (SELECT DISTINCT o_custkey FROM orders), k AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('d22|' || o_custkey), o_custkey) AS k, count(*) OVER () AS n FROM c) SELECT o_orderkey, o_custkey FROM orders SEMI JOIN (SELECT o_custkey FROM k WHERE k <= ceil(n * 0.25)) USING (o_custkey)")
 def d22(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = orders.select("o_custkey").distinct()
-    n = c.count()
-    keep = c.orderBy(F.sha2(F.concat_ws("|", F.lit("d22"), F.col("o_custkey").cast("string")), 256), "o_custkey").limit(-(-n // 4))
+    c = orders.select("o_custkey", F.lit(1).alias("every")).distinct()
+    keep = D.srswor(c, ["every"], "o_custkey", F.ceil(F.col("stratum_n") * F.lit(0.25)), "d22").filter("drawn").select("o_custkey")
     return orders.join(keep, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 

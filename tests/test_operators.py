@@ -316,3 +316,29 @@ def test_subsamples_equal_the_sorted_permutation(spark):
     for (f, rep), own in got.groupby(["fraction", "rep"]):
         assert set(own["c"]) == set(every[every["rep"] == rep]["c"].head(round(f * 3000)))
     assert B.subsamples(clusters.limit(0), "c", [0.5], 3, "q").count() == 0
+
+
+@pytest.mark.parametrize("total", [3, 20, 47, 90, 200, 231])
+def test_water_level_against_halving(spark, total):
+    """The level found from sorted turns is the one that halving finds, at every total."""
+    rng = np.random.default_rng(3)
+    high = rng.integers(1, 30, 17).astype(float)
+    rate, low = high * rng.integers(0, 6, 17), np.minimum(2.0, high)
+    level = designs.water_level(spark.createDataFrame(list(zip(rate.tolist(), low.tolist(), high.tolist(), strict=True)), "rate double, low double, high double"), total)
+    held = lambda k: np.clip(k * rate, low, high).sum()
+    if total > np.where(rate > 0, high, low).sum():
+        assert level is None
+    elif total <= low.sum():
+        assert level == 0
+    else:
+        assert held(level) == pytest.approx(total)
+
+
+def test_srswor_equals_a_full_ranking(spark):
+    """Large strata, census strata, tiny strata and draws of none: the smallest hashes, as many as asked."""
+    units = spark.range(5000).selectExpr("id as u", "case when id % 10 < 7 then 'a' when id % 10 < 9 then 'b' else concat('t', id % 700) end as g")
+    size = F.when(F.col("g") == "a", 900).when(F.col("g") == "b", 2**40).otherwise(F.floor(F.col("stratum_n") / 2))
+    got = designs.srswor(units, ["g"], "u", size, "z").toPandas()
+    ranked = units.withColumn("k", designs.seeded_rank("z", "u", ["g"])).toPandas().merge(got, on=["u", "g"])
+    assert len(got) == 5000 and (ranked.drawn == (ranked.k <= ranked.draw_n)).all() and (got[got.g == "b"].pi == 1).all()
+    assert designs.srswor(units.limit(0), ["g"], "u", size, "z").count() == 0
