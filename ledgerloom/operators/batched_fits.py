@@ -42,8 +42,10 @@ def block_draws(block: int, size: int, reps: int, seed: int, width: int = BLOCK)
 def fit_together(x: np.ndarray, n: np.ndarray, events: np.ndarray) -> dict[str, np.ndarray]:
     """Logistic regressions of grouped counts n, events (fits, cells) on one design, by the steps of a single fit; each
     stops by its own deviance. Directions that a fit can't tell apart take the shortest step."""
-    beta = np.zeros((len(n), x.shape[1]))
-    beta[:, 0] = np.log((events.sum(1) + 0.5) / (n.sum(1) - events.sum(1) + 0.5))
+    p = (events + 0.5) / (n + 1)
+    w = n * p * (1 - p)
+    inverse = np.linalg.pinv(np.einsum("rc,ci,cj->rij", w, x, x, optimize=True), hermitian=True)
+    beta = np.einsum("rij,rj->ri", inverse, (w * np.log(p / (1 - p)) + events - n * p) @ x)
     deviance, done = np.full(len(n), np.inf), np.zeros(len(n), bool)
     fitted, se = np.zeros_like(n, float), np.zeros_like(beta)
     for _ in range(ITERATIONS):

@@ -12,9 +12,11 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
+from ledgerloom.operators.contracts import ContractError
 from ledgerloom.sources.scratch import written
 
 #: Clusters of a block, and the most sums (replicates times groups) that a task holds; more are joined row by row.
@@ -139,6 +141,38 @@ def percentile_interval(replicates: DataFrame, by: list[str], planned: int, leve
     return out.withColumns({c: F.when(F.col("reliable"), F.col(c)) for c in ("low", "high")}) if void_if_unreliable else out
 
 
+def diagnostics(runs: list[tuple[str, DataFrame]], run_id: str, by: list[str], planned: int) -> DataFrame:
+    """(run_id, label, planned, ok, failed, reliable): what became of each group's replicates. A label is the name of
+    a run and the group's values, joined by ``/``; runs are (name, replicates of ``percentile_interval``'s kind)."""
+    out = None
+    for name, replicates in runs:
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by if c in replicates.columns]
+        rows = replicates.groupBy(F.concat_ws("/", F.lit(name), *keys).alias("label")).agg(F.count("estimate").alias("ok"))
+        rows = rows.select(F.lit(run_id).alias("run_id"), "label", F.lit(planned).alias("planned"), "ok", (F.lit(planned) - F.col("ok")).alias("failed"), (F.lit(planned) - F.col("ok") <= 0.02 * planned).alias("reliable"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ContractError("no run to record")
+    return out
+
+
+def record(rows: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "label")) -> DataFrame:
+    """Appends rows to the diagnostics at path and returns all; a key that is there already, or twice in rows, stops
+    the run before anything is written. Rows are a few a run, and are written once first."""
+    spark = rows.sparkSession
+    new = written(rows, "diagnostics")
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = new.limit(0)
+    twice = old.select(*key).unionByName(new.select(*key)).groupBy(*key).count().filter("count > 1").orderBy(*key).first()
+    if twice:
+        raise ContractError(f"recorded twice: {', '.join(f'{c} {twice[c]}' for c in key)}")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
 def jackknife(stats: DataFrame, cluster: str, population: int | None = None, z: float = 1.959963984540054) -> DataFrame:
     """Delete-one-cluster standard error of a ratio (sum of s over sum of n): each left-out estimate is the total
     less the cluster's own. With ``population`` clusters in all, the finite population correction applies."""

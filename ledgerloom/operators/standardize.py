@@ -11,6 +11,18 @@ TOLERANCE, ITERATIONS = 1e-8, 25
 BETA_BOUND, SE_BOUND, EDGE = 15.0, 25.0, 1e-6
 
 
+def model_terms(df: DataFrame, by: list[str], covariates: list[str], model: str | None = None, outcome: str = "y", arm: str = "home") -> DataFrame:
+    """(by, formula, dropped): the right-hand side that a group's rows can carry. Covariates with one level are left out
+    (nulls aren't a level); with ``model``, the arm is crossed with it where the group has more than one. One pass: a
+    column has more than one level if its least and greatest differ."""
+    many = {c: F.min(c) < F.max(c) for c in [*covariates, *([model] if model else [])]}
+    out = df.groupBy(*by).agg(*[F.coalesce(v, F.lit(False)).alias(f"_{c}") for c, v in many.items()])
+    head = F.when(F.col(f"_{model}"), F.lit(f"{arm} * {model}")).otherwise(F.lit(arm)) if model else F.lit(arm)
+    kept = F.concat_ws(" + ", head, *[F.when(F.col(f"_{c}"), F.lit(c)) for c in covariates])
+    dropped = F.array_compact(F.array(*[F.when(~F.col(f"_{c}"), F.lit(c)) for c in covariates]))
+    return out.select(*by, F.concat(F.lit(f"{outcome} ~ "), kept).alias("formula"), F.concat_ws(",", dropped).alias("dropped"))
+
+
 def cells(df: DataFrame, by: list[str], arm: str, treated: str, covariates: list[str], cluster: str, outcome: str) -> DataFrame:
     """Counts and events of each combination of arm, covariates and cluster: all that a binomial fit needs."""
     return df.groupBy(*by, (F.col(arm) == treated).cast("int").alias("arm"), *covariates, cluster).agg(F.count("*").cast("double").alias("n"), F.sum(outcome).cast("double").alias("events"))
@@ -26,9 +38,12 @@ def design(pdf: pd.DataFrame, covariates: list[str]) -> tuple[np.ndarray, int]:
 
 def fit_logistic(x: np.ndarray, n: np.ndarray, events: np.ndarray, firth: bool = False) -> dict:
     """Iteratively reweighted least squares on grouped counts; with ``firth`` the scores carry the penalty's bias
-    correction. Flags what the diagnosis needs."""
-    beta, deviance, done = np.zeros(x.shape[1]), np.inf, False
-    beta[0] = np.log((events.sum() + 0.5) / (n.sum() - events.sum() + 0.5))
+    correction. Flags what the diagnosis needs. Steps start from each cell's own smoothed rate: from the overall rate
+    they can overshoot where arms differ much."""
+    deviance, done = np.inf, False
+    p = (events + 0.5) / (n + 1)
+    w = n * p * (1 - p)
+    beta = np.linalg.pinv((x * w[:, None]).T @ x) @ (x.T @ (w * np.log(p / (1 - p)) + events - n * p))
     information = np.eye(len(beta))
     for _ in range(ITERATIONS if not firth else 4 * ITERATIONS):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
@@ -45,10 +60,25 @@ def fit_logistic(x: np.ndarray, n: np.ndarray, events: np.ndarray, firth: bool =
         deviance = new
         if done:
             break
+    w = np.maximum(n * p * (1 - p), 1e-12)  # at the last step's fitted values
+    information = (x * w[:, None]).T @ x
     with np.errstate(invalid="ignore"):
         se = np.sqrt(np.diag(np.linalg.pinv(information)))
-    separated = bool((np.abs(beta) > BETA_BOUND).any() or (se > SE_BOUND).any() or not np.isfinite(beta).all() or not done or (p < EDGE).any() or (p > 1 - EDGE).any())
-    return {"beta": beta, "se": se, "converged": done, "separated": separated, "fitted": p}
+    found = symptoms(beta, se, p, done)
+    return {"beta": beta, "se": se, "converged": done, "separated": bool(found), "symptoms": found, "fitted": p}
+
+
+#: Symptoms that leave a fit undefined; the others make some predictions degenerate, which weights report.
+BLOCKING = ("not_finite", "not_converged")
+
+
+def symptoms(beta: np.ndarray, se: np.ndarray, fitted: np.ndarray, converged: bool) -> list[str]:
+    """What speaks for separation in a fit, each by its name."""
+    found = {
+        "not_finite": not np.isfinite(beta).all() or not np.isfinite(fitted).all(), "not_converged": not converged, "large_coefficient": (np.abs(beta[np.isfinite(beta)]) > BETA_BOUND).any(),
+        "large_error": (se[np.isfinite(se)] > SE_BOUND).any(), "fitted_at_edge": ((fitted < EDGE) | (fitted > 1 - EDGE)).any(),
+    }
+    return [name for name, there in found.items() if there]
 
 
 def standardized(pdf: pd.DataFrame, covariates: list[str], weight: str, firth: bool = False) -> dict:
@@ -56,24 +86,42 @@ def standardized(pdf: pd.DataFrame, covariates: list[str], weight: str, firth: b
     x, at = design(pdf, covariates)
     fit = fit_logistic(x, pdf["n"].to_numpy(float), pdf["events"].to_numpy(float), firth)
     levels, w = [], pdf[weight].to_numpy(float)
+    observed, either = (fit["fitted"] < EDGE) | (fit["fitted"] > 1 - EDGE), np.zeros(len(w), bool)
     for on in (1.0, 0.0):
         x[:, at] = on
         p = 1 / (1 + np.exp(-np.clip(x @ fit["beta"], -35, 35)))
-        levels.append((float((p * w).sum() / w.sum()), float(w[(p < EDGE) | (p > 1 - EDGE)].sum() / w.sum())))
-    return {"level_on": levels[0][0], "level_off": levels[1][0], "contrast": levels[0][0] - levels[1][0], "log_odds": float(fit["beta"][at]), "separated": fit["separated"], "converged": bool(fit["converged"]), "extreme_weight": max(levels[0][1], levels[1][1])}
+        levels.append(float((p * w).sum() / w.sum()))
+        either |= (p < EDGE) | (p > 1 - EDGE)
+    return {
+        "level_on": levels[0], "level_off": levels[1], "contrast": levels[0] - levels[1], "log_odds": float(fit["beta"][at]), "separated": fit["separated"], "converged": bool(fit["converged"]),
+        "extreme_weight": float(w[either].sum() / w.sum()), "se": float(fit["se"][at]), "observed_extreme": float(w[observed].sum() / w.sum()),
+        "blocking": any(x in BLOCKING for x in fit["symptoms"]), "symptoms": ",".join(fit["symptoms"]),
+    }
 
 
 FIELDS = "level_on double, level_off double, contrast double, log_odds double, separated boolean, converged boolean, extreme_weight double"
 
 
+DIAGNOSIS = f"{FIELDS}, se double, observed_extreme double, blocking boolean, symptoms string"
+
+
 def g_computation(grouped: DataFrame, by: list[str], covariates: list[str], weight: str = "n", firth: bool = False) -> DataFrame:
-    """One standardized contrast for each group of ``by``. A group's cells, not its rows, come together."""
+    """One standardized contrast for each group of ``by``. A group's cells, not its rows, come together.
+    extreme_weight: share of the weight for which either prediction, arm on or arm off, is at 0 or 1."""
+    out = fit_diagnosis(grouped, by, covariates, weight, firth)
+    return out.select(*by, *[f.split()[0] for f in FIELDS.split(", ")])
+
+
+def fit_diagnosis(grouped: DataFrame, by: list[str], covariates: list[str], weight: str = "n", firth: bool = False) -> DataFrame:
+    """g_computation with the diagnosis of each fit: names of its symptoms of separation, whether they leave it
+    undefined (not finite, not converged), and the share of the weight whose own fitted value is at 0 or 1. Separation
+    in a nuisance cell doesn't block; it shows in the weights."""
     names = {f.name: f.dataType.simpleString() for f in grouped.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **standardized(pdf, covariates, weight, firth)}])
 
-    return grouped.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {names[c]}" for c in by), FIELDS]))
+    return grouped.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {names[c]}" for c in by), DIAGNOSIS]))
 
 
 def without_cluster(grouped: DataFrame, by: list[str], covariates: list[str]) -> DataFrame:

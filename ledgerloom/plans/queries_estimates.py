@@ -9,7 +9,7 @@ from ledgerloom.operators import agreement as M, contrasts as C, resample as B,
 from ledgerloom.operators.batched_fits import bootstrap_contrasts
 from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.register import query
-from ledgerloom.sources.scratch import written
+from ledgerloom.sources.scratch import scratch_path, written
 from ledgerloom.sources.tables import table
 
 NESTED = """, cell AS (SELECT model, cluster, count(*) AS r FROM frame GROUP BY ALL), per AS (SELECT model, count(*) AS i FROM cell GROUP BY 1),
@@ -106,6 +106,40 @@ def e14(spark, d):
     return S.g_computation(S.without_cluster(home_cells(spark, d, ["jurisdiction"]), ["jurisdiction"], COVARIATES), ["jurisdiction"], COVARIATES)
 
 
+@query("e10_model_formula", with_frame("""SELECT jurisdiction, lang, concat_ws(' + ', CASE WHEN count(DISTINCT model) > 1 THEN 'y ~ home * model' ELSE 'y ~ home' END, CASE WHEN count(DISTINCT tier) > 1 THEN 'tier' END, CASE WHEN count(DISTINCT domain) > 1 THEN 'domain' END, CASE WHEN count(DISTINCT route) > 1 THEN 'route' END) AS formula,
+    concat_ws(',', CASE WHEN count(DISTINCT tier) <= 1 THEN 'tier' END, CASE WHEN count(DISTINCT domain) <= 1 THEN 'domain' END, CASE WHEN count(DISTINCT route) <= 1 THEN 'route' END) AS dropped FROM frame GROUP BY ALL"""))
+def e10(spark, d):
+    """The formula that each jurisdiction's rows of a language can carry."""
+    return S.model_terms(analysis_frame(spark, d), ["jurisdiction", "lang"], COVARIATES, model="model")
+
+
+_FITS = """, c AS (SELECT l_suppkey, lang, domain, tier, count(*) FILTER (home_status = 'home') AS n1, count(*) FILTER (home_status = 'away') AS n0, coalesce(sum(y) FILTER (home_status = 'home'), 0) AS e1, coalesce(sum(y) FILTER (home_status = 'away'), 0) AS e0 FROM frame WHERE home_status IN ('home', 'away') GROUP BY ALL),
+f AS (SELECT *, e1 IN (0, n1) AS s1, e0 IN (0, n0) AS s0 FROM c WHERE e1 > 0 AND e0 > 0 AND e1 + e0 < n1 + n0)"""
+
+
+def supplier_fits(spark, d):
+    """A fit of the arm alone in each small stratum of a supplier that can be estimated: events in both arms, and others."""
+    by = ["l_suppkey", "lang", "domain", "tier"]
+    df = C.with_arms(analysis_frame(spark, d), "home_status", "home", "away")
+    grouped = df.groupBy(*by, (F.col("home_status") == "home").cast("int").alias("arm")).agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("events"))
+    fit = grouped.groupBy(*by).agg(F.count_if(F.col("events") > 0).alias("arms"), F.sum("n").alias("rows"), F.sum("events").alias("all_events")).filter("arms = 2 and all_events < rows").select(*by, "rows")
+    return S.fit_diagnosis(grouped.join(fit.select(*by), by), by, []).join(fit, by)
+
+
+@query("e12_separation", with_frame(_FITS + " SELECT l_suppkey, lang, domain, tier, s1 OR s0 AS separated, false AS blocking, round((CASE WHEN s1 THEN n1 ELSE 0 END + CASE WHEN s0 THEN n0 ELSE 0 END) / (n1 + n0), 9) AS observed_extreme, CASE WHEN NOT (s1 OR s0) THEN round(ln(e1 / (n1 - e1)) - ln(e0 / (n0 - e0)), 5) END AS log_odds, CASE WHEN NOT (s1 OR s0) THEN round(sqrt(1 / e1 + 1 / (n1 - e1) + 1 / e0 + 1 / (n0 - e0)), 4) END AS se FROM f"))
+def e12(spark, d):
+    """Which fits are separated, which of them undefined, and what they estimate otherwise."""
+    known = lambda c, digits: F.when(~F.col("separated"), F.round(c, digits)).alias(c)
+    return supplier_fits(spark, d).select("l_suppkey", "lang", "domain", "tier", "separated", "blocking", "observed_extreme", known("log_odds", 5), known("se", 4))
+
+
+@query("e13_counterfactual_extremes", with_frame(_FITS + " SELECT l_suppkey, count(*) AS fits, round(sum((n1 + n0) * (s1 OR s0)::INT) / sum(n1 + n0), 9) AS extreme_weight FROM f GROUP BY 1"))
+def e13(spark, d):
+    """Share of each supplier's rows for which a prediction of its stratum's fit, arm on or off, is at 0 or 1."""
+    w = F.col("rows")
+    return supplier_fits(spark, d).groupBy("l_suppkey").agg(F.count("*").alias("fits"), (F.sum(w * F.col("extreme_weight")) / F.sum(w)).alias("extreme_weight"))
+
+
 @query("e11_firth_logistic")
 def e11(spark, d):
     return S.g_computation(S.without_cluster(home_cells(spark, d, ["jurisdiction"]), ["jurisdiction"], COVARIATES), ["jurisdiction"], COVARIATES, firth=True)
@@ -213,6 +247,18 @@ def b2(spark, d):
     return B.percentile_interval(B.ratio(order_sums(spark, d, stats, [], ["s", "n"], 2000, "b2"), []), [], 2000, void_if_unreliable=True)
 
 
+@query("b15_bootstrap_diagnostics", with_frame(draws_sql("b15", 500) + ", s1 AS (SELECT cluster, jurisdiction AS g, sum(y) FILTER (home_status = 'home') AS s, count(*) FILTER (home_status = 'home') AS n FROM frame GROUP BY ALL), s2 AS (SELECT cluster, l_suppkey % 50 AS g, sum(y2) AS s, sum(y) AS n FROM frame WHERE route = 'P' AND l_discount = 0.1 AND l_quantity > 45 GROUP BY ALL), e AS (SELECT 'home/' || g AS label, rep, sum(mult * s) / nullif(sum(mult * n), 0) AS estimate FROM s1 JOIN dr USING (cluster) GROUP BY ALL UNION ALL SELECT 'rare/' || g, rep, sum(mult * s) / nullif(sum(mult * n), 0) FROM s2 JOIN dr USING (cluster) GROUP BY ALL) SELECT 'run-1' AS run_id, label, 500 AS planned, count(estimate) AS ok, 500 - count(estimate) AS failed, 500 - count(estimate) <= 10 AS reliable FROM e GROUP BY ALL"))
+def b15(spark, d):
+    """How many of 500 replicates have an estimate: home rates by jurisdiction, and a rare ratio by part of suppliers, where
+    many fail. Recorded by run and label, once each."""
+    df = written(analysis_frame(spark, d).select("cluster", "jurisdiction", (F.col("l_suppkey") % 50).alias("part"), "home_status", "y", "y2", "route", "l_discount", "l_quantity"), "frame")
+    home = F.col("home_status") == "home"
+    rates = df.groupBy("cluster", "jurisdiction").agg(F.sum(F.when(home, F.col("y"))).alias("s"), F.count_if(home).alias("n"))
+    rare = df.filter("route = 'P' and l_discount = 0.1 and l_quantity > 45").groupBy("cluster", "part").agg(F.sum("y2").alias("s"), F.sum("y").alias("n"))
+    runs = [(name, B.ratio(order_sums(spark, d, st, [by], ["s", "n"], 500, "b15"), [by])) for name, by, st in (("home", "jurisdiction", rates), ("rare", "part", rare))]
+    return B.record(B.diagnostics(runs, "run-1", ["jurisdiction", "part"], 500), scratch_path(spark, "bootstrap-diagnostics"))
+
+
 @query("b3_jackknife", with_frame(", c AS (SELECT cluster, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM frame GROUP BY 1), t AS (SELECT sum(s) AS s0, sum(n) AS n0, count(*) AS k FROM c), v AS (SELECT var_pop((s0 - s) / (n0 - n)) AS v FROM c, t), f AS (SELECT k AS clusters, s0 / n0 AS e, sqrt((k - 1) * v) AS se FROM t, v) SELECT clusters, round(e, 9) AS estimate, round(se, 9) AS se, round(e - 1.959963984540054 * se, 9) AS low, round(e + 1.959963984540054 * se, 9) AS high FROM f"))
 def b3(spark, d):
     stats = analysis_frame(spark, d).select("cluster", F.col("y").cast("double").alias("s"), F.lit(1.0).alias("n"))

@@ -342,3 +342,40 @@ def test_srswor_equals_a_full_ranking(spark):
     ranked = units.withColumn("k", designs.seeded_rank("z", "u", ["g"])).toPandas().merge(got, on=["u", "g"])
     assert len(got) == 5000 and (ranked.drawn == (ranked.k <= ranked.draw_n)).all() and (got[got.g == "b"].pi == 1).all()
     assert designs.srswor(units.limit(0), ["g"], "u", size, "z").count() == 0
+
+
+def test_symptoms_of_separation(spark):
+    """A nuisance cell without events degenerates its own weight only; an undefined fit blocks."""
+    rows = [("a", 1, "x", 50.0, 20.0), ("a", 0, "x", 50.0, 10.0), ("a", 1, "z", 30.0, 0.0), ("a", 0, "z", 20.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, arm int, m string, n double, events double")
+    r = S.fit_diagnosis(df, ["g"], ["m"]).first()
+    assert r.separated and not r.blocking and "fitted_at_edge" in r.symptoms and r.observed_extreme == pytest.approx(50 / 150) == r.extreme_weight
+    fine = S.fit_diagnosis(df.filter("m = 'x'"), ["g"], ["m"]).first()
+    assert not fine.separated and fine.symptoms == "" and fine.extreme_weight == 0
+    assert fine.se == pytest.approx(np.sqrt(1 / 20 + 1 / 30 + 1 / 10 + 1 / 40), rel=1e-6)
+    # One arm has no events: that arm's rows are extreme as observed, but every row has an extreme counterfactual.
+    arm = S.fit_diagnosis(spark.createDataFrame([("b", 1, 20.0, 0.0), ("b", 0, 60.0, 30.0)], "g string, arm int, n double, events double"), ["g"], []).first()
+    assert arm.observed_extreme == 0.25 and arm.extreme_weight == 1 and not arm.blocking
+    # Arms far apart: the steps don't overshoot.
+    far = S.fit_logistic(np.array([[1.0, 1.0], [1.0, 0.0]]), np.array([10.0, 400.0]), np.array([9.0, 4.0]))
+    assert far["converged"] and not far["separated"] and far["beta"][1] == pytest.approx(np.log(9) - np.log(4 / 396), abs=1e-6)
+    bad = np.array([1.0, np.nan])
+    assert set(S.symptoms(bad, bad, np.array([0.5]), False)) == {"not_finite", "not_converged"} and set(S.BLOCKING) == {"not_finite", "not_converged"}
+
+
+def test_model_terms(spark):
+    df = spark.createDataFrame([("p", "m1", "a", None), ("p", "m2", "a", "x"), ("q", "m1", "a", "x"), ("q", "m1", "b", "y")], "g string, model string, tier string, route string")
+    got = {r.g: (r.formula, r.dropped) for r in S.model_terms(df, ["g"], ["tier", "route"], model="model").collect()}
+    assert got == {"p": ("y ~ home * model", "tier,route"), "q": ("y ~ home + tier + route", "")}
+
+
+def test_a_label_is_recorded_once_a_run(spark, tmp_path):
+    reps = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None), ("b", 1, 0.1), ("b", 2, 0.2)], "g string, rep int, estimate double")
+    path = str(tmp_path / "diagnostics")
+    one = B.record(B.diagnostics([("home", reps)], "r1", ["g"], 2), path)
+    assert {(r.label, r.ok, r.failed, r.reliable) for r in one.collect()} == {("home/a", 1, 1, False), ("home/b", 2, 0, True)}
+    with pytest.raises(K.ContractError, match="run_id r1, label home/a"):
+        B.record(B.diagnostics([("home", reps)], "r1", ["g"], 2), path)
+    with pytest.raises(K.ContractError, match="away/a"):
+        B.record(B.diagnostics([("away", reps), ("away", reps)], "r1", ["g"], 2), path)
+    assert B.record(B.diagnostics([("home", reps)], "r2", ["g"], 2), path).count() == 4
