@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.operators.contracts import forbidden_keys
+from ledgerloom.operators.contracts import ContractError, forbidden_keys
 from ledgerloom.plans.register import query
-from ledgerloom.sources.ledgers import bad_lines, read_yaml_lists
+from ledgerloom.sources.ledgers import bad_lines, freeze, read_yaml_lists
 from ledgerloom.sources.scratch import scratch_path
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ledger as R
@@ -117,3 +117,39 @@ def s12_yaml(spark, d):
     text.coalesce(1).write.text(path)
     out = read_yaml_lists(spark, path).filter("list = 'excluded' and key = 'id'").select(F.col("value").cast("int").alias("c_nationkey"))
     return table(spark, d, "customer").join(out, "c_nationkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+_FAILED = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 400 WHEN 2 THEN 503 WHEN 3 THEN 401 END AS status, CASE event_id % 6 WHEN 4 THEN 'APITimeoutError' WHEN 5 THEN 'ValueError' ELSE 'APIStatusError' END AS error,
+    (event_id % 9 + 1)::INT AS attempt, CASE WHEN event_id % 4 = 0 THEN value::VARCHAR WHEN event_id % 4 = 1 THEN 'soon' END AS retry_after, value FROM events WHERE event_type = 'error'"""
+
+
+@query("r4_retry_plan", f"""WITH f AS ({_FAILED}), t AS (SELECT *, coalesce(status IN (408, 409, 429, 500, 502, 503, 504), false) OR error = 'APITimeoutError' AS transient, CASE WHEN event_id % 4 = 0 THEN greatest(0, value) END AS asked,
+    least(60, pow(2, attempt - 1)) + 0.75::DOUBLE * (('0x' || substr(sha256('r4|' || event_id || '|' || attempt), 1, 12))::UBIGINT / 281474976710656.0::DOUBLE) AS wait FROM f)
+SELECT event_id, attempt, coalesce(status = 429, false) AS is_rate_limit, transient, round(asked, 9) AS retry_after_seconds, CASE WHEN transient THEN round(greatest(wait, coalesce(asked, 0)), 9) END AS retry_delay_seconds FROM t""")
+def r4(spark, d):
+    """When each failed event may be tried again, from its status, its error's name, its attempt and what the server asked."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    i = F.col("event_id") % 6
+    status = F.when(i == 0, 429).when(i == 1, 400).when(i == 2, 503).when(i == 3, 401)
+    error = F.when(i == 4, "APITimeoutError").when(i == 5, "ValueError").otherwise("APIStatusError")
+    asked = F.when(F.col("event_id") % 4 == 0, F.col("value").cast("string")).when(F.col("event_id") % 4 == 1, "soon")
+    failed = e.select("event_id", status.alias("status"), error.alias("error"), (F.col("event_id") % 9 + 1).cast("int").alias("attempt"), asked.alias("retry_after"))
+    return R.retry_plan(failed, "event_id", "r4").select("event_id", "attempt", "is_rate_limit", "transient", "retry_after_seconds", "retry_delay_seconds")
+
+
+@query("k8_frozen_once", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS id_sum, true AS others_refused FROM events GROUP BY 1")
+def k8(spark, d):
+    """A table frozen under the hash of its inputs' ids: a second write with the same inputs leaves it, one with other
+    inputs is refused."""
+    e = table(spark, d, "events")
+    path = scratch_path(spark, "frozen")
+    content = lambda df: str(df.agg(F.sum(F.xxhash64("event_id", "event_type").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first())
+    made = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+    freeze(made, path, content(e))
+    freeze(made.limit(0), path, content(e.repartition("event_type")))
+    try:
+        freeze(made, path, content(e.filter("event_type <> 'error'")))
+        refused = False
+    except ContractError:
+        refused = True
+    return spark.read.parquet(f"{path}/data").withColumn("others_refused", F.lit(refused))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ledgerloom.functions.expressions import uniform
+
 
 def ledger_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -136,3 +138,25 @@ def retry_delay(attempt: int, status: int | None, retry_after: float | None = No
     if status is not None and status != 429 and status < 500:
         return None
     return retry_after if retry_after is not None else min(most, base * 2**attempt)
+
+
+#: Statuses and error names that another try may mend.
+TRANSIENT_STATUSES = (408, 409, 429, 500, 502, 503, 504)
+TRANSIENT_NAMES = ("timeout", "connection", "ratelimit", "internalserver")
+
+
+def retry_plan(failures: DataFrame, key: str, seed: str, most: float = 60.0, jitter: float = 0.75) -> DataFrame:
+    """failures (status, error, attempt from 1, retry_after as the server wrote it) with is_rate_limit, transient,
+    retry_after_seconds (null if not a number, never below 0) and retry_delay_seconds: twice as long each attempt, at
+    most ``most``, and a jitter from the hash of seed, key and attempt; never sooner than the server asks; null where
+    trying again is of no use."""
+    named = F.lower("error")
+    transient = F.coalesce(F.col("status").isin(*TRANSIENT_STATUSES), F.lit(False))
+    for name in TRANSIENT_NAMES:
+        transient = transient | F.coalesce(named.contains(name), F.lit(False))
+    asked = F.greatest(F.lit(0.0), F.col("retry_after").try_cast("double"))
+    asked = F.when(F.col("retry_after").try_cast("double").isNotNull(), asked)
+    wait = F.least(F.lit(most), F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("attempt") - 1)))
+    wait = wait + jitter * uniform(seed, F.col(key).cast("string"), F.col("attempt").cast("string"))
+    out = failures.withColumns({"is_rate_limit": F.coalesce(F.col("status") == 429, F.lit(False)), "transient": transient, "retry_after_seconds": asked})
+    return out.withColumn("retry_delay_seconds", F.when(F.col("transient"), F.greatest(wait, F.coalesce("retry_after_seconds", F.lit(0.0)))))

@@ -189,3 +189,14 @@ def test_forbidden_fields_and_keys(spark):
     with pytest.raises(K.ContractError, match="API_Key"):
         K.refuse_forbidden(df, ["api_key"], ["payload"])
     assert K.refuse_forbidden(df, ["secret"], ["payload"]) is df
+
+
+def test_retry_plan(spark):
+    """Names count without a status, what can't be read as a number is no wish, and waits stop growing."""
+    rows = [(1, None, "APIConnectionError", 1, None), (2, 404, "NotFound", 1, "9"), (3, 429, "RateLimitError", 12, "-3"), (4, 503, None, 1, "100"), (5, None, None, 1, "x"), (6, 408, "E", 3, "later")]
+    df = spark.createDataFrame(rows, "id int, status int, error string, attempt int, retry_after string")
+    got = {r.id: r for r in R.retry_plan(df, "id", "s").collect()}
+    assert {i: r.transient for i, r in got.items()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+    assert got[2].retry_delay_seconds is None and got[2].retry_after_seconds == 9 and got[3].retry_after_seconds == 0 and got[6].retry_after_seconds is None
+    assert 1 <= got[1].retry_delay_seconds < 1.75 and 60 <= got[3].retry_delay_seconds < 60.75 and got[4].retry_delay_seconds == 100 and 4 <= got[6].retry_delay_seconds < 4.75
+    assert got[3].is_rate_limit and not got[1].is_rate_limit
