@@ -30,7 +30,8 @@ def pairwise_terms(sample: DataFrame, unit: str, components: list[tuple[list[str
 
     pi = 1 - _product([miss_one(c) for c in components])
     keys = sorted({g for c in components for g in c[0]} | {x for c in components for x in c[1:]})
-    rows = sample.withColumn("_pi", pi)
+    # Products of two sizes don't fit into the integers that sizes may come as.
+    rows = sample.withColumns({x: F.col(x).cast("double") for c in components for x in c[1:]}).withColumn("_pi", pi)
     cells = rows.groupBy(*keys, "_pi").agg(F.sum(F.col(z) / F.col("_pi")).alias("s"), F.sum(F.pow(F.col(z) / F.col("_pi"), 2)).alias("q"))
     a, b = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns]), cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns])
     both = []

@@ -407,3 +407,15 @@ def test_signed_sums_move_no_signs(spark):
     assert plain(sums(1 << 20)) == plain(sums(9)) and sums(1 << 20).count() == 120
     band = B.multiplier_band(rows.selectExpr("c", "g", "r as s", "1.0D as n", "0.0D as w"), "c", "g", 40, "s")
     assert "explode" not in band._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_union_variance_of_a_large_population(spark):
+    """Sizes may come as integers whose product is none."""
+    from ledgerloom.operators.design_estimation import pairwise_terms
+
+    df = spark.createDataFrame([(i, 1.0, 150_000, 2) for i in range(2)], "id int, y double, big int, small int")
+    got = pairwise_terms(df, "id", [([], "big", "small")], "y").first()
+    n, k = 150_000, 2
+    both = k * (k - 1) / (n * (n - 1))
+    want = 2 * (1 - (k / n) ** 2 / both) * (n / k) ** 2 + 2 * (n / k) ** 2 * (1 - k / n)
+    assert got.total == pytest.approx(n) and got.variance == pytest.approx(max(0.0, want), rel=1e-3, abs=1.0)
