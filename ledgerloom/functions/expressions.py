@@ -114,6 +114,13 @@ def beta_yield(events: Column, n: Column, more: int) -> list[Column]:
     return [(a / (a + b)).alias("mean"), F.sqrt(spread).alias("sd"), (more * a / (a + b)).alias("expected"), F.sqrt(more * spread * (a + b + more)).alias("predictive_sd")]
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles as decimals of 18 places, so that no order of rows changes it; a plain sum where one has no
+    such decimal."""
+    d = x.try_cast("decimal(38,18)")
+    return F.when(F.count(x) == F.count(d), F.try_sum(d).cast("double")).otherwise(F.sum(x))
+
+
 def with_prefix(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keep})
 

@@ -355,7 +355,7 @@ def w14(spark, d):
 
 @query("o2_multi_key_sort", "SELECT l_orderkey, count(*) AS n, coalesce(sum(l_tax), 0) >= 0.3 AS heavy FROM lineitem GROUP BY 1 ORDER BY n DESC, heavy, l_orderkey")
 def o2(spark, d):
-    df = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), (F.coalesce(F.sum("l_tax"), F.lit(0)) >= 0.3).alias("heavy"))
+    df = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), (F.coalesce(X.exact_sum(F.col("l_tax")), F.lit(0)) >= 0.3).alias("heavy"))
     return df.orderBy(F.desc("n"), "heavy", "l_orderkey")
 
 
