@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Fixed values of the reference method: deviance tolerance, iterations, and bounds of the separation diagnosis.
@@ -124,6 +127,57 @@ def fit_diagnosis(grouped: DataFrame, by: list[str], covariates: list[str], weig
     return grouped.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {names[c]}" for c in by), DIAGNOSIS]))
 
 
+def fit_arms(n: np.ndarray, events: np.ndarray) -> dict[str, np.ndarray]:
+    """The fits and diagnoses of ``standardized`` without covariates, weighted by n, for many groups at once: counts n and
+    events are (groups, 2), arm off and on; an arm without rows has n = 0. Each group's steps are those of a single fit."""
+    x, there = np.array([[1.0, 0.0], [1.0, 1.0]]), n > 0
+    information = lambda w: np.einsum("rc,ci,cj->rij", w, x, x)
+    fitted = lambda beta: 1 / (1 + np.exp(-np.clip(beta @ x.T, -35, 35)))
+    weights = lambda n, p: np.where(n > 0, np.maximum(n * p * (1 - p), 1e-12), 0.0)
+    p = (events + 0.5) / (n + 1)
+    w = n * p * (1 - p)
+    beta = np.einsum("rij,rj->ri", np.linalg.pinv(information(w), hermitian=True), (w * np.log(p / (1 - p)) + events - n * p) @ x)
+    deviance, done, last = np.full(len(n), np.inf), np.zeros(len(n), bool), p.copy()
+    for _ in range(ITERATIONS):
+        go = np.nonzero(~done)[0]
+        if not len(go):
+            break
+        p = fitted(beta[go])
+        inverse = np.linalg.pinv(information(weights(n[go], p)), rcond=2 * np.finfo(float).eps, hermitian=True)
+        beta[go] += np.einsum("rij,rj->ri", inverse, (events[go] - n[go] * p) @ x)
+        last[go] = p = np.clip(fitted(beta[go]), 1e-12, 1 - 1e-12)
+        new = -2 * (events[go] * np.log(p) + (n[go] - events[go]) * np.log(1 - p)).sum(1)
+        done[go] = np.abs(new - deviance[go]) / (np.abs(new) + 0.1) < TOLERANCE
+        deviance[go] = new
+    with np.errstate(invalid="ignore"):
+        se = np.sqrt(np.einsum("rii->ri", np.linalg.pinv(information(weights(n, last)), hermitian=True)))
+    level, edge = fitted(beta), (last < EDGE) | (last > 1 - EDGE)
+    found = {
+        "not_finite": ~np.isfinite(beta).all(1), "not_converged": ~done, "large_coefficient": (np.isfinite(beta) & (np.abs(beta) > BETA_BOUND)).any(1),
+        "large_error": (np.isfinite(se) & (se > SE_BOUND)).any(1), "fitted_at_edge": (there & edge).any(1),
+    }
+    return {
+        "level_on": level[:, 1], "level_off": level[:, 0], "contrast": level[:, 1] - level[:, 0], "log_odds": beta[:, 1], "separated": np.any(list(found.values()), axis=0), "converged": done,
+        "extreme_weight": ((level < EDGE) | (level > 1 - EDGE)).any(1).astype(float), "se": se[:, 1], "observed_extreme": (n * edge).sum(1) / n.sum(1), "blocking": np.any([found[s] for s in BLOCKING], axis=0),
+        "symptoms": [",".join(s for s, yes in zip(found, row, strict=True) if yes) for row in zip(*found.values(), strict=True)],
+    }
+
+
+def arm_diagnosis(wide: DataFrame) -> DataFrame:
+    """``fit_diagnosis`` without covariates of groups in rows (n0, events0, n1, events1 for arm off and on, doubles, and
+    other columns): a batch of groups is fitted together, so small groups cost no call each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, events = (np.stack([b.column(f"{c}{i}").to_numpy() for i in (0, 1)], axis=1) for c in ("n", "events"))
+                got = fit_arms(n, events)
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v) for v in got.values()]], names=[*b.schema.names, *got])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields)
+    return wide.mapInArrow(run, f"{own}, {DIAGNOSIS}")
+
+
 def without_cluster(grouped: DataFrame, by: list[str], covariates: list[str]) -> DataFrame:
     """Cells summed over clusters: the fit is the same, and the group small."""
     return grouped.groupBy(*by, "arm", *covariates).agg(F.sum("n").alias("n"), F.sum("events").alias("events"))

@@ -121,9 +121,10 @@ def supplier_fits(spark, d):
     """A fit of the arm alone in each small stratum of a supplier that can be estimated: events in both arms, and others."""
     by = ["l_suppkey", "lang", "domain", "tier"]
     df = C.with_arms(analysis_frame(spark, d), "home_status", "home", "away")
-    grouped = df.groupBy(*by, (F.col("home_status") == "home").cast("int").alias("arm")).agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("events"))
-    fit = grouped.groupBy(*by).agg(F.count_if(F.col("events") > 0).alias("arms"), F.sum("n").alias("rows"), F.sum("events").alias("all_events")).filter("arms = 2 and all_events < rows").select(*by, "rows")
-    return S.fit_diagnosis(grouped.join(fit.select(*by), by), by, []).join(fit, by)
+    arms = [(1, F.col("home_status") == "home"), (0, F.col("home_status") != "home")]
+    wide = df.groupBy(*by).agg(*[x for i, on in arms for x in (F.count_if(on).cast("double").alias(f"n{i}"), F.coalesce(F.sum(F.when(on, F.col("y"))), F.lit(0)).cast("double").alias(f"events{i}"))])
+    wide = wide.filter("events1 > 0 and events0 > 0 and events1 + events0 < n1 + n0")
+    return S.arm_diagnosis(wide).withColumn("rows", F.col("n1") + F.col("n0"))
 
 
 @query("e12_separation", with_frame(_FITS + " SELECT l_suppkey, lang, domain, tier, s1 OR s0 AS separated, false AS blocking, round((CASE WHEN s1 THEN n1 ELSE 0 END + CASE WHEN s0 THEN n0 ELSE 0 END) / (n1 + n0), 9) AS observed_extreme, CASE WHEN NOT (s1 OR s0) THEN round(ln(e1 / (n1 - e1)) - ln(e0 / (n0 - e0)), 5) END AS log_odds, CASE WHEN NOT (s1 OR s0) THEN round(sqrt(1 / e1 + 1 / (n1 - e1) + 1 / e0 + 1 / (n0 - e0)), 4) END AS se FROM f"))

@@ -432,3 +432,19 @@ def test_exact_sum_has_no_order(spark):
     rows = [("a", x) for x in taxes] + [("b", x) for x in sorted(taxes)] + [("c", None), ("d", float("nan")), ("d", 1.0), ("e", 1e30), ("e", 1.0)]
     got = {r.g: r.s for r in spark.createDataFrame(rows, "g string, x double").groupBy("g").agg(exact_sum(F.col("x")).alias("s")).collect()}
     assert reduce(add, taxes) < 0.3 == got["a"] == got["b"] and got["c"] is None and got["d"] != got["d"] and got["e"] == 1e30
+
+
+def test_arms_fitted_together_equal_single_fits():
+    """One call for many groups gives each group's own fit and diagnosis, also separated ones and groups of one arm."""
+    from ledgerloom.operators.standardize import fit_arms, standardized
+
+    groups = [(n0, e0, n1, e1) for n0 in (1, 2, 9, 400) for e0 in sorted({0, 1, n0 // 2, n0}) for n1 in (1, 3, 50) for e1 in sorted({0, 1, n1})] + [(6, 2, 0, 0), (0, 0, 5, 5)]
+    a = np.array(groups, float)
+    got = fit_arms(a[:, [0, 2]], a[:, [1, 3]])
+    for i, (n0, e0, n1, e1) in enumerate(groups):
+        pdf = pd.DataFrame([(0, n0, e0), (1, n1, e1)], columns=["arm", "n", "events"])
+        want = standardized(pdf[pdf["n"] > 0].reset_index(drop=True), [], "n")
+        for name in ("separated", "converged", "blocking", "symptoms", "extreme_weight", "observed_extreme", "level_on", "level_off", "contrast"):
+            assert got[name][i] == (pytest.approx(want[name], abs=1e-9) if isinstance(want[name], float) else want[name]), (groups[i], name)
+        if not want["separated"]:
+            assert got["log_odds"][i] == pytest.approx(want["log_odds"], abs=1e-7) and got["se"][i] == pytest.approx(want["se"], rel=1e-6)
