@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions.expressions import uniform
 from ledgerloom.sources.scratch import written
 
+#: Strata that travel to all tasks: some 100 bytes each.
+FEW = 10_000
+
 
 def seeded_rank(seed: str, unit: str, by: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(unit).cast("string")), 256), unit))
@@ -29,11 +32,13 @@ def srswor(df: DataFrame, by: list[str], unit: str, size: Column, seed: str) ->
     strata = strata.withColumn("pi", F.col("draw_n") / F.col("stratum_n"))
     margin, whole = 12 * F.sqrt("draw_n") + 60, F.col("draw_n") >= F.col("stratum_n")
     low, high = (F.when(whole, 2.0).otherwise((F.col("draw_n") + m) / F.col("stratum_n")) for m in (-margin, margin))
-    strata = strata.withColumns({"_low": low, "_high": high})
-    seen = df.withColumn("_u", u).join(strata, by).groupBy(*by).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
+    strata = written(strata.withColumns({"_low": low, "_high": high}), "strata")
+    # A few strata would leave all rows to as many tasks of a shuffled join; many spread them.
+    few = F.broadcast if strata.count() <= FEW else lambda x: x
+    seen = df.withColumn("_u", u).join(few(strata), by).groupBy(*by).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_below"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
     near = (F.col("_below") <= F.col("draw_n")) & (F.col("_upto") >= F.col("draw_n"))
     cut = strata.join(seen, by).withColumns({"_low": F.when(near, F.col("_low")).otherwise(-1.0), "_high": F.when(near, F.col("_high")).otherwise(2.0), "_below": F.when(near, F.col("_below")).otherwise(0)})
-    out = df.withColumn("_u", u).join(cut, by)
+    out = df.withColumn("_u", u).join(few(written(cut, "cuts")), by)
     sure = out.filter("_u < _low").withColumn("drawn", F.lit(True))
     close = out.filter("_u >= _low and _u < _high").withColumn("drawn", seeded_rank(seed, unit, by) + F.col("_below") <= F.col("draw_n"))
     far = out.filter("_u >= _low and _u >= _high").withColumn("drawn", F.lit(False))

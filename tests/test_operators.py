@@ -448,3 +448,19 @@ def test_arms_fitted_together_equal_single_fits():
             assert got[name][i] == (pytest.approx(want[name], abs=1e-9) if isinstance(want[name], float) else want[name]), (groups[i], name)
         if not want["separated"]:
             assert got["log_odds"][i] == pytest.approx(want["log_odds"], abs=1e-7) and got["se"][i] == pytest.approx(want["se"], rel=1e-6)
+
+
+def test_few_strata_leave_no_task_with_all_rows(spark, monkeypatch):
+    """Rows aren't dealt by stratum; with many strata they are, and the draw is the same."""
+    from ledgerloom.operators import designs
+
+    df = spark.range(3000).selectExpr("id", "id % 2 as s")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = designs.srswor(df, ["s"], "id", F.lit(40), "x")
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        want = sorted(few.filter("drawn").select("id").collect())
+        monkeypatch.setattr(designs, "FEW", 1)
+        assert sorted(designs.srswor(df, ["s"], "id", F.lit(40), "x").filter("drawn").select("id").collect()) == want and len(want) == 80
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
