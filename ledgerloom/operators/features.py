@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.operators.document_weights import document_weights
 from ledgerloom.sources.scratch import written
 
 
 def tfidf(docs: DataFrame, key: str, words: str) -> DataFrame:
     """(key, term, tf, weight) of the words and word pairs of docs (key, words array): tf * (ln((1 + n) / (1 + df)) + 1)."""
-    w = F.col(words)
-    pairs = F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    tf = docs.select(key, F.explode(F.concat(w, pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    return tf.join(idf, "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    rows = document_weights(docs, key, words, "pairs", terms=True)
+    return rows.select(key, F.explode(F.arrays_zip("terms", "tf", "weights")).alias("t")).select(key, F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"), F.col("t.weights").alias("weight"))
 
 
 def word_grams(words: Column) -> Column:
@@ -38,13 +35,8 @@ def term_weights(docs: DataFrame, key: str, terms: str, min_df: int = 5, max_df:
     """(key, term, weight) of docs (key, terms array): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document of
     length 1. Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left out, as are
     documents without any other."""
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg((1 + F.ln(F.count("*"))).alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    idf = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = written(tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight")), "term-weights")
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("weight") / F.col("length")).alias("weight"))
+    rows = document_weights(docs, key, terms, "words", min_df, max_df, sublinear=True, unit=True, terms=True)
+    return rows.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("t")).select(key, F.col("t.terms").alias("term"), F.col("t.weights").alias("weight"))
 
 
 def procrustes(df: DataFrame) -> DataFrame:

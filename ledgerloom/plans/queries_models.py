@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ledgerloom.functions.beta import beta_binomial_ppf, beta_ppf
 from ledgerloom.functions.expressions import uniform
 from ledgerloom.operators import cross_fit as X, designs as D, features as T, matrices as M, regions as R, two_phase as P
+from ledgerloom.operators.document_weights import document_weights
 from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.queries_design import _SAMPLE, audited
 from ledgerloom.plans.register import query
@@ -30,20 +31,21 @@ x AS (SELECT doc_id, term, tf * idf AS v FROM f JOIN i USING (term)), z AS (SELE
 SELECT doc_id, count(*) AS terms, round(sum(v), 6) AS total, round(max(v), 6) AS top FROM z GROUP BY 1"""
 
 
-def by_document(weights):
-    return weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+def by_document(docs, grams):
+    rows = document_weights(docs, "doc_id", "words", grams, 5, 0.6, sublinear=True, unit=True)
+    return rows.select("doc_id", F.size("weights").cast("long").alias("terms"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("weights"), 6).alias("top"))
 
 
 @query("v10_term_weights", weights_sql("SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w"))
 def v10_words(spark, d):
     """Sublinear TF-IDF of words and word pairs, rows of length 1, terms in five documents to six tenths of them."""
-    return by_document(T.term_weights(words(spark, d).withColumn("terms", T.word_grams(F.col("words"))), "doc_id", "terms"))
+    return by_document(words(spark, d), "pairs")
 
 
 @query("v10_char_weights", weights_sql(_CHARS_SQL))
 def v10_chars(spark, d):
     """The same for runs of three to five characters inside words."""
-    return by_document(T.term_weights(words(spark, d).withColumn("terms", T.char_grams(F.col("words"))), "doc_id", "terms"))
+    return by_document(words(spark, d), "chars")
 
 
 @query("v10_svd")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import expressions as X
 from ledgerloom.operators import designs as D, features as T, resample as B
+from ledgerloom.operators.document_weights import document_weights
 from ledgerloom.plans.frame import analysis_frame, with_frame
 from ledgerloom.plans.queries_estimates import draws_sql, order_sums
 from ledgerloom.plans.register import query
@@ -529,8 +530,9 @@ _WORDS_SQL = "regexp_extract_all(lower(text), '[a-z]+')"
 @query("v10_tfidf", f"WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM w), i AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM f, n GROUP BY 1) SELECT doc_id, count(*) AS terms, round(sqrt(sum(pow(tf * idf, 2))), 6) AS norm, round(max(tf * idf), 6) AS top FROM f JOIN i USING (term) GROUP BY 1")
 def v10(spark, d):
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("words"))
-    weights = T.tfidf(docs, "doc_id", "words")
-    return weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.pow("weight", F.lit(2)))), 6).alias("norm"), F.round(F.max("weight"), 6).alias("top"))
+    rows = document_weights(docs, "doc_id", "words", "pairs")
+    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("doc_id", F.size("weights").cast("long").alias("terms"), F.round(norm, 6).alias("norm"), F.round(F.array_max("weights"), 6).alias("top"))
 
 
 @query("v11_l2_logistic")
