@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.operators.document_weights import document_weights
@@ -61,26 +63,33 @@ def medoids(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     return scored.groupBy(group).agg(F.max_by(key, F.struct("s", -F.col(key))).alias("medoid"), F.count("*").alias("n"))
 
 
-def _pipeline(numbers: list[str], names: list[str], label: str, weight: str, strength: float):
+def _fitted(rows: DataFrame, numbers: list[str], names: list[str], label: str, weight: str, strength: float):
+    """(prepare, model) of written rows: missing numbers become their mean, numbers are scaled, names one-hot. Equal
+    rows are one with their summed weight, so steps of the fit don't grow with the rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
-    return Pipeline(stages=[
-        Imputer(inputCols=numbers, outputCols=[f"{c}_full" for c in numbers]),
-        VectorAssembler(inputCols=[f"{c}_full" for c in numbers], outputCol="_numbers"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True),
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    there = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    cells = written(rows.groupBy(*dict.fromkeys([*numbers, *names, label, weight])).agg(F.count("*").alias("_n")), "fit-cells")
+    mean = cells.agg(*[(F.sum(there(c) * F.col("_n")) / F.sum(F.when(there(c).isNotNull(), F.col("_n")))).alias(c) for c in numbers]).first()
+    full = lambda c: F.coalesce(there(c), F.lit(mean[c])) - F.lit(mean[c])
+    size = cells.agg(F.sum("_n").alias("_all"), *[F.sum(full(c) * full(c) * F.col("_n")).alias(c) for c in numbers]).first()
+    scale = {c: 1 / math.sqrt(size[c] / (size["_all"] - 1)) if size["_all"] > 1 and size[c] else 0.0 for c in numbers}
+    prepare = lambda df: df.withColumns({f"{c}_scaled": full(c) * scale[c] for c in numbers})
+    stages = [
         StringIndexer(inputCols=names, outputCols=[f"{c}_index" for c in names], stringOrderType="alphabetAsc", handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}_index" for c in names], outputCols=[f"{c}_hot" for c in names]),
-        VectorAssembler(inputCols=["_scaled", *[f"{c}_hot" for c in names]], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, regParam=strength, standardization=False, tol=1e-6, maxIter=100),
-    ])
+        VectorAssembler(inputCols=[*[f"{c}_scaled" for c in numbers], *[f"{c}_hot" for c in names]], outputCol="_features"),
+        LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=strength, standardization=False, tol=1e-6, maxIter=100),
+    ]
+    return prepare, Pipeline(stages=stages).fit(prepare(cells).withColumn("_weight", F.col(weight) * F.col("_n")))
 
 
 def logistic_coefficients(df: DataFrame, numbers: list[str], names: list[str], label: str, weight: str, strength: float) -> DataFrame:
     """(feature, coefficient): missing numbers imputed by their mean, numbers scaled, names one-hot, L2 penalty."""
-    model = _pipeline(numbers, names, label, weight, strength).fit(df)
-    fit, levels = model.stages[-1], model.stages[3].labelsArray
+    _, model = _fitted(df, numbers, names, label, weight, strength)
+    fit, levels = model.stages[-1], model.stages[0].labelsArray
     features = [*numbers, *[f"{c}={x}" for c, ls in zip(names, levels, strict=True) for x in ls]]
     rows = [("intercept", float(fit.intercept)), *zip(features, map(float, fit.coefficients), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double").withColumn("coefficient", F.round("coefficient", 5))
@@ -90,10 +99,11 @@ def cross_fitted(df: DataFrame, numbers: list[str], names: list[str], label: str
     """df with p, the chance of the label by a fit on all other folds; weights are capped at a quantile of theirs."""
     from pyspark.ml.functions import vector_to_array
 
-    top = df.agg(F.percentile_approx(weight, cap, 10000)).first()[0]
-    capped, out = written(df.withColumn(weight, F.least(F.col(weight), F.lit(top))), "cross-fit"), None
+    rows = written(df, "cross-fit")
+    top, out = rows.agg(F.percentile_approx(weight, cap, 10000)).first()[0], None
+    capped = rows.withColumn(weight, F.least(F.col(weight), F.lit(top)))
     for k in range(folds):
-        model = _pipeline(numbers, names, label, weight, strength).fit(capped.filter(F.col(fold) != k))
-        part = model.transform(capped.filter(F.col(fold) == k)).select(*df.columns, vector_to_array("probability")[1].alias("p"))
+        prepare, model = _fitted(capped.filter(F.col(fold) != k), numbers, names, label, weight, strength)
+        part = model.transform(prepare(capped.filter(F.col(fold) == k))).select(*df.columns, vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
