@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.sources.batches import bounded_batches
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -23,7 +25,9 @@ def all_finite(v: Column) -> Column:
 
 
 def packed(df: DataFrame, name: str, rows: int) -> DataFrame:
-    """Blocks of that many vectors of length 1: their ids and components as bytes."""
+    """Blocks of that many vectors of length 1: their ids and components as bytes. A block has megabytes, so the rows
+    of a batch are bounded by their bytes."""
+    bounded_batches(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
