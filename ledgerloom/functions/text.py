@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
+from ledgerloom.sources.batches import bounded_batches
+
 #: Scripts by name, as regular-expression classes.
 SCRIPTS = {"kana": r"[\p{IsHiragana}\p{IsKatakana}]", "han": r"\p{IsHan}", "arabic": r"\p{IsArabic}", "cyrillic": r"\p{IsCyrillic}", "devanagari": r"\p{IsDevanagari}", "latin": r"\p{IsLatin}"}
 #: Language that a script stands for, in the order in which they are tried: kana before Han.
@@ -128,6 +130,7 @@ def chunks(df: DataFrame, text: str, target: int = 3000) -> DataFrame:
     """df with chunk_no and chunk: pieces of at most ``target`` characters, cut after the last line end or else
     space inside it; joined they are the text again. A null or empty text has no chunk."""
     others = df.columns
+    bounded_batches(df.sparkSession)
 
     def cut(value: str) -> list[str]:
         out, at = [], 0
@@ -139,7 +142,7 @@ def chunks(df: DataFrame, text: str, target: int = 3000) -> DataFrame:
         return out + [value[at:]] * (at < len(value))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in (whole.iloc[at : at + 128] for whole in frames for at in range(0, len(whole), 128)):
             pdf = pdf.assign(chunk=[cut(v) if v else [] for v in pdf[text]])
             pdf["chunk_no"] = pdf["chunk"].map(lambda c: list(range(len(c))))
             yield pdf.explode(["chunk", "chunk_no"]).dropna(subset=["chunk_no"]).astype({"chunk_no": "int32"})[[*others, "chunk_no", "chunk"]]
