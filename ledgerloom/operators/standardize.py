@@ -16,8 +16,10 @@ BETA_BOUND, SE_BOUND, EDGE = 15.0, 25.0, 1e-6
 
 def model_terms(df: DataFrame, by: list[str], covariates: list[str], model: str | None = None, outcome: str = "y", arm: str = "home") -> DataFrame:
     """(by, formula, dropped): the right-hand side that a group's rows can carry. Covariates with one level are left out
-    (nulls aren't a level); with ``model``, the arm is crossed with it where the group has more than one. One pass: a
-    column has more than one level if its least and greatest differ."""
+    (nulls aren't a level); with ``model``, the arm is crossed with it where the group has more than one. A column
+    has more than one level if its least and greatest differ; combinations of levels come first, as Spark sorts all rows
+    for the least of strings, but hashes them for distinct ones."""
+    df = df.select(*dict.fromkeys([*by, *covariates, *([model] if model else [])])).distinct()
     many = {c: F.min(c) < F.max(c) for c in [*covariates, *([model] if model else [])]}
     out = df.groupBy(*by).agg(*[F.coalesce(v, F.lit(False)).alias(f"_{c}") for c, v in many.items()])
     head = F.when(F.col(f"_{model}"), F.lit(f"{arm} * {model}")).otherwise(F.lit(arm)) if model else F.lit(arm)
