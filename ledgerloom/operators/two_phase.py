@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions.expressions import uniform
 from ledgerloom.operators.contracts import ContractError
-from ledgerloom.operators.resample import draws
+from ledgerloom.operators.resample import replicate_sums
 from ledgerloom.sources.scratch import written
 
 
@@ -48,10 +48,8 @@ def two_phase_band(rows: DataFrame, cluster: str, by: str, unit: str, splits: Da
         raise ContractError(f"stratum {bad[0]} can't be resampled")
     again = rest * F.col("group_size") / (F.col("group_size") - 1) * F.col("times") * F.col("correction")
     extra = control_multipliers(controls, "stratum", reps, seed).join(controls, ["stratum", "slot"]).groupBy("rep", cluster, by).agg(F.sum(again).alias("e"))
-    drawn = written(draws(base, cluster, reps, f"{seed}|1"), "cluster-draws")
-    sums = base.join(drawn, cluster).groupBy("rep", by).agg(F.sum(F.col("mult") * F.col("s")).alias("s"), F.sum(F.col("mult") * F.col("n")).alias("n"))
-    more = extra.join(drawn, ["rep", cluster]).groupBy("rep", by).agg(F.sum(F.col("mult") * F.col("e")).alias("e"))
-    est = written(sums.join(more, ["rep", by], "left").select("rep", by, ((F.col("s") + F.coalesce("e", F.lit(0.0))) / F.col("n")).alias("r")), "replicates")
+    sums = replicate_sums(base, base, cluster, [by], ["s", "n"], reps, f"{seed}|1", extra=written(extra, "control-sums"))
+    est = written(sums.select("rep", by, ((F.col("s") + F.col("e")) / F.col("n")).alias("r")), "replicates")
     point = base.groupBy(by).agg((F.sum("all") / F.sum("n")).alias("estimate"), F.sum("n").alias("n"))
     groups = point.agg(F.count("*").alias("groups"))
     whole = est.groupBy("rep").agg(F.count("r").alias("k")).crossJoin(F.broadcast(groups)).filter("k = groups").select("rep")  # one row

@@ -108,17 +108,24 @@ SELECT o_orderstatus, n, round(estimate, 9) AS estimate, round(within_se, 9) AS
 def b11_two_phase(spark, d):
     """Means of an audited outcome by status: clusters and audited controls resampled together, 500 times, with the
     spread over ten fold assignments of cross-fitted cell means."""
-    split = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
     rows = written(audited(spark, d), "audited")
-    each = rows.withColumn("split", split).withColumn("fold", F.floor(uniform("fold", F.col("split").cast("string"), F.col("o_custkey").cast("string")) * FOLDS).cast("int"))
-    cells = each.filter("drawn").groupBy("split", "o_orderstatus", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+
+    def split(df):
+        fold = F.floor(uniform("fold", F.col("split").cast("string"), F.col("o_custkey").cast("string")) * FOLDS).cast("int")
+        return df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))).withColumn("fold", fold)
+
+    cells = split(rows.filter("drawn")).groupBy("split", "o_orderstatus", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
     w = Window.partitionBy("split", "o_orderstatus")
     others = cells.select("split", "o_orderstatus", "fold", ((F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))).alias("m"))
-    each = each.join(F.broadcast(others), ["split", "o_orderstatus", "fold"])  # splits times folds times statuses
-    z = F.col("m") + F.when(F.col("drawn"), (F.col("y") - F.col("m")) / F.col("pi")).otherwise(0.0)
-    points = each.groupBy("split", "o_orderstatus").agg(F.avg(z).alias("estimate"))
-    m = each.groupBy("o_orderkey").agg(F.avg("m").alias("m"))
-    full = rows.join(m, "o_orderkey").withColumns({
+    # A fold is its customer's, so predictions are those of a customer and status: no order stands in ten splits.
+    place = ["o_custkey", "o_orderstatus"]
+    fixed = F.when(F.col("drawn"), 1 / F.col("pi")).otherwise(0.0)
+    each = rows.groupBy(*place).agg(F.count("*").alias("n"), F.sum(F.col("y") * fixed).alias("f"), F.sum(fixed).alias("g"))
+    each = split(each).join(F.broadcast(others), ["split", "o_orderstatus", "fold"])  # splits times folds times statuses
+    z = F.col("n") * F.col("m") + F.col("f") - F.col("g") * F.col("m")
+    points = each.groupBy("split", "o_orderstatus").agg((F.sum(z) / F.sum("n")).alias("estimate"))
+    m = each.groupBy(*place).agg(F.avg("m").alias("m"))
+    full = rows.join(m, place).withColumns({
         "correction": F.when(F.col("drawn"), (F.col("y") - F.col("m")) / F.col("pi")).otherwise(0.0), "stratum": F.when(F.col("drawn"), F.col("o_orderpriority")), "fraction": F.when(F.col("drawn"), F.col("pi")),
     })
     return P.two_phase_band(full, "o_custkey", "o_orderstatus", "o_orderkey", points, 500, "b11b")
