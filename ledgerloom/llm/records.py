@@ -15,8 +15,8 @@ import os
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from ledgerloom.llm.shared import bounded_batches, lean, only, saved, scratch, s
 MASK = 0xA282EAD8
 HEAD, TAIL, INDEX = "<QI", "<I", "<QQ"
 #: Distinct words whose ids a worker keeps; later ones are encoded each time. Words encoded in one go.
-WORDS_KEPT, WORDS_AT_ONCE = 200_000, 200
+WORDS_KEPT, WORDS_AT_ONCE = 400_000, 200
 #: The split pattern that word_encoder knows: letters, single digits, other signs, and English endings.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of token ids aimed at in a file.
@@ -74,6 +74,14 @@ def plain_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+def byte_letters() -> dict[int, str]:
+    """For ``str.translate``: what the byte-level step makes of the characters of plain texts, spaces left alone."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    letter = [chr(b if b in same else next(other)) for b in range(256)]
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(PLAIN_END) if c != 32}
+
+
 #: The words a worker has encoded so far, for each tokenizer file; kept between tasks.
 _kept: dict[tuple[str, str], dict[str, bytes]] = {}
 
@@ -96,7 +104,7 @@ def word_encoder(path: str, end_id: int) -> tuple[Callable[[list[str | None]], l
     by_words = by_words and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
     words, special = plain_pattern(PATTERN), re.compile("|".join(map(re.escape, (t["content"] for t in spec["added_tokens"]))) or r"(?!)")
     bare = Tokenizer(tok.model)
-    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    bare.pre_tokenizer, letters = pre_tokenizers.WhitespaceSplit(), byte_letters()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
     kept, end = _kept.setdefault((path, dtype), {}), np.array([end_id], dtype).tobytes()
@@ -104,7 +112,7 @@ def word_encoder(path: str, end_id: int) -> tuple[Callable[[list[str | None]], l
     def encode_words(new: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         parts = [new[i : i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
-        for part, e in zip(parts, bare.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, bare.encode_batch_fast([" ".join(p).translate(letters) for p in parts], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, np.int64)
             cuts = np.nonzero(ends[ids])[0] + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
@@ -115,19 +123,27 @@ def word_encoder(path: str, end_id: int) -> tuple[Callable[[list[str | None]], l
         return out
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | list[str]] = []
+        out: list[bytes | tuple[list[str], list[bytes | None]]] = []
+        new: set[str] = set()
         for text in texts:
             text = text or ""
             low = text.lower()
-            plain = by_words and PLAIN.fullmatch(text) and PLAIN.fullmatch(low) and not special.search(text)
-            out.append(words.findall(low) if plain else np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes())
-        here = kept
-        if new := list({w for ws in out if isinstance(ws, list) for w in ws if w not in kept}):
-            if len(kept) + len(new) <= WORDS_KEPT:
-                kept.update(encode_words(new))
-            else:
-                here = ChainMap(kept, encode_words(new))
-        return [b"".join(map(here.__getitem__, x)) + end if isinstance(x, list) else x + end for x in out]
+            plain = by_words and (text.isascii() or PLAIN.fullmatch(text) and PLAIN.fullmatch(low)) and not special.search(text)
+            if not plain:
+                out.append(np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes())
+                continue
+            found = words.findall(low)
+            known = list(map(kept.get, found))
+            if None in known:
+                new.update(w for w, ids in zip(found, known, strict=True) if ids is None)
+            out.append((found, known))
+        fresh = encode_words(list(new)) if new else {}
+        kept.update(islice(fresh.items(), max(0, WORDS_KEPT - len(kept))))
+
+        def joined(found: list[str], known: list[bytes | None]) -> bytes:
+            return b"".join([fresh[w] if ids is None else ids for w, ids in zip(found, known, strict=True)] if None in known else known)
+
+        return [(x if isinstance(x, bytes) else joined(*x)) + end for x in out]
 
     return encode, width
 

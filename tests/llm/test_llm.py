@@ -409,6 +409,38 @@ def test_records_encode_as_the_library_does():
     assert [np.frombuffer(x, f"<u{width}").tolist() for x in got] == [e.ids + [2] for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_records_with_a_full_cache_look_a_word_up_once(monkeypatch):
+    """Ids don't depend on what is kept; words that were kept are looked up by the dict alone, also when it is full."""
+    path = vocabulary("word_bpe_49k.json")
+    texts = ["one two three, two!", "four two éa'll five 6\x1c", None, "six one ‰", "naïve " * 3]
+    monkeypatch.setattr(R6, "_kept", {})
+    want = R6.word_encoder(path, 2)[0](texts)
+    looked = []
+
+    class Kept(dict):
+        def get(self, word):
+            looked.append(word)
+            return super().get(word)
+
+        __getitem__ = None
+
+    kept = Kept()
+    monkeypatch.setattr(R6, "WORDS_KEPT", 3)
+    monkeypatch.setattr(R6, "_kept", {(path, "<u2"): kept})
+    encode, _ = R6.word_encoder(path, 2)
+    assert encode(texts[:1]) + encode(texts[1:]) == want and len(kept) == 3
+    assert encode(texts) == want and len(kept) == 3
+    assert len(looked) == 2 * (6 + 7 + 3)
+
+
+def test_byte_letters_are_the_library_s():
+    from tokenizers import pre_tokenizers
+
+    level, letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), R6.byte_letters()
+    chars = [chr(c) for c in range(R6.PLAIN_END) if c != 32]
+    assert [c.translate(letters) for c in chars] == [level.pre_tokenize_str(c)[0][0] for c in chars]
+
+
 def test_sentencepiece_ids_are_the_rebuilt_tokenizers(monkeypatch):
     path = vocabulary("piece_bpe_32k.model")
     texts = ["Hello world, again and again.\nA new line", "naïve café 日本語"]
