@@ -17,12 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.vectors import answers, blocks, finite, first_of_equal, renamed, unpack
+from ledgerloom.llm.vectors import answers, finite, first_of_equal
 from ledgerloom.llm.shared import lean, saved
 
 #: Rows of the sample on which the index is fitted (of those with the smallest seeded hash), neighbours of its
-#: graph, rows of a part aimed at (of the table, and of the sample), rows packed together.
-SAMPLE_ROWS, NEIGHBOURS, PART_ROWS, PART_SAMPLE, BLOCK_ROWS = 8192, 16, 128, 32, 2048
+#: graph, rows of a part aimed at (of the table, and of the sample).
+SAMPLE_ROWS, NEIGHBOURS, PART_ROWS, PART_SAMPLE = 8192, 16, 128, 32
+#: Ranges of neighbouring parts into which rows are dealt, whatever the number of parts; queries, about, that one task
+#: holds; products that it holds at once.
+GROUPS, BAND, PRODUCTS = 16, 1 << 15, 1 << 21
+#: What stands for a part in rows that are queries; parts start at -1.
+QUERY = -2
 #: Share of the nearest rows that routing must find on unseen rows of the sample, and the share held back for that.
 TARGET, HELD = 0.96, 0.2
 
@@ -160,29 +165,127 @@ def fit_index(df: DataFrame, rows: int, k: int, seed: int = 7) -> Index | None:
     return index
 
 
-def routed(df: DataFrame, index: Index, probes: bool) -> DataFrame:
-    """df (vec_id, vector) with its most probable part; with ``probes`` a row for each part to be searched.
-    Vectors of another length than the fitted one go to part -1, which is searched exhaustively."""
+def placed(vectors: pa.ListArray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the fitted length with the probabilities of their parts, and the other rows."""
+    dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    fits, odd = np.nonzero(dims == index.dim)[0], np.nonzero(dims != index.dim)[0]
+    x = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, index.dim)
+    return fits, index.probabilities(x), odd
+
+
+def assigned(df: DataFrame, index: Index) -> DataFrame:
+    """df (vec_id, vector) with its most probable part. Vectors of another length than the fitted one go to part -1,
+    which is searched exhaustively."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("vector")
-            dims = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            fits = np.nonzero(dims == index.dim)[0]
-            odd = np.nonzero(dims != index.dim)[0]
-            x = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, index.dim)
-            p = index.probabilities(x)
-            if probes:
-                order = np.argsort(-p, axis=1, kind="stable")
-                row = np.concatenate([np.repeat(fits, index.probes), odd])
-                part = np.concatenate([order[:, : index.probes].reshape(-1), np.full(len(odd), -1)])
-            else:
-                row, part = np.concatenate([fits, odd]), np.concatenate([p.argmax(axis=1), np.full(len(odd), -1)])
+            fits, p, _ = placed(b.column("vector"), index)
+            part = np.full(b.num_rows, -1)
+            part[fits] = p.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vector"), pa.array(part)], names=["vec_id", "vector", "part"])
+
+    return df.select("vec_id", "vector").mapInArrow(lean(run), f"vec_id long, vector {dict(df.dtypes)['vector']}, part long")
+
+
+def routed(df: DataFrame, index: Index, spans: dict[int, tuple[int, int]], groups: int) -> DataFrame:
+    """df (vec_id, vector) once for each group that holds rows of parts to be searched, with those parts as bits
+    (part -1 first)."""
+    member = np.zeros((index.parts + 1, groups), bool)
+    for part, (low, high) in spans.items():
+        member[part + 1, low : high + 1] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fits, p, odd = placed(b.column("vector"), index)
+            want = np.zeros((b.num_rows, index.parts + 1), bool)
+            want[fits[:, None], np.argsort(-p, axis=1, kind="stable")[:, : index.probes] + 1] = True
+            want[odd, 0] = True
+            row, group = np.nonzero(want.astype(np.float32) @ member.astype(np.float32))
+            bits = [x.tobytes() for x in np.packbits(want, axis=1)]
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), lists.take(row), pa.array(part.astype(np.int64))], names=["vec_id", "vector", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(row), b.column("vector").take(row), pa.array(group), pa.array(bits, pa.binary()).take(row)], names=["vec_id", "vector", "slot", "wanted"])
+
+    return df.select("vec_id", "vector").mapInArrow(lean(run), f"vec_id long, vector {dict(df.dtypes)['vector']}, slot long, wanted binary")
+
+
+class Nearest:
+    """The k best of each of a set of queries, as candidates come by. Scores are summed pair by pair, so they don't
+    depend on what comes together; what a matrix product leaves out is worse by more than its rounding."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, want: np.ndarray, k: int):
+        self.ids, self.mat, self.want, self.k = ids, mat, want, k
+        self.rounding = 1e-15 * (mat.shape[1] + 1) * np.sqrt(np.einsum("ij,ij->i", mat, mat))
+        self.bound = np.full(len(ids), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count, self.most = 0, 2 * k * len(ids) + (1 << 18)
+
+    def meet(self, part: int, ids: np.ndarray, mat: np.ndarray) -> None:
+        rows = np.nonzero(self.want[:, part + 1])[0]
+        longest, m = np.sqrt(np.einsum("ij,ij->i", mat, mat).max()), min(self.k, len(ids))
+        step = max(1, PRODUCTS // len(ids))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            s, least = self.mat[r] @ mat.T, self.bound[r]
+            if np.isinf(least).any():
+                least = np.maximum(least, np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m])
+            i, j = np.nonzero(s >= (least - self.rounding[r] * longest)[:, None])
+            for low in range(0, len(i), 1 << 16):
+                a, c = r[i[low : low + (1 << 16)]], j[low : low + (1 << 16)]
+                self.held.append((a, ids[c], np.einsum("ij,ij->i", self.mat[a], mat[c])))
+                self.count += len(a)
+                if self.count > self.most:
+                    self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        q, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.bound[q[rank == self.k - 1]] = score[rank == self.k - 1]
+        best = rank < self.k
+        self.held, self.count = [(q[best], ids[best], score[best])], int(best.sum())
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        for q, ids, score in self.held:
+            for low in range(0, len(q), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[part]]), pa.array(ids[part]), pa.array(score[part])], names=["rep", "vec_id", "score"])
+
+
+def searched(rows: DataFrame, parts: int, k: int) -> DataFrame:
+    """rep, vec_id, score: the k best of each query in each slot. rows (slot, part, vec_id, vector, wanted) stand by
+    slot and, inside, by part, queries first; a task holds a slot's queries and lets its other rows pass."""
 
-    kind = dict(df.dtypes)["vector"]
-    return df.select("vec_id", "vector").mapInArrow(lean(run), f"vec_id long, vector {kind}, part long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, near = None, [], {}
+        for b in batches:
+            slot, part = b.column("slot").to_numpy(), b.column("part").to_numpy()
+            ids, lists = b.column("vec_id").to_numpy(), b.column("vector")
+            dims = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
+            cuts = [*np.nonzero(np.any([np.diff(x, prepend=x[0] - 1) for x in (slot, part, dims)], axis=0))[0].tolist(), len(slot)]
+            for i, j in zip(cuts, cuts[1:]):
+                dim, mat = int(dims[i]), flat[ends[i] : ends[j]].astype(np.float64).reshape(j - i, -1)
+                if slot[i] != now:
+                    for x in near.values():
+                        yield from x.best()
+                    now, asked, near = slot[i], [], {}
+                if part[i] == QUERY:
+                    bits = np.frombuffer(b"".join(b.column("wanted").slice(i, j - i).to_pylist()), np.uint8).reshape(j - i, -1)
+                    asked.append((dim, ids[i:j], mat, np.unpackbits(bits, axis=1, count=parts + 1).astype(bool)))
+                    continue
+                for d in sorted({x[0] for x in asked}):
+                    near[d] = Nearest(*(np.concatenate(x) for x in zip(*[x[1:] for x in asked if x[0] == d])), k)
+                asked = []
+                if dim in near:
+                    near[dim].meet(int(part[i]), ids[i:j], mat)
+        for x in near.values():
+            yield from x.best()
+
+    return rows.mapInArrow(lean(run), "rep long, vec_id long, score double")
 
 
 def fewest(sizes: list[int], rows: int) -> int:
@@ -202,9 +305,10 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
     an id. Equal vectors are searched once; of those beyond the k + 1 smallest ids none can be an answer. One id with
     several vectors is several candidates of that id, of which the best counts; as a query its smallest vector counts.
-    So many parts are searched that k others are found where there are as many of the query's length. A part is dealt
-    out in blocks of BLOCK_ROWS by its measured size, so one that most rows fall into is many tasks' work. Scores are
-    summed pair by pair, so they don't depend on the block."""
+    So many parts are searched that k others are found where there are as many of the query's length. Rows in the
+    order of their parts are cut into GROUPS of equal size, so a part that most rows fall into is many tasks' work. A
+    task takes the queries of a band that search parts of its group, each once, and gives the k + 1 best of each:
+    what is made grows with the queries, not with the parts or rows that each searches."""
     usable = F.col("vec_id").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0)
     docs, queries = docs.filter(usable).distinct(), queries.filter(usable).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     docs = saved(first_of_equal(docs, k + 1), "vectors")
@@ -212,27 +316,22 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     index = fit_index(docs, rows, k)
     if index is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    reps = queries.groupBy("vector").agg(F.min("vec_id").alias("rep"))
+    reps = saved(queries.groupBy("vector").agg(F.min("vec_id").alias("rep")), "queries")
     asked = queries.join(reps, "vector").select(F.col("vec_id").alias("query_id"), "rep")
-    placed = saved(routed(docs, index, False), "parts")
-    sizes = dict(placed.groupBy("part").agg(F.count("*")).collect())  # a row for each of at most SAMPLE_ROWS / PART_SAMPLE parts
+    bands = reps.count() // BAND + 1
+    parts = saved(assigned(docs, index), "parts")
+    sizes = dict(parts.groupBy("part").agg(F.count("*")).collect())  # a row for each of at most SAMPLE_ROWS / PART_SAMPLE parts
     index.probes = min(index.parts, max(index.probes, fewest([sizes.get(p, 0) for p in range(index.parts)], k + 1)))
-    salts = docs.sparkSession.createDataFrame([(p, n // BLOCK_ROWS + 1) for p, n in sizes.items()], "part long, salts long")
-    salted = placed.join(F.broadcast(salts), "part").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts")).select("vec_id", "vector", "part", "salt")
-    packed = blocks(salted.repartition("part", "salt").sortWithinPartitions("part"), BLOCK_ROWS, "<f8", part=True)
-    asks = blocks(routed(reps.withColumnRenamed("rep", "vec_id"), index, True).repartition("part").sortWithinPartitions("part"), 1024, "<f8", part=True)
-    pairs = renamed(packed, "c").join(renamed(asks, "q"), F.col("c_part") == F.col("q_part")).filter("c_dim = q_dim")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                (q_ids, q), (ids, mat) = unpack(r["q_ids"], r["q_mat"], r["q_dim"], "<f8"), unpack(r["c_ids"], r["c_mat"], r["c_dim"], "<f8")
-                s = q @ mat.T
-                m = min(k + 1, s.shape[1])
-                i, j = np.nonzero(s >= np.partition(s, s.shape[1] - m, axis=1)[:, -m][:, None])
-                for at in range(0, len(i), 1 << 16):
-                    a, c = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[c]), pa.array(np.einsum("ij,ij->i", q[a], mat[c]))], names=["rep", "vec_id", "score"])
-
-    hits = pairs.select("q_ids", "q_mat", "q_dim", "c_ids", "c_mat", "c_dim").mapInArrow(lean(run), "rep long, vec_id long, score double")
-    return answers(hits, asked, k, "double")
+    groups, total, starts = min(GROUPS, index.parts), sum(sizes.values()), {}
+    for p in sorted(sizes):
+        starts[p] = sum(sizes[x] for x in starts)
+    spans = {p: (starts[p] * groups // total, (starts[p] + sizes[p] - 1) * groups // total) for p in starts}
+    at = docs.sparkSession.createDataFrame([(p, starts[p], sizes[p]) for p in starts], "part long, start long, size long")
+    group = F.expr(f"(start + pmod(xxhash64(vec_id), size)) * {groups} div {total}")
+    every = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    there = parts.join(F.broadcast(at), "part").select("vec_id", "vector", "part", group.alias("group"), every.alias("band"))
+    there = there.select((F.col("band") * groups + F.col("group")).alias("slot"), "part", "vec_id", "vector", F.lit(None).cast("binary").alias("wanted"))
+    asks = routed(reps.withColumnRenamed("rep", "vec_id"), index, spans, groups)
+    asks = asks.select((F.pmod(F.xxhash64("vec_id"), F.lit(bands)) * groups + F.col("slot")).alias("slot"), F.lit(QUERY).cast("long").alias("part"), "vec_id", "vector", "wanted")
+    both = asks.unionByName(there).repartitionById(groups * bands, F.col("slot").cast("int")).sortWithinPartitions("slot", "part", F.size("vector"))
+    return answers(searched(both, index.parts, k + 1), asked, k, "double")

@@ -187,6 +187,34 @@ def test_ann_recall(spark):
     assert A1.ann_search(docs.limit(0), docs, 20).collect() == []
 
 
+def test_learned_ann_rows_do_not_grow_with_the_parts(spark, monkeypatch):
+    """Each query's best are kept while a task searches: no rows for each query and part."""
+    monkeypatch.setattr(A1, "PART_ROWS", 16)
+    v = np.random.default_rng(2).standard_normal((1200, 12))
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vector array<double>")
+    made, answers = [], A1.answers
+    monkeypatch.setattr(A1, "answers", lambda hits, *a: (made.append(hits.count()), answers(hits, *a))[1])
+    monkeypatch.setattr(A1, "TARGET", 1.0)
+    got = {(r.query_id, r.rank): r.vec_id for r in A1.ann_search(docs, docs.filter("vec_id % 20 = 0"), 5).collect()}
+    right = sum(got[q, r + 1] == i for q in range(0, 1200, 20) for r, i in enumerate([i for i in np.argsort(-(v @ v[q]), kind="stable") if i != q][:5]))
+    assert len(got) == 60 * 5 and right >= 0.9 * len(got)
+    assert made[0] <= 60 * 16 * 6
+
+
+def test_nearest_settles_as_it_goes():
+    """Ties go to the smaller id, whatever comes together; parts that a query doesn't want are passed by."""
+    rng = np.random.default_rng(4)
+    q, v = rng.integers(-3, 4, (7, 5)).astype(float), rng.integers(-3, 4, (900, 5)).astype(float)
+    near = A1.Nearest(np.arange(7), q, np.array([[False, True, i != 3] for i in range(7)]), 4)
+    near.most = 40
+    part = np.arange(900) // 450
+    for at in range(0, 900, 30):
+        near.meet(int(part[at]), np.arange(900)[at : at + 30], v[at : at + 30])
+    got = [(r["rep"], r["vec_id"], r["score"]) for b in near.best() for r in b.to_pylist()]
+    want = [(i, j, float(q[i] @ v[j])) for i in range(7) for j in sorted((j for j in range(900) if i != 3 or part[j] == 0), key=lambda j: (-(q[i] @ v[j]), j))[:4]]
+    assert got == want
+
+
 def test_balanced_parts_are_balanced():
     x = np.random.default_rng(5).standard_normal((512, 8))
     part = A1.balanced_parts(A1.neighbour_graph(x, 8), 8, np.random.default_rng(0))
