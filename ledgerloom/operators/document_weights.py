@@ -71,6 +71,19 @@ def strings(lens: np.ndarray, data: bytes) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(lens), pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
 
 
+def packed_schema(kind: str) -> str:
+    """A matrix of some rows: their keys, the number of entries of each, the columns' names, and the entries' places
+    among those names and weights."""
+    return f"chunk long, keys array<{kind}>, lens binary, data binary, size binary, term binary, v binary"
+
+
+def packed_rows(chunk: int, keys: pa.Array, names: pa.StringArray, size: np.ndarray, term: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    ends, data = bytes_of(names)
+    held = [np.diff(ends).astype(np.int32), data, size.astype(np.int32), term.astype(np.int32), v.astype(np.float64)]
+    lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), lists, *[pa.array([x.tobytes()], pa.binary()) for x in held]], names=["chunk", "keys", "lens", "data", "size", "term", "v"])
+
+
 def buckets_of(terms: pa.StringArray, buckets: int) -> np.ndarray:
     """A bucket for each term: a polynomial of its bytes, the same in every process."""
     ends, data = bytes_of(terms)
@@ -100,12 +113,12 @@ def counted(docs: DataFrame, key: str, words: str, grams: str) -> DataFrame:
     return docs.select(key, words).mapInArrow(run, f"chunk long, keys array<{kind}>, data binary, lens binary, df binary, docs binary, term binary, times binary")
 
 
-def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words", min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, unit: bool = False, terms: bool = False, bucket_terms: int = BUCKET_TERMS) -> DataFrame:
+def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words", min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, unit: bool = False, terms: bool = False, bucket_terms: int = BUCKET_TERMS, packed: bool = False) -> DataFrame:
     """(key, weights array) of docs (key, words array), and with ``terms`` (terms array, tf array) beside: tf * (ln((1 + n) /
     (1 + df)) + 1) of its words, its words and pairs of neighbours (grams ``pairs``), or runs of three to five characters of
     its words (``chars``). Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left out, as are
     documents without any other. ``sublinear``: 1 + ln tf for tf; ``unit``: each document of length 1. Rows that
-    share a key are one document."""
+    share a key are one document. ``packed``: matrices of batches of documents instead, as ``packed_schema`` has them."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.schema[key].dataType.simpleString()
@@ -183,7 +196,12 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
                 size = np.bincount(doc, minlength=len(count))
                 left = np.nonzero(size)[0]
                 ends = np.concatenate([[0], np.cumsum(size[left])])
-                keys, names = b.column("keys")[i].values, strings(np.frombuffer(r["lens"], np.int32), r["data"]) if terms else None
+                keys, names = b.column("keys")[i].values, strings(np.frombuffer(r["lens"], np.int32), r["data"]) if terms or packed else None
+                if packed:
+                    if len(left):
+                        used, term = np.unique(term, return_inverse=True)
+                        yield packed_rows(r["chunk"], keys.take(pa.array(left)), names.take(pa.array(used)), size[left], term, v)
+                    continue
                 for low in range(0, len(left), TOLD):
                     e = ends[low : low + TOLD + 1]
                     inside = slice(e[0], e[-1])
@@ -193,6 +211,8 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
 
     dealt = chunks.select("chunk", "data", "lens", "df").mapInArrow(deal, "bucket int, chunk long, data binary, slots binary, lens binary, df binary")
     idf = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(weigh, "chunk long, slots binary, idf binary")
-    own = ["keys", "lens", "docs", "term", "times", *["data"] * terms]
+    own = ["keys", "lens", "docs", "term", "times", *["data"] * (terms or packed)]
     both = idf.unionByName(chunks.select("chunk", *own), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("slots").isNull())
+    if packed:
+        return both.mapInArrow(weights, packed_schema(kind))
     return both.mapInArrow(weights, f"`{key}` {kind}, " + "terms array<string>, tf array<int>, " * terms + "weights array<double>")

@@ -1,5 +1,5 @@
-"""Sparse matrices as rows of (row, column, weight), tall thin dense ones as a key and columns of doubles: products
-are joins with sums, which Spark combines before it shuffles, and orthonormal bases come from QR by blocks."""
+"""Sparse matrices as packed batches of rows, tall thin dense ones as a key and columns of doubles. A batch of rows stays
+where it is: only its columns' rows of the thin matrix come to it, once each, and only their sums leave it."""
 
 from __future__ import annotations
 
@@ -8,28 +8,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.sources.scratch import written
+from ledgerloom.operators.document_weights import buckets_of, packed_rows, packed_schema, strings
+from ledgerloom.sources.batches import bounded_batches
+from ledgerloom.sources.scratch import shuffles_dropped, written
 
 #: Factors that meet in one task when they are combined.
 FACTORS = 32
+#: Columns, counted in each batch of rows, that meet in one bucket, about, and messages that leave a task at once.
+BUCKET_COLUMNS, MESSAGES = 1 << 18, 32
 
 
 def thin(width: int) -> list[str]:
     return [f"c{i}" for i in range(width)]
 
 
-def gaussian(keys: DataFrame, key: str, width: int, seed: int) -> DataFrame:
+def gaussian(keys: DataFrame, key: str, width: int, seed: int, *also: str) -> DataFrame:
     """A thin matrix of normal draws from hashes of the key: the same in every run, stored nowhere."""
     u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return keys.select(key, *[(F.sqrt(-2 * F.ln(u(2 * i))) * F.cos(2 * math.pi * u(2 * i + 1))).alias(c) for i, c in enumerate(thin(width))])
-
-
-def product(entries: DataFrame, dense: DataFrame, along: str, to: str, width: int) -> DataFrame:
-    """The sparse matrix (or, with along and to exchanged, its transpose) times a thin one keyed by ``along``. A column
-    that most rows share is split by Spark's skew join, its sums are made before the shuffle."""
-    return entries.join(dense, along).groupBy(to).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in thin(width)])
+    return keys.select(key, *also, *[(F.sqrt(-2 * F.ln(u(2 * i))) * F.cos(2 * math.pi * u(2 * i + 1))).alias(c) for i, c in enumerate(thin(width))])
 
 
 def block(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -73,27 +72,181 @@ def times(dense: DataFrame, key: str, width: int, right: np.ndarray) -> DataFram
 
 def orthonormal(dense: DataFrame, key: str, width: int) -> DataFrame:
     """A basis of the columns of a thin matrix; directions that it lacks come out as zeros."""
-    u, s, vt = np.linalg.svd(triangle(dense, width))
+    return written(times(dense, key, width, turn(triangle(dense, width))), "basis")
+
+
+def turn(r: np.ndarray) -> np.ndarray:
+    """What makes a matrix with this triangle orthonormal; directions that it lacks become zeros."""
+    _, s, vt = np.linalg.svd(r)
     keep = s > max(s.max(), 1e-300) * 1e-12
-    return written(times(dense, key, width, vt.T * np.where(keep, 1 / np.where(keep, s, 1), 0)), "basis")
+    return vt.T * np.where(keep, 1 / np.where(keep, s, 1), 0)
+
+
+def packed(entries: DataFrame, row: str, column: str) -> DataFrame:
+    """Entries (row, column, weight, unique pairs) as packed batches of rows."""
+    bounded_batches(entries.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, b in enumerate(batches):
+            if b.num_rows:
+                lists = b.column("_entries")
+                names = lists.flatten().field(0).dictionary_encode()
+                yield packed_rows(part << 32 | i, b.column(row), names.dictionary, lists.value_lengths().to_numpy(), names.indices.to_numpy(), lists.flatten().field(1).to_numpy())
+
+    x = entries.select(row, F.struct(F.col(column).cast("string").alias("name"), F.col("weight").cast("double").alias("v")).alias("_e")).filter("_e.v <> 0")
+    return x.groupBy(row).agg(F.collect_list("_e").alias("_entries")).mapInArrow(run, packed_schema(entries.schema[row].dataType.simpleString()))
+
+
+def message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "place": pa.binary(), "slot": pa.binary(), "z": pa.binary(), "r": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values(), strict=True)], names=list(kinds))
+
+
+MESSAGE = "bucket int, chunk long, place binary, slot binary, z binary, r binary"
+
+
+def messages(bucket: int, z: np.ndarray, to: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """A bucket's rows of the thin matrix for each batch of rows that has those columns; its triangle beside the first."""
+    for at in range(0, len(to), MESSAGES):
+        yield message([(bucket, chunk, place, slot, z[np.frombuffer(slot, np.int32)].tobytes(), None if at + i else np.linalg.qr(z, mode="r").tobytes()) for i, (chunk, place, slot) in enumerate(to[at : at + MESSAGES])])
+
+
+def drawn(x: DataFrame, width: int, seed: int, parts: int) -> DataFrame:
+    """Messages of a normal draw for each column. Columns are numbered inside buckets of their names."""
+    total = x.agg(F.coalesce(F.sum(F.length("lens")), F.lit(0))).first()[0] // 4
+    buckets = max(total // BUCKET_COLUMNS + 1, min(parts, total // 10_000 + 1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                names = strings(np.frombuffer(r["lens"], np.int32), r["data"])
+                bucket = buckets_of(names, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = [*np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist(), len(order)]
+                places = [order[i:j] for i, j in zip(cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), names.take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]].astype(np.int32)), pa.array([r["chunk"]] * len(places)), pa.array([p.astype(np.int32).tobytes() for p in places], pa.binary()), lists], names=["bucket", "chunk", "place", "names"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slots = None, {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["bucket"] != now:
+                    now, slots = r["bucket"], {}
+                before = len(slots)
+                slot = np.array([slots.setdefault(n, len(slots)) for n in r["names"]], np.int32)
+                fresh = [r["names"][i] for i in np.nonzero(slot >= before)[0]]
+                yield pa.RecordBatch.from_pylist([{"bucket": now, "chunk": r["chunk"], "place": r["place"], "slot": slot.tobytes(), "first": before, "names": fresh}], pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("place", pa.binary()), ("slot", pa.binary()), ("first", pa.int32()), ("names", pa.list_(pa.string()))]))
+
+    dealt = x.select("chunk", "lens", "data").mapInArrow(deal, "bucket int, chunk long, place binary, names array<string>").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    links = written(dealt.mapInArrow(number, "bucket int, chunk long, place binary, slot binary, first int, names array<string>"), "columns")
+    names = links.select("bucket", "first", F.posexplode("names").alias("i", "name")).select("bucket", (F.col("first") + F.col("i")).alias("slot"), "name")
+    draws = gaussian(names.select(F.struct("bucket", "slot").alias("id"), "name").withColumnRenamed("name", "key"), "key", width, seed, "id").select("id.bucket", "id.slot", *thin(width))
+
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        z = np.zeros((right.num_rows, width))
+        z[right["slot"].to_numpy()] = np.stack([right[c].to_numpy() for c in thin(width)], axis=1)
+        to = [(r["chunk"], r["place"], r["slot"]) for r in left.to_pylist()]
+        return pa.Table.from_batches(list(messages(left["bucket"][0].as_py(), z, to)), message([(0, 0, b"", b"", b"", b"")]).schema)
+
+    return links.select("bucket", "chunk", "place", "slot").groupBy("bucket").cogroup(draws.groupBy("bucket")).applyInArrow(draw, MESSAGE)
+
+
+def summed(sent: DataFrame, width: int, parts: int) -> DataFrame:
+    """Messages of the sums, over all batches of rows, of what they sent for each column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, z, to = None, np.zeros((0, width)), []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["bucket"] != now:
+                    yield from messages(now, z, to)
+                    now, z, to = r["bucket"], np.zeros((0, width)), []
+                slot = np.frombuffer(r["slot"], np.int32)
+                if (more := int(slot.max()) + 1 - len(z)) > 0:
+                    z = np.concatenate([z, np.zeros((max(more, len(z) // 2), width))])
+                z[slot] += np.frombuffer(r["z"]).reshape(-1, width)
+                to.append((r["chunk"], r["place"], r["slot"]))
+        yield from messages(now, z, to)
+
+    return sent.select("bucket", "chunk", "place", "slot", "z").repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, MESSAGE)
+
+
+def there_and_back(x: DataFrame, thin_rows: DataFrame, width: int, right: np.ndarray, keep: bool = False) -> DataFrame:
+    """What each batch of rows sends for its columns: its transpose times itself times (thin_rows times right). With
+    ``keep`` the product before the transpose too, a row (the batch's keys, y) for each batch."""
+
+    def run(left: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for r in left.select(["lens", "size", "term", "v"]).to_pylist():
+            w = np.zeros((len(r["lens"]) // 4, width))
+            sent = told.select(["bucket", "chunk", "place", "slot", "z"]).to_pylist()
+            for m in sent:
+                w[np.frombuffer(m["place"], np.int32)] = np.frombuffer(m["z"]).reshape(-1, width)
+            w, z = w @ right, np.zeros_like(w)
+            ends, term, v = np.cumsum(np.frombuffer(r["size"], np.int32)).tolist(), np.frombuffer(r["term"], np.int32), np.frombuffer(r["v"])
+            y = np.zeros((len(ends), width))
+            for d, (i, j) in enumerate(zip([0, *ends], ends)):
+                c, e = term[i:j], v[i:j]
+                y[d] = e @ w.take(c, axis=0)
+                z[c] += e[:, None] * y[d]
+            out += [(m["bucket"], m["chunk"], m["place"], m["slot"], z[np.frombuffer(m["place"], np.int32)].tobytes(), None) for m in sent]
+        schema = message([(0, 0, b"", b"", b"", b"")]).schema
+        table = pa.Table.from_batches([message(out)] if out else [], schema)
+        if not keep:
+            return table
+        keys = left["keys"].combine_chunks()
+        own = pa.table({"keys": keys, "y": pa.array([y.tobytes()] if out else [], pa.binary())})
+        return pa.concat_tables([table.append_column("keys", pa.nulls(len(table), keys.type)).append_column("y", pa.nulls(len(table), pa.binary())), pa.table({**{c: pa.nulls(len(own), schema.field(c).type) for c in schema.names}, "keys": own["keys"], "y": own["y"]})])
+
+    more = f", keys {x.schema['keys'].dataType.simpleString()}, y binary" if keep else ""
+    return x.groupBy("chunk").cogroup(thin_rows.groupBy("chunk")).applyInArrow(run, MESSAGE + more)
+
+
+def stacked(told: DataFrame, width: int) -> np.ndarray:
+    """The triangle of all buckets' rows: one small triangle a bucket comes to the driver."""
+    parts = [np.frombuffer(r[0]).reshape(-1, width) for r in told.filter("r IS NOT NULL").select("r").toLocalIterator()]
+    return np.linalg.qr(np.concatenate([*parts, np.zeros((width, width))]), mode="r")
 
 
 def truncated_svd(entries: DataFrame, row: str, column: str, rank: int, more: int = 10, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """``packed_svd`` of entries (row, column, weight, unique pairs)."""
+    return packed_svd(packed(entries, row, column), row, rank, more, rounds, seed)
+
+
+def packed_svd(matrix: DataFrame, row: str, rank: int, more: int = 10, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Coordinates of the rows (row, c0, ... c rank-1: left vectors times singular values) and the ``rank`` largest
-    singular values of entries (row, column, weight, unique pairs): a random range of rank + more columns, turned
+    singular values of packed batches of rows, each row in one: a random range of rank + more columns, turned
     towards the largest directions ``rounds`` times, then a small exact decomposition.
 
-    Each component's sign makes its coordinate of largest size positive. Rows without entries have no coordinates; if
-    the matrix has a lower rank, the last singular values are 0."""
-    width = rank + more
-    x = written(entries.select(row, column, F.col("weight").cast("double").alias("weight")).filter("weight <> 0"), "matrix")
-    basis = orthonormal(written(product(x, gaussian(x.select(column).distinct(), column, width, seed), column, row, width), "range"), row, width)
-    for _ in range(rounds):
-        right = orthonormal(written(product(x, basis, row, column, width), "range"), column, width)
-        basis = orthonormal(written(product(x, right, column, row, width), "range"), row, width)
-    small = triangle(written(product(x, basis, row, column, width), "range"), width)
-    u, s, _ = np.linalg.svd(small.T)
-    scores = written(times(basis, row, width, (u * s)[:, :rank]), "coordinates")
+    A round is one pass: batches of rows get their columns' rows of the range, and what they send back is the next
+    range; both are made orthonormal by small matrices that the next pass applies. Each component's sign makes its
+    coordinate of largest size positive. Rows without entries have no coordinates; if the matrix has a lower rank, the
+    last singular values are 0."""
+    width, parts = rank + more, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(matrix, "matrix")
+    told, right = written(drawn(x, width, seed, parts), "range"), np.eye(width)
+    x = x.select("chunk", "keys", "lens", "size", "term", "v").repartition(parts, "chunk").sortWithinPartitions("chunk").persist(StorageLevel.DISK_ONLY)
+    with shuffles_dropped(matrix.sparkSession):
+        for _ in range(rounds):
+            told = written(summed(there_and_back(x, told, width, right), width, parts), "range")
+            right = turn(stacked(told, width))
+        last = written(there_and_back(x, told, width, right, keep=True), "range")
+    x.unpersist()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                y, keys = np.frombuffer(b.column("y")[i].as_py()).reshape(-1, width), b.column("keys")[i].values
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(y[:, c]) for c in range(width)]], names=[row, *thin(width)])
+
+    kind = x.schema["keys"].dataType.elementType.simpleString()
+    range_ = last.filter("y IS NOT NULL").select("keys", "y").mapInArrow(rows, f"`{row}` {kind}, " + ", ".join(f"{c} double" for c in thin(width)))
+    basis = turn(triangle(range_, width))
+    sums = written(summed(last.filter("y IS NULL"), width, parts).filter("r IS NOT NULL").select("r"), "range")
+    u, s, _ = np.linalg.svd((stacked(sums, width) @ basis).T)
+    scores = written(times(range_, row, width, basis @ (u * s)[:, :rank]), "coordinates")
     if not rank or not (found := scores.agg(*[F.max_by(c, F.struct(F.abs(c), c)) for c in thin(rank)]).first()):
         return scores, s[:rank]
     sign = np.array([-1.0 if v is not None and v < 0 else 1.0 for v in found])

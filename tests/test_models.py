@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import batched_fits as G, cross_fit as X, features as T, matrices as M, standardize as S, two_phase as P
 from ledgerloom.operators.contracts import ContractError
+from ledgerloom.operators.document_weights import document_weights
 
 
 @pytest.mark.parametrize("kind", ["decaying", "low rank"])
@@ -32,6 +33,42 @@ def test_truncated_svd_against_a_dense_solve(spark, kind):
         assert got[np.abs(got[:, i]).argmax(), i] > 0
 
 
+def test_svd_moves_neither_rows_nor_entries_in_its_rounds(spark, monkeypatch):
+    """A round writes a row for each batch of rows and bucket of columns, not for each row or column. Many buckets
+    give the same as a dense solve; names in several batches are one column."""
+    rng = np.random.default_rng(6)
+    u, s, vt = np.linalg.svd(rng.standard_normal((300, 40)), full_matrices=False)
+    x = (u * s * 0.7 ** np.arange(40)) @ vt
+    rows = [(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    df, made, write = spark.createDataFrame(rows, "r long, c string, weight double").repartition(3), [], M.written
+    monkeypatch.setattr(M, "written", lambda df, tag: (out := write(df, tag), made.append(out.count()) if tag == "range" else 0)[0])
+    _, sizes = M.truncated_svd(df, "r", "c", 4, more=6, rounds=6)
+    assert np.allclose(sizes, (s * 0.7 ** np.arange(40))[:4], atol=1e-6) and max(made) <= 8
+    monkeypatch.setattr(M, "BUCKET_COLUMNS", 16)
+    scores, again = M.truncated_svd(df, "r", "c", 4, more=6, rounds=6)
+    assert np.allclose(sizes, again) and scores.count() == 300
+
+
+def test_svd_of_nothing(spark):
+    scores, sizes = M.truncated_svd(spark.createDataFrame([], "r long, c string, weight double"), "r", "c", 2)
+    assert scores.collect() == [] and sizes.tolist() == [0, 0]
+
+
+def test_packed_weights_are_the_listed_ones(spark):
+    df = spark.createDataFrame([(k, [f"w{(k * j) % 7}" for j in range(k % 9)]) for k in range(1, 40)], "k long, w array<string>").repartition(3)
+    docs = lambda **how: document_weights(df, "k", "w", "chars", 2, 0.9, True, True, **how)
+    want = {(r.k, t): v for r in docs(terms=True).collect() for t, v in zip(r.terms, r.weights)}
+    got = {}
+    for r in docs(packed=True).collect():
+        names, at = iter(r.data.decode()), 0
+        names = ["".join(next(names) for _ in range(n)) for n in np.frombuffer(r.lens, np.int32)]
+        for k, n in zip(r["keys"], np.frombuffer(r.size, np.int32)):
+            for t, v in zip(np.frombuffer(r.term, np.int32)[at : at + n], np.frombuffer(r.v)[at : at + n]):
+                got[k, names[t]] = v
+            at += n
+    assert got == want and got
+
+
 def test_triangles_are_combined_in_steps(spark, monkeypatch):
     monkeypatch.setattr(M, "FACTORS", 2)
     a = np.random.default_rng(1).standard_normal((200, 4))
