@@ -127,7 +127,7 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
     n, most = again.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
     if most > 1:  # null between two rows' words: no pair goes across
         docs = docs.groupBy(key).agg(F.flatten(F.collect_list(F.concat(words, F.array(F.lit(None).cast("string"))))).alias(words))
-    chunks = written(counted(docs, key, words, grams), "term-counts")
+    chunks = written(counted(docs, key, words, grams), "term-counts", large=True)
     total = chunks.agg(F.coalesce(F.sum(F.length("lens")), F.lit(0))).first()[0] // 4
     buckets = max(total // bucket_terms + 1, min(parts, total // 10_000 + 1))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators.document_weights import buckets_of, packed_rows, packed_schema, strings
 from ledgerloom.sources.batches import bounded_batches
-from ledgerloom.sources.scratch import shuffles_dropped, written
+from ledgerloom.sources.scratch import large_rows, written
 
 #: Factors that meet in one task when they are combined.
 FACTORS = 32
@@ -225,28 +225,28 @@ def packed_svd(matrix: DataFrame, row: str, rank: int, more: int = 10, rounds: i
     coordinate of largest size positive. Rows without entries have no coordinates; if the matrix has a lower rank, the
     last singular values are 0."""
     width, parts = rank + more, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = written(matrix, "matrix")
-    told, right = written(drawn(x, width, seed, parts), "range"), np.eye(width)
-    x = x.select("chunk", "keys", "lens", "size", "term", "v").repartition(parts, "chunk").sortWithinPartitions("chunk").persist(StorageLevel.DISK_ONLY)
-    with shuffles_dropped(matrix.sparkSession):
+    with large_rows(matrix.sparkSession):
+        x = written(matrix, "matrix", large=True)
+        told, right = written(drawn(x, width, seed, parts), "range"), np.eye(width)
+        x = x.select("chunk", "keys", "lens", "size", "term", "v").repartition(parts, "chunk").sortWithinPartitions("chunk").persist(StorageLevel.DISK_ONLY)
         for _ in range(rounds):
-            told = written(summed(there_and_back(x, told, width, right), width, parts), "range")
+            told = written(summed(there_and_back(x, told, width, right), width, parts), "range", large=True)
             right = turn(stacked(told, width))
-        last = written(there_and_back(x, told, width, right, keep=True), "range")
-    x.unpersist()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                y, keys = np.frombuffer(b.column("y")[i].as_py()).reshape(-1, width), b.column("keys")[i].values
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(y[:, c]) for c in range(width)]], names=[row, *thin(width)])
-
-    kind = x.schema["keys"].dataType.elementType.simpleString()
-    range_ = last.filter("y IS NOT NULL").select("keys", "y").mapInArrow(rows, f"`{row}` {kind}, " + ", ".join(f"{c} double" for c in thin(width)))
-    basis = turn(triangle(range_, width))
-    sums = written(summed(last.filter("y IS NULL"), width, parts).filter("r IS NOT NULL").select("r"), "range")
-    u, s, _ = np.linalg.svd((stacked(sums, width) @ basis).T)
-    scores = written(times(range_, row, width, basis @ (u * s)[:, :rank]), "coordinates")
+        last = written(there_and_back(x, told, width, right, keep=True), "range", large=True)
+        x.unpersist()
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    y, keys = np.frombuffer(b.column("y")[i].as_py()).reshape(-1, width), b.column("keys")[i].values
+                    yield pa.RecordBatch.from_arrays([keys, *[pa.array(y[:, c]) for c in range(width)]], names=[row, *thin(width)])
+
+        kind = x.schema["keys"].dataType.elementType.simpleString()
+        range_ = last.filter("y IS NOT NULL").select("keys", "y").mapInArrow(rows, f"`{row}` {kind}, " + ", ".join(f"{c} double" for c in thin(width)))
+        basis = turn(triangle(range_, width))
+        sums = written(summed(last.filter("y IS NULL"), width, parts).filter("r IS NOT NULL").select("r"), "range")
+        u, s, _ = np.linalg.svd((stacked(sums, width) @ basis).T)
+        scores = written(times(range_, row, width, basis @ (u * s)[:, :rank]), "coordinates")
     if not rank or not (found := scores.agg(*[F.max_by(c, F.struct(F.abs(c), c)) for c in thin(rank)]).first()):
         return scores, s[:rank]
     sign = np.array([-1.0 if v is not None and v < 0 else 1.0 for v in found])

@@ -20,20 +20,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table that is written once: reruns of what follows, and lost executors, read the same rows."""
+#: Parquet's writer for rows of many megabytes: by default it holds a hundred before it looks at their size.
+LARGE = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
+
+
+def written(df: DataFrame, tag: str, large: bool = False) -> DataFrame:
+    """df as a table that is written once: reruns of what follows, and lost executors, read the same rows. ``large``:
+    its rows are packed batches of many megabytes."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**LARGE if large else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What runs inside gives its shuffle files back when it ends; a plan that runs again makes them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def large_rows(spark: SparkSession) -> Iterator[None]:
+    """For tables whose rows are packed batches of many megabytes: a task reads two at once, not thousands, and shuffle
+    files go when a query ends; a plan that runs again makes them again."""
+    held = {"spark.sql.parquet.columnarReaderBatchSize": "2", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -41,7 +41,7 @@ def test_svd_moves_neither_rows_nor_entries_in_its_rounds(spark, monkeypatch):
     x = (u * s * 0.7 ** np.arange(40)) @ vt
     rows = [(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
     df, made, write = spark.createDataFrame(rows, "r long, c string, weight double").repartition(3), [], M.written
-    monkeypatch.setattr(M, "written", lambda df, tag: (out := write(df, tag), made.append(out.count()) if tag == "range" else 0)[0])
+    monkeypatch.setattr(M, "written", lambda df, tag, **how: (out := write(df, tag, **how), made.append(out.count()) if tag == "range" else 0)[0])
     _, sizes = M.truncated_svd(df, "r", "c", 4, more=6, rounds=6)
     assert np.allclose(sizes, (s * 0.7 ** np.arange(40))[:4], atol=1e-6) and max(made) <= 8
     monkeypatch.setattr(M, "BUCKET_COLUMNS", 16)
