@@ -168,6 +168,27 @@ def test_block_bounds_skip_blocks():
     assert scored < 20 * 20 / 2
 
 
+def test_search_of_topk_ends_before_its_answers_are_joined(spark):
+    """No join waits for the search, and a batch that a worker gets holds a few chunks at most; blocks that are scored
+    together give what a plain product gives, ties included."""
+    docs = spark.range(300).selectExpr("id as vec_id", "array(id % 7, id % 11, 1L) as vector")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    try:
+        out = T2.exact_topk(docs, docs.filter("vec_id % 50 = 0"), 5)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert out.count() == 30
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    v = np.random.default_rng(5).integers(-100, 100, (1000, 4))
+    for large in (1, 10**5, 10**10):
+        q, i, s, _ = T2.search_chunk(v[:40] * large, np.arange(1000), v, 6)
+        want = v[:40] * large @ v.T
+        a, b = np.nonzero(want >= np.sort(want, axis=1)[:, -6:-5])
+        assert sorted(zip(q.tolist(), i.tolist(), s.tolist())) == list(zip(a.tolist(), b.tolist(), want[a, b].tolist()))
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((30, 16))
