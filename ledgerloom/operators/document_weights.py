@@ -1,10 +1,10 @@
-"""TF-IDF weights, a row for each document. Terms are counted where documents are read, by batches (chunks); a chunk's
-distinct terms, not each document's, go to the tasks of their bucket, which tell the chunk the terms' weights."""
+"""TF-IDF weights, a row for each document. Terms are counted where documents are read. Many documents (a chunk) share a
+list of distinct terms and are kept in small pieces; a chunk's distinct terms, not each document's, go to the tasks of
+their bucket, which tell the chunk the terms' weights."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +12,38 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.sources.batches import bounded_batches
+from ledgerloom.sources.batches import bounded_batches, lean
 from ledgerloom.sources.scratch import written
 
 #: Terms of all chunks that meet in one bucket, about, and the documents of a batch that is told.
 BUCKET_TERMS, TOLD = 1 << 20, 256
-
-
-def char_runs(word: str, shortest: int = 3, longest: int = 5) -> list[str]:
-    """The terms of ``features.char_grams`` of one word."""
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(shortest, longest + 1) for i in range(len(padded) - n + 1)]
+#: Documents of a piece; a chunk ends beyond so many terms or documents, or at the end of its task. Chunks there are
+#: about, if there are documents for them.
+PIECE, CHUNK_TERMS, CHUNK_DOCS, CHUNKS = 256, 1 << 18, 1 << 15, 24
+
+
+def char_runs(words: pa.StringArray, shortest: int = 3, longest: int = 5) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct terms of ``features.char_grams`` of words, and by word the places of its runs among them and how
+    many it has."""
+    ends, data = bytes_of(words)
+    lens = np.diff(ends).astype(np.int64)
+    padded = np.full(len(data) + 2 * len(words), 32, np.uint8)
+    padded[np.arange(len(data)) + 2 * np.repeat(np.arange(len(words)), lens) + 1] = data
+    starts = np.nonzero((padded & 0xC0) != 0x80)[0]  # of characters
+    word = np.repeat(np.arange(len(words)), lens + 2)[starts]
+    chars = np.bincount(word, minlength=len(words))
+    left = np.repeat(np.cumsum(chars), chars) - np.arange(len(starts))  # characters from here to the word's end
+    starts, of, begins, sizes = np.append(starts, len(padded)), [], [], []
+    for n in range(shortest, longest + 1):
+        i = np.nonzero(left >= n)[0]
+        of.append(word[i])
+        begins.append(starts[i])
+        sizes.append(starts[i + n] - starts[i])
+    of, begin, size = np.concatenate(of), np.concatenate(begins), np.concatenate(sizes)
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    coded = strings(size, padded[at].tobytes()).dictionary_encode()
+    order = np.argsort(of, kind="stable")
+    return coded.dictionary, coded.indices.to_numpy()[order].astype(np.int64), np.bincount(of, minlength=len(words))
 
 
 def summed(doc: np.ndarray, term: np.ndarray, times: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,12 +71,10 @@ def entries(lists: pa.ListArray, grams: str) -> tuple[pa.StringArray, np.ndarray
         return coded.dictionary, *summed(doc, term, np.ones(len(doc), np.int64), len(coded.dictionary))
     doc, term, times = summed(doc[real], term[real], np.ones(int(real.sum()), np.int64), n)
     if grams == "chars":
-        runs = [char_runs(w) for w in words.to_pylist()]
-        sizes = np.array([len(r) for r in runs], np.int64)
-        coded = pa.array(chain.from_iterable(runs), pa.string()).dictionary_encode()
-        words, size = coded.dictionary, sizes[term]
+        words, run, sizes = char_runs(words)
+        size = sizes[term]
         at = np.repeat((np.cumsum(sizes) - sizes)[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        doc, term, times = summed(np.repeat(doc, size), coded.indices.to_numpy()[at].astype(np.int64), np.repeat(times, size), len(words))
+        doc, term, times = summed(np.repeat(doc, size), run[at], np.repeat(times, size), len(words))
     return words, doc, term, times
 
 
@@ -95,30 +114,103 @@ def buckets_of(terms: pa.StringArray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def counted(docs: DataFrame, key: str, words: str, grams: str) -> DataFrame:
-    """A row for each batch of documents: its keys, its distinct terms with the number of its documents that hold
-    them, and by document the terms with their counts."""
+def squeezed(x: np.ndarray) -> bytes:
+    """Integers from 0 on: the bytes that the largest needs, by significance, compressed."""
+    k = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * k)
+    raw = x.astype(f"<u{k}").view(np.uint8).reshape(-1, k).T.tobytes()
+    return bytes([k]) + len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def spread(held: bytes) -> np.ndarray:
+    k, n = held[0], int.from_bytes(held[1:9], "little")
+    raw = pa.Codec("zstd").decompress(held[9:], k * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(k, -1).T).view(f"<u{k}").ravel().astype(np.int64)
+
+
+def gaps(size: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Ascending places of each document: the first, then by how much each is larger than the one before."""
+    out, starts = np.diff(term, prepend=0), (np.cumsum(size) - size)[size > 0]
+    out[starts] = term[starts]
+    return out
+
+
+def places(size: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    up, some = np.cumsum(gaps), size > 0
+    starts = (np.cumsum(size) - size)[some]
+    return up - np.repeat((up - gaps)[starts], size[some])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for i, b in enumerate(batches):
-            terms, doc, term, times = entries(b.column(1), grams)
-            if len(doc):
-                ends, data = bytes_of(terms)
-                held = [np.diff(ends), np.bincount(term, minlength=len(terms)), np.bincount(doc, minlength=b.num_rows), term, times]
-                keys = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | i]), keys, pa.array([data.tobytes()], pa.binary()), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in held]], names=["chunk", "keys", "data", "lens", "df", "docs", "term", "times"])
 
+#: Pieces of a chunk (piece 0 on): keys, entries of each, their places among the chunk's terms (gaps) and counts. The last
+#: row of a chunk (piece -1): its terms and the number of its documents that hold them.
+COUNTED = "piece int, docs binary, term binary, times binary, data binary, lens binary, df binary"
+
+
+def counted(docs: DataFrame, key: str, words: str, grams: str, most: int) -> DataFrame:
+    """Documents in chunks of at most ``most`` documents, and about CHUNK_TERMS terms, as COUNTED says."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, words).mapInArrow(run, f"chunk long, keys array<{kind}>, data binary, lens binary, df binary, docs binary, term binary, times binary")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, piece, held = TaskContext.get().partitionId(), 0, 0, 0
+        known, df = pa.array([], pa.string()), np.zeros(0, np.int64)
+
+        def row(piece: int, keys: pa.Array | None, *held: bytes | None) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), lists, pa.array([piece], pa.int32()), *[pa.array([x], pa.binary()) for x in held]], names=["chunk", "keys", "piece", "docs", "term", "times", "data", "lens", "df"])
 
-def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words", min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, unit: bool = False, terms: bool = False, bucket_terms: int = BUCKET_TERMS, packed: bool = False) -> DataFrame:
+        def end(keys: pa.Array) -> pa.RecordBatch:
+            ends, data = bytes_of(known)
+            return row(-1, keys[:0], None, None, None, data.tobytes(), np.diff(ends).astype(np.int32).tobytes(), df.astype(np.int32).tobytes())
+
+        keys = None
+        for b in batches:
+            for low in range(0, b.num_rows, PIECE):
+                keys, lists = (b.column(i).slice(low, PIECE) for i in (0, 1))
+                terms, doc, term, times = entries(lists, grams)
+                if not len(doc):
+                    continue
+                at = pc.index_in(terms, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+                fresh = np.nonzero(at < 0)[0]
+                at[fresh] = len(known) + np.arange(len(fresh))
+                known, df = pa.concat_arrays([known, terms.take(pa.array(fresh))]), np.concatenate([df, np.zeros(len(fresh), np.int64)])
+                df[at] += np.bincount(term, minlength=len(terms))
+                doc, term, times = summed(doc, at[term], times, len(known))
+                size = np.bincount(doc, minlength=len(lists))
+                yield row(piece, keys, squeezed(size), squeezed(gaps(size, term)), squeezed(times), None, None, None)
+                piece, held = piece + 1, held + len(lists)
+                if len(known) > CHUNK_TERMS or held >= most:
+                    yield end(keys)
+                    number, piece, held = number + 1, 0, 0
+                    known, df = known[:0], df[:0]
+        if held:
+            yield end(keys)
+
+    return docs.select(key, words).mapInArrow(lean(run), f"chunk long, keys array<{kind}>, " + COUNTED)
+
+
+def weighted(size: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, sublinear: bool, unit: bool) -> tuple[np.ndarray, ...]:
+    """(entries of each document, places, counts, weights) without terms whose idf is NaN."""
+    doc, v = np.repeat(np.arange(len(size)), size), idf[term]
+    some = np.nonzero(~np.isnan(v))[0]
+    doc, term, tf, v = doc[some], term[some], tf[some], v[some]
+    v = v * (1 + np.log(tf) if sublinear else tf)
+    if unit:
+        v = v / np.sqrt(np.bincount(doc, v * v, len(size)))[doc]
+    return np.bincount(doc, minlength=len(size)), term, tf, v
+
+
+def matrix_schema(kind: str) -> str:
+    """A matrix in chunks of rows. Piece -1: the names of its columns and their idf (NaN: no column). Pieces 0 on: keys,
+    entries of each, their places (gaps) and counts, or the entries themselves (v)."""
+    return f"chunk long, piece int, keys array<{kind}>, docs binary, term binary, times binary, v binary, data binary, lens binary, idf binary"
+
+
+def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words", min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, unit: bool = False, terms: bool = False, bucket_terms: int = BUCKET_TERMS, packed: bool = False, counts: bool = False) -> DataFrame:
     """(key, weights array) of docs (key, words array), and with ``terms`` (terms array, tf array) beside: tf * (ln((1 + n) /
     (1 + df)) + 1) of its words, its words and pairs of neighbours (grams ``pairs``), or runs of three to five characters of
     its words (``chars``). Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left out, as are
     documents without any other. ``sublinear``: 1 + ln tf for tf; ``unit``: each document of length 1. Rows that
-    share a key are one document. ``packed``: matrices of batches of documents instead, as ``packed_schema`` has them."""
+    share a key are one document. ``packed``: matrices of batches of documents instead, as ``packed_schema`` has them.
+    ``counts``: counts and idf, of which ``weighted`` makes weights, as ``matrix_schema`` has them; documents aren't moved."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.schema[key].dataType.simpleString()
@@ -127,7 +219,8 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
     n, most = again.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
     if most > 1:  # null between two rows' words: no pair goes across
         docs = docs.groupBy(key).agg(F.flatten(F.collect_list(F.concat(words, F.array(F.lit(None).cast("string"))))).alias(words))
-    chunks = written(counted(docs, key, words, grams), "term-counts", large=True)
+    docs = docs.coalesce(max(CHUNKS, n // CHUNK_DOCS))
+    chunks = written(counted(docs, key, words, grams, min(max(n // CHUNKS, PIECE), CHUNK_DOCS)), "term-counts", large=True)
     total = chunks.agg(F.coalesce(F.sum(F.length("lens")), F.lit(0))).first()[0] // 4
     buckets = max(total // bucket_terms + 1, min(parts, total // 10_000 + 1))
 
@@ -173,7 +266,7 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
         yield from told()
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, idfs, now = [], [], None
+        slots, idfs, now, idf, names = [], [], None, None, None
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "keys"}
@@ -183,20 +276,20 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
                     slots.append(np.frombuffer(r["slots"], np.int32))
                     idfs.append(np.frombuffer(r["idf"]))
                     continue
-                idf = np.full(len(r["lens"]) // 4, np.nan)
-                if slots:
-                    idf[np.concatenate(slots)] = np.concatenate(idfs)
-                count, term, tf = (np.frombuffer(r[c], np.int32) for c in ("docs", "term", "times"))
-                doc, v = np.repeat(np.arange(len(count)), count), idf[term]
-                some = np.nonzero(~np.isnan(v))[0]
-                doc, term, tf, v = doc[some], term[some], tf[some], v[some]
-                v = v * (1 + np.log(tf) if sublinear else tf)
-                if unit:
-                    v = v / np.sqrt(np.bincount(doc, v * v, len(count)))[doc]
-                size = np.bincount(doc, minlength=len(count))
+                if r["piece"] < 0:
+                    idf = np.full(len(r["lens"]) // 4, np.nan)
+                    if slots:
+                        idf[np.concatenate(slots)] = np.concatenate(idfs)
+                    slots, idfs = [], []
+                    if counts:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([-1], pa.int32()), *[pa.array([x], pa.binary()) for x in (r["data"], r["lens"], idf.tobytes())]], names=["chunk", "piece", "data", "lens", "idf"])
+                    names = strings(np.frombuffer(r["lens"], np.int32), r["data"]) if terms or packed else None
+                    continue
+                size = spread(r["docs"])
+                size, term, tf, v = weighted(size, places(size, spread(r["term"])), spread(r["times"]), idf, sublinear, unit)
                 left = np.nonzero(size)[0]
                 ends = np.concatenate([[0], np.cumsum(size[left])])
-                keys, names = b.column("keys")[i].values, strings(np.frombuffer(r["lens"], np.int32), r["data"]) if terms or packed else None
+                keys = b.column("keys")[i].values
                 if packed:
                     if len(left):
                         used, term = np.unique(term, return_inverse=True)
@@ -205,14 +298,19 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
                 for low in range(0, len(left), TOLD):
                     e = ends[low : low + TOLD + 1]
                     inside = slice(e[0], e[-1])
-                    lists = [names.take(pa.array(term[inside])), pa.array(tf[inside]), pa.array(v[inside])] if terms else [pa.array(v[inside])]
+                    lists = [names.take(pa.array(term[inside])), pa.array(tf[inside].astype(np.int32)), pa.array(v[inside])] if terms else [pa.array(v[inside])]
                     offsets = pa.array((e - e[0]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[low : low + TOLD])), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], names=[key, *(["terms", "tf"] if terms else []), "weights"])
 
-    dealt = chunks.select("chunk", "data", "lens", "df").mapInArrow(deal, "bucket int, chunk long, data binary, slots binary, lens binary, df binary")
-    idf = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(weigh, "chunk long, slots binary, idf binary")
-    own = ["keys", "lens", "docs", "term", "times", *["data"] * (terms or packed)]
-    both = idf.unionByName(chunks.select("chunk", *own), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("slots").isNull())
+    dealt = chunks.filter("piece < 0").select("chunk", "data", "lens", "df").mapInArrow(lean(deal), "bucket int, chunk long, data binary, slots binary, lens binary, df binary")
+    idf = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(weigh), "chunk long, slots binary, idf binary")
+    own = ["piece", "lens", *["data"] * (terms or packed or counts), *["keys", "docs", "term", "times"] * (not counts)]
+    moved = chunks.filter("piece < 0") if counts else chunks
+    both = idf.unionByName(moved.select("chunk", *own), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("slots").isNull(), "piece")
+    if counts:
+        heads = written(both.mapInArrow(lean(weights), "chunk long, piece int, data binary, lens binary, idf binary"), "term-weights", large=True)
+        pieces = chunks.filter("piece >= 0").select("chunk", "piece", "keys", "docs", "term", "times")
+        return spark.createDataFrame([], matrix_schema(kind)).unionByName(pieces, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
     if packed:
-        return both.mapInArrow(weights, packed_schema(kind))
-    return both.mapInArrow(weights, f"`{key}` {kind}, " + "terms array<string>, tf array<int>, " * terms + "weights array<double>")
+        return both.mapInArrow(lean(weights), packed_schema(kind))
+    return both.mapInArrow(lean(weights), f"`{key}` {kind}, " + "terms array<string>, tf array<int>, " * terms + "weights array<double>")

@@ -51,8 +51,8 @@ def v10_chars(spark, d):
 @query("v10_svd")
 def v10_svd(spark, d):
     """Each document's place along the eight strongest directions of its character weights, on the unit sphere."""
-    weights = document_weights(words(spark, d), "doc_id", "words", "chars", 5, 0.6, sublinear=True, unit=True, packed=True)
-    scores, sizes = M.packed_svd(weights, "doc_id", 8)
+    weights = document_weights(words(spark, d), "doc_id", "words", "chars", 5, 0.6, counts=True)
+    scores, sizes = M.packed_svd(weights, "doc_id", 8, sublinear=True, unit=True)
     length = F.sqrt(sum(F.col(c) * F.col(c) for c in M.thin(8)))
     return scores.select("doc_id", *[F.round(F.try_divide(F.col(c), length), 5).alias(f"z{i}") for i, c in enumerate(M.thin(8))], *[F.lit(round(float(s), 5)).alias(f"size{i}") for i, s in enumerate(sizes[:2])])
 

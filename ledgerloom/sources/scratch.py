@@ -24,14 +24,23 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 LARGE = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 
 
-def written(df: DataFrame, tag: str, large: bool = False) -> DataFrame:
+def written(df: DataFrame, tag: str, large: bool = False, made: list[str] | None = None) -> DataFrame:
     """df as a table that is written once: reruns of what follows, and lost executors, read the same rows. ``large``:
-    its rows are packed batches of many megabytes."""
+    its rows are packed batches of many megabytes. ``made`` gets its path, for ``dropped``."""
     path = scratch_path(df.sparkSession, tag)
+    if made is not None:
+        made.append(path)
     df.write.options(**LARGE if large else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, made: list[str], keep: int = 0) -> None:
+    """Deletes tables that nothing reads any more: all paths but the last ``keep``."""
+    while len(made) > keep:
+        where = spark._jvm.org.apache.hadoop.fs.Path(made.pop(0))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def large_rows(spark: SparkSession) -> Iterator[None]:
     """For tables whose rows are packed batches of many megabytes: a task reads two at once, not thousands, and shuffle

@@ -1,10 +1,12 @@
 from collections import Counter
 from math import log, sqrt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features as T
+from ledgerloom.operators import document_weights as D, features as T
 from ledgerloom.operators.document_weights import document_weights
 
 
@@ -40,3 +42,33 @@ def test_terms_are_not_shuffled_for_each_document(spark):
     out = T.tfidf(df, "id", "w")
     assert out.count() == 1000 * 39
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("grams", ["words", "pairs", "chars"])
+def test_documents_stand_in_small_rows_beside_one_list_of_terms(spark, monkeypatch, grams):
+    """What a task holds of documents is a piece, and a chunk of many pieces tells each of its terms once."""
+    tables, write = {}, D.written
+    monkeypatch.setattr(D, "written", lambda df, tag, **how: tables.setdefault(tag, write(df, tag, **how)))
+    df = spark.range(0, 3000, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("w"), i * (1 + F.col("id") % 3))).alias("w"))
+    assert document_weights(df, "id", "w", grams).count() == 3000
+    rows = tables["term-counts"].collect()
+    assert max(len(r["keys"]) for r in rows) <= D.PIECE and sum(len(r["keys"]) for r in rows) == 3000
+    assert len([r for r in rows if r["data"]]) <= D.CHUNKS
+    assert max(len(r[c] or b"") for r in rows for c in ("docs", "term", "times")) < 40_000
+    monkeypatch.setattr(D, "CHUNK_TERMS", 10)
+    some = lambda: sorted((r.id, round(sum(r.weights), 9)) for r in document_weights(df, "id", "w", grams).collect())
+    many = some()
+    monkeypatch.undo()
+    assert many == some()
+
+
+def test_runs_of_characters_and_packed_places():
+    words = ["a", "", "naïve", "日本語文字列", "é", "abcdef"]
+    terms, run, sizes = D.char_runs(pa.array(["skipped", *words]).slice(1))
+    got, at = terms.to_pylist(), 0
+    for w, n in zip(words, sizes.tolist(), strict=True):
+        assert sorted(got[i] for i in run[at : at + n]) == sorted(terms_of([w], "chars") if w else [])
+        at += n
+    size, term = np.array([0, 3, 0, 2, 0]), np.array([5, 9, 70000, 0, 300])
+    assert D.places(size, D.spread(D.squeezed(D.gaps(size, term)))).tolist() == term.tolist()
+    assert D.spread(D.squeezed(np.zeros(0, np.int64))).tolist() == [] and D.spread(D.squeezed(np.array([2**40, 0]))).tolist() == [2**40, 0]
