@@ -285,7 +285,7 @@ def packed_svd(x: DataFrame, row: str, rank: int, more: int = 10, rounds: int =
         kind = x.schema["keys"].dataType.elementType.simpleString()
         range_ = last.filter("y IS NOT NULL").select("keys", "y").mapInArrow(rows, f"`{row}` {kind}, " + ", ".join(f"{c} double" for c in thin(width)))
         basis = turn(triangle(range_, width))
-        sums = written(summed(last.filter("y IS NULL"), width, parts).filter("r IS NOT NULL").select("r"), "range")
+        sums = written(summed(last.filter("y IS NULL"), width, parts).filter("r IS NOT NULL").select("r"), "range", made=made)
         u, s, _ = np.linalg.svd((stacked(sums, width) @ basis).T)
         scores = written(times(range_, row, width, basis @ (u * s)[:, :rank]), "coordinates")
         dropped(spark, made)

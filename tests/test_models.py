@@ -1,6 +1,7 @@
 """Decompositions, cross-fits, bootstraps, quantiles, raking and regions against dense or plain versions."""
 
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import batched_fits as G, cross_fit as X, features as T, matrices as M, standardize as S, two_phase as P
 from ledgerloom.operators.contracts import ContractError
 from ledgerloom.operators.document_weights import document_weights
+from ledgerloom.sources import scratch
 
 
 @pytest.mark.parametrize("kind", ["decaying", "low rank"])
@@ -69,6 +71,22 @@ def test_packed_weights_are_the_listed_ones(spark):
     assert got == want and got
 
 
+def test_svd_of_counted_documents_leaves_no_ranges(spark, monkeypatch):
+    """Counts and idf decompose like the listed weights; a range's table is gone when it has served, and at no time
+    there are more than two."""
+    paths, most, where = [], [], scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, tag: (paths.append(where(s, tag).removeprefix("file://")), most.append(len(left())))[0] or "file://" + paths[-1])
+    left = lambda: [p for p in paths if "/range-" in p and os.path.exists(p)]
+    df = spark.createDataFrame([(k, [f"w{(k * j) % 13}" for j in range(3 + k % 9)]) for k in range(1, 400)], "k long, w array<string>").repartition(3)
+    listed = document_weights(df, "k", "w", "chars", 2, 0.9, True, True, terms=True)
+    entries = listed.select("k", F.explode(F.arrays_zip("terms", "weights")).alias("e")).select("k", F.col("e.terms").alias("t"), F.col("e.weights").alias("weight"))
+    want, sizes = M.truncated_svd(entries, "k", "t", 2)
+    got, again = M.packed_svd(document_weights(df, "k", "w", "chars", 2, 0.9, counts=True), "k", 2, sublinear=True, unit=True)
+    a, b = ({r.k: (r.c0, r.c1) for r in x.collect()} for x in (want, got))
+    assert np.allclose(sizes, again) and a.keys() == b.keys() and len(a) > 300 and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+    assert not left() and max(most) <= 2
+
+
 def test_triangles_are_combined_in_steps(spark, monkeypatch):
     monkeypatch.setattr(M, "FACTORS", 2)
     a = np.random.default_rng(1).standard_normal((200, 4))
