@@ -20,6 +20,8 @@ BUCKET_TERMS, TOLD = 1 << 20, 256
 #: Documents of a piece; a chunk ends beyond so many terms or documents, or at the end of its task. Chunks there are
 #: about, if there are documents for them.
 PIECE, CHUNK_TERMS, CHUNK_DOCS, CHUNKS = 256, 1 << 18, 1 << 15, 24
+#: Terms in a row of a chunk's list of terms.
+ROW_TERMS = 1 << 15
 
 
 def char_runs(words: pa.StringArray, shortest: int = 3, longest: int = 5) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
@@ -141,8 +143,8 @@ def places(size: np.ndarray, gaps: np.ndarray) -> np.ndarray:
 
 
 #: Pieces of a chunk (piece 0 on): keys, entries of each, their places among the chunk's terms (gaps) and counts. The last
-#: row of a chunk (piece -1): its terms and the number of its documents that hold them.
-COUNTED = "piece int, docs binary, term binary, times binary, data binary, lens binary, df binary"
+#: rows of a chunk (pieces up to -1): its terms, from ``first`` on, and the number of its documents that hold them.
+COUNTED = "piece int, first int, docs binary, term binary, times binary, data binary, lens binary, df binary"
 
 
 def counted(docs: DataFrame, key: str, words: str, grams: str, most: int) -> DataFrame:
@@ -153,13 +155,14 @@ def counted(docs: DataFrame, key: str, words: str, grams: str, most: int) -> Dat
         part, number, piece, held = TaskContext.get().partitionId(), 0, 0, 0
         known, df = pa.array([], pa.string()), np.zeros(0, np.int64)
 
-        def row(piece: int, keys: pa.Array | None, *held: bytes | None) -> pa.RecordBatch:
+        def row(piece: int, keys: pa.Array, first: int | None, *held: bytes | None) -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), lists, pa.array([piece], pa.int32()), *[pa.array([x], pa.binary()) for x in held]], names=["chunk", "keys", "piece", "docs", "term", "times", "data", "lens", "df"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), lists, pa.array([piece], pa.int32()), pa.array([first], pa.int32()), *[pa.array([x], pa.binary()) for x in held]], names=["chunk", "keys", "piece", "first", "docs", "term", "times", "data", "lens", "df"])
 
-        def end(keys: pa.Array) -> pa.RecordBatch:
-            ends, data = bytes_of(known)
-            return row(-1, keys[:0], None, None, None, data.tobytes(), np.diff(ends).astype(np.int32).tobytes(), df.astype(np.int32).tobytes())
+        def end(keys: pa.Array) -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(known), ROW_TERMS):
+                ends, data = bytes_of(known.slice(low, ROW_TERMS))
+                yield row((low - len(known)) // ROW_TERMS, keys[:0], low, None, None, None, data.tobytes(), np.diff(ends).astype(np.int32).tobytes(), df[low : low + ROW_TERMS].astype(np.int32).tobytes())
 
         keys = None
         for b in batches:
@@ -175,14 +178,14 @@ def counted(docs: DataFrame, key: str, words: str, grams: str, most: int) -> Dat
                 df[at] += np.bincount(term, minlength=len(terms))
                 doc, term, times = summed(doc, at[term], times, len(known))
                 size = np.bincount(doc, minlength=len(lists))
-                yield row(piece, keys, squeezed(size), squeezed(gaps(size, term)), squeezed(times), None, None, None)
+                yield row(piece, keys, None, squeezed(size), squeezed(gaps(size, term)), squeezed(times), None, None, None)
                 piece, held = piece + 1, held + len(lists)
                 if len(known) > CHUNK_TERMS or held >= most:
-                    yield end(keys)
+                    yield from end(keys)
                     number, piece, held = number + 1, 0, 0
                     known, df = known[:0], df[:0]
         if held:
-            yield end(keys)
+            yield from end(keys)
 
     return docs.select(key, words).mapInArrow(lean(run), f"chunk long, keys array<{kind}>, " + COUNTED)
 
@@ -232,7 +235,7 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
                 order = np.argsort(bucket, kind="stable")
                 bucket, (ends, data) = bucket[order], bytes_of(found.take(pa.array(order)))
                 cuts = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(order)]
-                lens, df, order = np.diff(ends), np.frombuffer(r["df"], np.int32)[order], order.astype(np.int32)
+                lens, df, order = np.diff(ends), np.frombuffer(r["df"], np.int32)[order], (order + r["first"]).astype(np.int32)
                 spans = list(zip(cuts, cuts[1:]))
                 packed = [[x[i:j].tobytes() for i, j in spans] for x in (order, lens, df)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(spans), r["chunk"])), pa.array([data[ends[i] : ends[j]].tobytes() for i, j in spans], pa.binary()), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "chunk", "data", "slots", "lens", "df"])
@@ -266,24 +269,28 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
         yield from told()
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, idfs, now, idf, names = [], [], None, None, None
+        slots, idfs, heads, now, idf, names = [], [], [], None, None, None
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "keys"}
                 if r["chunk"] != now:
-                    slots, idfs, now = [], [], r["chunk"]
+                    slots, idfs, heads, now = [], [], [], r["chunk"]
                 if r["slots"] is not None:
                     slots.append(np.frombuffer(r["slots"], np.int32))
                     idfs.append(np.frombuffer(r["idf"]))
                     continue
                 if r["piece"] < 0:
-                    idf = np.full(len(r["lens"]) // 4, np.nan)
+                    heads.append((r["lens"], r.get("data", b"")))
+                    if r["piece"] < -1:
+                        continue
+                    lens, data = (b"".join(x) for x in zip(*heads))
+                    idf = np.full(len(lens) // 4, np.nan)
                     if slots:
                         idf[np.concatenate(slots)] = np.concatenate(idfs)
                     slots, idfs = [], []
                     if counts:
-                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([-1], pa.int32()), *[pa.array([x], pa.binary()) for x in (r["data"], r["lens"], idf.tobytes())]], names=["chunk", "piece", "data", "lens", "idf"])
-                    names = strings(np.frombuffer(r["lens"], np.int32), r["data"]) if terms or packed else None
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([-1], pa.int32()), *[pa.array([x], pa.binary()) for x in (data, lens, idf.tobytes())]], names=["chunk", "piece", "data", "lens", "idf"])
+                    heads, names = [], strings(np.frombuffer(lens, np.int32), data) if terms or packed else None
                     continue
                 size = spread(r["docs"])
                 size, term, tf, v = weighted(size, places(size, spread(r["term"])), spread(r["times"]), idf, sublinear, unit)
@@ -302,7 +309,7 @@ def document_weights(docs: DataFrame, key: str, words: str, grams: str = "words"
                     offsets = pa.array((e - e[0]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[low : low + TOLD])), *[pa.ListArray.from_arrays(offsets, x) for x in lists]], names=[key, *(["terms", "tf"] if terms else []), "weights"])
 
-    dealt = chunks.filter("piece < 0").select("chunk", "data", "lens", "df").mapInArrow(lean(deal), "bucket int, chunk long, data binary, slots binary, lens binary, df binary")
+    dealt = chunks.filter("piece < 0").select("chunk", "first", "data", "lens", "df").mapInArrow(lean(deal), "bucket int, chunk long, data binary, slots binary, lens binary, df binary")
     idf = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(weigh), "chunk long, slots binary, idf binary")
     own = ["piece", "lens", *["data"] * (terms or packed or counts), *["keys", "docs", "term", "times"] * (not counts)]
     moved = chunks.filter("piece < 0") if counts else chunks

@@ -56,6 +56,7 @@ def test_documents_stand_in_small_rows_beside_one_list_of_terms(spark, monkeypat
     assert len([r for r in rows if r["data"]]) <= D.CHUNKS
     assert max(len(r[c] or b"") for r in rows for c in ("docs", "term", "times")) < 40_000
     monkeypatch.setattr(D, "CHUNK_TERMS", 10)
+    monkeypatch.setattr(D, "ROW_TERMS", 7)
     some = lambda: sorted((r.id, round(sum(r.weights), 9)) for r in document_weights(df, "id", "w", grams).collect())
     many = some()
     monkeypatch.undo()
